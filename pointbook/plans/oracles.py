@@ -112,3 +112,70 @@ def with_views(body: str) -> str:
     """Prefix ``body`` with every stand-in view as a CTE (unused ones cost nothing)."""
     ctes = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in VIEWS.items())
     return f"WITH {ctes}\n{body.strip()}"
+
+
+def sql_norm_phone(x: str) -> str:
+    """I6 in DuckDB SQL."""
+    d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    return f"(CASE WHEN {d} IS NULL OR {d} = '' THEN NULL WHEN {d} LIKE '0%' THEN {d} ELSE '0' || {d} END)"
+
+
+def sql_render(tpl: str, name: str, points: str, threshold: str, label: str) -> str:
+    """I7 in DuckDB SQL: split on placeholders, interleave values (single pass)."""
+    parts = f"regexp_split_to_array({tpl}, '\\{{\\w+\\}}')"
+    keys = f"regexp_extract_all({tpl}, '\\{{(\\w+)\\}}', 1)"
+    val = (f"CASE {keys}[i] WHEN 'name' THEN {name} WHEN 'points' THEN {points} "
+           f"WHEN 'threshold' THEN {threshold} WHEN 'label' THEN {label} ELSE '' END")
+    return (f"(CASE WHEN {tpl} IS NULL THEN NULL ELSE array_to_string(list_transform(range(1, len({parts}) + 1), "
+            f"lambda i: {parts}[i] || coalesce({val}, '')), '') END)")
+
+
+def sql_gen_id(prefix: str, *parts: str) -> str:
+    """I11 in DuckDB SQL."""
+    cs = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"('{prefix}_' || substr(sha256(concat_ws('|', {cs})), 1, 16))"
+
+
+TOTALS = """(SELECT s.*, CAST(COALESCE(p.sum_points, 0) AS BIGINT) AS points FROM students s
+ LEFT JOIN (SELECT student_id, SUM(points) AS sum_points FROM penalties GROUP BY student_id) p ON p.student_id = s.id)"""
+TH_LAST = """(SELECT id, min_points, label, message_template, sort_order FROM (SELECT *, row_number() OVER
+ (PARTITION BY min_points ORDER BY sort_order DESC, id DESC) AS rn FROM thresholds) x WHERE rn = 1)"""
+TH_FIRST = """(SELECT id, min_points, label, message_template, sort_order FROM (SELECT *, row_number() OVER
+ (PARTITION BY min_points ORDER BY sort_order ASC, id ASC) AS rn FROM thresholds) x WHERE rn = 1)"""
+BEST = f"""(SELECT t.*, h.id AS threshold_id, h.min_points AS threshold_min_points, h.label AS threshold_label,
+ h.message_template AS threshold_template, h.sort_order AS threshold_sort_order
+ FROM {TOTALS} t ASOF LEFT JOIN {TH_FIRST} h ON t.points >= h.min_points)"""
+STATUS = f"""(SELECT t.id AS student_id, t.name, t.points, h.id AS threshold_id,
+ CASE WHEN h.id IS NULL THEN '정상' WHEN h.label = '' THEN '>=' || CAST(h.min_points AS VARCHAR) ELSE h.label END AS badge
+ FROM {TOTALS} t ASOF LEFT JOIN {TH_LAST} h ON t.points >= h.min_points)"""
+
+DEFAULT_TPL = "'[센터] {name} 학생 벌점 누적 {points}점입니다.'"
+SENDER = "02-1234-5678"
+
+
+def sms_prepared() -> str:
+    """Send requests with text, both candidate numbers and validity."""
+    rendered = sql_render(f"COALESCE(NULLIF(b.threshold_template, ''), {DEFAULT_TPL})", "COALESCE(b.name, '')",
+                          "CAST(b.points AS VARCHAR)", "COALESCE(CAST(b.threshold_min_points AS VARCHAR), '')",
+                          "COALESCE(b.threshold_label, '')")
+    return f"""(SELECT r.seq, r.student_id, r.target,
+ {js_trim(f"COALESCE(r.message, {rendered})")} AS text,
+ CASE WHEN r.target IN ('student', 'both') THEN {sql_norm_phone('b.student_phone')} END AS sp,
+ CASE WHEN r.target IN ('parent', 'both') THEN {sql_norm_phone('b.parent_phone')} END AS pp,
+ concat_ws(',', CASE WHEN r.student_id IS NULL THEN 'student_id:required' END,
+  CASE WHEN r.student_id = '' THEN 'student_id:empty' END,
+  CASE WHEN r.target IS NULL THEN 'target:required' END,
+  CASE WHEN r.target NOT IN ('student', 'parent', 'both') THEN 'target:enum' END,
+  CASE WHEN r.message IS NOT NULL AND {js_trim('r.message')} = '' THEN 'message:empty' END) AS issues,
+ b.id IS NOT NULL AS found
+ FROM sms_requests r LEFT JOIN {BEST} b ON b.id = r.student_id)"""
+
+
+def sms_outbox() -> str:
+    return f"""(SELECT {sql_gen_id('sms', 'seq', 'pos')} AS outbox_id, seq, student_id, pos, "to",
+ {sql_norm_phone(f"'{SENDER}'")} AS "from", text FROM (
+ SELECT seq, student_id, CAST(0 AS BIGINT) AS pos, sp AS "to", text FROM {sms_prepared()} q
+  WHERE issues = '' AND found AND sp IS NOT NULL
+ UNION ALL
+ SELECT seq, student_id, CAST(CASE WHEN sp IS NULL THEN 0 ELSE 1 END AS BIGINT), pp, text FROM {sms_prepared()} q
+  WHERE issues = '' AND found AND pp IS NOT NULL AND (sp IS NULL OR pp <> sp)) o)"""
