@@ -57,6 +57,7 @@ UNION ALL SELECT c_custkey + 1000000, CAST(c_custkey AS VARCHAR), 'dup ' || c_na
   FROM customer WHERE c_custkey % 30 = 0
 UNION ALL SELECT c_custkey + 2000000, 'new' || CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 100 = 0 THEN ' ' ELSE c_name END, 'G1', '', ''
   FROM customer WHERE c_custkey % 50 = 0""",
+    "student_upserts": "SELECT * FROM roster_import",
     "range_requests": """
 SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR) AS student_id,
  CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN '' ELSE '2024-01-' || lpad(CAST(c_custkey % 20 + 1 AS VARCHAR), 2, '0') END AS "from",
@@ -179,3 +180,103 @@ def sms_outbox() -> str:
  UNION ALL
  SELECT seq, student_id, CAST(CASE WHEN sp IS NULL THEN 0 ELSE 1 END AS BIGINT), pp, text FROM {sms_prepared()} q
   WHERE issues = '' AND found AND pp IS NOT NULL AND (sp IS NULL OR pp <> sp)) o)"""
+
+
+AS_OF = "2024-02-01 00:00:00"
+
+
+def sql_to_integer(x: str) -> str:
+    """I5 in DuckDB SQL."""
+    t = js_trim(x)
+    d = f"TRY_CAST({t} AS DOUBLE)"
+    pat = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+    return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN {t} = '' THEN CAST(0 AS BIGINT) "
+            f"WHEN regexp_full_match({t}, '{pat}') AND {d} = floor({d}) AND abs({d}) <= 9007199254740991 "
+            f"THEN CAST({d} AS BIGINT) END)")
+
+
+def sql_ymd(x: str) -> str:
+    return f"COALESCE(regexp_full_match({x}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), false)"
+
+
+def sql_non_empty(f: str, q: str | None = None) -> list[tuple[str, str]]:
+    c = q or f'"{f}"'
+    return [(f"{c} IS NULL", f"{f}:required"), (f"{c} = ''", f"{f}:empty")]
+
+
+def sql_ymd_field(f: str, q: str | None = None) -> list[tuple[str, str]]:
+    c = q or f'"{f}"'
+    return [(f"{c} IS NULL", f"{f}:required"), (f"{c} IS NOT NULL AND NOT {sql_ymd(c)}", f"{f}:format")]
+
+
+def sql_issues(checks: list[tuple[str, str]]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{code}' END" for c, code in checks) + ")"
+
+
+def sql_last(src: str, key: str = "id", seq: str = "seq") -> str:
+    """Last request per key by seq."""
+    return (f"(SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {seq} DESC) "
+            f"AS rn_ FROM {src}) z WHERE rn_ = 1)")
+
+
+def sql_merge(base: str, net: str, cols: list[str], update_cols: list[str], keep_cols: list[str] = (),
+              key: str = "id") -> str:
+    """Full outer merge of one-row-per-key changes into a table (C1 pattern)."""
+    out = []
+    for c in cols:
+        if c == key:
+            out.append(f"COALESCE(b.{key}, n.{key}) AS {key}")
+        elif c in update_cols:
+            out.append(f"CASE WHEN n.{key} IS NOT NULL THEN n.{c} ELSE b.{c} END AS {c}")
+        elif c in keep_cols:
+            out.append(f"CASE WHEN b.{key} IS NOT NULL THEN b.{c} ELSE n.{c} END AS {c}")
+        elif c == "created_at":
+            out.append(f"CASE WHEN b.{key} IS NOT NULL THEN b.created_at ELSE '{AS_OF}' END AS created_at")
+        elif c == "updated_at":
+            out.append(f"CASE WHEN n.{key} IS NOT NULL THEN '{AS_OF}' ELSE b.updated_at END AS updated_at")
+        else:
+            out.append(f"b.{c} AS {c}")
+    return f"(SELECT {', '.join(out)} FROM {base} b FULL OUTER JOIN {net} n ON b.{key} = n.{key})"
+
+
+STUDENT_COLS = ["id", "name", "grade", "student_phone", "parent_phone", "created_at", "updated_at"]
+RULE_COLS = ["id", "title", "points", "is_active", "sort_order", "created_at", "updated_at"]
+THRESHOLD_COLS = ["id", "min_points", "label", "message_template", "sort_order", "created_at", "updated_at"]
+NOTE_COLS = ["id", "student_id", "noted_on", "content", "created_at", "updated_at"]
+PENALTY_COLS = ["id", "student_id", "rule_id", "rule_title", "points", "occurred_on", "memo", "created_at"]
+
+STUDENT_ISSUES = sql_issues(sql_non_empty("id") + sql_non_empty("name"))
+
+RULES_COERCED = f"""(SELECT seq, CASE WHEN COALESCE(id, '') = '' THEN {sql_gen_id('rule', 'title', 'seq')} ELSE id END AS id,
+ title, points AS points_text, {sql_to_integer('points')} AS points,
+ CASE WHEN is_active IS NULL THEN CAST(1 AS BIGINT) ELSE {sql_to_integer('is_active')} END AS is_active,
+ CASE WHEN sort_order IS NULL THEN CAST(0 AS BIGINT) ELSE {sql_to_integer('sort_order')} END AS sort_order
+ FROM rule_upserts)"""
+RULES_CHECKED = f"""(SELECT *, {sql_issues(sql_non_empty('id') + sql_non_empty('title') + [
+    ('points IS NULL', 'points:not_integer'), ('is_active IS NULL', 'is_active:not_integer'),
+    ('sort_order IS NULL', 'sort_order:not_integer')])} AS issues FROM {RULES_COERCED} r)"""
+
+THRESHOLDS_COERCED = f"""(SELECT seq, CASE WHEN COALESCE(id, '') = '' THEN {sql_gen_id('th', 'label', 'seq')} ELSE id END AS id,
+ label, {sql_to_integer('min_points')} AS min_points, COALESCE(message_template, '') AS message_template,
+ CASE WHEN sort_order IS NULL THEN CAST(0 AS BIGINT) ELSE {sql_to_integer('sort_order')} END AS sort_order
+ FROM threshold_upserts)"""
+THRESHOLDS_CHECKED = f"""(SELECT *, {sql_issues(sql_non_empty('id') + sql_non_empty('label') + [
+    ('min_points IS NULL', 'min_points:not_integer'), ('sort_order IS NULL', 'sort_order:not_integer')])} AS issues
+ FROM {THRESHOLDS_COERCED} t)"""
+
+NOTES_CHECKED = f"""(SELECT seq, id, student_id, noted_on, content, {sql_issues(sql_non_empty('id') + sql_non_empty('student_id')
+    + sql_ymd_field('noted_on') + sql_non_empty('content'))} AS issues FROM
+ (SELECT seq, CASE WHEN COALESCE(id, '') = '' THEN {sql_gen_id('note', 'student_id', 'noted_on', 'seq')} ELSE id END AS id,
+  student_id, noted_on, content FROM note_upserts) n)"""
+
+PENALTIES_CHECKED = f"""(SELECT *, {sql_issues(sql_non_empty('student_id') + sql_non_empty('rule_id')
+    + sql_ymd_field('occurred_on'))} AS issues FROM penalty_requests)"""
+
+RESETS_CHECKED = f"""(SELECT *, {sql_issues(sql_non_empty('student_id') + sql_ymd_field('from')
+    + sql_ymd_field('to'))} AS issues FROM reset_requests)"""
+
+ASSIGN_DECIDED = f"""(SELECT p.seq, {sql_gen_id('pen', 'p.seq', 'p.student_id', 'p.rule_id', 'p.occurred_on')} AS id,
+ p.student_id, p.rule_id, r.title AS rule_title, r.points, p.occurred_on, p.memo, '{AS_OF}' AS created_at,
+ CASE WHEN p.issues <> '' THEN 'schema' WHEN r.id IS NULL THEN 'rule_not_found'
+  WHEN s.id IS NULL THEN 'student_not_found' END AS reject_reason, p.issues
+ FROM {PENALTIES_CHECKED} p LEFT JOIN rules r ON r.id = p.rule_id LEFT JOIN students s ON s.id = p.student_id)"""

@@ -152,3 +152,7 @@ def q_default_message(spark, sf):
     return b.select(F.col("id").alias("student_id"),
                     default_message("threshold_template", "name", "points", "threshold_min_points",
                                     "threshold_label").alias("text"))
+
+
+# == the other query groups register on import ===============================
+from . import changes, checks  # noqa: E402,F401
