@@ -155,4 +155,4 @@ def q_default_message(spark, sf):
 
 
 # == the other query groups register on import ===============================
-from . import changes, checks, reads, scalars  # noqa: E402,F401
+from . import changes, checks, reads, scalars, streams  # noqa: E402,F401

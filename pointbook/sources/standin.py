@@ -87,7 +87,11 @@ def thresholds(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
 
 def penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger: one row per event, rule title and points frozen on the row."""
-    e = read_driver_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    return penalties_from_events(read_driver_table(spark, sf_dir, "events"))
+
+
+def penalties_from_events(e: DataFrame) -> DataFrame:
+    """Row-wise shaping of event rows into ledger rows (works on streams too)."""
     t = F.col("event_type")
     return e.select(
         F.concat(F.lit("pen_"), F.col("event_id").cast("string")).alias("id"),
