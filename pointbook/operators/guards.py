@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 # Largest side broadcast on a row-count proof. Configuration tables (rules,
 # thresholds) hold tens of rows; 100k narrow rows stay far below the
 # broadcast size limits on every executor.
@@ -20,6 +22,22 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Prove ``df`` small and keep it: ``(checkpointed df, True)`` when it has
+    at most ``max_rows`` rows, else ``(df, False)``.
+
+    The first ``max_rows + 1`` rows are checkpointed to the shared checkpoint
+    folder (reliable, survives executor loss, cuts lineage); when they are
+    all the rows there are, that copy *is* the DataFrame, so later plans
+    read it instead of recomputing ``df`` and the count came for free.
+    """
+    checkpoint_root(df.sparkSession)
+    head = df.limit(max_rows + 1).checkpoint(eager=True)
+    if head.count() <= max_rows:
+        return head, True
+    return df, False
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """``(broadcast(df), True)`` when the bound holds, else ``(df, False)`` so the
     caller takes its shuffle-based path."""

@@ -50,8 +50,13 @@ def penalties_in_range(penalties: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def ledger_total(penalties: DataFrame, requests: DataFrame) -> DataFrame:
-    """Total points of the rows B1 lists, per request; no rows -> 0."""
-    listed = penalties_in_range(penalties.select("student_id", "occurred_on", "points"), requests)
+    """Total points of the rows B1 lists, per request; no rows -> 0.
+
+    The ledger is summed per (student, day) before the range join: the
+    range only looks at the day, and a student's history shrinks to at most
+    one row per day (partial aggregation absorbs a hot student)."""
+    daily = penalties.groupBy("student_id", "occurred_on").agg(F.sum("points").alias("points"))
+    listed = penalties_in_range(daily, requests)
     sums = listed.groupBy("request_seq").agg(F.sum("points").alias("_s"))
     return (requests.select(F.col("seq").alias("request_seq"), "student_id")
             .join(sums, "request_seq", "left")
@@ -93,12 +98,23 @@ def client_view(df: DataFrame, table: str) -> DataFrame:
 
 def students_left_join_penalties(students: DataFrame, penalties: DataFrame) -> DataFrame:
     """Every student with each of their ledger rows (students without rows
-    appear once with NULL ledger columns)."""
+    appear once with NULL ledger columns).
+
+    Written as ``ledger JOIN students`` plus ``students without ledger rows``
+    rather than ``students LEFT JOIN ledger``: in a left outer join only the
+    left side of a skewed key can be split at run time, and here the skew
+    (one student with a third of the ledger) is on the ledger side."""
     p = penalties.select(
         F.col("student_id").alias("_psid"), F.col("id").alias("penalty_id"), "rule_id", "rule_title",
         "points", "occurred_on", "memo", F.col("created_at").alias("penalty_created_at"))
-    return (students.join(p, F.col("id") == F.col("_psid"), "left").drop("_psid")
-            .withColumnRenamed("id", "student_id"))
+    s = students.withColumnRenamed("id", "student_id")
+    with_rows = p.join(s, F.col("_psid") == F.col("student_id"), "inner").drop("_psid")
+    has_rows = penalties.select(F.col("student_id").alias("_psid")).distinct()
+    without = s.join(has_rows, F.col("student_id") == F.col("_psid"), "left_anti")
+    for c in p.columns:
+        if c != "_psid":
+            without = without.withColumn(c, F.lit(None).cast(p.schema[c].dataType))
+    return with_rows.unionByName(without)
 
 
 def student_fk_check(df: DataFrame, students: DataFrame, col: str = "student_id") -> tuple[DataFrame, DataFrame]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import empty_to_null, gen_id
 from ..schemas import ID_PREFIX_PENALTY
 from ..sources.roster import normalize_roster, roster_required_fields
-from .guards import DEFAULT_BROADCAST_ROWS, row_count_at_most
+from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded, row_count_at_most
 from .ledger import range_bounds
 from .validate import (first_reason, split_valid, validate_notes, validate_penalties, validate_resets,
                        validate_rules, validate_students, validate_thresholds)
@@ -68,6 +68,7 @@ def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: lis
     """
     ccols = [c for c in list(update_cols) + list(keep_cols)]
     c = changes.select(F.col(key).alias("_ck"), *[F.col(x).alias(f"_c_{x}") for x in ccols])
+    c, small = materialize_if_bounded(c, max_broadcast_rows)
 
     def merged(exists: Column, present: Column, b) -> list[Column]:
         out = []
@@ -89,7 +90,7 @@ def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: lis
             out.append(F.when(present & exists, F.lit("updated")).when(present, F.lit("inserted")).alias("op"))
         return out
 
-    if row_count_at_most(changes, max_broadcast_rows):
+    if small:
         bc = F.broadcast(c)
         untouched = base.join(bc.select("_ck"), base[key] == F.col("_ck"), "left_anti")
         touched = base.join(bc, base[key] == F.col("_ck"), "inner")
@@ -259,9 +260,12 @@ def reset_penalties(penalties: DataFrame, requests: DataFrame) -> tuple[DataFram
         F.col("from").alias("_lo"), F.col("to").alias("_hi"))
     cond = (F.col("student_id") == F.col("_rsid")) & F.col("occurred_on").between(F.col("_lo"), F.col("_hi"))
     remaining = penalties.join(ok, cond, "left_anti")
-    hits = (penalties.select("id", "student_id", "occurred_on").join(ok, cond, "inner")
-            .groupBy("id").agg(F.min("_rseq").alias("_rseq"))
-            .groupBy("_rseq").agg(F.count(F.lit(1)).alias("_n")))
+    # coverage depends only on (student, day): count the ledger per day first,
+    # so a student with a third of the ledger is a few hundred rows here
+    daily = penalties.groupBy("student_id", "occurred_on").agg(F.count(F.lit(1)).alias("_rows"))
+    hits = (daily.join(ok, cond, "inner")
+            .groupBy("student_id", "occurred_on").agg(F.min("_rseq").alias("_rseq"), F.max("_rows").alias("_rows"))
+            .groupBy("_rseq").agg(F.sum("_rows").alias("_n")))
     counts = (v.join(hits, F.col("seq") == F.col("_rseq"), "left")
               .select("seq", "student_id",
                       F.when(F.size("issues") > 0, F.lit("schema")).alias("reject_reason"),
