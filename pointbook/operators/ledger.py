@@ -49,6 +49,30 @@ def penalties_in_range(penalties: DataFrame, requests: DataFrame) -> DataFrame:
     return j.drop("_rsid", "_lo", "_hi")
 
 
+def month_of(day) -> Column:
+    """Ledger partition key: the ``yyyy-MM`` prefix of the date text (kept as
+    text, like the date itself, so odd-but-legal dates keep their rows)."""
+    return F.substring(_c(day), 1, 7)
+
+
+def penalties_for_student(penalties: DataFrame, student_id: str, date_from: str | None = None,
+                          date_to: str | None = None, month_col: str | None = None) -> DataFrame:
+    """B1 (single request, the reference's own form): one student's ledger rows
+    in the inclusive text range; a missing or empty bound is unbounded.
+
+    All predicates are literals, so they reach the Parquet scan as pushed
+    filters; with a ledger written partitioned by ``month_col`` (see
+    ``write_ledger_snapshot``) the derived month bounds also prune whole
+    partitions (Catalyst cannot derive them from a string range itself).
+    """
+    lo = date_from or RANGE_MIN
+    hi = date_to or RANGE_MAX
+    cond = (F.col("student_id") == F.lit(student_id)) & F.col("occurred_on").between(F.lit(lo), F.lit(hi))
+    if month_col:
+        cond = cond & F.col(month_col).between(F.lit(lo[:7]), F.lit(hi[:7]))
+    return penalties.where(cond)
+
+
 def ledger_total(penalties: DataFrame, requests: DataFrame) -> DataFrame:
     """Total points of the rows B1 lists, per request; no rows -> 0.
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import badge_label
 from .asof import asof_floor
-from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded
+from .guards import DEFAULT_BROADCAST_ROWS, row_count_at_most
 
 KEEP_LAST = "last"    # badge tie rule
 KEEP_FIRST = "first"  # message tie rule
@@ -53,8 +53,9 @@ def threshold_lookup(totals: DataFrame, thresholds: DataFrame, keep: str, points
         "message_template": "threshold_template", "sort_order": "threshold_sort_order",
     }
     p = F.col(points_col)
-    t, small = materialize_if_bounded(t, max_broadcast_rows)
-    if small:
+    # the raw table is a stored configuration table: the bounded count reads
+    # at most max+1 rows, and the collapse is recomputed inside the broadcast
+    if row_count_at_most(thresholds, max_broadcast_rows):
         # bounded: a window without partitioning is fine on <= max rows
         iv = t.withColumn("_hi", F.lead("min_points").over(Window.orderBy("min_points")))
         iv = iv.select(*[F.col(k).alias(v) for k, v in out_cols.items()], "_hi")

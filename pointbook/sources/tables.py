@@ -89,3 +89,25 @@ def read_snapshot(spark: SparkSession, root: str, table: str, version: int | Non
     elif table in schemas.TABLES:
         r = r.schema(schemas.TABLES[table])
     return r.parquet(snapshot_path(root, table, version))
+
+
+def write_ledger_snapshot(ledger: DataFrame, root: str, table: str = "penalties", version: int | None = None,
+                          month_col: str = "occurred_month") -> int:
+    """A3 for the ledger: a new version partitioned by the ``yyyy-MM`` prefix of
+    ``occurred_on`` so date-range reads prune whole months.
+
+    No shuffle: a month is far too coarse a key to hash-partition on (a few
+    keys, terabytes each). Each task sorts its own rows by month and student,
+    so it writes one file per month it holds, one writer at a time, and the
+    row groups carry tight ``student_id`` min/max statistics for pushdown.
+    """
+    from pyspark.sql import functions as F
+
+    spark = ledger.sparkSession
+    if version is None:
+        have = committed_versions(spark, root, table)
+        version = (have[-1] + 1) if have else 0
+    out = ledger.withColumn(month_col, F.substring("occurred_on", 1, 7))
+    (out.sortWithinPartitions(month_col, "student_id").write.mode("overwrite").partitionBy(month_col)
+     .parquet(snapshot_path(root, table, version)))
+    return version

@@ -164,3 +164,19 @@ def test_seed_if_empty(spark):
     r = si.rules(spark, SF_SMALL)
     assert mu.seed_if_empty(r, d).count() == r.count()
     assert rows(mu.seed_if_empty(r.where("false"), d), "id") == [("rule_late",), ("rule_phone",), ("rule_sleep",)]
+
+
+def test_ledger_month_partitions_prune(spark, tmp_path):
+    from pointbook.operators.ledger import penalties_for_student
+    from pointbook.sources import read_snapshot
+    from pointbook.sources.tables import write_ledger_snapshot
+
+    p = si.penalties(spark, SF_SMALL)
+    root = str(tmp_path)
+    v = write_ledger_snapshot(p, root)
+    stored = spark.read.parquet(f"{root}/penalties/v={v}")
+    got = penalties_for_student(stored, "3", "2024-01-05", "2024-01-12", month_col="occurred_month")
+    assert got.count() == 21
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(occurred_month" in plan and "PushedFilters" in plan
+    assert penalties_for_student(p, "3", "", None).count() == p.where("student_id = '3'").count()
