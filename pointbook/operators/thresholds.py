@@ -25,7 +25,13 @@ from pyspark.sql import functions as F
 
 from ..functions import badge_label
 from .asof import asof_floor
-from .guards import DEFAULT_BROADCAST_ROWS, row_count_at_most
+from .guards import row_count_at_most
+
+# The broadcast plan is a nested-loop join: every student is compared with
+# every broadcast interval, so its bound is set by per-row cost (students x
+# thresholds comparisons), not by memory. Threshold tables hold a handful of
+# rows; beyond this bound the sort-based as-of plan is cheaper.
+THRESHOLD_BROADCAST_ROWS = 1_000
 
 KEEP_LAST = "last"    # badge tie rule
 KEEP_FIRST = "first"  # message tie rule
@@ -43,7 +49,7 @@ def collapse_ties(thresholds: DataFrame, keep: str) -> DataFrame:
 
 
 def threshold_lookup(totals: DataFrame, thresholds: DataFrame, keep: str, points_col: str = "points",
-                     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                     max_broadcast_rows: int = THRESHOLD_BROADCAST_ROWS) -> DataFrame:
     """``totals`` + the reached threshold as ``threshold_id``, ``threshold_min_points``,
     ``threshold_label``, ``threshold_template``, ``threshold_sort_order``
     (all NULL when none is reached)."""
