@@ -52,10 +52,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     there). Only when it is unset, as in local tests, a fresh local folder is
     created and registered for the rest of the session.
     """
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        cur = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = cur.get() if cur.isDefined() else None
+    sc = spark.sparkContext
+    cur = sc._jsc.sc().getCheckpointDir()
+    if cur.isDefined():
+        return cur.get().rstrip("/")
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if d:
+        sc.setCheckpointDir(d)  # configured but not yet registered with the context
+        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
     if not d:
         local = tempfile.mkdtemp(prefix="pointbook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(local)
