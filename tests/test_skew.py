@@ -35,7 +35,12 @@ def hot_ledger(spark):
     n = F.substring("id", 5, 20).cast("bigint")
     # spread over several map tasks, as any large ledger is (a skewed reducer
     # partition is split along map-output boundaries)
-    return p.withColumn("student_id", F.when(n % 3 == 0, F.lit("7")).otherwise(F.col("student_id"))).repartition(8)
+    # (checkpointed: like a stored table, the join input then keeps 8 splits)
+    from pointbook.session import checkpoint_root
+
+    checkpoint_root(spark)
+    hot = p.withColumn("student_id", F.when(n % 3 == 0, F.lit("7")).otherwise(F.col("student_id")))
+    return hot.repartition(8).checkpoint()
 
 
 def final_plan(df):
