@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import default_message, gen_id, js_trim, normalize_phone
+from .guards import restrict_to_keys
 from .ledger import cumulative_points
 from .thresholds import best_threshold
 from .validate import first_reason, validate_sms
@@ -49,7 +50,10 @@ def prepare_messages(requests: DataFrame, students: DataFrame, penalties: DataFr
     student: the best reached threshold's template (message tie rule) or
     the default text, rendered with the student's name and total.
     Reject order: schema -> student_not_found -> no_recipient.
+    A small batch narrows roster and ledger to its students first
+    (``restrict_to_keys``); a batch for everyone aggregates the ledger once.
     """
+    students, penalties = restrict_to_keys([(students, "id"), (penalties, "student_id")], requests, "student_id")
     totals = best_threshold(cumulative_points(students, penalties), thresholds)
     checked = validate_sms(requests)
     j = sms_student_lookup(checked, totals)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import empty_to_null, gen_id
 from ..schemas import ID_PREFIX_PENALTY
 from ..sources.roster import normalize_roster, roster_required_fields
-from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded, row_count_at_most
+from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded, restrict_to_keys, row_count_at_most
 from .ledger import range_bounds
 from .validate import (first_reason, split_valid, validate_notes, validate_penalties, validate_resets,
                        validate_rules, validate_students, validate_thresholds)
@@ -207,10 +207,13 @@ def assign_penalties(requests: DataFrame, rules: DataFrame, students: DataFrame,
     thereafter); inactive rules are accepted; the student must exist.
     Reject order: schema -> rule_not_found -> student_not_found.
     Both lookups are equi-joins; AQE broadcasts the rules (a configuration
-    table) at run time and keeps the student join a sort-merge join with
+    table) at run time. A batch naming few students (a micro-batch) first
+    narrows the roster to them through a broadcast semi-join, so the roster
+    is scanned, not shuffled; a large batch keeps the sort-merge join with
     skew splitting for a hot student.
     """
     v = validate_penalties(requests)
+    (students,) = restrict_to_keys([(students, "id")], requests, "student_id")
     r = rules.select(F.col("id").alias("_rid"), F.col("title").alias("rule_title"), F.col("points").alias("points"))
     j = v.join(r, F.col("rule_id") == F.col("_rid"), "left")
     s = students.select(F.col("id").alias("_sid"), F.lit(True).alias("_sx"))
