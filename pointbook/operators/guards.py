@@ -52,14 +52,14 @@ def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, r
     set is proven small.
 
     A batch of a few requests should not aggregate the whole ledger or
-    shuffle the whole roster: its distinct keys are checkpointed (bounded)
+    shuffle the whole roster: its distinct keys are counted (bounded read)
     and broadcast into a semi-join, so each table is only scanned and
     filtered map-side before any aggregation or shuffle. A key set beyond
     the bound leaves the tables as they are (the caller's aggregate-first
     plan is then the cheaper one).
     """
-    keys, small = materialize_if_bounded(requests.select(F.col(request_key).alias("_key")).distinct(), max_rows)
-    if not small:
+    keys = requests.select(F.col(request_key).alias("_key")).distinct()
+    if not row_count_at_most(keys, max_rows):
         return [t for t, _ in tables]
     b = F.broadcast(keys)
     return [t.join(b, F.col(col) == F.col("_key"), "left_semi") for t, col in tables]
