@@ -84,3 +84,12 @@ def message_rejects(prepared: DataFrame) -> DataFrame:
     """Rejected send requests with their first reason and all schema issues."""
     return (prepared.where(F.col("reject_reason").isNotNull())
             .select("seq", "student_id", "reject_reason", F.array_join("issues", ",").alias("issues")))
+
+
+def write_outbox(outbox: DataFrame, root: str, batch_id: int) -> str:
+    """Sink of A5: the outbox rows of one send batch into ``<root>/batch=<id>``,
+    overwritten on a retry (rows carry their idempotent ``outbox_id``), so a
+    deliverer can pick up each batch once. Returns the folder written."""
+    path = f"{root.rstrip('/')}/batch={batch_id}"
+    outbox.write.mode("overwrite").parquet(path)
+    return path

@@ -32,7 +32,6 @@ from ..functions import empty_to_null, gen_id
 from ..schemas import ID_PREFIX_PENALTY
 from ..sources.roster import normalize_roster, roster_required_fields
 from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded, restrict_to_keys, row_count_at_most
-from .ledger import range_bounds
 from .validate import (first_reason, split_valid, validate_notes, validate_penalties, validate_resets,
                        validate_rules, validate_students, validate_thresholds)
 
@@ -323,7 +322,3 @@ def seed_if_empty(df: DataFrame, defaults: DataFrame) -> DataFrame:
         return df.unionByName(defaults.select(*df.columns))
     return df
 
-
-def range_filter_bounds(from_col: str = "from", to_col: str = "to"):
-    """Re-export of the B1 bound defaults for callers building range requests."""
-    return range_bounds(from_col, to_col)

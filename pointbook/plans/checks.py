@@ -11,33 +11,33 @@ from . import oracles as o
 from .registry import query
 
 
-def _issues(df):
+def _issues():
     return F.array_join(F.col("issues"), ",").alias("issues")
 
 
 @query("validate_students", f"SELECT seq, id, {o.STUDENT_ISSUES} AS issues FROM student_upserts")
 def q_validate_students(spark, sf):
     """J1 over student upsert requests."""
-    return va.validate_students(si.student_upserts(spark, sf)).select("seq", "id", _issues(None))
+    return va.validate_students(si.student_upserts(spark, sf)).select("seq", "id", _issues())
 
 
 @query("validate_rules", f"SELECT seq, id, title, points, is_active, sort_order, issues FROM {o.RULES_CHECKED} r")
 def q_validate_rules(spark, sf):
     """J2 + I5 coercion over rule upsert requests (ids generated when empty)."""
     v = va.validate_rules(si.rule_upserts(spark, sf))
-    return v.select("seq", "id", "title", "points", "is_active", "sort_order", _issues(None))
+    return v.select("seq", "id", "title", "points", "is_active", "sort_order", _issues())
 
 
 @query("validate_penalties", f"SELECT seq, issues FROM {o.PENALTIES_CHECKED} p")
 def q_validate_penalties(spark, sf):
     """J3 over assign requests."""
-    return va.validate_penalties(si.penalty_requests(spark, sf)).select("seq", _issues(None))
+    return va.validate_penalties(si.penalty_requests(spark, sf)).select("seq", _issues())
 
 
 @query("validate_resets", f"SELECT seq, issues FROM {o.RESETS_CHECKED} r")
 def q_validate_resets(spark, sf):
     """J4 over range-reset requests."""
-    return va.validate_resets(si.reset_requests(spark, sf)).select("seq", _issues(None))
+    return va.validate_resets(si.reset_requests(spark, sf)).select("seq", _issues())
 
 
 @query("validate_thresholds", f"""
@@ -45,19 +45,19 @@ SELECT seq, id, label, min_points, message_template, sort_order, issues FROM {o.
 def q_validate_thresholds(spark, sf):
     """J5 + coercion over threshold upsert requests."""
     v = va.validate_thresholds(si.threshold_upserts(spark, sf))
-    return v.select("seq", "id", "label", "min_points", "message_template", "sort_order", _issues(None))
+    return v.select("seq", "id", "label", "min_points", "message_template", "sort_order", _issues())
 
 
 @query("validate_notes", f"SELECT seq, id, issues FROM {o.NOTES_CHECKED} n")
 def q_validate_notes(spark, sf):
     """J6 over note upsert requests (ids generated when empty)."""
-    return va.validate_notes(si.note_upserts(spark, sf)).select("seq", "id", _issues(None))
+    return va.validate_notes(si.note_upserts(spark, sf)).select("seq", "id", _issues())
 
 
 @query("validate_sms", f"SELECT seq, issues FROM {o.sms_prepared()} q")
 def q_validate_sms(spark, sf):
     """J7 over send requests."""
-    return va.validate_sms(si.sms_requests(spark, sf)).select("seq", _issues(None))
+    return va.validate_sms(si.sms_requests(spark, sf)).select("seq", _issues())
 
 
 @query("precheck", f"""

@@ -74,3 +74,25 @@ def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.columns == ["outbox_id", "seq", "student_id", "pos", "to", "from", "text"]
     assert df.count() == 243
+
+
+def test_read_requests_json_and_outbox_sink(spark, tmp_path):
+    from pointbook.operators.mutate import assign_penalties
+    from pointbook.sources import read_requests
+
+    f = tmp_path / "req.json"
+    f.write_text('{"seq": 2, "student_id": "1", "rule_id": "rule_click", "occurred_on": "2024-01-02"}\n'
+                 '{"student_id": "ghost", "rule_id": "rule_click", "occurred_on": "2024-01-03", "memo": "m"}\n',
+                 encoding="utf-8")
+    req = read_requests(spark, str(f), "penalty_requests")
+    assert req.schema["seq"].dataType.typeName() == "long" and req.where("seq IS NULL").count() == 0
+    d = {r.student_id: r.reject_reason for r in assign_penalties(
+        req, si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), "2024-03-01 00:00:00").collect()}
+    assert d == {"1": None, "ghost": "student_not_found"}
+
+    prepared = msg.prepare_messages(si.sms_requests(spark, SF_SMALL), si.students(spark, SF_SMALL),
+                                    si.penalties(spark, SF_SMALL), si.thresholds(spark))
+    out = msg.message_outbox(prepared, "02")
+    path = msg.write_outbox(out, str(tmp_path / "outbox"), 0)
+    msg.write_outbox(out, str(tmp_path / "outbox"), 0)  # retry of the same batch
+    assert spark.read.parquet(path).count() == 243
