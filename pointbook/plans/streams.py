@@ -6,10 +6,8 @@ from __future__ import annotations
 from ..operators.ledger import cumulative_points
 from ..operators.mutate import accepted_penalties
 from ..session import scratch_path
-from ..sources import read_snapshot
 from ..sources import standin as si
-from ..sources.tables import committed_versions
-from ..streaming.ingest import read_assigned, read_parquet_stream, stream_assign, stream_totals
+from ..streaming.ingest import read_assigned, read_parquet_stream, read_stream_totals, stream_assign, stream_totals
 from . import oracles as o
 from .registry import query
 
@@ -41,6 +39,5 @@ def q_stream_totals(spark, sf):
     ledger = si.penalties_from_events(_events_stream(spark, sf))
     q = stream_totals(ledger, root, ck)
     q.awaitTermination()
-    latest = read_snapshot(spark, root, "totals", version=committed_versions(spark, root, "totals")[-1],
-                           schema="student_id string, points bigint, rows bigint")
+    latest = read_stream_totals(spark, root)
     return cumulative_points(si.students(spark, sf), latest.select("student_id", "points"))

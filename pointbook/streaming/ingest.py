@@ -9,9 +9,10 @@ failure replaces its own output instead of duplicating it.
 
 S2 ``stream_totals``: running points per student. State holds one row per
 student (bounded by the roster, not by the ledger), so no watermark is
-needed; each trigger writes the complete totals as snapshot version
-``<batch id>`` (idempotent on replay). The ledger stream is append-only:
-deletions and range resets need the batch recompute (``cumulative_points``).
+needed; each trigger writes only the students it changed (update mode) to
+its own ``batch=<id>`` folder (idempotent on replay), and readers take each
+student's latest row. The ledger stream is append-only: deletions and range
+resets need the batch recompute (``cumulative_points``).
 """
 
 from __future__ import annotations
@@ -74,18 +75,38 @@ def read_assigned(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def stream_totals(ledger: DataFrame, out_root: str, checkpoint_dir: str, available_now: bool = True,
                   processing_time: str | None = None) -> StreamingQuery:
-    """Running ``points`` and ``rows`` per student, written each trigger as
-    the complete totals table (snapshot version = batch id)."""
+    """Running ``points`` and ``rows`` per student.
+
+    Update mode: each trigger emits only the students whose totals changed in
+    that micro-batch (their new absolute totals), written to
+    ``out_root/batch=<id>`` with overwrite, so a trigger writes in proportion
+    to its input, not to the roster, and a replayed batch replaces its own
+    folder. ``read_stream_totals`` takes each student's latest row."""
     totals = ledger.groupBy("student_id").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("rows"))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        write_snapshot(batch, out_root, "totals", version=batch_id)
+        batch.write.mode("overwrite").parquet(f"{out_root.rstrip('/')}/batch={batch_id}")
 
-    w = (totals.writeStream.outputMode("complete").foreachBatch(run_batch)
+    w = (totals.writeStream.outputMode("update").foreachBatch(run_batch)
          .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 
 
+def read_stream_totals(spark: SparkSession, out_root: str) -> DataFrame:
+    """Current totals from ``stream_totals``: per student the row of the latest
+    batch that changed it (``max_by`` aggregates partially, so a student in
+    every batch is reduced inside each task)."""
+    d = spark.read.schema("student_id string, points bigint, rows bigint, batch bigint").parquet(out_root)
+    latest = F.max_by(F.struct("points", "rows"), F.col("batch"))
+    return d.groupBy("student_id").agg(latest.alias("_t")).select("student_id", "_t.points", "_t.rows")
+
+
+def compact_stream_totals(spark: SparkSession, out_root: str, snapshot_root: str) -> int:
+    """Fold the per-batch folders into one snapshot version of the totals
+    (for readers that want a single table); returns the version written."""
+    return write_snapshot(read_stream_totals(spark, out_root), snapshot_root, "totals")
+
+
 def totals_path(out_root: str, version: int) -> str:
     return snapshot_path(out_root, "totals", version)
