@@ -93,7 +93,9 @@ def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: lis
         bc = F.broadcast(c)
         untouched = base.join(bc.select("_ck"), base[key] == F.col("_ck"), "left_anti")
         touched = base.join(bc, base[key] == F.col("_ck"), "inner")
-        inserted = c.join(touched.select(F.col("_ck").alias("_tk")), F.col("_ck") == F.col("_tk"), "left_anti")
+        # touched keys are a subset of the (proven small) change set
+        inserted = c.join(F.broadcast(touched.select(F.col("_ck").alias("_tk"))), F.col("_ck") == F.col("_tk"),
+                          "left_anti")
         parts = [
             untouched.select(*[base[n].alias(n) for n in base.columns],
                              *([F.lit(None).cast("string").alias("op")] if with_op else [])),
@@ -198,6 +200,19 @@ def upsert_thresholds(thresholds: DataFrame, requests: DataFrame, as_of: str,
 
 # -- ledger (C9-C11) ----------------------------------------------------------------
 
+def rule_snapshot(requests: DataFrame, rules: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Each request with its rule's *current* ``rule_title`` and ``points``
+    (NULL, with ``_rid`` NULL, when the rule does not exist).
+
+    Rules are a configuration table: broadcast after a bounded row count, so
+    the requests are not shuffled by ``rule_id``; a rules table beyond the
+    bound is joined by sort-merge."""
+    r = rules.select(F.col("id").alias("_rid"), F.col("title").alias("rule_title"), F.col("points").alias("points"))
+    if row_count_at_most(rules, max_broadcast_rows):
+        r = F.broadcast(r)
+    return requests.join(r, F.col("rule_id") == F.col("_rid"), "left")
+
+
 def assign_penalties(requests: DataFrame, rules: DataFrame, students: DataFrame, as_of: str) -> DataFrame:
     """C9 (J3 -> D2 -> D3): every request with ``reject_reason`` (NULL =
     accepted) and, for accepted ones, the ledger row to append.
@@ -205,16 +220,15 @@ def assign_penalties(requests: DataFrame, rules: DataFrame, students: DataFrame,
     The rule's *current* title and points are copied onto the row (frozen
     thereafter); inactive rules are accepted; the student must exist.
     Reject order: schema -> rule_not_found -> student_not_found.
-    Both lookups are equi-joins; AQE broadcasts the rules (a configuration
-    table) at run time. A batch naming few students (a micro-batch) first
+    Both lookups are equi-joins; the rules (a configuration table) are
+    broadcast after a bounded count (``rule_snapshot``). A batch naming few students (a micro-batch) first
     narrows the roster to them through a broadcast semi-join, so the roster
     is scanned, not shuffled; a large batch keeps the sort-merge join with
     skew splitting for a hot student.
     """
     v = validate_penalties(requests)
     (students,) = restrict_to_keys([(students, "id")], requests, "student_id")
-    r = rules.select(F.col("id").alias("_rid"), F.col("title").alias("rule_title"), F.col("points").alias("points"))
-    j = v.join(r, F.col("rule_id") == F.col("_rid"), "left")
+    j = rule_snapshot(v, rules)
     s = students.select(F.col("id").alias("_sid"), F.lit(True).alias("_sx"))
     j = j.join(s, F.col("student_id") == F.col("_sid"), "left")
     reason = first_reason(
@@ -249,10 +263,10 @@ def reset_penalties(penalties: DataFrame, requests: DataFrame) -> tuple[DataFram
     inclusive text range (``from > to`` deletes nothing).
 
     Returns ``(remaining_penalties, deleted_counts)``; ``deleted_counts`` has
-    one row per request (``seq``, ``deleted``; invalid requests -1 would hide
-    the reason, so they carry ``reject_reason`` instead and 0). A row covered
-    by several requests counts for the first (by ``seq``), as sequential
-    deletes would. The range is a residual condition on the ``student_id``
+    one row per request (``seq``, ``student_id``, ``reject_reason``,
+    ``deleted``): an invalid request deletes nothing and carries
+    ``reject_reason = 'schema'``. A row covered by several requests counts
+    for the first (by ``seq``), as sequential deletes would. The range is a residual condition on the ``student_id``
     equi-join (sort-merge anti join; broadcast when AQE measures the request
     set small).
     """

@@ -106,8 +106,7 @@ SELECT p.seq, p.rule_id, r.title AS rule_title, r.points, r.id IS NOT NULL AS ru
 FROM penalty_requests p LEFT JOIN rules r ON r.id = p.rule_id""")
 def q_penalty_rule_snapshot(spark, sf):
     """Each request enriched with its rule's current title and points."""
-    r = si.rules(spark, sf).select(F.col("id").alias("_rid"), F.col("title").alias("rule_title"), "points")
-    j = si.penalty_requests(spark, sf).join(r, F.col("rule_id") == F.col("_rid"), "left")
+    j = mu.rule_snapshot(si.penalty_requests(spark, sf), si.rules(spark, sf))
     return j.select("seq", "rule_id", "rule_title", "points", F.col("_rid").isNotNull().alias("rule_found"))
 
 

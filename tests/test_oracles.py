@@ -35,9 +35,17 @@ def duck():
     return con
 
 
+# Physical operators that must never appear: row-at-a-time or Arrow Python
+# evaluation (the library is JVM-side only) and cartesian products.
+FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF",
+             "CartesianProduct")
+
+
 @pytest.mark.parametrize("name", sorted(se.queries()))
 def test_query_matches_oracle(spark, duck, name):
     df = se.queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [f for f in FORBIDDEN if f in plan]
     data = [tuple(r) for r in df.collect()]
     sql = se.oracle_sql().get(name)
     if sql is None:
