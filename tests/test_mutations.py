@@ -180,3 +180,20 @@ def test_ledger_month_partitions_prune(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(occurred_month" in plan and "PushedFilters" in plan
     assert penalties_for_student(p, "3", "", None).count() == p.where("student_id = '3'").count()
+
+
+def test_penalties_in_range_bounds(spark):
+    from pointbook.operators.ledger import ledger_total, penalties_in_range
+
+    p = spark.createDataFrame([("a", "s", "2024-01-01", 1), ("b", "s", "2024-01-05", 2), ("c", "s", "2024-01-09", 4),
+                               ("d", "t", "2024-01-05", 8)],
+                              "id string, student_id string, occurred_on string, points bigint")
+    req = spark.createDataFrame([(1, "s", None, None), (2, "s", "", "2024-01-05"), (3, "s", "2024-01-05", "2024-01-09"),
+                                 (4, "s", "2024-01-09", "2024-01-01"), (5, "x", None, None)],
+                                "seq bigint, student_id string, `from` string, `to` string")
+    got = {}
+    for r in penalties_in_range(p, req).collect():
+        got.setdefault(r.request_seq, set()).add(r.id)
+    assert got == {1: {"a", "b", "c"}, 2: {"a", "b"}, 3: {"b", "c"}}
+    totals = dict(rows(ledger_total(p, req), "request_seq", "total"))
+    assert totals == {1: 7, 2: 3, 3: 6, 4: 0, 5: 0}
