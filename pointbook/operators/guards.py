@@ -38,14 +38,6 @@ def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS
     return df, False
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(broadcast(df), True)`` when the bound holds, else ``(df, False)`` so the
-    caller takes its shuffle-based path."""
-    if row_count_at_most(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
-
-
 def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, request_key: str,
                      max_rows: int = DEFAULT_BROADCAST_ROWS) -> list[DataFrame]:
     """Narrow large tables to the keys a request batch names, when that key
