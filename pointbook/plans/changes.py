@@ -111,10 +111,17 @@ def q_upsert_thresholds(spark, sf):
     return new
 
 
-@query("delete_thresholds", "SELECT * FROM thresholds WHERE id NOT IN (SELECT id FROM threshold_deletes)")
+def current_thresholds(spark, sf):
+    """The thresholds after the event-derived threshold upserts."""
+    return mu.upsert_thresholds(si.thresholds(spark, sf), si.threshold_upserts(spark, sf), o.AS_OF)[0]
+
+
+@query("delete_thresholds", f"""
+SELECT * FROM {o.THRESHOLDS_CURRENT} t WHERE id NOT IN (SELECT id FROM {o.THRESHOLDS_CURRENT} x WHERE message_template = '')""")
 def q_delete_thresholds(spark, sf):
-    """Thresholds removed by id."""
-    return mu.delete_by_keys(si.thresholds(spark, sf), si.threshold_deletes(spark, sf))
+    """Thresholds with an empty template removed by id (from the current table)."""
+    cur = current_thresholds(spark, sf)
+    return mu.delete_by_keys(cur, cur.where(F.col("message_template") == "").select("id"))
 
 
 @query("delete_penalties", "SELECT * FROM penalties WHERE id NOT IN (SELECT id FROM penalty_deletes)")

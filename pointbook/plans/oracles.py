@@ -95,7 +95,6 @@ FROM conversations WHERE turn = 1""",
 SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR) AS student_id, 'both' AS target, CAST(NULL AS VARCHAR) AS message FROM customer""",
     "student_deletes": "SELECT id FROM students WHERE grade IS NULL",
     "rule_deletes": "SELECT id FROM rules WHERE is_active = 0",
-    "threshold_deletes": "SELECT id FROM thresholds WHERE message_template = ''",
     "penalty_deletes": "SELECT 'pen_' || CAST(seq AS VARCHAR) AS id FROM penalty_requests WHERE rule_id = 'rule_none'",
     "note_deletes": """
 SELECT 'note_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id FROM conversations WHERE role = 'system'""",
@@ -280,3 +279,8 @@ ASSIGN_DECIDED = f"""(SELECT p.seq, {sql_gen_id('pen', 'p.seq', 'p.student_id',
  CASE WHEN p.issues <> '' THEN 'schema' WHEN r.id IS NULL THEN 'rule_not_found'
   WHEN s.id IS NULL THEN 'student_not_found' END AS reject_reason, p.issues
  FROM {PENALTIES_CHECKED} p LEFT JOIN rules r ON r.id = p.rule_id LEFT JOIN students s ON s.id = p.student_id)"""
+
+
+# Thresholds as they stand after the event-derived threshold upserts.
+THRESHOLDS_CURRENT = sql_merge("thresholds", sql_last(f"(SELECT * FROM {THRESHOLDS_CHECKED} t WHERE issues = '')"),
+                               THRESHOLD_COLS, ["min_points", "label", "message_template", "sort_order"])

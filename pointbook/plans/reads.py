@@ -14,6 +14,7 @@ from ..session import scratch_path
 from ..sources import normalize_roster, read_snapshot, roster_required_fields, table_scan, write_snapshot
 from ..sources import standin as si
 from . import oracles as o
+from .changes import current_thresholds
 from .registry import query
 
 TOP_K = 100
@@ -117,8 +118,9 @@ def q_roster_required_fields(spark, sf):
 
 def _view(table, loader):
     cols = ", ".join(ledger.VIEW_COLUMNS[table])
+    src = o.THRESHOLDS_CURRENT + " t" if table == "thresholds" else table
 
-    @query(f"{table[:-1] if table != 'penalties' else 'penalty'}_view", f"SELECT {cols} FROM {table}")
+    @query(f"{table[:-1] if table != 'penalties' else 'penalty'}_view", f"SELECT {cols} FROM {src}")
     def q(spark, sf):
         return ledger.client_view(loader(spark, sf), table)
 
@@ -126,7 +128,7 @@ def _view(table, loader):
     return q
 
 
-for _t, _loader in [("students", si.students), ("rules", si.rules), ("thresholds", si.thresholds),
+for _t, _loader in [("students", si.students), ("rules", si.rules), ("thresholds", current_thresholds),
                     ("notes", si.notes), ("penalties", si.penalties)]:
     _view(_t, _loader)
 
@@ -142,13 +144,13 @@ def q_students_left_join_penalties(spark, sf):
     return ledger.students_left_join_penalties(si.students(spark, sf), si.penalties(spark, sf))
 
 
-@query("row_count", """
+@query("row_count", f"""
 SELECT 'rules' AS table_name, CAST(count(*) AS BIGINT) AS n FROM rules
-UNION ALL SELECT 'thresholds', CAST(count(*) AS BIGINT) FROM thresholds""")
+UNION ALL SELECT 'thresholds', CAST(count(*) AS BIGINT) FROM {o.THRESHOLDS_CURRENT} t""")
 def q_row_count(spark, sf):
     """COUNT(*) of rules and thresholds."""
     r = ledger.row_count(si.rules(spark, sf)).select(F.lit("rules").alias("table_name"), F.col("n").cast("bigint"))
-    t = ledger.row_count(si.thresholds(spark, sf)).select(F.lit("thresholds").alias("table_name"),
+    t = ledger.row_count(current_thresholds(spark, sf)).select(F.lit("thresholds").alias("table_name"),
                                                           F.col("n").cast("bigint"))
     return r.unionByName(t)
 
@@ -170,10 +172,10 @@ def q_rules_sorted(spark, sf):
     return od.top_k(si.rules(spark, sf), "rules", TOP_K)
 
 
-@query("thresholds_sorted", f"SELECT * FROM thresholds ORDER BY sort_order, min_points, id LIMIT {TOP_K}")
+@query("thresholds_sorted", f"SELECT * FROM {o.THRESHOLDS_CURRENT} t ORDER BY sort_order, min_points, id LIMIT {TOP_K}")
 def q_thresholds_sorted(spark, sf):
-    """thresholds by sort_order, then min_points."""
-    return od.top_k(si.thresholds(spark, sf), "thresholds", TOP_K)
+    """current thresholds by sort_order, then min_points."""
+    return od.top_k(current_thresholds(spark, sf), "thresholds", TOP_K)
 
 
 @query("penalties_sorted", f"""
@@ -198,8 +200,10 @@ def q_summary_sorted(spark, sf):
     return od.top_k(ledger.cumulative_points(si.students(spark, sf), si.penalties(spark, sf)), "summary", TOP_K)
 
 
-@query("thresholds_by_min", f"SELECT * FROM {o.TH_FIRST} t")
+@query("thresholds_by_min", f"""
+SELECT id, min_points, label, message_template, sort_order FROM (SELECT *, row_number() OVER
+ (PARTITION BY min_points ORDER BY sort_order ASC, id ASC) AS rn FROM {o.THRESHOLDS_CURRENT} t) x WHERE rn = 1""")
 def q_thresholds_by_min(spark, sf):
-    """thresholds in min_points order with ties collapsed (message rule),
-    the list the message lookup scans."""
-    return th.collapse_ties(si.thresholds(spark, sf), th.KEEP_FIRST)
+    """current thresholds in min_points order with ties collapsed (message
+    rule), the list the message lookup scans."""
+    return th.collapse_ties(current_thresholds(spark, sf), th.KEEP_FIRST)

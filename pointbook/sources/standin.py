@@ -260,11 +260,6 @@ def rule_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules(spark, sf_dir).where(F.col("is_active") == 0).select("id")
 
 
-def threshold_deletes(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """Thresholds to delete: those with an empty template."""
-    return thresholds(spark, sf_dir).where(F.col("message_template") == "").select("id")
-
-
 def penalty_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger rows to delete: those whose request named an unknown rule."""
     return (penalty_requests(spark, sf_dir).where(F.col("rule_id") == "rule_none")
