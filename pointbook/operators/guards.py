@@ -16,8 +16,11 @@ DEFAULT_BROADCAST_ROWS = 100_000
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows (the limit is pushed into the scan),
-    so the check itself stays bounded whatever the table size.
+    Only ``max_rows + 1`` rows are ever counted. Over a plain table scan the
+    limit also stops the read early; over an aggregation (distinct keys, a
+    collapsed table) the aggregation itself runs in full and only its
+    output is limited, so callers apply this to configuration tables and
+    request-sized inputs, never to the ledger.
     """
     return df.limit(max_rows + 1).count() <= max_rows
 
@@ -44,8 +47,9 @@ def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, r
     set is proven small.
 
     A batch of a few requests should not aggregate the whole ledger or
-    shuffle the whole roster: its distinct keys are counted (bounded read)
-    and broadcast into a semi-join, so each table is only scanned and
+    shuffle the whole roster: its distinct keys are counted (at most
+    ``max_rows + 1`` of them; the distinct runs over the batch, not the
+    tables) and broadcast into a semi-join, so each table is only scanned and
     filtered map-side before any aggregation or shuffle. A key set beyond
     the bound leaves the tables as they are (the caller's aggregate-first
     plan is then the cheaper one).

@@ -7,9 +7,10 @@ Scale notes
   collapses each task's rows to one per student (so a student holding a
   third of the ledger costs one row per task in the shuffle), and the
   roster join then sees one row per student on both sides.
-* Equi-joins carry no static broadcast hint: adaptive execution measures the
-  materialised sides and broadcasts only a side that is proven small, else
-  keeps the sort-merge join (with skew splitting).
+* Joins between unbounded tables carry no static broadcast hint: adaptive
+  execution measures the materialised sides and broadcasts only a side that
+  is proven small, else keeps the sort-merge join (with skew splitting).
+  Explicit broadcasts (``operators.guards``) follow a bounded row count.
 """
 
 from __future__ import annotations
