@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions import js_trim, null_to_empty
 from ..schemas import ROSTER_HEADERS
@@ -37,6 +38,18 @@ def read_roster_file(spark: SparkSession, path: str, fmt: str = "csv", seq_col:
     return df
 
 
+def _js_string(df: DataFrame, name: str):
+    """``String(x)`` of a cell: integral numbers print without a fraction
+    (``123``, not Spark's ``123.0``); text stays as it is."""
+    c = F.col(f"`{name}`")
+    t = df.schema[name].dataType
+    if isinstance(t, (DoubleType, FloatType, DecimalType)):
+        d = c.cast("double")
+        return F.when((d == F.floor(d)) & (F.abs(d) < F.lit(1e15)), d.cast("bigint").cast("string")).otherwise(
+            c.cast("string"))
+    return c
+
+
 def normalize_roster(df: DataFrame) -> DataFrame:
     """A2: map the sheet headers (or the English names) to columns; a missing
     column or cell becomes ``""``; every value is stringified and trimmed
@@ -45,7 +58,7 @@ def normalize_roster(df: DataFrame) -> DataFrame:
     out = [F.col("seq")] if "seq" in names else []
     for header, col in ROSTER_HEADERS.items():
         src = header if header in names else (col if col in names else None)
-        v = F.col(f"`{src}`") if src is not None else F.lit("")
+        v = _js_string(df, src) if src is not None else F.lit("")
         out.append(js_trim(null_to_empty(v)).alias(col))
     return df.select(*out)
 

@@ -96,3 +96,9 @@ def test_read_requests_json_and_outbox_sink(spark, tmp_path):
     path = msg.write_outbox(out, str(tmp_path / "outbox"), 0)
     msg.write_outbox(out, str(tmp_path / "outbox"), 0)  # retry of the same batch
     assert spark.read.parquet(path).count() == 243
+
+
+def test_roster_numeric_cells_print_like_js(spark):
+    df = spark.createDataFrame([(1, 123.0, "Kim", 2.5, None)], "seq bigint, ID double, `이름` string, `학년` double, `학생전화` string")
+    r = normalize_roster(df).first()
+    assert (r.id, r.name, r.grade, r.student_phone, r.parent_phone) == ("123", "Kim", "2.5", "", "")
