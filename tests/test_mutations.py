@@ -168,7 +168,6 @@ def test_seed_if_empty(spark):
 
 def test_ledger_month_partitions_prune(spark, tmp_path):
     from pointbook.operators.ledger import penalties_for_student
-    from pointbook.sources import read_snapshot
     from pointbook.sources.tables import write_ledger_snapshot
 
     p = si.penalties(spark, SF_SMALL)
