@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import BADGE_NORMAL
 from .text import _c
 
+# Fixed value: the admissible date text (digits only, no calendar check).
 YMD_PATTERN = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import DEFAULT_MESSAGE_TEMPLATE
 from .text import _c, js_trim
 
+# A placeholder is ``{`` + ASCII word characters + ``}``.
 PLACEHOLDER = r"\{\w+\}"
 PLACEHOLDER_KEY = r"\{(\w+)\}"
 

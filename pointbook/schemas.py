@@ -93,12 +93,14 @@ DEFAULT_RULES = [
 ]
 
 # Default thresholds, inserted only when the thresholds table is empty:
-# (id, min_points, label, message_template, sort_order).
+# (id, min_points, label, message_template, sort_order). The message prefix is
+# the generic center tag of the default message (the reference's own prefix
+# names its operator and is not reproduced).
 DEFAULT_THRESHOLDS = [
     ("th_5", 5, "주의",
-     "[메디컬로드맵] {name} 학생 벌점 누적 {points}점입니다. 학습태도 점검 부탁드립니다.", 1),
+     "[센터] {name} 학생 벌점 누적 {points}점입니다. 학습태도 점검 부탁드립니다.", 1),
     ("th_10", 10, "경고",
-     "[메디컬로드맵] {name} 학생 벌점 누적 {points}점으로 기준치를 초과했습니다. 센터로 연락 부탁드립니다.", 2),
+     "[센터] {name} 학생 벌점 누적 {points}점으로 기준치를 초과했습니다. 센터로 연락 부탁드립니다.", 2),
 ]
 
 # Message template used when no threshold is reached or its template is empty.
