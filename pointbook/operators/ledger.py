@@ -34,19 +34,24 @@ def range_bounds(from_col, to_col) -> tuple[Column, Column]:
     return lo, hi
 
 
-def penalties_in_range(penalties: DataFrame, requests: DataFrame) -> DataFrame:
+def penalties_in_range(penalties: DataFrame, requests: DataFrame, split_hot: bool = True,
+                       **hot_kw) -> DataFrame:
     """B1 (set form): ledger rows of each request's student with ``occurred_on``
     inside the request's inclusive text range.
 
     ``requests``: ``(seq, student_id, from, to)``. Dates compare as text (the
     reference compares strings); ``from > to`` selects nothing. The join is an
-    equi-join on ``student_id`` with the range as a residual condition.
+    equi-join on ``student_id`` with the range as a residual condition; with
+    ``split_hot`` the rows of hot students join map-side (``operators.skew``).
     """
+    from .skew import hot_keys, join_splitting_hot_keys
+
     lo, hi = range_bounds("from", "to")
     r = requests.select(F.col("seq").alias("request_seq"), F.col("student_id").alias("_rsid"),
                         lo.alias("_lo"), hi.alias("_hi"))
-    j = penalties.join(r, (F.col("student_id") == F.col("_rsid"))
-                       & F.col("occurred_on").between(F.col("_lo"), F.col("_hi")), "inner")
+    hot = hot_keys(penalties, "student_id", **hot_kw) if split_hot else None
+    j = join_splitting_hot_keys(penalties, r, "student_id", "_rsid", hot,
+                                extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")))
     return j.drop("_rsid", "_lo", "_hi")
 
 
@@ -81,7 +86,7 @@ def ledger_total(penalties: DataFrame, requests: DataFrame) -> DataFrame:
     range only looks at the day, and a student's history shrinks to at most
     one row per day (partial aggregation absorbs a hot student)."""
     daily = penalties.groupBy("student_id", "occurred_on").agg(F.sum("points").alias("points"))
-    listed = penalties_in_range(daily, requests)
+    listed = penalties_in_range(daily, requests, split_hot=False)  # at most one row per student-day
     sums = listed.groupBy("request_seq").agg(F.sum("points").alias("_s"))
     return (requests.select(F.col("seq").alias("request_seq"), "student_id")
             .join(sums, "request_seq", "left")
@@ -121,19 +126,25 @@ def client_view(df: DataFrame, table: str) -> DataFrame:
 
 # -- joins (D1, D3, D7, D8) ---------------------------------------------------
 
-def students_left_join_penalties(students: DataFrame, penalties: DataFrame) -> DataFrame:
+def students_left_join_penalties(students: DataFrame, penalties: DataFrame, split_hot: bool = True,
+                                 **hot_kw) -> DataFrame:
     """Every student with each of their ledger rows (students without rows
     appear once with NULL ledger columns).
 
     Written as ``ledger JOIN students`` plus ``students without ledger rows``
     rather than ``students LEFT JOIN ledger``: in a left outer join only the
     left side of a skewed key can be split at run time, and here the skew
-    (one student with a third of the ledger) is on the ledger side."""
+    (one student with a third of the ledger) is on the ledger side. With
+    ``split_hot`` the rows of hot students (``operators.skew.hot_keys``,
+    ``hot_kw`` passed on) are joined map-side and never shuffled."""
+    from .skew import hot_keys, join_splitting_hot_keys
+
     p = penalties.select(
         F.col("student_id").alias("_psid"), F.col("id").alias("penalty_id"), "rule_id", "rule_title",
         "points", "occurred_on", "memo", F.col("created_at").alias("penalty_created_at"))
     s = students.withColumnRenamed("id", "student_id")
-    with_rows = p.join(s, F.col("_psid") == F.col("student_id"), "inner").drop("_psid")
+    hot = hot_keys(p, "_psid", **hot_kw) if split_hot else None
+    with_rows = join_splitting_hot_keys(p, s, "_psid", "student_id", hot).drop("_psid")
     has_rows = penalties.select(F.col("student_id").alias("_psid")).distinct()
     without = s.join(has_rows, F.col("student_id") == F.col("_psid"), "left_anti")
     for c in p.columns:

@@ -258,7 +258,8 @@ def rejected_penalties(decided: DataFrame) -> DataFrame:
             .select("seq", "student_id", "rule_id", "occurred_on", "reject_reason", "issues"))
 
 
-def reset_penalties(penalties: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reset_penalties(penalties: DataFrame, requests: DataFrame, split_hot: bool = True,
+                    **hot_kw) -> tuple[DataFrame, DataFrame]:
     """C11: delete each valid request's student rows with ``occurred_on`` in the
     inclusive text range (``from > to`` deletes nothing).
 
@@ -275,7 +276,11 @@ def reset_penalties(penalties: DataFrame, requests: DataFrame) -> tuple[DataFram
         F.col("seq").alias("_rseq"), F.col("student_id").alias("_rsid"),
         F.col("from").alias("_lo"), F.col("to").alias("_hi"))
     cond = (F.col("student_id") == F.col("_rsid")) & F.col("occurred_on").between(F.col("_lo"), F.col("_hi"))
-    remaining = penalties.join(ok, cond, "left_anti")
+    from .skew import hot_keys, join_splitting_hot_keys
+
+    hot = hot_keys(penalties, "student_id", **hot_kw) if split_hot else None
+    remaining = join_splitting_hot_keys(penalties, ok, "student_id", "_rsid", hot, "left_anti",
+                                        extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")))
     # coverage depends only on (student, day): count the ledger per day first,
     # so a student with a third of the ledger is a few hundred rows here
     daily = penalties.groupBy("student_id", "occurred_on").agg(F.count(F.lit(1)).alias("_rows"))

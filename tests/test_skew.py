@@ -75,3 +75,37 @@ def test_reset_under_skew(spark, skew_conf):
     assert counts.first().deleted == hot
     assert remaining.count() == p.count() - hot
     assert "SortMergeJoin(skew=true)" in final_plan(remaining)
+
+
+def test_hot_student_joined_map_side(spark):
+    """Explicit split: the hot student's rows join a broadcast roster row and
+    never cross a shuffle; the result equals the plain join."""
+    from pointbook.operators.skew import hot_keys
+
+    p = hot_ledger(spark)
+    s = si.students(spark, "/root/testdata/sf0.01")
+    hot = hot_keys(p, "student_id", sample_fraction=0.5, min_rows=1000)
+    assert [r.student_id for r in hot.collect()] == ["7"]
+    split = ledger.students_left_join_penalties(s, p, sample_fraction=0.5, min_rows=1000)
+    plain = ledger.students_left_join_penalties(s, p, split_hot=False)
+    assert split.count() == plain.count()
+    assert split.exceptAll(plain).count() == 0
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "LeftAnti" in plan
+
+
+def test_hot_split_reset_and_range(spark):
+    from pointbook.operators.ledger import penalties_in_range
+
+    p = hot_ledger(spark)
+    req = spark.createDataFrame([(1, "7", "2024-01-03", "2024-01-20"), (2, "5", "", None)],
+                                "seq bigint, student_id string, `from` string, `to` string")
+    kw = dict(sample_fraction=0.5, min_rows=1000)
+    split_rem, split_cnt = mutate.reset_penalties(p, req, **kw)
+    plain_rem, plain_cnt = mutate.reset_penalties(p, req, split_hot=False)
+    assert split_rem.count() == plain_rem.count() and split_rem.exceptAll(plain_rem).count() == 0
+    assert sorted(map(tuple, split_cnt.collect())) == sorted(map(tuple, plain_cnt.collect()))
+    a = penalties_in_range(p, req, **kw)
+    b = penalties_in_range(p, req, split_hot=False)
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
+    assert "BroadcastHashJoin" in split_rem._jdf.queryExecution().executedPlan().toString()
