@@ -34,11 +34,16 @@ def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS
     all the rows there are, that copy *is* the DataFrame, so later plans
     read it instead of recomputing ``df`` and the count came for free.
     """
+    head, n = materialize_counted(df, max_rows)
+    return (head, True) if n <= max_rows else (df, False)
+
+
+def materialize_counted(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
+    """The first ``max_rows + 1`` rows of ``df`` checkpointed (reliable, in the
+    shared checkpoint folder) and their count (at most ``max_rows + 1``)."""
     checkpoint_root(df.sparkSession)
     head = df.limit(max_rows + 1).checkpoint(eager=True)
-    if head.count() <= max_rows:
-        return head, True
-    return df, False
+    return head, head.count()
 
 
 def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, request_key: str,

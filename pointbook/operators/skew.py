@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded
+from .guards import DEFAULT_BROADCAST_ROWS, materialize_counted, materialize_if_bounded
 
 HOT_SAMPLE_FRACTION = 0.01
 # About one 128 MB reducer partition of ~100-byte ledger rows.
@@ -41,8 +41,8 @@ def hot_keys(df: DataFrame, key: str, sample_fraction: float = HOT_SAMPLE_FRACTI
               .groupBy("_hk").agg(F.count(F.lit(1)).alias("_n"))
               .where(F.col("_n") >= F.lit(threshold)))
     hot = counts.orderBy(F.col("_n").desc()).limit(max_keys).select(F.col("_hk").alias(key))
-    hot, _ = materialize_if_bounded(hot, max_keys)
-    return hot if hot.limit(1).count() else None
+    hot, n = materialize_counted(hot, max_keys)  # already at most max_keys rows
+    return hot if n else None
 
 
 def join_splitting_hot_keys(big: DataFrame, small: DataFrame, big_key: str, small_key: str,

@@ -150,7 +150,8 @@ FROM {o.RESETS_CHECKED} r LEFT JOIN (
 ) h ON h.seq = r.seq""")
 def q_reset_counts(spark, sf):
     """C11 + E3: rows deleted per reset request (first covering request counts)."""
-    return mu.reset_penalties(si.penalties(spark, sf), si.reset_requests(spark, sf))[1]
+    # only the counts are used: skip the hot-key split of the remaining ledger
+    return mu.reset_penalties(si.penalties(spark, sf), si.reset_requests(spark, sf), split_hot=False)[1]
 
 
 _NOTES_OK = f"(SELECT * FROM {o.NOTES_CHECKED} n WHERE issues = '')"
@@ -186,7 +187,7 @@ def q_affected_counts(spark, sf):
     """Rows imported (after the required-field filter, duplicates
     included), ledger rows deleted by resets, messages put in the outbox."""
     _, imported = mu.import_students(si.students(spark, sf), si.roster_import(spark, sf), o.AS_OF)
-    _, counts = mu.reset_penalties(si.penalties(spark, sf), si.reset_requests(spark, sf))
+    _, counts = mu.reset_penalties(si.penalties(spark, sf), si.reset_requests(spark, sf), split_hot=False)
     prepared = msg.prepare_messages(si.sms_requests(spark, sf), si.students(spark, sf), si.penalties(spark, sf),
                                     si.thresholds(spark, sf))
     sent = msg.message_outbox(prepared, o.SENDER).agg(F.count(F.lit(1)).alias("n"))
