@@ -7,7 +7,11 @@ commits the next versions. A failed call leaves the previous versions
 current; the written version is the only thing a retry replaces.
 
 This is the set-based counterpart of the reference's routes (one batch of
-requests per call instead of one HTTP request per row).
+requests per call instead of one HTTP request per row). Appends to the
+ledger (assignments) write only the new rows as an append batch on top of
+the current version; changes that remove or alter rows (deletes, resets,
+upserts) write the next version. Single writer per root: a table format
+with MERGE/DELETE would replace the version rewrite where one is available.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import messages as msg
 from ..operators import mutate as mu
 from ..schemas import DEFAULT_RULES, DEFAULT_THRESHOLDS, RULES, THRESHOLDS, TABLES
-from ..sources.tables import committed_versions, read_snapshot, write_snapshot
+from ..sources.tables import committed_versions, read_with_appends, write_append, write_snapshot
 
 
 @dataclass
@@ -29,15 +33,22 @@ class LedgerStore:
 
     # -- tables ---------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
-        """Current committed version of ``name`` (an empty table if none yet)."""
+        """Current state of ``name``: its latest committed version plus the
+        append batches committed on top of it (an empty table if none yet)."""
         if not committed_versions(self.spark, self.root, name):
             return self.spark.createDataFrame([], TABLES[name])
-        return read_snapshot(self.spark, self.root, name)
+        return read_with_appends(self.spark, self.root, name, schema=TABLES[name])
 
     def commit(self, name: str, df: DataFrame) -> int:
-        """Write ``df`` as the next version of ``name``."""
+        """Write ``df`` (computed from the current state) as the next version of
+        ``name``; appends made on top of the previous version are folded in."""
         return write_snapshot(df.select(*TABLES[name].fieldNames()), self.root, name)
 
+    def append(self, name: str, rows: DataFrame, batch: str) -> str:
+        """Add ``rows`` to ``name`` without rewriting it (idempotent per ``batch``)."""
+        base = committed_versions(self.spark, self.root, name)[-1]
+        return write_append(rows.select(*TABLES[name].fieldNames()), self.root, name, base, batch)
+
     def open(self, as_of: str) -> None:
         """A4: create the tables; seed default rules / thresholds when empty."""
         for name in TABLES:
@@ -84,10 +95,12 @@ class LedgerStore:
         """Delete rows of ``table`` by id."""
         self.commit(table, mu.delete_by_keys(self.table(table), keys))
 
-    def assign(self, requests: DataFrame, as_of: str) -> DataFrame:
-        """Append accepted rows to the ledger; returns the rejects."""
+    def assign(self, requests: DataFrame, as_of: str, batch: str | None = None) -> DataFrame:
+        """Append the accepted rows to the ledger (a new append batch -
+        the ledger itself is not rewritten); returns the rejects. ``batch``
+        names the append (a retry with the same name replaces it)."""
         decided = mu.assign_penalties(requests, self.table("rules"), self.table("students"), as_of)
-        self.commit("penalties", self.table("penalties").unionByName(mu.accepted_penalties(decided)))
+        self.append("penalties", mu.accepted_penalties(decided), batch or as_of.replace(" ", "T"))
         return mu.rejected_penalties(decided)
 
     def reset(self, requests: DataFrame) -> DataFrame:

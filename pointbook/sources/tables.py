@@ -111,3 +111,43 @@ def write_ledger_snapshot(ledger: DataFrame, root: str, table: str = "penalties"
     (out.sortWithinPartitions(month_col, "student_id").write.mode("overwrite").partitionBy(month_col)
      .parquet(snapshot_path(root, table, version)))
     return version
+
+
+# -- append batches on top of a version ----------------------------------------
+
+def appends_path(root: str, table: str, base_version: int) -> str:
+    return f"{root.rstrip('/')}/{table}/_appends/v={base_version}"
+
+
+def committed_append_batches(spark: SparkSession, root: str, table: str, base_version: int) -> list[str]:
+    """Folders of the committed append batches written on top of ``base_version``."""
+    fs, base, jvm = _fs(spark, appends_path(root, table, base_version))
+    if not fs.exists(base):
+        return []
+    out = []
+    for st in fs.listStatus(base):
+        if st.isDirectory() and st.getPath().getName().startswith("batch="):
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out.append(st.getPath().toString())
+    return sorted(out)
+
+
+def write_append(df: DataFrame, root: str, table: str, base_version: int, batch: str) -> str:
+    """Append ``df`` to ``table`` without rewriting it: a new batch folder on top
+    of ``base_version`` (overwritten on a retry of the same ``batch``)."""
+    path = f"{appends_path(root, table, base_version)}/batch={batch}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_with_appends(spark: SparkSession, root: str, table: str, schema: StructType | None = None) -> DataFrame:
+    """The latest committed version of ``table`` plus its committed append batches."""
+    have = committed_versions(spark, root, table)
+    if not have:
+        raise FileNotFoundError(f"no committed version of {table} under {root}")
+    base = read_snapshot(spark, root, table, version=have[-1], schema=schema)
+    batches = committed_append_batches(spark, root, table, have[-1])
+    if not batches:
+        return base
+    r = spark.read.schema(base.schema)
+    return base.unionByName(r.parquet(*batches))
