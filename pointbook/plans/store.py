@@ -23,26 +23,53 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import messages as msg
 from ..operators import mutate as mu
 from ..schemas import DEFAULT_RULES, DEFAULT_THRESHOLDS, RULES, THRESHOLDS, TABLES
-from ..sources.tables import committed_versions, read_with_appends, write_append, write_snapshot
+from ..sources.tables import (committed_append_batches, committed_versions, read_bucketed_snapshot,
+                              read_snapshot, write_append, write_bucketed_snapshot, write_snapshot)
+
+
+# Student key of each table, for the co-located (bucketed) layout.
+BUCKET_KEYS = {"students": "id", "penalties": "student_id", "notes": "student_id"}
 
 
 @dataclass
 class LedgerStore:
+    """Tables under ``root``. With ``buckets``, students, ledger and notes are
+    written bucketed on the student key with that many buckets, so totals,
+    cascades and roster joins over committed versions run without a shuffle
+    (appended batches are plain files until the next version folds them in)."""
+
     spark: SparkSession
     root: str
+    buckets: int | None = None
 
     # -- tables ---------------------------------------------------------------
+    def _bucket_key(self, name: str) -> str | None:
+        return BUCKET_KEYS.get(name) if self.buckets else None
+
     def table(self, name: str) -> DataFrame:
         """Current state of ``name``: its latest committed version plus the
         append batches committed on top of it (an empty table if none yet)."""
-        if not committed_versions(self.spark, self.root, name):
+        have = committed_versions(self.spark, self.root, name)
+        if not have:
             return self.spark.createDataFrame([], TABLES[name])
-        return read_with_appends(self.spark, self.root, name, schema=TABLES[name])
+        key = self._bucket_key(name)
+        if key:
+            base = read_bucketed_snapshot(self.spark, self.root, name, key, self.buckets, TABLES[name], have[-1])
+        else:
+            base = read_snapshot(self.spark, self.root, name, version=have[-1], schema=TABLES[name])
+        batches = committed_append_batches(self.spark, self.root, name, have[-1])
+        if not batches:
+            return base
+        return base.unionByName(self.spark.read.schema(TABLES[name]).parquet(*batches))
 
     def commit(self, name: str, df: DataFrame) -> int:
         """Write ``df`` (computed from the current state) as the next version of
         ``name``; appends made on top of the previous version are folded in."""
-        return write_snapshot(df.select(*TABLES[name].fieldNames()), self.root, name)
+        out = df.select(*TABLES[name].fieldNames())
+        key = self._bucket_key(name)
+        if key:
+            return write_bucketed_snapshot(out, self.root, name, key, self.buckets)
+        return write_snapshot(out, self.root, name)
 
     def append(self, name: str, rows: DataFrame, batch: str) -> str:
         """Add ``rows`` to ``name`` without rewriting it (idempotent per ``batch``)."""

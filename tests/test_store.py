@@ -11,8 +11,12 @@ from conftest import SF_SMALL
 T0, T1 = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 
-def test_store_lifecycle(spark, tmp_path):
-    st = LedgerStore(spark, str(tmp_path))
+import pytest
+
+
+@pytest.mark.parametrize("buckets", [None, 8])
+def test_store_lifecycle(spark, tmp_path, buckets):
+    st = LedgerStore(spark, str(tmp_path), buckets=buckets)
     st.open(T0)
     assert {r.id for r in st.table("rules").collect()} == {"rule_late", "rule_phone", "rule_sleep"}
     assert st.table("thresholds").count() == 2
@@ -44,3 +48,17 @@ def test_store_lifecycle(spark, tmp_path):
     st.delete_students(spark.createDataFrame([("3",)], "id string"))
     assert st.table("penalties").where("student_id = '3'").count() == 0
     assert len(committed_versions(spark, str(tmp_path), "penalties")) == 3  # open, reset, delete (assign appends)
+
+
+def test_bucketed_store_summary_has_no_shuffle(spark, tmp_path):
+    st = LedgerStore(spark, str(tmp_path), buckets=8)
+    st.open(T0)
+    st.commit("students", si.students(spark, SF_SMALL))
+    st.commit("penalties", si.penalties(spark, SF_SMALL))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = st.summary()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
