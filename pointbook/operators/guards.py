@@ -13,15 +13,34 @@ from ..session import checkpoint_root
 DEFAULT_BROADCAST_ROWS = 100_000
 
 
+def _local_row_count(df: DataFrame) -> int | None:
+    """Exact row count of a DataFrame whose optimized plan is a local relation
+    (rows held by the driver, e.g. a configuration table built in code),
+    possibly under projections; None for anything else."""
+    try:
+        node = df._jdf.queryExecution().optimizedPlan()
+        while node.nodeName() == "Project":
+            node = node.child()
+        if node.nodeName() == "LocalRelation":
+            return int(str(node.stats().rowCount().get()))
+    except Exception:  # noqa: BLE001 - any surprise: fall back to counting
+        return None
+    return None
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    Only ``max_rows + 1`` rows are ever counted. Over a plain table scan the
+    A local relation is counted from its plan (exact, no job). Otherwise
+    only ``max_rows + 1`` rows are ever counted. Over a plain table scan the
     limit also stops the read early; over an aggregation (distinct keys, a
     collapsed table) the aggregation itself runs in full and only its
     output is limited, so callers apply this to configuration tables and
     request-sized inputs, never to the ledger.
     """
+    n = _local_row_count(df)
+    if n is not None:
+        return n <= max_rows
     return df.limit(max_rows + 1).count() <= max_rows
 
 

@@ -77,12 +77,16 @@ THRESHOLD_ROWS = [
 
 
 def thresholds(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """Thresholds: a configuration table of four rows (the domain's own size)."""
-    return spark.createDataFrame(
-        [(i, m, lab, tpl, so, EPOCH, EPOCH) for (i, m, lab, tpl, so) in THRESHOLD_ROWS],
-        "id string, min_points bigint, label string, message_template string, sort_order bigint, "
-        "created_at string, updated_at string",
-    )
+    """Thresholds: a configuration table of four rows (the domain's own size),
+    as an inline table (a local relation whose size the plan itself proves)."""
+    def q(v: str) -> str:
+        return "'" + v.replace("'", "''") + "'"
+
+    rows = ", ".join(
+        f"({q(i)}, CAST({m} AS BIGINT), {q(lab)}, {q(tpl)}, CAST({so} AS BIGINT), {q(EPOCH)}, {q(EPOCH)})"
+        for (i, m, lab, tpl, so) in THRESHOLD_ROWS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, min_points, label, message_template, sort_order, "
+                     f"created_at, updated_at)")
 
 
 def penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
