@@ -1,158 +1,7 @@
-"""Named queries over the stand-in tables, one per operator of the inventory.
+"""All named queries: importing this module registers every query group.
 
-Each query reads whole driver tables (through ``sources.standin``) and runs
-the library operator on them; its DuckDB oracle is registered alongside.
+Each group module pairs a ``queries()`` entry (library operators over the
+stand-in tables) with its DuckDB oracle SQL.
 """
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from ..operators import ledger
-from ..sources import standin as si
-from .registry import query
-
-# == aggregates ===============================================================
-
-
-@query("cumulative_points", """
-SELECT s.id, s.name, s.grade, s.student_phone, s.parent_phone, s.created_at, s.updated_at,
- CAST(COALESCE(SUM(p.points), 0) AS BIGINT) AS points
-FROM students s LEFT JOIN penalties p ON p.student_id = s.id
-GROUP BY s.id, s.name, s.grade, s.student_phone, s.parent_phone, s.created_at, s.updated_at""")
-def q_cumulative_points(spark, sf):
-    """Per student totals, zero-filled."""
-    return ledger.cumulative_points(si.students(spark, sf), si.penalties(spark, sf))
-
-
-# == thresholds ===============================================================
-from ..operators import thresholds as th  # noqa: E402
-from . import oracles as o  # noqa: E402
-
-
-def _totals(spark, sf):
-    return ledger.cumulative_points(si.students(spark, sf), si.penalties(spark, sf))
-
-
-def _status(spark, sf):
-    return th.threshold_status(_totals(spark, sf), si.thresholds(spark, sf))
-
-
-@query("threshold_status", f"SELECT * FROM {o.STATUS} s")
-def q_threshold_status(spark, sf):
-    """D4 + I13: reached threshold (badge tie rule) and badge per student."""
-    return _status(spark, sf)
-
-
-@query("best_threshold", f"SELECT * FROM {o.BEST} b")
-def q_best_threshold(spark, sf):
-    """Reached threshold under the message tie rule, per student."""
-    return th.best_threshold(_totals(spark, sf), si.thresholds(spark, sf))
-
-
-@query("exceeded_students", f"SELECT * FROM {o.STATUS} s WHERE threshold_id IS NOT NULL")
-def q_exceeded_students(spark, sf):
-    """Students at or over a threshold."""
-    return th.exceeded_students(_status(spark, sf))
-
-
-@query("status_counts", f"SELECT badge, CAST(count(*) AS BIGINT) AS students FROM {o.STATUS} s GROUP BY badge")
-def q_status_counts(spark, sf):
-    """E5: students per badge."""
-    return th.status_counts(_status(spark, sf))
-
-
-@query("badge_label", f"SELECT student_id, badge FROM {o.STATUS} s")
-def q_badge_label(spark, sf):
-    """Badge text (label, ``>=min`` or the normal badge)."""
-    return _status(spark, sf).select("student_id", "badge")
-
-
-# == messages =================================================================
-from ..functions import default_message, normalize_phone, render_template  # noqa: E402
-from ..operators import messages as msg  # noqa: E402
-
-
-def _prepared(spark, sf):
-    return msg.prepare_messages(si.sms_requests(spark, sf), si.students(spark, sf), si.penalties(spark, sf),
-                                si.thresholds(spark, sf))
-
-
-@query("message_outbox", f"SELECT * FROM {o.sms_outbox()} x")
-def q_message_outbox(spark, sf):
-    """A5 (flagship): ledger -> totals -> best threshold -> default message ->
-    distinct recipients -> one outbox row per recipient."""
-    return msg.message_outbox(_prepared(spark, sf), o.SENDER).withColumn("pos", F.col("pos").cast("bigint"))
-
-
-@query("message_rejects", f"""
-SELECT seq, student_id, CASE WHEN issues <> '' THEN 'schema' WHEN NOT found THEN 'student_not_found'
- ELSE 'no_recipient' END AS reject_reason, issues
-FROM {o.sms_prepared()} q WHERE issues <> '' OR NOT found OR (sp IS NULL AND pp IS NULL)""")
-def q_message_rejects(spark, sf):
-    """J7 + D6 + H1 rejects: schema, unknown student, no recipient."""
-    return msg.message_rejects(_prepared(spark, sf))
-
-
-@query("distinct_recipients", f"""
-SELECT seq, student_id, CASE WHEN sp IS NULL THEN COALESCE(pp, '') WHEN pp IS NULL OR pp = sp THEN sp
- ELSE sp || ',' || pp END AS recipients, CAST((sp IS NOT NULL)::INT + (pp IS NOT NULL AND (sp IS NULL OR pp <> sp))::INT AS BIGINT) AS n
-FROM {o.sms_prepared()} q WHERE found""")
-def q_distinct_recipients(spark, sf):
-    """H1: normalised, de-duplicated recipient numbers per send request."""
-    s = si.students(spark, sf)
-    j = msg.sms_student_lookup(si.sms_requests(spark, sf), s).where(F.col("_found"))
-    r = msg.distinct_recipients("target", "student_phone", "parent_phone")
-    return j.select("seq", "student_id", F.array_join(r, ",").alias("recipients"), F.size(r).cast("bigint").alias("n"))
-
-
-@query("sms_student_lookup", """
-SELECT r.seq, r.student_id, s.name, s.student_phone, s.parent_phone, s.id IS NOT NULL AS found
-FROM sms_requests r LEFT JOIN students s ON s.id = r.student_id""")
-def q_sms_student_lookup(spark, sf):
-    """Send requests with their student (``found`` false when unknown)."""
-    j = msg.sms_student_lookup(si.sms_requests(spark, sf), si.students(spark, sf))
-    return j.select("seq", "student_id", "name", "student_phone", "parent_phone", F.col("_found").alias("found"))
-
-
-@query("normalize_phone", f"""
-SELECT id, {o.sql_norm_phone('student_phone')} AS student_phone_n, {o.sql_norm_phone('parent_phone')} AS parent_phone_n
-FROM students""")
-def q_normalize_phone(spark, sf):
-    """I6 over every roster phone."""
-    s = si.students(spark, sf)
-    return s.select("id", normalize_phone("student_phone").alias("student_phone_n"),
-                    normalize_phone("parent_phone").alias("parent_phone_n"))
-
-
-@query("render_template", f"""
-SELECT id AS student_id, threshold_id,
- {o.sql_render('threshold_template', 'name', 'CAST(points AS VARCHAR)', 'CAST(threshold_min_points AS VARCHAR)',
-  'threshold_label')} AS text
-FROM {o.BEST} b WHERE threshold_id IS NOT NULL""")
-def q_render_template(spark, sf):
-    """The reached threshold's own template rendered for each student who
-    reached one (single pass; unknown variables empty; no fallback text)."""
-    from ..functions import message_variables
-
-    b = th.best_threshold(_totals(spark, sf), si.thresholds(spark, sf)).where(F.col("threshold_id").isNotNull())
-    v = message_variables("name", "points", "threshold_min_points", "threshold_label")
-    return b.select(F.col("id").alias("student_id"), "threshold_id",
-                    render_template("threshold_template", v).alias("text"))
-
-
-@query("default_message", f"""
-SELECT id AS student_id, {o.js_trim(o.sql_render(f"COALESCE(NULLIF(threshold_template, ''), {o.DEFAULT_TPL})",
-  "COALESCE(name, '')", "CAST(points AS VARCHAR)", "COALESCE(CAST(threshold_min_points AS VARCHAR), '')",
-  "COALESCE(threshold_label, '')"))} AS text
-FROM {o.BEST} b""")
-def q_default_message(spark, sf):
-    """I8: default message per student (best threshold's template or the fallback)."""
-    b = th.best_threshold(_totals(spark, sf), si.thresholds(spark, sf))
-    return b.select(F.col("id").alias("student_id"),
-                    default_message("threshold_template", "name", "points", "threshold_min_points",
-                                    "threshold_label").alias("text"))
-
-
-# == the other query groups register on import ===============================
-from . import changes, checks, reads, scalars, streams  # noqa: E402,F401
+from . import changes, checks, reads, scalars, sends, streams, totals  # noqa: F401
