@@ -307,8 +307,11 @@ def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_
     Returns ``(new_notes, rejected_requests)``.
     """
     ok, bad = split_valid(validate_notes(requests))
+    # a small batch looks up only the notes and students it names
+    (note_ids,) = restrict_to_keys([(notes.select("id"), "id")], ok, "id")
+    (students,) = restrict_to_keys([(students.select("id"), "id")], ok, "student_id")
     known = students.select(F.col("id").alias("_sid"), F.lit(True).alias("_sx"))
-    r = (ok.join(notes.select(F.col("id").alias("_nid"), F.lit(True).alias("_nx")), F.col("id") == F.col("_nid"), "left")
+    r = (ok.join(note_ids.select(F.col("id").alias("_nid"), F.lit(True).alias("_nx")), F.col("id") == F.col("_nid"), "left")
          .join(known, F.col("student_id") == F.col("_sid"), "left"))
     # first request that can insert a new id
     first_ok = (r.where(F.col("_nx").isNull() & F.col("_sx").isNotNull())
@@ -329,6 +332,7 @@ def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_
 def edit_or_add(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
     """Per changed key, whether it exists (``updated``) or not (``inserted``)."""
     k = changes.select(key).distinct()
+    (base,) = restrict_to_keys([(base.select(key), key)], changes, key)  # small batch: its keys only
     b = base.select(F.col(key).alias("_bk"), F.lit(True).alias("_bx"))
     return (k.join(b, F.col(key) == F.col("_bk"), "left")
             .select(key, F.when(F.col("_bx").isNotNull(), F.lit("updated")).otherwise(F.lit("inserted")).alias("op")))
