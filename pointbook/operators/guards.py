@@ -71,15 +71,16 @@ def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, r
     set is proven small.
 
     A batch of a few requests should not aggregate the whole ledger or
-    shuffle the whole roster: its distinct keys are counted (at most
-    ``max_rows + 1`` of them; the distinct runs over the batch, not the
-    tables) and broadcast into a semi-join, so each table is only scanned and
+    shuffle the whole roster: a batch of at most ``max_rows`` requests
+    (counted without reading past ``max_rows + 1`` rows) has at most that
+    many distinct keys, which are broadcast into a semi-join, so each table is only scanned and
     filtered map-side before any aggregation or shuffle. A key set beyond
     the bound leaves the tables as they are (the caller's aggregate-first
     plan is then the cheaper one).
     """
-    keys = requests.select(F.col(request_key).alias("_key")).distinct()
-    if not row_count_at_most(keys, max_rows):
+    # the raw batch bounds its distinct keys, and counting it stops after
+    # max_rows + 1 rows; a larger batch keeps the aggregate-first plan
+    if not row_count_at_most(requests, max_rows):
         return [t for t, _ in tables]
-    b = F.broadcast(keys)
+    b = F.broadcast(requests.select(F.col(request_key).alias("_key")).distinct())
     return [t.join(b, F.col(col) == F.col("_key"), "left_semi") for t, col in tables]

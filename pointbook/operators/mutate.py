@@ -55,7 +55,7 @@ def dedupe_last(changes: DataFrame, key: str, cols: list[str], seq: str = "seq")
 def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: list[str], as_of: str,
                  keep_cols: tuple[str, ...] = (), created_col: str | None = "created_at",
                  updated_col: str | None = "updated_at", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                 with_op: bool = False) -> DataFrame:
+                 with_op: bool = False, source: DataFrame | None = None) -> DataFrame:
     """Apply net changes (one row per ``key``) to ``base``.
 
     ``update_cols`` are overwritten on conflict (NULL overwrites too - this
@@ -63,11 +63,17 @@ def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: lis
     take the change's value on insert; ``created_col`` is kept or set to
     ``as_of``; ``updated_col`` becomes ``as_of`` on every touched row.
     With ``with_op`` an ``op`` column tells ``inserted`` / ``updated`` /
-    NULL (untouched) - the edit-or-add flag (D8).
+    NULL (untouched) - the edit-or-add flag (D8). ``source`` is the raw
+    request batch the changes were reduced from: when it alone exceeds the
+    bound the (costly) proof on the reduced changes is skipped and the full
+    outer merge is used.
     """
     ccols = [c for c in list(update_cols) + list(keep_cols)]
     c = changes.select(F.col(key).alias("_ck"), *[F.col(x).alias(f"_c_{x}") for x in ccols])
-    c, small = materialize_if_bounded(c, max_broadcast_rows)
+    if source is not None and not row_count_at_most(source, max_broadcast_rows):
+        small = False
+    else:
+        c, small = materialize_if_bounded(c, max_broadcast_rows)
 
     def merged(exists: Column, present: Column, b) -> list[Column]:
         out = []
@@ -146,7 +152,7 @@ def upsert_students(students: DataFrame, requests: DataFrame, as_of: str, with_o
     Returns ``(new_students, rejected_requests)``."""
     ok, bad = split_valid(validate_students(requests))
     net = dedupe_last(ok, "id", STUDENT_FIELDS)
-    return merge_upsert(students, net, "id", STUDENT_FIELDS, as_of, with_op=with_op, **kw), bad
+    return merge_upsert(students, net, "id", STUDENT_FIELDS, as_of, with_op=with_op, source=requests, **kw), bad
 
 
 def import_students(students: DataFrame, roster: DataFrame, as_of: str, **kw) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +164,7 @@ def import_students(students: DataFrame, roster: DataFrame, as_of: str, **kw) ->
     rows = rows.select("seq", "id", "name", *[empty_to_null(c).alias(c) for c in STUDENT_FIELDS[1:]])
     net = dedupe_last(rows, "id", STUDENT_FIELDS)
     imported = rows.agg(F.count(F.lit(1)).alias("imported"))
-    return merge_upsert(students, net, "id", STUDENT_FIELDS, as_of, **kw), imported
+    return merge_upsert(students, net, "id", STUDENT_FIELDS, as_of, source=roster, **kw), imported
 
 
 def update_students(students: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
@@ -187,7 +193,8 @@ def upsert_rules(rules: DataFrame, requests: DataFrame, as_of: str, **kw) -> tup
     conflict. Past ledger rows are not touched (their title and points are
     frozen copies)."""
     ok, bad = split_valid(validate_rules(requests))
-    return merge_upsert(rules, dedupe_last(ok, "id", RULE_FIELDS), "id", RULE_FIELDS, as_of, **kw), bad
+    return merge_upsert(rules, dedupe_last(ok, "id", RULE_FIELDS), "id", RULE_FIELDS, as_of, source=requests,
+                        **kw), bad
 
 
 def upsert_thresholds(thresholds: DataFrame, requests: DataFrame, as_of: str,
@@ -195,7 +202,7 @@ def upsert_thresholds(thresholds: DataFrame, requests: DataFrame, as_of: str,
     """Coerced, validated threshold upserts (template NULL -> ``''``)."""
     ok, bad = split_valid(validate_thresholds(requests))
     net = dedupe_last(ok, "id", THRESHOLD_FIELDS)
-    return merge_upsert(thresholds, net, "id", THRESHOLD_FIELDS, as_of, **kw), bad
+    return merge_upsert(thresholds, net, "id", THRESHOLD_FIELDS, as_of, source=requests, **kw), bad
 
 
 # -- ledger (C9-C11) ----------------------------------------------------------------
@@ -325,7 +332,8 @@ def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_
         F.max_by(payload, F.col("seq")).alias("_last"),
         F.min_by(F.col("student_id"), F.col("seq")).alias("student_id"))
         .select("id", "student_id", "_last.noted_on", "_last.content"))
-    new = merge_upsert(notes, net, "id", ["noted_on", "content"], as_of, keep_cols=("student_id",), **kw)
+    new = merge_upsert(notes, net, "id", ["noted_on", "content"], as_of, keep_cols=("student_id",),
+                       source=requests, **kw)
     return new, bad.unionByName(fk_rejected)
 
 
