@@ -60,9 +60,17 @@ def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS
 def materialize_counted(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
     """The first ``max_rows + 1`` rows of ``df`` checkpointed (reliable, in the
     shared checkpoint folder) and their count (at most ``max_rows + 1``)."""
+    from pyspark import StorageLevel
+
     checkpoint_root(df.sparkSession)
-    head = df.limit(max_rows + 1).checkpoint(eager=True)
-    return head, head.count()
+    # an eager checkpoint runs its input once to count it and once more to
+    # write it; persisting the (bounded) head first makes that one computation
+    head = df.limit(max_rows + 1).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        saved = head.checkpoint(eager=True)
+    finally:
+        head.unpersist()
+    return saved, saved.count()
 
 
 def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, request_key: str,

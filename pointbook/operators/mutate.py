@@ -314,9 +314,16 @@ def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_
     Returns ``(new_notes, rejected_requests)``.
     """
     ok, bad = split_valid(validate_notes(requests))
-    # a small batch looks up only the notes and students it names
-    (note_ids,) = restrict_to_keys([(notes.select("id"), "id")], ok, "id")
-    (students,) = restrict_to_keys([(students.select("id"), "id")], ok, "student_id")
+    # one bounded check on the batch decides every lookup: a small batch looks
+    # up only the notes and students it names and merges by broadcast
+    limit = kw.pop("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)
+    small = row_count_at_most(requests, limit)
+    note_ids, students = notes.select("id"), students.select("id")
+    if small:
+        note_ids = note_ids.join(F.broadcast(ok.select(F.col("id").alias("_k")).distinct()),
+                                 F.col("id") == F.col("_k"), "left_semi")
+        students = students.join(F.broadcast(ok.select(F.col("student_id").alias("_k")).distinct()),
+                                 F.col("id") == F.col("_k"), "left_semi")
     known = students.select(F.col("id").alias("_sid"), F.lit(True).alias("_sx"))
     r = (ok.join(note_ids.select(F.col("id").alias("_nid"), F.lit(True).alias("_nx")), F.col("id") == F.col("_nid"), "left")
          .join(known, F.col("student_id") == F.col("_sid"), "left"))
@@ -333,7 +340,7 @@ def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_
         F.min_by(F.col("student_id"), F.col("seq")).alias("student_id"))
         .select("id", "student_id", "_last.noted_on", "_last.content"))
     new = merge_upsert(notes, net, "id", ["noted_on", "content"], as_of, keep_cols=("student_id",),
-                       source=requests, **kw)
+                       max_broadcast_rows=limit if small else 0, **kw)
     return new, bad.unionByName(fk_rejected)
 
 
