@@ -41,17 +41,18 @@ def penalties_in_range(penalties: DataFrame, requests: DataFrame, split_hot: boo
 
     ``requests``: ``(seq, student_id, from, to)``. Dates compare as text (the
     reference compares strings); ``from > to`` selects nothing. The join is an
-    equi-join on ``student_id`` with the range as a residual condition; with
-    ``split_hot`` the rows of hot students join map-side (``operators.skew``).
+    equi-join on ``student_id`` with the range as a residual condition: a
+    small request batch is broadcast (no shuffle of the ledger); a large one
+    is shuffled with hot students joined map-side (``operators.skew``).
     """
-    from .skew import hot_keys, join_splitting_hot_keys
+    from .skew import join_ledger_with_requests
 
     lo, hi = range_bounds("from", "to")
     r = requests.select(F.col("seq").alias("request_seq"), F.col("student_id").alias("_rsid"),
                         lo.alias("_lo"), hi.alias("_hi"))
-    hot = hot_keys(penalties, "student_id", **hot_kw) if split_hot else None
-    j = join_splitting_hot_keys(penalties, r, "student_id", "_rsid", hot,
-                                extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")))
+    j = join_ledger_with_requests(penalties, r, "student_id", "_rsid", "inner",
+                                  extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")),
+                                  split_hot=split_hot, **hot_kw)
     return j.drop("_rsid", "_lo", "_hi")
 
 

@@ -283,11 +283,11 @@ def reset_penalties(penalties: DataFrame, requests: DataFrame, split_hot: bool =
         F.col("seq").alias("_rseq"), F.col("student_id").alias("_rsid"),
         F.col("from").alias("_lo"), F.col("to").alias("_hi"))
     cond = (F.col("student_id") == F.col("_rsid")) & F.col("occurred_on").between(F.col("_lo"), F.col("_hi"))
-    from .skew import hot_keys, join_splitting_hot_keys
+    from .skew import join_ledger_with_requests
 
-    hot = hot_keys(penalties, "student_id", **hot_kw) if split_hot else None
-    remaining = join_splitting_hot_keys(penalties, ok, "student_id", "_rsid", hot, "left_anti",
-                                        extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")))
+    remaining = join_ledger_with_requests(penalties, ok, "student_id", "_rsid", "left_anti",
+                                          extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")),
+                                          split_hot=split_hot, **hot_kw)
     # coverage depends only on (student, day): count the ledger per day first,
     # so a student with a third of the ledger is a few hundred rows here
     daily = penalties.groupBy("student_id", "occurred_on").agg(F.count(F.lit(1)).alias("_rows"))

@@ -70,7 +70,7 @@ def test_totals_exact_under_skew(spark, skew_conf):
 def test_reset_under_skew(spark, skew_conf):
     p = hot_ledger(spark)
     req = spark.createDataFrame([(1, "7", "2024-01-03", "2024-01-20")], "seq bigint, student_id string, `from` string, `to` string")
-    remaining, counts = mutate.reset_penalties(p, req)
+    remaining, counts = mutate.reset_penalties(p, req, max_request_rows=0)  # force the shuffled path
     hot = p.where("student_id = '7' AND occurred_on BETWEEN '2024-01-03' AND '2024-01-20'").count()
     assert counts.first().deleted == hot
     assert remaining.count() == p.count() - hot
@@ -100,7 +100,7 @@ def test_hot_split_reset_and_range(spark):
     p = hot_ledger(spark)
     req = spark.createDataFrame([(1, "7", "2024-01-03", "2024-01-20"), (2, "5", "", None)],
                                 "seq bigint, student_id string, `from` string, `to` string")
-    kw = dict(sample_fraction=0.5, min_rows=1000)
+    kw = dict(sample_fraction=0.5, min_rows=1000, max_request_rows=0)  # shuffled path with the hot split
     split_rem, split_cnt = mutate.reset_penalties(p, req, **kw)
     plain_rem, plain_cnt = mutate.reset_penalties(p, req, split_hot=False)
     assert split_rem.count() == plain_rem.count() and split_rem.exceptAll(plain_rem).count() == 0
@@ -109,3 +109,14 @@ def test_hot_split_reset_and_range(spark):
     b = penalties_in_range(p, req, split_hot=False)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
     assert "BroadcastHashJoin" in split_rem._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_request_batch_is_broadcast(spark):
+    """A small reset batch is broadcast: the ledger is scanned, never shuffled."""
+    p = hot_ledger(spark)
+    req = spark.createDataFrame([(1, "7", "2024-01-03", "2024-01-20")],
+                                "seq bigint, student_id string, `from` string, `to` string")
+    remaining, _ = mutate.reset_penalties(p, req)
+    plan = remaining._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert "Exchange hashpartitioning(student_id" not in plan
