@@ -34,7 +34,8 @@ def read_roster_file(spark: SparkSession, path: str, fmt: str = "csv", seq_col:
     if seq_col is None:
         df = df.withColumn("seq", F.monotonically_increasing_id())
     else:
-        df = df.withColumnRenamed(seq_col, "seq")
+        # a numeric order, also when the file carries it as text (JSON read as strings)
+        df = df.withColumnRenamed(seq_col, "seq").withColumn("seq", F.col("seq").cast("long"))
     return df
 
 

@@ -102,3 +102,15 @@ def test_roster_numeric_cells_print_like_js(spark):
     df = spark.createDataFrame([(1, 123.0, "Kim", 2.5, None)], "seq bigint, ID double, `이름` string, `학년` double, `학생전화` string")
     r = normalize_roster(df).first()
     assert (r.id, r.name, r.grade, r.student_phone, r.parent_phone) == ("123", "Kim", "2.5", "", "")
+
+
+def test_roster_json_and_parquet(spark, tmp_path):
+    j = tmp_path / "roster.json"
+    j.write_text('{"ID": 12, "이름": " Kim ", "학년": "G1", "seq": 2}\n{"ID": "13", "이름": "Lee", "seq": 1}\n',
+                 encoding="utf-8")
+    df = normalize_roster(read_roster_file(spark, str(j), fmt="json", seq_col="seq"))
+    assert rows(df, "seq", "id", "name", "grade", "parent_phone") == [(1, "13", "Lee", "", ""), (2, "12", "Kim", "G1", "")]
+    pq = str(tmp_path / "roster.parquet")
+    spark.createDataFrame([(7.0, "Park", 1)], "ID double, `이름` string, seq long").write.parquet(pq)
+    df2 = normalize_roster(read_roster_file(spark, pq, fmt="parquet", seq_col="seq"))
+    assert rows(df2, "id", "name") == [("7", "Park")]
