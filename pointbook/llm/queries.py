@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding
+from . import bpe, decontaminate, quality_rules, secret_scan, sharding, simhash, token_counts
 from .common import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -33,3 +34,36 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard by jump consistent hashing of its doc_id, and its slot in the shard."""
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words that lie in a 10-word window of a benchmark item."""
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: the base forms, and context values of high guess cost."""
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 64-bit SimHash of 3-word shingles, and its component at 2 or fewer differing bits."""
+    return simhash.report(table(spark, sf_dir, "documents"), width=3, distance=2)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's exact token count, from the table of counts at all its prefixes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.prefix_counts(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")), WORD_VOCABULARY, keep=["doc_id", "n_bytes"])
+    n = token_counts.total(F.col("prefix_counts"))
+    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 2048).alias("over_limit"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, the base rule, and the verdict by the fences of its language and source."""
+    return quality_rules.report(table(spark, sf_dir, "documents"))
