@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, secret_scan, sharding, simhash, token_counts
+from . import bpe, decontaminate, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
 from .common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,12 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without the 50-byte strings that a document with a smaller id holds."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), 50)
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text encoded to ids and decoded again; counts and digests of both."""
