@@ -4,7 +4,8 @@ Each 50-byte window of a text has a key: the least hash of the 16-byte strings
 in it. Equal windows have equal keys, so windows dealt to shards by key meet
 all their equals. Neighbouring windows mostly share a key; such a run is one
 segment of text, and equal segments travel once from each task. A filter of
-fixed size first leaves out windows whose key no other document has. Every
+fixed size first leaves out windows which no other document can have: the
+hashed string with its left or right surroundings occurs nowhere else. Every
 shard's segments are sorted by an external induced suffix array, in which
 equal windows are neighbours that share 50 bytes.
 """
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Texts, binary_array, cuts, texts_of, written
+from .common import CHUNK_BYTES, Texts, binary_array, cuts, texts_of
 from .suffix_array import Store, suffixes_descending
 
 # Bytes of the hashed strings in a window.
@@ -31,7 +32,7 @@ FILTER_BITS, FILTER_PARTS = 28, 64
 # The most windows of a segment, so that a long repetition is many equal segments.
 MOST_WINDOWS = 206
 
-# Segment text that one shard should hold (a shard of any size is sorted, on disk beyond memory).
+# Input text for each shard; its segments hold about as much (a shard of any size is sorted, on disk beyond memory).
 SHARD_BYTES = 8 << 20
 
 # Distinct segments, and slots, that a task gathers before it passes them on.
@@ -40,48 +41,82 @@ GATHERED_SLOTS = 4_000_000
 
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64((1 << 31) - 1)  # low bits that hold a position, the smaller the further left
 
 
-def window_keys(data: np.ndarray, width: int) -> np.ndarray:
-    """For each position the least mixed hash of the GRAM-byte strings in the ``width`` bytes from there."""
-    n = len(data) - width + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A mixed hash of the GRAM bytes from each position."""
     h, power, size = _TABLE[data], _STEP, 1
     while size < GRAM:  # hashes of strings twice as long
         h = h[:-size] * power + h[size:]
         power, size = power * power, 2 * size
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    grams, span = width - GRAM + 1, 1
-    while 2 * span <= grams:  # minima over spans twice as long
-        h = np.minimum(h[:-span], h[span:])
-        span *= 2
-    return np.minimum(h[:n], h[grams - span:grams - span + n])
-
-
-def runs(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first byte, windows, key) of each run of windows with one key."""
-    with np.errstate(over="ignore"):
-        key = window_keys(texts.data, width)
-    n = len(key)
-    ok = np.ones(n, bool)
-    for e in texts.off[1:-1]:  # windows over the end of a text
-        ok[max(0, int(e) - width + 1):min(n, int(e))] = False
-    new = np.append(True, key[1:] != key[:-1])[:n]
-    heads = texts.off[:-1]
-    new[heads[heads < n]] = True
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, n))
-    # a run stops where windows stop being whole
-    good = np.append(0, np.cumsum(ok))
-    size = np.minimum(size, good[at + size] - good[at])
-    at, size = at[size > 0], size[size > 0]
-    parts = -(-size // MOST_WINDOWS)
-    first = (at.repeat(parts) + MOST_WINDOWS * (np.arange(int(parts.sum())) - (np.cumsum(parts) - parts).repeat(parts)))
-    left = (at + size).repeat(parts) - first
-    return texts.row_of(first), first, np.minimum(left, MOST_WINDOWS), key[at].repeat(parts)
+    return _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class Pieces:
+    """The windows of a run of texts in pieces: those with the same least gram, before and after its middle.
+
+    ``row``, ``first``, ``size``: the text, first byte and number of windows;
+    ``key``: the gram's hash; ``wide``: the hash of the gram with what lies to
+    its left (or right) in all the piece's windows. Equal windows have equal
+    grams at equal places, the leftmost of the least, so both hashes are equal.
+    """
+
+    def __init__(self, texts: Texts, width: int):
+        n = len(texts.data) - width + 1
+        empty = np.zeros(0, np.int64)
+        self.row = self.first = self.size = empty
+        self.key = self.wide = empty.astype(np.uint64)
+        if n < 1:
+            return
+        grams = width - GRAM + 1
+        half, near = grams // 2, min(grams // 2, GRAM)
+        with np.errstate(over="ignore"):
+            h = gram_hashes(texts.data)
+            least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+            span = 1
+            while 2 * span <= grams:  # minima over spans twice as long
+                least = np.minimum(least[:-span], least[span:])
+                span *= 2
+            least = np.minimum(least[:n], least[grams - span:grams - span + n])
+            new = np.append(True, least[1:] != least[:-1])
+            heads = texts.off[:-1]
+            new[heads[heads < n]] = True
+            at = np.flatnonzero(new)
+            size = np.diff(np.append(at, n))
+            # windows that reach over the end of their text are left out
+            size = np.minimum(size, texts.off[np.minimum(texts.row_of(at) + 1, len(texts))] - width + 1 - at)
+            at, size = at[size > 0], size[size > 0]
+            place = (least[at] & _PLACE).astype(np.int64)
+            left = np.clip(place - half - at + 1, 0, size)
+            own = h[place]
+            before = _mixed(h[np.maximum(place - half, 0)] * _STEP + h[np.maximum(place - near, 0)] * _TABLE[1] + own)
+            last = len(h) - 1
+            after = _mixed(h[np.minimum(place + half, last)] * _TABLE[2] + h[np.minimum(place + near, last)] * _TABLE[3] + own)
+        both = np.stack([left, size - left], 1).reshape(-1)
+        use = both > 0
+        self.size = both[use]
+        self.first = np.stack([at, at + left], 1).reshape(-1)[use]
+        self.wide = np.stack([before, after], 1).reshape(-1)[use]
+        self.key = own.repeat(2)[use]
+        self.row = texts.row_of(self.first)
+
+    def joined(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first byte, windows, key) of the used pieces, those of one key that follow each other as one segment."""
+        row, first, size, key = self.row[use], self.first[use], self.size[use], self.key[use]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (first[1:] != first[:-1] + size[:-1])
+        at = np.flatnonzero(new)
+        size = np.add.reduceat(size, at) if len(at) else size
+        row, first, key = row[at], first[at], key[at]
+        parts = -(-size // MOST_WINDOWS)
+        step = MOST_WINDOWS * (np.arange(int(parts.sum())) - (np.cumsum(parts) - parts).repeat(parts))
+        return row.repeat(parts), first.repeat(parts) + step, np.minimum(size.repeat(parts) - step, MOST_WINDOWS), key.repeat(parts)
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -111,8 +146,8 @@ def repeated_slots(texts: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             col = batch.column(0)
             for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                row, _, _, key = runs(texts_of(col.slice(i, j - i)), width)
-                pair = np.unique((row.astype(np.uint64) << np.uint64(FILTER_BITS)) | _slot(key))
+                got = Pieces(texts_of(col.slice(i, j - i)), width)
+                pair = np.unique((got.row.astype(np.uint64) << np.uint64(FILTER_BITS)) | _slot(got.wide))
                 held.append(pair & np.uint64((1 << FILTER_BITS) - 1))
                 n += len(pair)
                 if n > GATHERED_SLOTS:
@@ -150,60 +185,56 @@ def repeated_slots(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-# doc, text: of an occurrence, whose segment starts at byte ``start``; or, with
-# ``body``, a segment of the task with its least and largest doc
-_FOUND = "id binary, doc bigint, text bigint, start int, windows int, shard bigint, last bigint, body binary"
+def _found(rows: DataFrame, width: int, keep, out: str, bodies: bool) -> DataFrame:
+    """Segments whose windows other rows may have, of rows (doc, text_id, body).
 
-
-def segments(rows: DataFrame, width: int) -> DataFrame:
-    """Occurrences of segments, and from each task its distinct segments; of rows (doc, text_id, body)."""
-    shared = rows.sparkSession.sparkContext.broadcast(repeated_slots(rows.select("body"), width))
+    With ``bodies``: each task's distinct ones, with their least and largest
+    doc; else every occurrence.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = shared.value
+        bits = keep.value
         known: dict[bytes, list] = {}
 
         def flushed():
-            ids = list(known)
-            least, most, shard, body = zip(*known.values()) if known else ((), (), (), ())
-            n = len(ids)
+            columns = list(zip(*known.values())) or [()] * 4
+            got = pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), *(
+                pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names)
             known.clear()
-            none32 = pa.nulls(n, pa.int32())
-            return pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.binary()), pa.array(least, pa.int64()), pa.nulls(n, pa.int64()), none32, none32,
-                pa.array(shard, pa.int64()), pa.array(most, pa.int64()), pa.array(body, pa.binary())], names)
+            return got
 
-        names = [f.split()[0] for f in _FOUND.split(", ")]
         for batch in batches:
             docs, text_ids = (np.asarray(batch.column(k)) for k in (0, 1))
             col = batch.column(2)
             for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
                 texts = texts_of(col.slice(i, j - i))
-                row, first, size, key = runs(texts, width)
-                slot = _slot(key).astype(np.int64)
-                use = (keep[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-                row, first, size, key = row[use], first[use], size[use], key[use]
+                got = Pieces(texts, width)
+                slot = _slot(got.wide).astype(np.int64)
+                row, first, size, key = got.joined((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0)
                 raw = texts.raw()
-                bodies = [raw[a:b] for a, b in zip(first.tolist(), (first + size + width - 1).tolist())]
-                ids = [xxhash.xxh3_128_digest(b) for b in bodies]
+                strings = [raw[a:b] for a, b in zip(first.tolist(), (first + size + width - 1).tolist())]
+                ids = [xxhash.xxh3_128_digest(b) for b in strings]
                 doc = docs[i:j][row]
-                for d, h, b, k in zip(doc.tolist(), ids, bodies, (key >> np.uint64(1)).astype(np.int64).tolist()):
-                    got = known.get(h)
-                    if got is None:
+                if not bodies:
+                    half = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                        half[:, 0], half[:, 1], doc, text_ids[i:j][row], (first - texts.off[row]) << 8 | size)], names)
+                    continue
+                for d, h, b, k in zip(doc.tolist(), ids, strings, (key >> np.uint64(1)).astype(np.int64).tolist()):
+                    held = known.get(h)
+                    if held is None:
                         known[h] = [d, d, k, b]
-                    elif d < got[0]:
-                        got[0] = d
-                    elif d > got[1]:
-                        got[1] = d
-                n = len(ids)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.binary()), pa.array(doc), pa.array(text_ids[i:j][row]), pa.array((first - texts.off[row]).astype(np.int32)),
-                    pa.array(size.astype(np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+                    elif d < held[0]:
+                        held[0] = d
+                    elif d > held[1]:
+                        held[1] = d
                 if len(known) > GATHERED:
                     yield flushed()
-        yield flushed()
+        if known:
+            yield flushed()
 
-    return written(rows.select("doc", "text_id", "body").mapInArrow(run, _FOUND), "segments")
+    return rows.select("doc", "text_id", "body").mapInArrow(run, out)
 
 
 def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,9 +305,10 @@ def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         j = min(len(bodies), i + 10_000)
         keep = [k for k in range(i, j) if most[k] > least[k] or of[k] < of[k + 1]]
         spans = [[{"a": int(x), "b": int(y)} for x, y in zip(a[of[k]:of[k + 1]] - base[of[k]:of[k + 1]], b[of[k]:of[k + 1]] - base[of[k]:of[k + 1]] + width)] for k in keep]
+        half = np.frombuffer(b"".join(ids[k] for k in keep), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([
-            pa.array([ids[k] for k in keep], pa.binary()), pa.array([least[k] for k in keep], pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id", "least", "spans"])
+            pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array([least[k] for k in keep], pa.int64()),
+            pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id1", "id2", "least", "spans"])
 
 
 def removed(rows: DataFrame, width: int = 50) -> DataFrame:
@@ -286,15 +318,15 @@ def removed(rows: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < 2 * GRAM or width > 254:
         raise ValueError(f"width must be from {2 * GRAM} to 254")
-    found = segments(rows, width)
-    bodies = found.where("body is not null")
-    total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
-    judged = (bodies.select("id", F.col("doc").alias("least"), F.col("last").alias("most"), "body", "shard")
-              .repartition(shards, "shard").drop("shard").mapInArrow(lambda it: _judge(it, width), "id binary, least bigint, spans array<struct<a:int,b:int>>"))
-    at = found.where("body is null").select("id", "doc", F.col("text").alias("text_id"), "start", "windows")
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + width - 1).alias("b")))
-    spans = (at.join(judged, "id").select("doc", "text_id", "start", F.explode(F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("spans"))).alias("s"))
+    keep = rows.sparkSession.sparkContext.broadcast(repeated_slots(rows.select("body"), width))
+    bodies = _found(rows, width, keep, "id binary, least bigint, most bigint, shard bigint, body binary", True)
+    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    judged = (bodies.repartition(max(1, -(-total // SHARD_BYTES)), "shard").select("id", "least", "most", "body")
+              .mapInArrow(lambda it: _judge(it, width), "id1 bigint, id2 bigint, least bigint, spans array<struct<a:int,b:int>>"))
+    at = _found(rows, width, keep, "id1 bigint, id2 bigint, doc bigint, text_id bigint, place bigint", False)
+    start, windows = F.shiftright("place", 8).cast("int"), F.col("place").bitwiseAND(255).cast("int")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (windows + width - 1).alias("b")))
+    spans = (at.join(judged, ["id1", "id2"]).select("doc", "text_id", start.alias("start"), F.explode(F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("spans"))).alias("s"))
              .groupBy("doc", "text_id", (F.col("start") + F.col("s.a")).alias("a")).agg(F.max(F.col("start") + F.col("s.b")).alias("b")))
     # overlapping and touching spans of a text become one
     by_place = Window.partitionBy("doc", "text_id").orderBy("a")
@@ -310,7 +342,7 @@ def dedup(docs: DataFrame, width: int = 50, keep: list[str] | None = None) -> Da
     A byte is removed if a ``width``-byte string over it also starts in a
     document with a smaller doc_id, judged on the input. A null text is
     empty. A null doc_id is larger than any other. Rows with the same doc_id
-    do not remove from each other. The documents are read three times and
+    do not remove from each other. The documents are read four times and
     shuffled once, to meet their spans.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("body", "cut", "kept")]
