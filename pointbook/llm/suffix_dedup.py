@@ -3,9 +3,9 @@
 Each 50-byte window of a text has a key: the least hash of the 16-byte strings
 in it. Equal windows have equal keys, so windows dealt to shards by key meet
 all their equals. Neighbouring windows mostly share a key; such a run is one
-segment of text, and equal segments travel once from each task. A filter of
-fixed size first leaves out windows which no other document can have: the
-hashed string with its left or right surroundings occurs nowhere else. Every
+segment of text, and equal segments travel once from each task. Two filters of
+fixed size first leave out windows which no other document can have: the
+hashed string, or it with its left or right surroundings, occurs nowhere else. Every
 shard's segments are sorted by an external induced suffix array, in which
 equal windows are neighbours that share 50 bytes.
 """
@@ -26,7 +26,7 @@ from .suffix_array import Store, suffixes_descending
 # Bytes of the hashed strings in a window.
 GRAM = 16
 
-# The filter has 2^FILTER_BITS slots (32 MB broadcast). It only saves work: two keys in one slot pass it.
+# Each of two filters has 2^FILTER_BITS slots (32 MB broadcast). They only save work: two keys in one slot pass.
 FILTER_BITS, FILTER_PARTS = 28, 64
 
 # The most windows of a segment, so that a long repetition is many equal segments.
@@ -123,10 +123,16 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - FILTER_BITS)
 
 
-def repeated_slots(texts: DataFrame, width: int) -> np.ndarray:
-    """The filter: one bit a slot, set if windows of two or more rows fall into it.
+def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = _slot(key).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
-    Each task sends its slots once, three bytes each, dealt by slot range;
+
+def repeated_slots(texts: DataFrame, width: int, narrow=None) -> np.ndarray:
+    """A filter: one bit a slot, set if pieces of two or more rows fall into it.
+
+    Slots are of the grams; or, with the broadcast filter ``narrow`` of these,
+    of the wider strings of the pieces that pass it. Each task sends its slots once, three bytes each, dealt by slot range;
     each range is merged by one task to its bits. Only the bits, of a fixed
     size, come to the driver.
     """
@@ -147,7 +153,9 @@ def repeated_slots(texts: DataFrame, width: int) -> np.ndarray:
             col = batch.column(0)
             for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
                 got = Pieces(texts_of(col.slice(i, j - i)), width)
-                pair = np.unique((got.row.astype(np.uint64) << np.uint64(FILTER_BITS)) | _slot(got.wide))
+                use = np.ones(len(got.row), bool) if narrow is None else _passes(narrow.value, got.key)
+                slot = _slot((got.key if narrow is None else got.wide)[use])
+                pair = np.unique((got.row[use].astype(np.uint64) << np.uint64(FILTER_BITS)) | slot)
                 held.append(pair & np.uint64((1 << FILTER_BITS) - 1))
                 n += len(pair)
                 if n > GATHERED_SLOTS:
@@ -185,7 +193,7 @@ def repeated_slots(texts: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def _found(rows: DataFrame, width: int, keep, out: str, bodies: bool) -> DataFrame:
+def _found(rows: DataFrame, width: int, narrow, wide, out: str, bodies: bool) -> DataFrame:
     """Segments whose windows other rows may have, of rows (doc, text_id, body).
 
     With ``bodies``: each task's distinct ones, with their least and largest
@@ -194,13 +202,11 @@ def _found(rows: DataFrame, width: int, keep, out: str, bodies: bool) -> DataFra
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = keep.value
         known: dict[bytes, list] = {}
 
         def flushed():
-            columns = list(zip(*known.values())) or [()] * 4
-            got = pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), *(
-                pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names)
+            columns = zip(*known.values())
+            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
             known.clear()
             return got
 
@@ -210,21 +216,20 @@ def _found(rows: DataFrame, width: int, keep, out: str, bodies: bool) -> DataFra
             for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
                 texts = texts_of(col.slice(i, j - i))
                 got = Pieces(texts, width)
-                slot = _slot(got.wide).astype(np.int64)
-                row, first, size, key = got.joined((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0)
+                row, first, size, key = got.joined(_passes(narrow.value, got.key) & _passes(wide.value, got.wide))
                 raw = texts.raw()
                 strings = [raw[a:b] for a, b in zip(first.tolist(), (first + size + width - 1).tolist())]
-                ids = [xxhash.xxh3_128_digest(b) for b in strings]
                 doc = docs[i:j][row]
                 if not bodies:
+                    ids = [xxhash.xxh3_128_digest(b) for b in strings]
                     half = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
                         half[:, 0], half[:, 1], doc, text_ids[i:j][row], (first - texts.off[row]) << 8 | size)], names)
                     continue
-                for d, h, b, k in zip(doc.tolist(), ids, strings, (key >> np.uint64(1)).astype(np.int64).tolist()):
-                    held = known.get(h)
+                for d, b, k in zip(doc.tolist(), strings, (key >> np.uint64(33)).astype(np.int64).tolist()):
+                    held = known.get(b)
                     if held is None:
-                        known[h] = [d, d, k, b]
+                        known[b] = [d, d, k, b]
                     elif d < held[0]:
                         held[0] = d
                     elif d > held[1]:
@@ -275,8 +280,8 @@ def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     known: dict[bytes, int] = {}
     least, most, bodies = [], [], []
     for batch in batches:
-        for h, lo, hi, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            at = known.setdefault(h, len(bodies))
+        for lo, hi, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            at = known.setdefault(b, len(bodies))
             if at == len(bodies):
                 least.append(lo)
                 most.append(hi)
@@ -285,7 +290,7 @@ def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                 least[at], most[at] = min(least[at], lo), max(most[at], hi)
     if not bodies:
         return
-    ids = list(known)
+    known.clear()
     docs = np.array(least, np.int64)
     start, by_window = least_docs(bodies, docs, width)
     windows = np.fromiter(map(len, bodies), np.int64, len(bodies)) - width + 1
@@ -305,7 +310,7 @@ def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         j = min(len(bodies), i + 10_000)
         keep = [k for k in range(i, j) if most[k] > least[k] or of[k] < of[k + 1]]
         spans = [[{"a": int(x), "b": int(y)} for x, y in zip(a[of[k]:of[k + 1]] - base[of[k]:of[k + 1]], b[of[k]:of[k + 1]] - base[of[k]:of[k + 1]] + width)] for k in keep]
-        half = np.frombuffer(b"".join(ids[k] for k in keep), np.int64).reshape(-1, 2)
+        half = np.frombuffer(b"".join(xxhash.xxh3_128_digest(bodies[k]) for k in keep), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([
             pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array([least[k] for k in keep], pa.int64()),
             pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id1", "id2", "least", "spans"])
@@ -318,12 +323,14 @@ def removed(rows: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < 2 * GRAM or width > 254:
         raise ValueError(f"width must be from {2 * GRAM} to 254")
-    keep = rows.sparkSession.sparkContext.broadcast(repeated_slots(rows.select("body"), width))
-    bodies = _found(rows, width, keep, "id binary, least bigint, most bigint, shard bigint, body binary", True)
+    share = rows.sparkSession.sparkContext.broadcast
+    narrow = share(repeated_slots(rows.select("body"), width))
+    wide = share(repeated_slots(rows.select("body"), width, narrow))
+    bodies = _found(rows, width, narrow, wide, "least bigint, most bigint, shard int, body binary", True)
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    judged = (bodies.repartition(max(1, -(-total // SHARD_BYTES)), "shard").select("id", "least", "most", "body")
+    judged = (bodies.repartition(max(1, -(-total // SHARD_BYTES)), "shard").select("least", "most", "body")
               .mapInArrow(lambda it: _judge(it, width), "id1 bigint, id2 bigint, least bigint, spans array<struct<a:int,b:int>>"))
-    at = _found(rows, width, keep, "id1 bigint, id2 bigint, doc bigint, text_id bigint, place bigint", False)
+    at = _found(rows, width, narrow, wide, "id1 bigint, id2 bigint, doc bigint, text_id bigint, place bigint", False)
     start, windows = F.shiftright("place", 8).cast("int"), F.col("place").bitwiseAND(255).cast("int")
     whole = F.array(F.struct(F.lit(0).alias("a"), (windows + width - 1).alias("b")))
     spans = (at.join(judged, ["id1", "id2"]).select("doc", "text_id", start.alias("start"), F.explode(F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("spans"))).alias("s"))
@@ -342,7 +349,7 @@ def dedup(docs: DataFrame, width: int = 50, keep: list[str] | None = None) -> Da
     A byte is removed if a ``width``-byte string over it also starts in a
     document with a smaller doc_id, judged on the input. A null text is
     empty. A null doc_id is larger than any other. Rows with the same doc_id
-    do not remove from each other. The documents are read four times and
+    do not remove from each other. The documents are read six times and
     shuffled once, to meet their spans.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("body", "cut", "kept")]
