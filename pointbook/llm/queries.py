@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from . import bpe, decontaminate, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
 from .common import table
 
 QUERIES: dict = {}
@@ -42,12 +42,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's loss under bigram models of the good documents and of all, and their difference."""
+    return lm_scoring.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words that lie in a 10-word window of a benchmark item."""
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+@query
+def op6_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by similarity-weighted votes of labelled neighbours in a latent space."""
+    return quality_knn.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's secrets: the base forms, and context values of high guess cost."""
