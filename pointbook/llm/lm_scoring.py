@@ -194,8 +194,10 @@ def score(docs: DataFrame, model: Model, corrections: DataFrame, keep: list[str]
     shared = spark.sparkContext.broadcast(model)
     blocks = max(1, -(-corrections.count() // block))
     for k in range(blocks):
-        part = corrections.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == k).toPandas().sort_values("code")
-        table = spark.sparkContext.broadcast((part["code"].to_numpy(), part[["target", "background"]].to_numpy(np.float32)))
+        part = corrections.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == k).select("code", F.col("target").cast("float"), F.col("background").cast("float")).toArrow()
+        order = np.argsort(part["code"].to_numpy())
+        table = spark.sparkContext.broadcast((part["code"].to_numpy()[order], np.stack([part[c].to_numpy()[order] for c in ("target", "background")], 1)))
+        del part, order
 
         def work(table=table, first=k == 0):
             m, (code, value) = shared.value, table.value
