@@ -15,20 +15,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Texts, binary_array, cuts, texts_of
+from .common import Texts, binary_array, cuts, texts_of, written
 from .suffix_array import Store, suffixes_descending
 
 # Bytes of the hashed strings in a window.
 GRAM = 16
 
+# Text that one vectorised pass holds, so that its arrays stay in the processor's cache.
+CHUNK_BYTES = 1 << 17
+
 # Each of two filters has 2^FILTER_BITS slots (32 MB broadcast). They only save work: two keys in one slot pass.
 FILTER_BITS, FILTER_PARTS = 28, 64
 
+# Bits of the filter that tells documents with something to remove from others (2 MB broadcast).
+DOC_BITS = 24
+
 # The most windows of a segment, so that a long repetition is many equal segments.
 MOST_WINDOWS = 206
 
@@ -343,21 +350,46 @@ def removed(rows: DataFrame, width: int = 50) -> DataFrame:
     return spans.groupBy("doc", "text_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cut"))
 
 
+def _doc_slot(doc: Column, text_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc, text_id), F.lit(1 << DOC_BITS))
+
+
+def _touched(cut: DataFrame) -> np.ndarray:
+    """One bit a slot, set if a row of ``cut`` falls into it: 2^(DOC_BITS - 6) words at most."""
+    word = F.shiftright("slot", 6)
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    rows = cut.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << DOC_BITS - 6, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
 def dedup(docs: DataFrame, width: int = 50, keep: list[str] | None = None) -> DataFrame:
     """Add ``body`` (the text's bytes), ``cut`` (spans removed from it) and ``kept`` (the remaining bytes).
 
     A byte is removed if a ``width``-byte string over it also starts in a
     document with a smaller doc_id, judged on the input. A null text is
     empty. A null doc_id is larger than any other. Rows with the same doc_id
-    do not remove from each other. The documents are read six times and
-    shuffled once, to meet their spans.
+    do not remove from each other. The documents are read several times;
+    those with something to remove are shuffled once, to meet their spans.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("body", "cut", "kept")]
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
                        F.xxhash64(text).alias("text_id"), F.encode(text, "UTF-8").alias("body"))
-    cut = removed(rows, width).select(F.col("doc").alias("of_doc"), F.col("text_id").alias("of_text"), "cut")
-    done = rows.join(cut, (F.col("doc") == F.col("of_doc")) & (F.col("text_id") == F.col("of_text")), "left")
+    # documents that surely have nothing to remove need not meet the spans
+    cut = written(removed(rows, width).withColumn("slot", _doc_slot(F.col("doc"), F.col("text_id"))), "spans")
+    touched = docs.sparkSession.sparkContext.broadcast(_touched(cut))
+
+    @F.pandas_udf("boolean")
+    def may_have(slot: pd.Series) -> pd.Series:
+        at = slot.to_numpy(np.int64)
+        return pd.Series((touched.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+    rows = rows.withColumn("touched", may_have(_doc_slot(F.col("doc"), F.col("text_id"))))
+    cut = cut.select(F.col("doc").alias("of_doc"), F.col("text_id").alias("of_text"), "cut")
+    some = rows.where("touched").join(cut, (F.col("doc") == F.col("of_doc")) & (F.col("text_id") == F.col("of_text")), "left")
+    done = some.select("row", "body", "cut").unionByName(rows.where("not touched").select("row", "body", F.lit(None).cast("array<struct<a:int,b:int>>").alias("cut")))
     end = F.octet_length("body")
     # what lies between the removed spans
     rest = F.transform(F.concat("cut", F.array(F.struct(end.alias("a"), end.alias("b")))), lambda s, i: F.struct(
