@@ -185,12 +185,12 @@ def types_of(text: np.ndarray, store: Store) -> np.ndarray:
 class Step:
     """What a batch puts back: the suffix to the left of each item, if it is of the wanted type."""
 
-    def __init__(self, text: np.ndarray, types: np.ndarray, want: bool, top: int, form: Form, cap: int):
+    def __init__(self, text: np.ndarray, types: np.ndarray, want: bool, top: int, form: Form, cap: int, words: np.ndarray | None):
         self.text, self.types, self.want, self.top, self.form, self.cap = text, types, want, top, form, cap
         # per key, the least value seen since an item was last put under it
         self.since = np.zeros(2 * top + 2, np.uint8)
         self.known = np.zeros(2 * top + 2, bool)
-        self.last = -1, -1
+        self.last, self.words = (-1, -1), words
 
     def settle(self, batch: np.ndarray) -> np.ndarray:
         """The value of each key's first item set against the item that leaves just before it."""
@@ -201,7 +201,7 @@ class Step:
         if len(new):
             value = np.zeros(len(new), np.int64)
             same = (key[new] >> 1 == key[new + 1] >> 1) & (key[new] >= 0)
-            value[same] = shared_prefix(self.text, at[new][same], at[new + 1][same], self.cap)
+            value[same] = shared_prefix(self.words, at[new][same], at[new + 1][same], self.cap)
             batch = batch.copy()
             batch[new] = (batch[new] & ~255) | value
         return batch
@@ -266,33 +266,59 @@ def least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray, where: np.nd
     return out
 
 
-def shared_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """The length of the common prefix of suffixes a and b, up to ``cap``."""
-    out = np.zeros(len(a), np.uint8)
-    live, n = np.arange(len(a)), len(text)
-    for k in range(cap):
-        x, y = a[live] + k, b[live] + k
-        live = live[(x < n) & (y < n)]
-        x, y = a[live] + k, b[live] + k
-        live = live[text[x] == text[y]]
+WORD = 7  # symbols below 512 that one integer holds
+
+
+def packed_words(text: np.ndarray, store: Store) -> np.ndarray:
+    """At each position the next WORD symbols (below 512; zeros after the end) in one integer."""
+    out = store.array(len(text), np.int64)
+    for a in range(0, len(text), 1 << 20):
+        b = min(len(text), a + (1 << 20))
+        part = np.zeros(b - a + WORD, np.int64)
+        here = text[a:b + WORD]
+        part[:len(here)] = here
+        word = part[:b - a].copy()
+        for k in range(1, WORD):
+            word = word << 9 | part[k:b - a + k]
+        out[a:b] = word
+    return out
+
+
+def shared_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """The length of the common prefix of suffixes a and b of the packed text, up to ``cap``."""
+    out = np.zeros(len(a), np.int64)
+    live, last = np.arange(len(a)), len(words) - 1
+    for k in range(0, cap, WORD):
+        x, y = np.minimum(a[live] + k, last), np.minimum(b[live] + k, last)
+        differ = words[x] ^ words[y]
+        same = differ == 0
+        stop = live[~same]
+        rest = differ[~same]
+        more = np.zeros(len(stop), np.int64)
+        for j in range(1, WORD):
+            more += rest >> 9 * (WORD - j) == 0
+        out[stop] = k + more
+        live = live[same]
+        out[live] = k + WORD
         if not len(live):
             break
-        out[live] = k + 1
-    return out
+    left = len(words) - np.maximum(a, b)
+    return np.minimum(np.minimum(out, cap), left).astype(np.uint8)
 
 
 def _passes(text: np.ndarray, types: np.ndarray, stars: np.ndarray, store: Store, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All suffixes in descending order, from S* suffixes in ascending order; with prefix values if ``cap``."""
     top, n = int(text.max()), len(text)
     form = Form(n, 2 * top + 1)
+    words = packed_words(text, store) if cap else None
     up = Queue(store, form, 2 * top + 2)
     # the end of the text, the least suffix, comes first and puts back the last position
     up.put(form.pack(np.array([2 * int(text[n - 1])]), np.array([n - 1]), 0))
     for i in range(0, len(stars), BATCH):
         at = np.asarray(stars[i:i + BATCH])
-        lcp = shared_prefix(text, np.append(stars[i - 1] if i else at[0], at[:-1]), at, cap).astype(np.int64) if cap else 0
+        lcp = shared_prefix(words, np.append(stars[i - 1] if i else at[0], at[:-1]), at, cap).astype(np.int64) if cap else 0
         up.put(form.pack(2 * text[at].astype(np.int64) + 1, at, lcp))
-    grown = Step(text, types, False, top, form, cap)
+    grown = Step(text, types, False, top, form, cap, words)
     grown.known[2 * int(text[n - 1])] = True
     path, total = store.path(), 0
     with open(path, "wb") as f:
@@ -310,7 +336,7 @@ def _passes(text: np.ndarray, types: np.ndarray, stars: np.ndarray, store: Store
         down.put(form.pack(2 * (top - form.key(rows) // 2) + 1, form.at(rows), lcp))
     del back
     os.remove(path)
-    for batch in down.drain(Step(text, types, True, top, form, cap)):
+    for batch in down.drain(Step(text, types, True, top, form, cap, words)):
         yield form.at(batch), form.lcp(batch)
 
 
@@ -396,7 +422,7 @@ def _descending(text: np.ndarray, store: Store, cap: int) -> Iterator[tuple[np.n
 
 
 def suffixes_descending(text: np.ndarray, cap: int, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, shared prefix with the suffix before, up to ``cap`` of at most 254) of all suffixes of ``text``, from the largest down.
+    """(positions, shared prefix with the suffix before, up to ``cap`` of at most 254) of all suffixes of ``text`` (symbols below 512), from the largest down.
 
     Suffixes are in order by their first ``cap`` symbols at least.
     """

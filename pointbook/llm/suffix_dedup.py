@@ -250,7 +250,7 @@ def _found(rows: DataFrame, width: int, narrow, wide, out: str, bodies: bool) ->
 
 
 def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each body in their joined text, least doc by position there) of equal ``width``-byte windows of the bodies."""
+    """(start of each body in their joined text, at each window's position there the least doc of its equals)."""
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
     start = np.cumsum(size + 1) - size - 1
     with Store() as store:
@@ -260,26 +260,38 @@ def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.nd
             s = size[i:i + 4096]
             at = start[i:i + 4096].repeat(s) + np.arange(len(part)) - (np.cumsum(s) - s).repeat(s)
             text[at] = part.astype(np.uint16) + 1  # 0 stands between bodies
-        least = store.array(len(text), np.int64)
+        # only whole windows matter: what lies between two equal ones is equal to them
+        whole = store.array(len(text), bool)
+        windows = size - width + 1
+        for i in range(0, len(bodies), 4096):
+            w = windows[i:i + 4096]
+            whole[start[i:i + 4096].repeat(w) + np.arange(int(w.sum())) - (np.cumsum(w) - w).repeat(w)] = True
         group = store.array(len(text), np.int64)
-        best, n = [], -1
+        best, n, seen, before = [], -1, 0, -1
         for at, shared in suffixes_descending(text, width, store):
-            new = shared < width
-            number = n + np.cumsum(new)
-            group[at] = number
+            number = seen + np.cumsum(shared < width)
+            seen = int(number[-1])
+            use = whole[at]
+            at, number = at[use], number[use]
+            if not len(at):
+                continue
+            new = np.append(number[0] != before, number[1:] != number[:-1])
+            before = int(number[-1])
+            dense = n + np.cumsum(new)
+            n = int(dense[-1])
+            group[at] = dense
             owner = docs[np.searchsorted(start, at, side="right") - 1]
-            heads = np.flatnonzero(np.append(True, new[1:]))
-            value = np.minimum.reduceat(owner, heads)
+            value = np.minimum.reduceat(owner, np.flatnonzero(np.append(True, new[1:])))
             if not new[0]:
                 best[-1][-1] = min(best[-1][-1], value[0])
                 value = value[1:]
             if len(value):
                 best.append(value)
-            n = int(number[-1])
-        best = np.concatenate(best) if best else np.zeros(0, np.int64)
+        best = np.concatenate(best) if best else np.zeros(1, np.int64)
+        least = np.zeros(len(text), np.int64)
         for i in range(0, len(text), 1 << 20):
             least[i:i + (1 << 20)] = best[group[i:i + (1 << 20)]]
-        return start, np.array(least)
+        return start, least
 
 
 def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
