@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_root
+
 
 def asof_floor(values: DataFrame, key: str, lookup: DataFrame, lookup_key: str, payload: list[str],
                num_partitions: int | None = None) -> DataFrame:
@@ -31,6 +33,10 @@ def asof_floor(values: DataFrame, key: str, lookup: DataFrame, lookup_key: str,
     # lookup rows sort before values at the same key, so key >= lookup_key hits
     u = (left.unionByName(right).repartitionByRange(n, "_v", "_side")
          .withColumn("_pid", F.spark_partition_id()))
+    # range bounds are sampled anew by each exchange: the scan and the tails
+    # must read one and the same partitioning, so it is written once
+    checkpoint_root(spark)
+    u = u.checkpoint(eager=True)
     run = Window.partitionBy("_pid").orderBy("_v", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scanned = u.withColumn("_hit", F.last("_pl", ignorenulls=True).over(run))
     # last lookup row of every partition, then the one each partition inherits

@@ -13,35 +13,14 @@ from ..session import checkpoint_root
 DEFAULT_BROADCAST_ROWS = 100_000
 
 
-def _local_row_count(df: DataFrame) -> int | None:
-    """Exact row count of a DataFrame whose optimized plan is a local relation
-    (rows held by the driver, e.g. a configuration table built in code),
-    possibly under projections; None for anything else."""
-    try:
-        node = df._jdf.queryExecution().optimizedPlan()
-        while node.nodeName() == "Project":
-            node = node.child()
-        if node.nodeName() == "LocalRelation":
-            return int(str(node.stats().rowCount().get()))
-    except Exception:  # noqa: BLE001 - any surprise: fall back to counting
-        return None
-    return None
-
-
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
 
-    A local relation is counted from its plan (exact, no job). Otherwise
-    only ``max_rows + 1`` rows are ever counted. Over a plain table scan the
-    limit also stops the read early; over an aggregation (distinct keys, a
-    collapsed table) the aggregation itself runs in full and only its
-    output is limited, so callers apply this to configuration tables and
-    request-sized inputs, never to the ledger.
+    A plain count: one partial count per task, and no column is read from a
+    bare scan. Callers apply it to configuration tables and request batches,
+    never to the ledger.
     """
-    n = _local_row_count(df)
-    if n is not None:
-        return n <= max_rows
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -80,14 +59,14 @@ def restrict_to_keys(tables: list[tuple[DataFrame, str]], requests: DataFrame, r
 
     A batch of a few requests should not aggregate the whole ledger or
     shuffle the whole roster: a batch of at most ``max_rows`` requests
-    (counted without reading past ``max_rows + 1`` rows) has at most that
+    has at most that
     many distinct keys, which are broadcast into a semi-join, so each table is only scanned and
     filtered map-side before any aggregation or shuffle. A key set beyond
     the bound leaves the tables as they are (the caller's aggregate-first
     plan is then the cheaper one).
     """
-    # the raw batch bounds its distinct keys, and counting it stops after
-    # max_rows + 1 rows; a larger batch keeps the aggregate-first plan
+    # the raw batch bounds its distinct keys; a larger batch keeps the
+    # aggregate-first plan
     if not row_count_at_most(requests, max_rows):
         return [t for t, _ in tables]
     b = F.broadcast(requests.select(F.col(request_key).alias("_key")).distinct())

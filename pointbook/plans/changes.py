@@ -192,5 +192,5 @@ def q_affected_counts(spark, sf):
                                     si.thresholds(spark, sf))
     sent = msg.message_outbox(prepared, o.SENDER).agg(F.count(F.lit(1)).alias("n"))
     return (imported.select(F.lit("imported").alias("metric"), F.col("imported").cast("bigint").alias("n"))
-            .unionByName(counts.agg(F.sum("deleted").cast("bigint").alias("n")).select(F.lit("deleted").alias("metric"), "n"))
+            .unionByName(counts.agg(F.coalesce(F.sum("deleted"), F.lit(0)).cast("bigint").alias("n")).select(F.lit("deleted").alias("metric"), "n"))
             .unionByName(sent.select(F.lit("sent").alias("metric"), F.col("n").cast("bigint"))))

@@ -17,8 +17,6 @@ from . import oracles as o
 from .changes import current_thresholds
 from .registry import query
 
-TOP_K = 100
-PER_STUDENT_K = 5
 
 
 # == scans, snapshots, seeds (A*) ============================================
@@ -160,44 +158,40 @@ def q_row_count(spark, sf):
 _NOCASE = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query("students_sorted", f"SELECT * FROM students ORDER BY {_NOCASE.format(c='name')}, id LIMIT {TOP_K}")
+@query("students_sorted", f"SELECT * FROM students ORDER BY {_NOCASE.format(c='name')}, id")
 def q_students_sorted(spark, sf):
-    """first rows of the roster by name (NOCASE), then id."""
-    return od.top_k(si.students(spark, sf), "students", TOP_K)
+    """the whole roster by name (NOCASE), then id."""
+    return od.sorted_rows(si.students(spark, sf), "students")
 
 
-@query("rules_sorted", f"SELECT * FROM rules ORDER BY sort_order, {_NOCASE.format(c='title')}, id LIMIT {TOP_K}")
+@query("rules_sorted", f"SELECT * FROM rules ORDER BY sort_order, {_NOCASE.format(c='title')}, id")
 def q_rules_sorted(spark, sf):
     """rules by sort_order, then title (NOCASE)."""
-    return od.top_k(si.rules(spark, sf), "rules", TOP_K)
+    return od.sorted_rows(si.rules(spark, sf), "rules")
 
 
-@query("thresholds_sorted", f"SELECT * FROM {o.THRESHOLDS_CURRENT} t ORDER BY sort_order, min_points, id LIMIT {TOP_K}")
+@query("thresholds_sorted", f"SELECT * FROM {o.THRESHOLDS_CURRENT} t ORDER BY sort_order, min_points, id")
 def q_thresholds_sorted(spark, sf):
     """current thresholds by sort_order, then min_points."""
-    return od.top_k(current_thresholds(spark, sf), "thresholds", TOP_K)
+    return od.sorted_rows(current_thresholds(spark, sf), "thresholds")
 
 
-@query("penalties_sorted", f"""
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY student_id ORDER BY occurred_on DESC, created_at DESC, id)
- AS INTEGER) AS rank FROM penalties) p WHERE rank <= {PER_STUDENT_K}""")
+@query("penalties_sorted", "SELECT * FROM penalties ORDER BY occurred_on DESC, created_at DESC, id")
 def q_penalties_sorted(spark, sf):
-    """each student's most recent ledger rows (occurred_on, created_at desc)."""
-    return od.top_k_per_group(si.penalties(spark, sf), "penalties", PER_STUDENT_K)
+    """the whole ledger, most recent rows first (occurred_on, created_at desc)."""
+    return od.sorted_rows(si.penalties(spark, sf), "penalties")
 
 
-@query("notes_sorted", f"""
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY student_id ORDER BY noted_on DESC, created_at DESC, id)
- AS INTEGER) AS rank FROM notes) n WHERE rank <= {PER_STUDENT_K}""")
+@query("notes_sorted", "SELECT * FROM notes ORDER BY noted_on DESC, created_at DESC, id")
 def q_notes_sorted(spark, sf):
-    """each student's most recent notes (noted_on, created_at desc)."""
-    return od.top_k_per_group(si.notes(spark, sf), "notes", PER_STUDENT_K)
+    """all notes, most recent first (noted_on, created_at desc)."""
+    return od.sorted_rows(si.notes(spark, sf), "notes")
 
 
-@query("summary_sorted", f"SELECT * FROM {o.TOTALS} t ORDER BY {_NOCASE.format(c='name')}, id LIMIT {TOP_K}")
+@query("summary_sorted", f"SELECT * FROM {o.TOTALS} t ORDER BY {_NOCASE.format(c='name')}, id")
 def q_summary_sorted(spark, sf):
     """cumulative summary by name (NOCASE)."""
-    return od.top_k(ledger.cumulative_points(si.students(spark, sf), si.penalties(spark, sf)), "summary", TOP_K)
+    return od.sorted_rows(ledger.cumulative_points(si.students(spark, sf), si.penalties(spark, sf)), "summary")
 
 
 @query("thresholds_by_min", f"""

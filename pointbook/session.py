@@ -64,6 +64,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         sc.setCheckpointDir(d)  # configured but not yet registered with the context
         return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="pointbook-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(local)
         d = spark.sparkContext._jsc.sc().getCheckpointDir().get()

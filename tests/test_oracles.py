@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 
 import pytest
 
@@ -41,7 +42,11 @@ FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroups
              "CartesianProduct")
 
 
-@pytest.mark.parametrize("name", sorted(se.queries()))
+# the training-data queries have tests of their own
+NAMES = sorted(n for n in se.queries() if n != "pipeline" and not re.match(r"op\d+_", n))
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
     df = se.queries()[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -71,3 +71,35 @@ def test_status_counts_sf0001(spark):
     assert counts == {"정상": 135, "L5": 2, "L70A": 8, "L85": 5}
     msg = dict(rows(best_threshold(tot, si.thresholds(spark)).groupBy("threshold_id").count()))
     assert msg.get("th_70b") == 8 and "th_70a" not in msg
+
+
+def test_lookup_beyond_the_broadcast_bound_without_exchange_reuse(spark):
+    """More than 1,000 thresholds, exchange reuse off: equal to brute force."""
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    from pointbook.operators.asof import asof_floor
+
+    keys = sorted({(i * 7919) % 50_000 for i in range(1_500)})
+    lookup = spark.createDataFrame([(k, f"t{k}") for k in keys], "min_points long, id string")
+    values = spark.range(0, 60_000, 3).select(F.col("id").alias("p"))
+    old = spark.conf.get("spark.sql.exchange.reuse", "true")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.p: r.hit and r.hit.id for r in asof_floor(values, "p", lookup, "min_points", ["id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    for p in range(0, 60_000, 3):
+        k = bisect.bisect_right(keys, p)
+        assert got[p] == (f"t{keys[k - 1]}" if k else None)
+
+
+def test_sorted_lists_are_whole_and_in_order(spark):
+    from pointbook.operators.ordering import sorted_rows
+    from pointbook.sources import standin as si
+
+    rows = sorted_rows(si.penalties(spark, "/root/testdata/sf0.001"), "penalties").collect()
+    assert len(rows) == si.penalties(spark, "/root/testdata/sf0.001").count()
+    keys = [(r.occurred_on, r.created_at) for r in rows]
+    assert keys == sorted(keys, reverse=True)
