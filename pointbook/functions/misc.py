@@ -39,13 +39,16 @@ def utc_now(as_of: str) -> Column:
 
 
 def gen_id(prefix: str, *parts) -> Column:
-    """Deterministic key ``prefix_<16 hex>`` from the natural key parts.
+    """Deterministic key ``prefix_<32 hex>`` (128 bits) from its parts.
 
-    SHA-256 of the parts joined by ``|`` (NULL parts skipped), so a retried
-    task or a replayed micro-batch produces the same ids.
+    Each part is written as ``<length>:<text>`` and a NULL as ``n``, so
+    different parts never give the same text; its SHA-256 is cut to 128 bits.
+    A retried task or a replayed micro-batch makes the same ids. Callers put
+    the batch's name first: ``seq`` restarts in every batch.
     """
-    cols = [_c(p).cast("string") for p in parts]
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 16))
+    texts = [_c(p).cast("string") for p in parts]
+    keyed = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat(*keyed), 256), 1, 32))
 
 
 def badge_label(hit_id, label, min_points) -> Column:

@@ -2,7 +2,7 @@
 
 The reference sends one request at a time to a gateway; here a batch of send
 requests becomes an *outbox* DataFrame with one row per distinct recipient
-(idempotent key = request seq + position), plus a quarantine of rejected
+(idempotent key = batch + request seq + position), plus a quarantine of rejected
 requests. Delivery itself is outside the library.
 
 Plan: the ledger is pre-aggregated once (``cumulative_points``), thresholds
@@ -70,13 +70,13 @@ def prepare_messages(requests: DataFrame, students: DataFrame, penalties: DataFr
     )
 
 
-def message_outbox(prepared: DataFrame, sender: str) -> DataFrame:
+def message_outbox(prepared: DataFrame, sender: str, batch: str) -> DataFrame:
     """A5: one row per accepted request and distinct recipient:
     ``outbox_id, seq, student_id, pos, to, from, text``."""
     ok = prepared.where(F.col("reject_reason").isNull())
     ex = ok.select("seq", "student_id", "text", F.posexplode("recipients").alias("pos", "to"))
     return ex.select(
-        gen_id("sms", "seq", "pos").alias("outbox_id"), "seq", "student_id", "pos", "to",
+        gen_id("sms", F.lit(batch), "seq", "pos").alias("outbox_id"), "seq", "student_id", "pos", "to",
         normalize_phone(F.lit(sender)).alias("from"), "text")
 
 

@@ -188,19 +188,19 @@ RULE_FIELDS = ["title", "points", "is_active", "sort_order"]
 THRESHOLD_FIELDS = ["min_points", "label", "message_template", "sort_order"]
 
 
-def upsert_rules(rules: DataFrame, requests: DataFrame, as_of: str, **kw) -> tuple[DataFrame, DataFrame]:
+def upsert_rules(rules: DataFrame, requests: DataFrame, as_of: str, batch: str, **kw) -> tuple[DataFrame, DataFrame]:
     """Coerced, validated rule upserts; all four fields overwritten on
     conflict. Past ledger rows are not touched (their title and points are
     frozen copies)."""
-    ok, bad = split_valid(validate_rules(requests))
+    ok, bad = split_valid(validate_rules(requests, batch))
     return merge_upsert(rules, dedupe_last(ok, "id", RULE_FIELDS), "id", RULE_FIELDS, as_of, source=requests,
                         **kw), bad
 
 
-def upsert_thresholds(thresholds: DataFrame, requests: DataFrame, as_of: str,
+def upsert_thresholds(thresholds: DataFrame, requests: DataFrame, as_of: str, batch: str,
                       **kw) -> tuple[DataFrame, DataFrame]:
     """Coerced, validated threshold upserts (template NULL -> ``''``)."""
-    ok, bad = split_valid(validate_thresholds(requests))
+    ok, bad = split_valid(validate_thresholds(requests, batch))
     net = dedupe_last(ok, "id", THRESHOLD_FIELDS)
     return merge_upsert(thresholds, net, "id", THRESHOLD_FIELDS, as_of, source=requests, **kw), bad
 
@@ -220,13 +220,14 @@ def rule_snapshot(requests: DataFrame, rules: DataFrame, max_broadcast_rows: int
     return requests.join(r, F.col("rule_id") == F.col("_rid"), "left")
 
 
-def assign_penalties(requests: DataFrame, rules: DataFrame, students: DataFrame, as_of: str) -> DataFrame:
+def assign_penalties(requests: DataFrame, rules: DataFrame, students: DataFrame, as_of: str, batch: str) -> DataFrame:
     """C9 (J3 -> D2 -> D3): every request with ``reject_reason`` (NULL =
     accepted) and, for accepted ones, the ledger row to append.
 
     The rule's *current* title and points are copied onto the row (frozen
     thereafter); inactive rules are accepted; the student must exist.
     Reject order: schema -> rule_not_found -> student_not_found.
+    ``batch`` names the batch and is part of every id: ``seq`` is unique in it only.
     Both lookups are equi-joins; the rules (a configuration table) are
     broadcast after a bounded count (``rule_snapshot``). A batch naming few students (a micro-batch) first
     narrows the roster to them through a broadcast semi-join, so the roster
@@ -245,7 +246,7 @@ def assign_penalties(requests: DataFrame, rules: DataFrame, students: DataFrame,
     )
     return j.select(
         "seq",
-        gen_id(ID_PREFIX_PENALTY, "seq", "student_id", "rule_id", "occurred_on").alias("id"),
+        gen_id(ID_PREFIX_PENALTY, F.lit(batch), "seq", "student_id", "rule_id", "occurred_on").alias("id"),
         "student_id", "rule_id", "rule_title", "points", "occurred_on", "memo",
         F.lit(as_of).alias("created_at"),
         reason.alias("reject_reason"),
@@ -303,7 +304,7 @@ def reset_penalties(penalties: DataFrame, requests: DataFrame, split_hot: bool =
 
 # -- notes (C12) ----------------------------------------------------------------------
 
-def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_of: str,
+def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_of: str, batch: str,
                  **kw) -> tuple[DataFrame, DataFrame]:
     """Insert, or overwrite ``noted_on`` and ``content`` - a note's
     ``student_id`` never changes on conflict.
@@ -313,7 +314,7 @@ def upsert_notes(notes: DataFrame, requests: DataFrame, students: DataFrame, as_
     requests for it are updates whose ``student_id`` is ignored.
     Returns ``(new_notes, rejected_requests)``.
     """
-    ok, bad = split_valid(validate_notes(requests))
+    ok, bad = split_valid(validate_notes(requests, batch))
     # one bounded check on the batch decides every lookup: a small batch looks
     # up only the notes and students it names and merges by broadcast
     limit = kw.pop("max_broadcast_rows", DEFAULT_BROADCAST_ROWS)

@@ -45,9 +45,9 @@ def _with_issues(df: DataFrame, checks: list[tuple[Column, str]]) -> DataFrame:
     return df.withColumn("issues", issues_of(*checks))
 
 
-def _generated_id(prefix: str, *parts: str) -> Column:
-    """``if (!body.id) body.id = uid(prefix)``; deterministic."""
-    return F.when(F.coalesce(F.col("id"), F.lit("")) == "", gen_id(prefix, *parts)).otherwise(F.col("id"))
+def _generated_id(prefix: str, batch: str, *parts: str) -> Column:
+    """The given id; a missing or empty one is generated (I11) from the batch's name and the row's parts."""
+    return F.when(F.coalesce(F.col("id"), F.lit("")) == "", gen_id(prefix, F.lit(batch), *parts)).otherwise(F.col("id"))
 
 
 def validate_students(df: DataFrame) -> DataFrame:
@@ -56,11 +56,11 @@ def validate_students(df: DataFrame) -> DataFrame:
     return _with_issues(df, non_empty("id") + non_empty("name"))
 
 
-def validate_rules(df: DataFrame) -> DataFrame:
+def validate_rules(df: DataFrame, batch: str) -> DataFrame:
     """J2 with the reference's coercion: id generated when missing or empty,
     ``points = Number(points)`` (required), ``is_active`` default 1,
     ``sort_order`` default 0, all integers."""
-    d = df.withColumn("id", _generated_id(ID_PREFIX_RULE, "title", "seq"))
+    d = df.withColumn("id", _generated_id(ID_PREFIX_RULE, batch, "title", "seq"))
     pts = to_integer("points")
     act = F.when(F.col("is_active").isNull(), F.lit(1).cast("bigint")).otherwise(to_integer("is_active"))
     so = F.when(F.col("sort_order").isNull(), F.lit(0).cast("bigint")).otherwise(to_integer("sort_order"))
@@ -84,11 +84,11 @@ def validate_resets(df: DataFrame) -> DataFrame:
     return _with_issues(df, non_empty("student_id") + ymd_field("from") + ymd_field("to"))
 
 
-def validate_thresholds(df: DataFrame) -> DataFrame:
+def validate_thresholds(df: DataFrame, batch: str) -> DataFrame:
     """J5 with coercion: id generated when missing or empty; ``min_points``
     required integer; label non-empty; template NULL -> ``''``; ``sort_order``
     default 0. (A NULL template is treated as absent, like every NULL.)"""
-    d = df.withColumn("id", _generated_id(ID_PREFIX_THRESHOLD, "label", "seq"))
+    d = df.withColumn("id", _generated_id(ID_PREFIX_THRESHOLD, batch, "label", "seq"))
     mp = to_integer("min_points")
     so = F.when(F.col("sort_order").isNull(), F.lit(0).cast("bigint")).otherwise(to_integer("sort_order"))
     d = d.select(*[c for c in d.columns if c not in ("min_points", "sort_order", "message_template")],
@@ -100,10 +100,10 @@ def validate_thresholds(df: DataFrame) -> DataFrame:
     ])
 
 
-def validate_notes(df: DataFrame) -> DataFrame:
+def validate_notes(df: DataFrame, batch: str) -> DataFrame:
     """Id generated when missing or empty; student_id and content non-empty;
     noted_on date text."""
-    d = df.withColumn("id", _generated_id(ID_PREFIX_NOTE, "student_id", "noted_on", "seq"))
+    d = df.withColumn("id", _generated_id(ID_PREFIX_NOTE, batch, "student_id", "noted_on", "seq"))
     return _with_issues(d, non_empty("id") + non_empty("student_id") + ymd_field("noted_on")
                         + non_empty("content"))
 

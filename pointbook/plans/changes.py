@@ -92,7 +92,7 @@ SELECT * FROM {o.sql_merge('rules', o.sql_last(f"(SELECT * FROM {o.RULES_CHECKED
                            o.RULE_COLS, ['title', 'points', 'is_active', 'sort_order'])} m""")
 def q_upsert_rules(spark, sf):
     """Coerced rule upserts merged (generated ids for empty ones)."""
-    new, _ = mu.upsert_rules(si.rules(spark, sf), si.rule_upserts(spark, sf), o.AS_OF)
+    new, _ = mu.upsert_rules(si.rules(spark, sf), si.rule_upserts(spark, sf), o.AS_OF, o.BATCH)
     return new
 
 
@@ -107,13 +107,13 @@ SELECT * FROM {o.sql_merge('thresholds', o.sql_last(f"(SELECT * FROM {o.THRESHOL
                            o.THRESHOLD_COLS, ['min_points', 'label', 'message_template', 'sort_order'])} m""")
 def q_upsert_thresholds(spark, sf):
     """Coerced threshold upserts merged."""
-    new, _ = mu.upsert_thresholds(si.thresholds(spark, sf), si.threshold_upserts(spark, sf), o.AS_OF)
+    new, _ = mu.upsert_thresholds(si.thresholds(spark, sf), si.threshold_upserts(spark, sf), o.AS_OF, o.BATCH)
     return new
 
 
 def current_thresholds(spark, sf):
     """The thresholds after the event-derived threshold upserts."""
-    return mu.upsert_thresholds(si.thresholds(spark, sf), si.threshold_upserts(spark, sf), o.AS_OF)[0]
+    return mu.upsert_thresholds(si.thresholds(spark, sf), si.threshold_upserts(spark, sf), o.AS_OF, o.BATCH)[0]
 
 
 @query("delete_thresholds", f"""
@@ -168,7 +168,7 @@ SELECT * FROM {o.sql_merge('notes', _NOTES_NET, o.NOTE_COLS, ['noted_on', 'conte
 def q_upsert_notes(spark, sf):
     """Note upserts; a note's student never changes on conflict; new notes
     need an existing student."""
-    new, _ = mu.upsert_notes(si.notes(spark, sf), si.note_upserts(spark, sf), si.students(spark, sf), o.AS_OF)
+    new, _ = mu.upsert_notes(si.notes(spark, sf), si.note_upserts(spark, sf), si.students(spark, sf), o.AS_OF, o.BATCH)
     return new
 
 
@@ -190,7 +190,7 @@ def q_affected_counts(spark, sf):
     _, counts = mu.reset_penalties(si.penalties(spark, sf), si.reset_requests(spark, sf), split_hot=False)
     prepared = msg.prepare_messages(si.sms_requests(spark, sf), si.students(spark, sf), si.penalties(spark, sf),
                                     si.thresholds(spark, sf))
-    sent = msg.message_outbox(prepared, o.SENDER).agg(F.count(F.lit(1)).alias("n"))
+    sent = msg.message_outbox(prepared, o.SENDER, o.BATCH).agg(F.count(F.lit(1)).alias("n"))
     return (imported.select(F.lit("imported").alias("metric"), F.col("imported").cast("bigint").alias("n"))
             .unionByName(counts.agg(F.coalesce(F.sum("deleted"), F.lit(0)).cast("bigint").alias("n")).select(F.lit("deleted").alias("metric"), "n"))
             .unionByName(sent.select(F.lit("sent").alias("metric"), F.col("n").cast("bigint"))))

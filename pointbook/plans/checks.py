@@ -24,7 +24,7 @@ def q_validate_students(spark, sf):
 @query("validate_rules", f"SELECT seq, id, title, points, is_active, sort_order, issues FROM {o.RULES_CHECKED} r")
 def q_validate_rules(spark, sf):
     """J2 + I5 coercion over rule upsert requests (ids generated when empty)."""
-    v = va.validate_rules(si.rule_upserts(spark, sf))
+    v = va.validate_rules(si.rule_upserts(spark, sf), o.BATCH)
     return v.select("seq", "id", "title", "points", "is_active", "sort_order", _issues())
 
 
@@ -44,14 +44,14 @@ def q_validate_resets(spark, sf):
 SELECT seq, id, label, min_points, message_template, sort_order, issues FROM {o.THRESHOLDS_CHECKED} t""")
 def q_validate_thresholds(spark, sf):
     """J5 + coercion over threshold upsert requests."""
-    v = va.validate_thresholds(si.threshold_upserts(spark, sf))
+    v = va.validate_thresholds(si.threshold_upserts(spark, sf), o.BATCH)
     return v.select("seq", "id", "label", "min_points", "message_template", "sort_order", _issues())
 
 
 @query("validate_notes", f"SELECT seq, id, issues FROM {o.NOTES_CHECKED} n")
 def q_validate_notes(spark, sf):
     """J6 over note upsert requests (ids generated when empty)."""
-    return va.validate_notes(si.note_upserts(spark, sf)).select("seq", "id", _issues())
+    return va.validate_notes(si.note_upserts(spark, sf), o.BATCH).select("seq", "id", _issues())
 
 
 @query("validate_sms", f"SELECT seq, issues FROM {o.sms_prepared()} q")
@@ -82,7 +82,7 @@ def q_precheck_resets(spark, sf):
 
 def _decided(spark, sf):
     return mu.assign_penalties(si.penalty_requests(spark, sf), si.rules(spark, sf), si.students(spark, sf),
-                               o.AS_OF)
+                               o.AS_OF, o.BATCH)
 
 
 @query("assign_penalties", f"""

@@ -6,6 +6,9 @@ tables independently of the Spark code, so a mismatch in either shows up.
 
 from __future__ import annotations
 
+# Name of the request batches that the queries apply.
+BATCH = "b-2024-03"
+
 _K8 = "lpad(CAST(c_custkey AS VARCHAR), 8, '0')"
 
 VIEWS = {
@@ -130,10 +133,11 @@ def sql_render(tpl: str, name: str, points: str, threshold: str, label: str) ->
             f"lambda i: {parts}[i] || coalesce({val}, '')), '') END)")
 
 
-def sql_gen_id(prefix: str, *parts: str) -> str:
-    """I11 in DuckDB SQL."""
-    cs = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"('{prefix}_' || substr(sha256(concat_ws('|', {cs})), 1, 16))"
+def sql_gen_id(prefix: str, *parts: str, batch: str = BATCH) -> str:
+    """I11 in DuckDB SQL, for rows of the named batch."""
+    texts = [f"CAST({p} AS VARCHAR)" for p in (f"'{batch}'", *parts)]
+    keyed = " || ".join(f"COALESCE(CAST(length({t}) AS VARCHAR) || ':' || {t}, 'n')" for t in texts)
+    return f"('{prefix}_' || substr(sha256({keyed}), 1, 32))"
 
 
 TOTALS = """(SELECT s.*, CAST(COALESCE(p.sum_points, 0) AS BIGINT) AS points FROM students s
@@ -274,13 +278,18 @@ PENALTIES_CHECKED = f"""(SELECT *, {sql_issues(sql_non_empty('student_id') + sql
 RESETS_CHECKED = f"""(SELECT *, {sql_issues(sql_non_empty('student_id') + sql_ymd_field('from')
     + sql_ymd_field('to'))} AS issues FROM reset_requests)"""
 
-ASSIGN_DECIDED = f"""(SELECT p.seq, {sql_gen_id('pen', 'p.seq', 'p.student_id', 'p.rule_id', 'p.occurred_on')} AS id,
+def assign_decided(batch: str = BATCH) -> str:
+    """Every request of the named batch with its decision."""
+    return f"""(SELECT p.seq, {sql_gen_id('pen', 'p.seq', 'p.student_id', 'p.rule_id', 'p.occurred_on', batch=batch)} AS id,
  p.student_id, p.rule_id, r.title AS rule_title, r.points, p.occurred_on, p.memo, '{AS_OF}' AS created_at,
  CASE WHEN p.issues <> '' THEN 'schema' WHEN r.id IS NULL THEN 'rule_not_found'
   WHEN s.id IS NULL THEN 'student_not_found' END AS reject_reason, p.issues
  FROM {PENALTIES_CHECKED} p LEFT JOIN rules r ON r.id = p.rule_id LEFT JOIN students s ON s.id = p.student_id)"""
 
 
+ASSIGN_DECIDED = assign_decided()
+
+
 # Thresholds as they stand after the event-derived threshold upserts.
 THRESHOLDS_CURRENT = sql_merge("thresholds", sql_last(f"(SELECT * FROM {THRESHOLDS_CHECKED} t WHERE issues = '')"),
                                THRESHOLD_COLS, ["min_points", "label", "message_template", "sort_order"])

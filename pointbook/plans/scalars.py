@@ -83,7 +83,7 @@ SELECT seq, {o.sql_gen_id('pen', 'seq', 'student_id', 'rule_id', 'occurred_on')}
 def q_gen_id(spark, sf):
     """Deterministic ledger ids of assign requests."""
     r = si.penalty_requests(spark, sf)
-    return r.select("seq", gen_id("pen", "seq", "student_id", "rule_id", "occurred_on").alias("id"))
+    return r.select("seq", gen_id("pen", F.lit(o.BATCH), "seq", "student_id", "rule_id", "occurred_on").alias("id"))
 
 
 @query("utc_now", f"SELECT id, '{o.AS_OF}' AS updated_at FROM students")

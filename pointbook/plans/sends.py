@@ -25,7 +25,7 @@ def _prepared(spark, sf):
 def q_message_outbox(spark, sf):
     """A5 (flagship): ledger -> totals -> best threshold -> default message ->
     distinct recipients -> one outbox row per recipient."""
-    return msg.message_outbox(_prepared(spark, sf), o.SENDER).withColumn("pos", F.col("pos").cast("bigint"))
+    return msg.message_outbox(_prepared(spark, sf), o.SENDER, o.BATCH).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("message_rejects", f"""

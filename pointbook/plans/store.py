@@ -108,26 +108,30 @@ class LedgerStore:
         self.commit("notes", n)
         self.commit("students", s)
 
-    def upsert_rules(self, requests: DataFrame, as_of: str) -> DataFrame:
-        new, bad = mu.upsert_rules(self.table("rules"), requests, as_of)
+    def upsert_rules(self, requests: DataFrame, as_of: str, batch: str) -> DataFrame:
+        """C5; ``batch`` names the request batch (part of generated ids, here and below)."""
+        new, bad = mu.upsert_rules(self.table("rules"), requests, as_of, batch)
         self.commit("rules", new)
         return bad
 
-    def upsert_thresholds(self, requests: DataFrame, as_of: str) -> DataFrame:
-        new, bad = mu.upsert_thresholds(self.table("thresholds"), requests, as_of)
+    def upsert_thresholds(self, requests: DataFrame, as_of: str, batch: str) -> DataFrame:
+        new, bad = mu.upsert_thresholds(self.table("thresholds"), requests, as_of, batch)
         self.commit("thresholds", new)
         return bad
 
     def delete(self, table: str, keys: DataFrame) -> None:
-        """Delete rows of ``table`` by id."""
+        """Delete rows of ``table`` by id; students go with their ledger rows and notes."""
+        if table == "students":
+            return self.delete_students(keys)
         self.commit(table, mu.delete_by_keys(self.table(table), keys))
 
-    def assign(self, requests: DataFrame, as_of: str, batch: str | None = None) -> DataFrame:
+    def assign(self, requests: DataFrame, as_of: str, batch: str) -> DataFrame:
         """Append the accepted rows to the ledger (a new append batch -
         the ledger itself is not rewritten); returns the rejects. ``batch``
-        names the append (a retry with the same name replaces it)."""
-        decided = mu.assign_penalties(requests, self.table("rules"), self.table("students"), as_of)
-        self.append("penalties", mu.accepted_penalties(decided), batch or as_of.replace(" ", "T"))
+        names the batch: it is part of every id, and a retry with the same name
+        adds nothing, also after a later commit."""
+        decided = mu.assign_penalties(requests, self.table("rules"), self.table("students"), as_of, batch)
+        self.append("penalties", mu.accepted_penalties(decided), batch)
         return mu.rejected_penalties(decided)
 
     def reset(self, requests: DataFrame) -> DataFrame:
@@ -138,8 +142,8 @@ class LedgerStore:
         self.commit("penalties", remaining)
         return self.spark.read.parquet(f"{counts_path}/counts/v={v}")
 
-    def upsert_notes(self, requests: DataFrame, as_of: str) -> DataFrame:
-        new, bad = mu.upsert_notes(self.table("notes"), requests, self.table("students"), as_of)
+    def upsert_notes(self, requests: DataFrame, as_of: str, batch: str) -> DataFrame:
+        new, bad = mu.upsert_notes(self.table("notes"), requests, self.table("students"), as_of, batch)
         self.commit("notes", new)
         return bad
 
@@ -153,6 +157,6 @@ class LedgerStore:
         """L1 / A5: outbox rows of a send batch; returns (outbox folder, rejects)."""
         prepared = msg.prepare_messages(requests, self.table("students"), self.table("penalties"),
                                         self.table("thresholds"))
-        path = msg.write_outbox(msg.message_outbox(prepared, sender),
+        path = msg.write_outbox(msg.message_outbox(prepared, sender, f"send-{batch_id}"),
                                 f"{self.root.rstrip('/')}/_outbox", batch_id)
         return path, msg.message_rejects(prepared)

@@ -17,13 +17,13 @@ def _events_stream(spark, sf):
 
 
 @query("stream_assign", f"""
-SELECT {', '.join(o.PENALTY_COLS)} FROM {o.ASSIGN_DECIDED} d WHERE reject_reason IS NULL""")
+SELECT {', '.join(o.PENALTY_COLS)} FROM {o.assign_decided(f'{o.BATCH}-0')} d WHERE reject_reason IS NULL""")
 def q_stream_assign(spark, sf):
     """Assign requests ingested as a stream, each micro-batch through the
     batch assign operator; the ledger rows it appended."""
     out, ck = scratch_path(spark, "stream_assign", "out"), scratch_path(spark, "stream_assign", "ckpt")
     requests = si.penalty_requests_from_events(_events_stream(spark, sf))
-    q = stream_assign(requests, lambda: si.rules(spark, sf), lambda: si.students(spark, sf), out, ck, o.AS_OF)
+    q = stream_assign(requests, lambda: si.rules(spark, sf), lambda: si.students(spark, sf), out, ck, o.AS_OF, o.BATCH)
     q.awaitTermination()
     return accepted_penalties(read_assigned(spark, out))
 

@@ -10,6 +10,8 @@ uncommitted folder.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -115,6 +117,10 @@ def write_ledger_snapshot(ledger: DataFrame, root: str, table: str = "penalties"
 
 # -- append batches on top of a version ----------------------------------------
 
+# Names that every file system takes as part of a path.
+BATCH_NAME = re.compile(r"[A-Za-z0-9-][A-Za-z0-9._-]*")
+
+
 def appends_path(root: str, table: str, base_version: int) -> str:
     return f"{root.rstrip('/')}/{table}/_appends/v={base_version}"
 
@@ -134,7 +140,17 @@ def committed_append_batches(spark: SparkSession, root: str, table: str, base_ve
 
 def write_append(df: DataFrame, root: str, table: str, base_version: int, batch: str) -> str:
     """Append ``df`` to ``table`` without rewriting it: a new batch folder on top
-    of ``base_version`` (overwritten on a retry of the same ``batch``)."""
+    of ``base_version``. A batch of this name that has committed, on this or on
+    an earlier version (whose successor holds its rows), is left as it is, so
+    a retry never adds rows twice and never deletes committed ones. Batch
+    folders are thus kept; only an uncommitted one is overwritten."""
+    if not BATCH_NAME.fullmatch(batch):
+        raise ValueError(f"batch name {batch!r} must be letters, digits, '_', '-' or '.', not starting with '.' or '_'")
+    for version in range(base_version, -1, -1):
+        done = f"{appends_path(root, table, version)}/batch={batch}"
+        fs, marker, _ = _fs(df.sparkSession, f"{done}/_SUCCESS")
+        if fs.exists(marker):
+            return done
     path = f"{appends_path(root, table, base_version)}/batch={batch}"
     df.write.mode("overwrite").parquet(path)
     return path

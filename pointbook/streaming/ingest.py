@@ -44,26 +44,31 @@ def read_parquet_stream(spark: SparkSession, directory: str, file_glob: str, sch
 
 def stream_assign(requests: DataFrame, rules_loader: Callable[[], DataFrame],
                   students_loader: Callable[[], DataFrame], out_dir: str, checkpoint_dir: str,
-                  as_of: str | Callable[[int], str], available_now: bool = True,
+                  as_of: str | Callable[[int], str], stream: str, available_now: bool = True,
                   processing_time: str | None = None) -> StreamingQuery:
     """Start the ingest query; decided requests land in ``out_dir/batch=<id>``
-    (accepted rows have a NULL ``reject_reason``)."""
-    run_batch = assign_batch_writer(rules_loader, students_loader, out_dir, as_of)
+    (accepted rows have a NULL ``reject_reason``). ``stream`` names the stream;
+    with the micro-batch's number it is part of every generated id."""
+    run_batch = assign_batch_writer(rules_loader, students_loader, out_dir, as_of, stream)
     w = requests.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "1 minute")
     return w.start()
 
 
 def assign_batch_writer(rules_loader: Callable[[], DataFrame], students_loader: Callable[[], DataFrame],
-                        out_dir: str, as_of: str | Callable[[int], str]) -> Callable[[DataFrame, int], None]:
+                        out_dir: str, as_of: str | Callable[[int], str], stream: str) -> Callable[[DataFrame, int], None]:
     """The per-micro-batch function of S1: the batch assign operator over the
     rules and students as they are now, written to ``batch=<id>`` with
     overwrite (a replayed batch id replaces its own output)."""
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         stamp = as_of(batch_id) if callable(as_of) else as_of
-        decided = assign_penalties(batch, rules_loader(), students_loader(), stamp)
-        decided.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+        batch.persist()  # the size check, the key set and the joins read the source once
+        try:
+            decided = assign_penalties(batch, rules_loader(), students_loader(), stamp, f"{stream}-{batch_id}")
+            decided.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return run_batch
 

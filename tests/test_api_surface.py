@@ -52,7 +52,7 @@ def test_request_file_stream_into_assign(spark, tmp_path):
     out, ck = scratch_path(spark, "t_req", "out"), scratch_path(spark, "t_req", "ck")
     stream = stream_requests(spark, str(src), "penalty_requests", max_files_per_trigger=1)
     stream_assign(stream, lambda: si.rules(spark, SF_SMALL), lambda: si.students(spark, SF_SMALL), out, ck,
-                  lambda batch_id: f"2024-03-0{batch_id + 1} 00:00:00").awaitTermination()
+                  lambda batch_id: f"2024-03-0{batch_id + 1} 00:00:00", "s1").awaitTermination()
     got = {r.seq: (r.reject_reason, r.created_at) for r in read_assigned(spark, out).collect()}
     assert got[2][0] == "rule_not_found" and got[3][0] == "student_not_found" and got[1][0] is None
     assert spark.read.parquet(out).select("batch").distinct().count() == 2

@@ -71,4 +71,9 @@ def test_gen_id_deterministic(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "s bigint, k string")
     ids = [r[0] for r in df.select(gen_id("pen", "s", "k")).collect()]
     assert ids[0] == ids[1] != ids[2]
-    assert all(i.startswith("pen_") and len(i) == 20 for i in ids)
+    assert all(i.startswith("pen_") and len(i) == 36 for i in ids)
+
+
+def test_gen_id_parts_are_unambiguous(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None), ("", "a"), (None, None), ("", "")], "x string, y string")
+    assert df.select(gen_id("n", "x", "y").alias("id")).distinct().count() == 7

@@ -30,14 +30,14 @@ def test_recipients_dedupe_and_no_recipient(spark):
     assert p[3].recipients == ["0109"] and p[3].text == "hi"
     assert p[4].reject_reason == "student_not_found"
     assert p[5].reject_reason == "schema"
-    out = rows(msg.message_outbox(prepared, "02-123"), "seq", "pos", "to", "from")
+    out = rows(msg.message_outbox(prepared, "02-123", "b1"), "seq", "pos", "to", "from")
     assert out == [(1, 0, "0101", "02123"), (3, 0, "0109", "02123")]
 
 
 def test_outbox_counts_sf0001(spark):
     prepared = msg.prepare_messages(si.sms_requests(spark, SF_SMALL), si.students(spark, SF_SMALL),
                                     si.penalties(spark, SF_SMALL), si.thresholds(spark))
-    assert msg.message_outbox(prepared, "02").count() == 243
+    assert msg.message_outbox(prepared, "02", "b1").count() == 243
     assert prepared.where("reject_reason = 'no_recipient'").count() == 2
     from pointbook.functions import normalize_phone
 
@@ -87,12 +87,12 @@ def test_read_requests_json_and_outbox_sink(spark, tmp_path):
     req = read_requests(spark, str(f), "penalty_requests")
     assert req.schema["seq"].dataType.typeName() == "long" and req.where("seq IS NULL").count() == 0
     d = {r.student_id: r.reject_reason for r in assign_penalties(
-        req, si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), "2024-03-01 00:00:00").collect()}
+        req, si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), "2024-03-01 00:00:00", "b1").collect()}
     assert d == {"1": None, "ghost": "student_not_found"}
 
     prepared = msg.prepare_messages(si.sms_requests(spark, SF_SMALL), si.students(spark, SF_SMALL),
                                     si.penalties(spark, SF_SMALL), si.thresholds(spark))
-    out = msg.message_outbox(prepared, "02")
+    out = msg.message_outbox(prepared, "02", "b1")
     path = msg.write_outbox(out, str(tmp_path / "outbox"), 0)
     msg.write_outbox(out, str(tmp_path / "outbox"), 0)  # retry of the same batch
     assert spark.read.parquet(path).count() == 243

@@ -115,7 +115,7 @@ def test_assign_reasons_and_frozen_rule(spark):
         (3, "ghost", "r1", "2024-01-01", None),
         (4, "", "r1", "2024-1-1", None),
     ], "seq bigint, student_id string, rule_id string, occurred_on string, memo string")
-    d = {r.seq: r for r in mu.assign_penalties(req, rules, students(spark), AS_OF).collect()}
+    d = {r.seq: r for r in mu.assign_penalties(req, rules, students(spark), AS_OF, "b1").collect()}
     assert d[1].reject_reason is None and (d[1].rule_title, d[1].points) == ("Late", 1)
     assert d[2].reject_reason == "rule_not_found"
     assert d[3].reject_reason == "student_not_found"
@@ -124,7 +124,7 @@ def test_assign_reasons_and_frozen_rule(spark):
 
 def test_assign_counts_sf0001(spark):
     d = mu.assign_penalties(si.penalty_requests(spark, SF_SMALL), si.rules(spark, SF_SMALL),
-                            si.students(spark, SF_SMALL), AS_OF)
+                            si.students(spark, SF_SMALL), AS_OF, "b1")
     c = dict(rows(d.groupBy("reject_reason").count()))
     assert c == {None: 957, "schema": 22, "rule_not_found": 11, "student_not_found": 10}
 
@@ -144,7 +144,7 @@ def test_note_upsert_keeps_student(spark):
         (3, "n2", "2", "2024-02-02", "d"),        # first valid insert
         (4, "n2", "ghost", "2024-02-03", "e"),    # later update: student ignored
     ], "seq bigint, id string, student_id string, noted_on string, content string")
-    new, bad = mu.upsert_notes(notes, req, students(spark), AS_OF)
+    new, bad = mu.upsert_notes(notes, req, students(spark), AS_OF, "b1")
     got = {r.id: (r.student_id, r.noted_on, r.content) for r in new.collect()}
     assert got == {"n1": ("1", "2024-02-01", "b"), "n2": ("2", "2024-02-03", "e")}
     assert [r.seq for r in bad.collect()] == [2]

@@ -110,7 +110,7 @@ def test_assign_partitions_requests(spark):
     from conftest import SF_SMALL
 
     req = si.penalty_requests(spark, SF_SMALL)
-    d = assign_penalties(req, si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), "2024-03-01 00:00:00")
+    d = assign_penalties(req, si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), "2024-03-01 00:00:00", "b1")
     acc, rej = accepted_penalties(d), rejected_penalties(d)
     assert acc.count() + rej.count() == req.count()
     assert d.select("seq").distinct().count() == req.count()

@@ -18,18 +18,18 @@ def test_stream_assign_equals_batch_and_restart_adds_nothing(spark):
     out, ck = scratch_path(spark, "t_s1", "out"), scratch_path(spark, "t_s1", "ck")
     src = si.penalty_requests_from_events(read_parquet_stream(spark, SF_SMALL, "events.parquet", max_files_per_trigger=1))
     load_rules, load_students = (lambda: si.rules(spark, SF_SMALL)), (lambda: si.students(spark, SF_SMALL))
-    stream_assign(src, load_rules, load_students, out, ck, AS_OF).awaitTermination()
+    stream_assign(src, load_rules, load_students, out, ck, AS_OF, "s1").awaitTermination()
     first = rows(read_assigned(spark, out))
-    batch = assign_penalties(si.penalty_requests(spark, SF_SMALL), si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), AS_OF)
+    batch = assign_penalties(si.penalty_requests(spark, SF_SMALL), si.rules(spark, SF_SMALL), si.students(spark, SF_SMALL), AS_OF, "s1-0")
     assert rows(accepted_penalties(read_assigned(spark, out))) == rows(accepted_penalties(batch))
     # restart from the same checkpoint: no new input, no new rows
-    stream_assign(src, load_rules, load_students, out, ck, AS_OF).awaitTermination()
+    stream_assign(src, load_rules, load_students, out, ck, AS_OF, "s1").awaitTermination()
     assert rows(read_assigned(spark, out)) == first
 
 
 def test_replayed_batch_is_idempotent(spark):
     out = scratch_path(spark, "t_replay", "out")
-    w = assign_batch_writer(lambda: si.rules(spark, SF_SMALL), lambda: si.students(spark, SF_SMALL), out, AS_OF)
+    w = assign_batch_writer(lambda: si.rules(spark, SF_SMALL), lambda: si.students(spark, SF_SMALL), out, AS_OF, "s1")
     reqs = si.penalty_requests(spark, SF_SMALL)
     w(reqs, 0)
     w(reqs, 0)  # the same micro-batch again, as after a failure before its commit
