@@ -43,8 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each text is decoded again from its ids; ``round_trip`` tells that the bytes are the same.
     """
     packed = docs.select("doc_id", "text", "lang", "source")
-    encoded = bpe.encode(packed, RANKS)
-    decoded = bpe.decode(encoded, RANKS)
+    decoded = bpe.recode(packed, RANKS)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return decoded.select("doc_id", "lang", "source", "ids", "offsets", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), same.alias("round_trip"))
 

@@ -35,6 +35,7 @@ def marks(spark):
 OPERATORS = {
     "suffix": lambda d, b, m: suffix_dedup.dedup(d),
     "bpe": lambda d, b, m: bpe.decode(bpe.encode(d, queries.RANKS), queries.RANKS),
+    "bpe_one_pass": lambda d, b, m: bpe.recode(d, queries.RANKS),
     "shards": lambda d, b, m: sharding.number(sharding.assign(d, F.col("doc_id"), 3), 3, ["doc_id"]),
     "lm": lambda d, b, m: lm_scoring.score(d, *lm_scoring.train(d.select("doc_id", "text"), m.where("quality = 1"))),
     "decontaminate": lambda d, b, m: decontaminate.scan(d, b),
