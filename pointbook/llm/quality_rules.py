@@ -2,8 +2,9 @@
 
 Text statistics come from built-in functions. Quantile sketches (KLL) of
 each statistic per language and source are built map-side and merged; the
-fences drawn from their quartiles replace fixed cutoffs, and the documents
-are joined with the fences of their group. DataFrame functions only.
+fences drawn from their quartiles, or from outer quantiles where the quartiles
+coincide, replace fixed cutoffs, and the documents are joined with the fences
+of their group. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -20,16 +21,26 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-# Statistics with a fence, and the least spread that their fence allows for:
-# where nearly all documents of a group agree, a small deviation is no fault.
-LEAST_SPREAD = {"mean_word": 1.0, "symbol_share": 0.04, "dup_line_share": 0.1, "repeat_share": 0.1}
+# Statistics with a fence. The fences of the first are drawn first, and the
+# sketches of the others are of the documents within them: one kind of junk
+# does not widen the fences of the next statistic.
+FENCED = ("mean_word", "symbol_share", "dup_line_share", "repeat_share")
 LOWER_TOO = ("mean_word",)
 
 # Fences lie this many spreads (quartile distances) outside the quartiles.
 REACH = 3.0
 
-# Accuracy of the sketches, and the least documents for fences of a group's
-# own; a smaller group takes those of its language, merged from its sketches.
+# Where the quartiles coincide, the spread is the gap from the median to the
+# first of these quantiles that differs from it. Gaps count by the normal
+# distribution's, so that a fence is as far out as by quartiles; where all
+# are the same, the last one is the fence.
+NORMAL = {0.75: 0.6745, 0.9: 1.2816, 0.95: 1.6449, 0.975: 1.96}
+TAILS = (0.9, 0.95, 0.975)
+FAR = NORMAL[0.75] * (1 + 2 * REACH)
+
+# Accuracy of the sketches, and the least documents for quartiles of a group's
+# own (for outer quantiles as many more as leaves the same number beyond them);
+# a smaller group takes those of its language, merged from its sketches.
 SKETCH_K = 400
 MIN_GROUP = 30
 
@@ -81,44 +92,73 @@ def base_failed() -> Column:
     return (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
 
 
-def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per language and source: ``lo_*`` and ``hi_*`` of each statistic.
-
-    Sketches are aggregated before the shuffle, so a hot source costs one row
-    per task. Null languages and sources are groups of their own. Documents
-    that fail the base rule are not part of any sketch.
-    """
-    names = list(LEAST_SPREAD)
-    stats = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *(c.alias(n) for n, c in shares().items()))
+def _drawn(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Per language and source of ``stats``: of_lang, of_source and the fences of ``names``."""
     own = stats.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in names))
     wide = own.groupBy("lang").agg(*(F.kll_merge_agg_double(n, SKETCH_K).alias(f"all_{n}") for n in names))
     both = own.alias("o").join(wide.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")))
 
-    def fence(n: str) -> list[Column]:
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(n)).otherwise(F.col(f"all_{n}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        reach = REACH * F.greatest(high - low, F.lit(LEAST_SPREAD[n]))
-        return [(high + reach).alias(f"hi_{n}")] + ([(low - reach).alias(f"lo_{n}")] if n in LOWER_TOO else [])
+    def fence(n: str, sign: int) -> Column:
+        def at(p: float, tail: float) -> Column:
+            """The quantile ``p`` (from the other end below) of the sketch that has documents enough beyond ``tail``."""
+            sketch = F.when(F.col("n") * (1 - tail) >= MIN_GROUP * 0.25, F.col(n)).otherwise(F.col(f"all_{n}"))
+            return F.kll_sketch_get_quantile_double(sketch, F.lit(p if sign > 0 else round(1 - p, 3)))
 
-    return both.select(F.col("o.lang").alias("of_lang"), F.col("o.source").alias("of_source"), *(c for n in names for c in fence(n)))
+        near, far = at(0.75, 0.75), at(0.25, 0.75)
+        steps = [F.when(near != far, near + REACH * (near - far))]
+        for p in TAILS:
+            middle, outer = at(0.5, p), at(p, p)
+            steps.append(F.when(outer != middle, middle + FAR / NORMAL[p] * (outer - middle)))
+        return F.coalesce(*steps, at(TAILS[-1], TAILS[-1]))
 
+    sides = [(n, s) for n in names for s in ((1, -1) if n in LOWER_TOO else (1,))]
+    return both.select(F.col("o.lang").alias("of_lang"), F.col("o.source").alias("of_source"),
+                       *(fence(n, s).alias(f"{'hi' if s > 0 else 'lo'}_{n}") for n, s in sides))
 
-def judge(measured: DataFrame, bounds: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Add ``base_failed`` and ``kept``: the base rule holds and every statistic is within the fences of the group.
+
+def _fenced(df: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``df`` (lang, source) with the fences of its groups, null where a group has none.
 
     The fences, one row a group, are broadcast up to ``BROADCAST_GROUPS``
     groups, counted first; beyond, it is a plain join in which Spark splits
-    the partitions of a hot group. A group without fences has no document
-    that passed the base rule.
+    the partitions of a hot group.
     """
     if bounds.count() <= BROADCAST_GROUPS:
         bounds = F.broadcast(bounds)
+    return df.join(bounds, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
+
+
+def _within(stats: dict[str, Column], names: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [
+        F.coalesce(stats[n] <= F.col(f"hi_{n}"), F.lit(True)) & (F.coalesce(stats[n] >= F.col(f"lo_{n}"), F.lit(True)) if n in LOWER_TOO else F.lit(True))
+        for n in names])
+
+
+def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Per language and source: ``lo_*`` and ``hi_*`` of each statistic.
+
+    Sketches are aggregated before the shuffle, so a hot source costs one row
+    per task. Null languages and sources are groups of their own. Documents
+    that fail the base rule are not part of any sketch, and those outside the
+    first statistic's fences not of the others'.
+    """
+    stats = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *(c.alias(n) for n, c in shares().items()))
+    first, rest = FENCED[:1], FENCED[1:]
+    outer = written(_drawn(stats, first), "fences")
+    inside = _fenced(stats, outer).where(_within({n: F.col(n) for n in first}, first)).select("lang", "source", *rest)
+    inner = _drawn(inside, rest).withColumnsRenamed({"of_lang": "in_lang", "of_source": "in_source"})
+    return outer.join(inner, F.col("of_lang").eqNullSafe(F.col("in_lang")) & F.col("of_source").eqNullSafe(F.col("in_source")), "left").drop("in_lang", "in_source")
+
+
+def judge(measured: DataFrame, bounds: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Add ``base_failed`` and ``kept``: the base rule holds and every statistic is within the fences of the group.
+
+    A group without fences has no document that passed the base rule.
+    """
     keep = [c for c in measured.columns if c not in ("base_failed", "kept")]
     packed = measured.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"), *COUNTS)
-    held = packed.join(bounds, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
-    within = reduce(lambda a, b: a & b, [
-        F.coalesce(c <= F.col(f"hi_{n}"), F.lit(True)) & (F.coalesce(c >= F.col(f"lo_{n}"), F.lit(True)) if n in LOWER_TOO else F.lit(True))
-        for n, c in shares().items()])
+    held = _fenced(packed, bounds)
+    within = _within(shares(), FENCED)
     failed = base_failed()
     kept = F.when(failed, F.lit(False)).otherwise(within)
     return held.select(*(F.col("row").getField(c).alias(c) for c in keep), failed.alias("base_failed"), kept.alias("kept"))
