@@ -24,9 +24,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-# Where a credential's value is expected beside the base forms: a name and a sign, or a URL's user part.
+# Where a credential's value is expected beside the base forms: an identifier (one word more may stand before it) and
+# a sign, an Authorization header, or a URL's user part. The identifier holds one of the words below, long ones after
+# any letters (dbpassword), short ones at a part of their own (DB_PIN, userAuth), each with more parts behind.
+NAMED = re.compile(r"""(?<![A-Za-z0-9_.-])((?:[A-Za-z0-9_.-]++ )?[A-Za-z0-9_.-]++)["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?""", re.ASCII)
+NAMES = re.compile(r"""(?:
+    (?i:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|authorization|(?:api|access|private|client|secret|signing)[ _.-]?(?:key|secret|token))
+    | (?:(?<![A-Za-z])(?i:pass|pin|auth|bearer) | (?<=[a-z])(?:Pass|Pin|PIN|Auth|Bearer))
+    ) (?:[sS](?![A-Za-z]))? (?![a-z])(?: (?<![A-Z])|(?![A-Z]) )""", re.ASCII | re.VERBOSE)
+VALUE = re.compile(r"""[^\s"'<>]+""")
 CONTEXTS = (
-    re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|bearer|credentials?|auth|(?:api|access|private|client|secret|signing)[ _-]?(?:key|secret|token))["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'<>]+)""", re.ASCII | re.IGNORECASE),
+    re.compile(r"""authorization["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?(?:bearer|basic|token)[ \t]+["']?([^\s"'<>]+)""", re.ASCII | re.IGNORECASE),
     re.compile(r"""\b[a-z][a-z0-9+.-]*://[^\s/:@"']+:([^\s/@"']+)@""", re.ASCII | re.IGNORECASE),
 )
 MIN_VALUE = 6
@@ -130,14 +138,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def named_values(text: str):
+    """(start, end) of the value behind each identifier that names a credential."""
+    end = 0
+    for m in NAMED.finditer(text):
+        name = m[1]
+        last = name.rfind(" ")
+        if any(k.end() > last + 1 for k in NAMES.finditer(name)):
+            if m.end() >= end:  # else it lies in the value before and ends with it
+                value = VALUE.match(text, m.end())
+                end = value.end() if value else m.end()
+            yield m.end(), end
+
+
 def guessed_spans(text: str, base: list[tuple[int, int, str]], cost: GuessCost, least: float) -> list[tuple[int, int, str]]:
     """Values in credential contexts that no base span touches and whose guess cost is ``least`` or more."""
     if ":" not in text and "=" not in text:
         return []
-    spans = {m.span(1) for c in CONTEXTS for m in c.finditer(text) if len(m[1]) >= MIN_VALUE}
+    spans = {*named_values(text), *(m.span(1) for c in CONTEXTS for m in c.finditer(text))}
     out, end = [], 0
     for a, b in sorted(spans):
-        if a >= end and not any(s < b and a < e for s, e, _ in base) and cost(text[a:b]) >= least:
+        if b - a >= MIN_VALUE and a >= end and not any(s < b and a < e for s, e, _ in base) and cost(text[a:b]) >= least:
             out.append((a, b, "guess"))
             end = b
     return out

@@ -1,6 +1,7 @@
 """Cases of the reviewer's findings: each failed before its change."""
 
 from pointbook.llm import quality_rules as qr
+from pointbook.llm import secret_scan as ss
 
 
 def test_op10_fences_come_from_the_group(spark):
@@ -15,3 +16,17 @@ def test_op10_fences_come_from_the_group(spark):
     kept = {r.doc_id: r.kept for r in qr.judge(frame, qr.fences(frame)).collect()}
     assert all(kept[r[0]] for r in plain + few)
     assert not any(kept[r[0]] for r in tables + repeats + short)
+
+
+def guesses(text):
+    return [text[a:b] for a, b, k in ss.find(text, ss.GuessCost()) if k == "guess"]
+
+
+def test_op7_names_within_identifiers():
+    for before, value in (("DB_PASSWORD=", "Tr0ub4dor&3!xQ9z"), ("DB_PWD: ", "X7f!q9Lz#2w"), ("userPwd=", "k3J#9sLw!zq"), ("dbpassword: ", "k3J#9sLw!zq"),
+                          ("aws_secret_access_key = ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY"), ("PASSWORD_PROD=", "k3J#9sLw!zq"),
+                          ("Authorization: Bearer ", "mF_9.B5f-4.1JqM"), ("authorization: basic ", "dXNlcjpxOXpYN2YjTHoy"), ("my api key: ", "k3J#9sLw!zq"),
+                          ("url=https://h/x?token=", "k3J#9sLw!zq"), ("https://u:p@h password: ", "k3J#9sLw!zq"), ("credentials: ", "k3J#9sLw!zq")):
+        assert guesses(f"so {before}{value} end") == [value], before
+    for text in ("author: Maximilian-Hofmann", "spinning: wheel-of-Fortune-77", "secretary: Mary-Jane.Holloway", "compass: north-by-Northwest", "password reset: wheel-of-Fortune-77"):
+        assert guesses(text) == [], text
