@@ -152,13 +152,13 @@ def named_values(text: str):
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, str]], cost: GuessCost, least: float) -> list[tuple[int, int, str]]:
-    """Values in credential contexts that no base span touches and whose guess cost is ``least`` or more."""
+    """Values in credential contexts that no base span covers wholly and whose guess cost is ``least`` or more."""
     if ":" not in text and "=" not in text:
         return []
     spans = {*named_values(text), *(m.span(1) for c in CONTEXTS for m in c.finditer(text))}
     out, end = [], 0
     for a, b in sorted(spans):
-        if b - a >= MIN_VALUE and a >= end and not any(s < b and a < e for s, e, _ in base) and cost(text[a:b]) >= least:
+        if b - a >= MIN_VALUE and a >= end and not any(s <= a and b <= e for s, e, _ in base) and cost(text[a:b]) >= least:
             out.append((a, b, "guess"))
             end = b
     return out

@@ -30,3 +30,10 @@ def test_op7_names_within_identifiers():
         assert guesses(f"so {before}{value} end") == [value], before
     for text in ("author: Maximilian-Hofmann", "spinning: wheel-of-Fortune-77", "secretary: Mary-Jane.Holloway", "compass: north-by-Northwest", "password reset: wheel-of-Fortune-77"):
         assert guesses(text) == [], text
+
+
+def test_op7_values_beyond_a_base_span(spark):
+    texts = ["password=Abcdefgh1234!$Zq9#kLw8 end", "password: Xq!9#0123456789abcdef$Lw", "password=abcdefgh1234 end"]
+    assert [guesses(t) for t in texts] == [["Abcdefgh1234!$Zq9#kLw8"], ["Xq!9#0123456789abcdef$Lw"], []]
+    got = ss.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.text for r in sorted(got)] == ["[secret] end", "password: [secret]", "[secret] end"]
