@@ -1,231 +1,181 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models, one of target documents and one of all documents, share
-one vocabulary, one order and one smoothing. A document's score is the mean
-over its words of the target model's loss minus the background model's: the
-lower, the more the document is like the target.
+one vocabulary (every word of the corpus), one order and one smoothing. A
+document's score is the mean over its words of the target model's loss minus
+the background model's: the lower, the more the document is like the target.
 
 Absolute discounting: a seen bigram has probability
 ``(c(h,w) - d) / c(h) + b(h) p(w)``, any other ``b(h) p(w)``, with
 ``b(h) = d * kinds(h) / c(h)`` (1 after an unseen word) and ``p`` add-one
-unigrams. A loss is thus the sum of one number for the word, one for the
-word before, and, for a seen bigram, a correction. Corrections are looked up
-block by block, so no task holds more than one block of the model.
+unigrams. Words are 64-bit codes and bigrams mixed ones; counts and losses
+are distributed tables, and (text, bigram) counts are joined with the losses
+by bigram. Neither words nor bigrams are cut, and no table reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Texts, cuts, map_texts, texts_of, written
-from .decontaminate import Words
+from .common import CHUNK_BYTES, Texts, cuts, texts_of, written
+from .decontaminate import Words, mix
 
-# Words of the shared vocabulary: the most frequent of the corpus; all others are one unknown word.
-VOCABULARY = 8192
-
-# Bigrams seen less often in the background count as unseen in both models.
-LEAST_COUNT = 2
+# All words are in the vocabulary, and a bigram seen once is seen.
+VOCABULARY = math.inf
+LEAST_COUNT = 1
 DISCOUNT = 0.75
 
-# Corrections of one broadcast block (16 bytes each), words counted before a
-# task passes counts on, and target ids up to which they are broadcast.
-BLOCK = 4 << 20
+# Words counted before a task passes counts on, and target ids up to which they are broadcast.
 COUNTED = 4 << 20
 BROADCAST_IDS = 2_000_000
 
+# The code of what stands before a text's first word, and an odd multiplier.
+START, _STEP = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x9E3779B97F4A7C15)
+
 
 class Model:
-    """What is broadcast of the models beside the corrections: vocabulary, and losses by word and by word before."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary = vocabulary  # sorted word hashes; the numbers after are the unknown word and a text's start
-        self.unknown, self.start = len(vocabulary), len(vocabulary) + 1
-        self.size = len(vocabulary) + 2
-        self.word = self.before = np.zeros((2, self.size))
-
-    def bigrams(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word before, word, words before each text's end) as numbers."""
-        words = Words(texts)
-        if len(self.vocabulary):
-            at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
-            number = np.where(self.vocabulary[at] == words.hash, at, self.unknown)
-        else:
-            number = np.full(len(words.hash), self.unknown)
-        before = np.append(self.start, number[:-1])[:len(number)]
-        heads = words.ends[:-1]
-        before[heads[heads < len(number)]] = self.start
-        return before, number, words.ends
-
-    def fit(self, counts: list[dict[str, np.ndarray]]) -> None:
-        """Losses from each model's counts: of each word, and as a word before with its kinds of followers (seen bigrams only)."""
-        words, before = [], []
-        for c in counts:
-            n = c["word"].sum()
-            words.append(-np.log((c["word"] + 1) / (n + self.size - 1)))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                b = 1 - c["kept"] / np.maximum(c["before"], 1)
-            before.append(-np.log(np.where(c["before"] > 0, np.maximum(b, 1e-12), 1.0)))
-        self.word, self.before = np.array(words), np.array(before)
-
-
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(hash, n) of every word of the corpus; each task sends a word once for so many words."""
+    """What both models know of single words, as tables: ``heads`` (h, tot_n, kept_n, tot_t, kept_t) and ``words``
+    (w, uni_n, uni_t); ``n``, ``t`` and ``size``: words counted in each model, and distinct ones with the unknown word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in [*batches_of(batches), None]:
-            if batch is not None:
-                held.append(Words(batch).hash)
-                n += len(held[-1])
-            if held and (batch is None or n > COUNTED):
-                h, c = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["hash", "n"])
-                held, n = [], 0
+    def __init__(self, heads: DataFrame, words: DataFrame):
+        self.heads, self.words = heads, words
+        size, n, t = words.agg(F.count("*"), F.sum("uni_n"), F.sum("uni_t")).first()
+        self.size, self.n, self.t = size + 1, n or 0, t or 0
 
-    return docs.select("text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    def losses(self, bigrams: DataFrame) -> DataFrame:
+        """(code, target, background) of distinct bigrams (h, w, code, n, t), n and t their counts."""
+        found = bigrams.join(self.heads, "h", "left").join(self.words, "w", "left")
 
+        def loss(k: str, total: int) -> Column:
+            tot, kept, uni = (F.coalesce(F.col(f"{c}_{k}"), F.lit(0)).cast("double") for c in ("tot", "kept", "uni"))
+            backed = F.when(tot > 0, F.greatest(1 - kept / F.greatest(tot, F.lit(1.0)), F.lit(1e-12))).otherwise(1.0) * (uni + 1) / float(total + self.size)
+            return -F.log(backed + F.when(F.col(k) > 0, (F.col(k) - DISCOUNT) / F.greatest(tot, F.lit(1.0))).otherwise(0.0))
 
-class batches_of:
-    """Runs of texts of the first column of Arrow batches."""
+        return found.select("code", loss("t", self.t).cast("float").alias("target"), loss("n", self.n).cast("float").alias("background"))
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], column: int = 0):
-        self.batches, self.column = batches, column
 
-    def __iter__(self) -> Iterator[Texts]:
-        for batch in self.batches:
-            col = batch.column(self.column)
-            for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                yield texts_of(col.slice(i, j - i))
+def bigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, bigram code of each word, words before each text's end)."""
+    words = Words(texts)
+    before = np.append(START, words.hash[:-1])[:len(words.hash)]
+    heads = words.ends[:-1]
+    before[heads[heads < len(before)]] = START
+    with np.errstate(over="ignore"):
+        code = mix(before * _STEP + words.hash)
+    return before, words.hash, code, words.ends
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _bigram_counts(docs: DataFrame, model: Model) -> DataFrame:
-    """(code, n, t): every bigram's count in all documents and in target documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _bigram_counts(docs: DataFrame) -> DataFrame:
+    """(h, w, code, n, t): every bigram's count in all documents and in target documents; ``docs`` has target and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         held, n = [], 0
 
         def sent():
-            code, c = np.unique(np.concatenate(held), return_counts=True)
-            bigram, where = np.unique(code >> 1, return_inverse=True)
-            target = np.zeros(len(bigram), np.int64)
-            np.add.at(target, where, np.where(code & 1 == 1, c, 0))
-            total = np.bincount(where, c, len(bigram)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(bigram), pa.array(total), pa.array(target)], ["code", "n", "t"])
+            h, w, code, flag = (np.concatenate(x) for x in zip(*held))
+            _, first, where, total = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            target = np.bincount(where, flag, len(first)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([*(_signed(x[first]) for x in (h, w, code)), pa.array(total), pa.array(target)], ["h", "w", "code", "n", "t"])
 
         for batch in batches:
             flags = np.asarray(batch.column(0).cast(pa.int8()))
             col = batch.column(1)
             for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                before, word, ends = m.bigrams(texts_of(col.slice(i, j - i)))
-                held.append((before * m.size + word) << 1 | flags[i:j].repeat(np.diff(ends)))
-                n += len(word)
+                h, w, code, ends = bigrams(texts_of(col.slice(i, j - i)))
+                held.append((h, w, code, flags[i:j].repeat(np.diff(ends))))
+                n += len(w)
                 if n > COUNTED:
                     yield sent()
                     held, n = [], 0
         if n:
             yield sent()
 
-    return docs.select("target", "text").mapInArrow(run, "code bigint, n bigint, t bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    sent = docs.select("target", "text").mapInArrow(run, "h bigint, w bigint, code bigint, n bigint, t bigint")
+    return sent.groupBy("h", "w", "code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def train(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The models of ``docs`` (doc_id, text) and of those whose doc_id is in ``target_ids``: (Model, corrections).
+def train(docs: DataFrame, target_ids: DataFrame, vocabulary: float = VOCABULARY) -> tuple[Model, DataFrame]:
+    """The models of ``docs`` (doc_id, text) and of those whose doc_id is in ``target_ids``: (Model, losses).
 
-    Counts cover all documents. Corrections: (code, target, background), a row for each seen bigram.
-    Target ids are broadcast up to ``BROADCAST_IDS``, counted first; beyond, documents are joined by id.
+    Counts cover all documents and all words; ``vocabulary`` is taken for
+    callers of an earlier form and cuts nothing. Losses: (code, target,
+    background), a row for each bigram of ``docs``. Target ids are broadcast
+    up to ``BROADCAST_IDS``, counted first; beyond, documents are joined by id.
     """
-    top = _word_counts(docs).orderBy(F.desc("n"), "hash").limit(vocabulary).collect()  # the vocabulary, bounded
-    model = Model(np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64)))
     ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     marked = docs.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
-    counts = written(_bigram_counts(marked, model), "bigrams")
-    seen = F.col("n") >= LEAST_COUNT
-    size = F.lit(model.size)
+    counts = written(_bigram_counts(marked), "bigrams")
+    kept = [F.sum(F.when(F.col(c) > 0, F.col(c) - DISCOUNT).otherwise(0.0)).alias(f"kept_{c}") for c in ("n", "t")]
+    heads = counts.groupBy("h").agg(F.sum("n").alias("tot_n"), F.sum("t").alias("tot_t"), *kept)
+    words = counts.groupBy("w").agg(F.sum("n").alias("uni_n"), F.sum("t").alias("uni_t"))
+    model = Model(written(heads, "heads"), written(words, "words"))
+    return model, written(model.losses(counts), "losses")
 
-    def by(number, name: str) -> dict[int, tuple]:
-        """Sums by word or by word before: at most one row for each word of the vocabulary."""
-        kept = [F.sum(F.when(seen & (F.col(c) > 0), F.col(c) - DISCOUNT).otherwise(0.0)) for c in ("n", "t")]
-        return {r[0]: tuple(r)[1:] for r in counts.groupBy(number.alias(name)).agg(F.sum("n"), F.sum("t"), *kept).collect()}
 
-    before, word = by(F.floor(F.col("code") / size), "h"), by(F.pmod("code", size), "w")
-
-    def column(rows: dict[int, tuple], k: int) -> np.ndarray:
-        return np.array([float(rows[i][k]) if i in rows else 0.0 for i in range(model.size)])
-
-    sums = [{"word": column(word, 1 - k), "before": column(before, 1 - k), "kept": column(before, 3 - k)} for k in (0, 1)]
-    model.fit(sums)
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.array([s["before"] for s in sums])))
+def _text_bigrams(docs: DataFrame, words: bool) -> DataFrame:
+    """(key, code, c): each text's bigrams and their counts; with ``words``, only (h, w, code). ``docs`` has key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, total = shared.value
         for batch in batches:
-            code, n, t = (np.asarray(c) for c in batch.columns)
-            h, w = code // m.size, code % m.size
-            out = []
-            for k, c in enumerate((t, n)):
-                backed = m.before[k][h] + m.word[k][w]
-                share = np.maximum(c - DISCOUNT, 0) / np.maximum(total[k][h], 1) + np.exp(-backed)
-                out.append(np.where(c > 0, -np.log(share) - backed, 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(code), *map(pa.array, out)], ["code", "target", "background"])
-
-    return model, written(counts.where(seen).select("code", "n", "t").mapInArrow(run, "code bigint, target double, background double"), "corrections")
-
-
-def score(docs: DataFrame, model: Model, corrections: DataFrame, keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+            key, col = np.asarray(batch.column(0)), batch.column(1)
+            for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
+                h, w, code, ends = bigrams(texts_of(col.slice(i, j - i)))
+                if words:
+                    _, first = np.unique(code, return_index=True)
+                    yield pa.RecordBatch.from_arrays([_signed(x[first]) for x in (h, w, code)], ["h", "w", "code"])
+                    continue
+                row = np.arange(j - i).repeat(np.diff(ends))
+                order = np.lexsort((code, row))
+                code, row = code[order], row[order]
+                first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))[:len(code)])
+                c = np.diff(np.append(first, len(code)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[i:j][row[first]]), _signed(code[first]), pa.array(c.astype(np.int32))], ["key", "code", "c"])
+
+    return docs.select("key", "text").mapInArrow(run, "h bigint, w bigint, code bigint" if words else "key bigint, code bigint, c int")
+
+
+def score(docs: DataFrame, model: Model, losses: DataFrame, keep: list[str] | None = None, block: int = 0, trained: bool = False) -> DataFrame:
     """Add ``n_words``, ``target_loss``, ``background_loss`` and ``score`` (their difference), means over the text's words.
 
-    A text without words has 0 in all. Corrections are broadcast in blocks
-    of about ``block``; with more than one, each block is one pass over the
-    documents, written, and adds to the sums.
+    A text without words has 0 in all. ``trained`` tells that ``losses`` has
+    every bigram of ``docs``; else those it lacks are found first. Sums are
+    made by the text's 64-bit hash: equal texts share them, and as their
+    counts add up alike, so do the means. A frequent bigram is split by
+    Spark's skew join. ``block`` is taken for callers of an earlier form.
     """
-    spark = docs.sparkSession
     names = ("n_words", "target_loss", "background_loss", "score")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), "text", F.lit(0.0).alias("t"), F.lit(0.0).alias("b"))
-    shared = spark.sparkContext.broadcast(model)
-    blocks = max(1, -(-corrections.count() // block))
-    for k in range(blocks):
-        part = corrections.where(F.pmod(F.xxhash64("code"), F.lit(blocks)) == k).select("code", F.col("target").cast("float"), F.col("background").cast("float")).toArrow()
-        order = np.argsort(part["code"].to_numpy())
-        table = spark.sparkContext.broadcast((part["code"].to_numpy()[order], np.stack([part[c].to_numpy()[order] for c in ("target", "background")], 1)))
-        del part, order
-
-        def work(table=table, first=k == 0):
-            m, (code, value) = shared.value, table.value
-
-            def run(texts: Texts) -> dict[str, pa.Array]:
-                before, word, ends = m.bigrams(texts)
-                own = before * m.size + word
-                at = np.minimum(np.searchsorted(code, own), max(len(code) - 1, 0))
-                hit = code[at] == own if len(code) else np.zeros(len(own), bool)
-                sums = []
-                for side in (0, 1):
-                    loss = m.before[side][before] + m.word[side][word] if first else np.zeros(len(own))
-                    loss[hit] += value[at[hit], side]
-                    sums.append(np.diff(np.append(0.0, np.cumsum(loss))[ends]))
-                return {"n": pa.array(np.diff(ends)), "t1": pa.array(sums[0]), "b1": pa.array(sums[1])}
-            return run
-
-        out = map_texts(out, "text", work, "n bigint, t1 double, b1 double")
-        out = out.withColumns({"t": F.col("t") + F.col("t1"), "b": F.col("b") + F.col("b1")}).drop("t1", "b1")
-        if blocks > 1:
-            out = written(out if k < blocks - 1 else out.drop("text"), "scores")
-    n = F.greatest("n", F.lit(1))
-    return out.select("row.*", F.col("n").alias("n_words"), (F.col("t") / n).alias("target_loss"), (F.col("b") / n).alias("background_loss"),
-                      ((F.col("t") - F.col("b")) / n).alias("score"))
+    body = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.xxhash64(body).alias("key"), body.alias("text"))
+    if not trained:
+        new = _text_bigrams(texts, True).distinct().join(losses, "code", "left_anti")
+        losses = losses.unionByName(model.losses(new.withColumns({"n": F.lit(0), "t": F.lit(0)})))
+    held = _text_bigrams(texts, False).join(losses, "code")
+    sums = held.groupBy("key").agg(F.sum("c").alias("n"), *(F.sum(F.col("c") * F.col(c).cast("double")).alias(c) for c in ("target", "background")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(body).alias("key"))
+    # equal texts count together in n; a row's own number of words is its bigrams'
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+    out = rows.join(sums.join(copies, "key"), "key", "left")
+    n = F.coalesce("n", F.lit(1))
+    mean = {c: F.coalesce(F.col(c) / n, F.lit(0.0)) for c in ("target", "background")}
+    return out.select("row.*", F.coalesce((F.col("n") / F.col("copies")).cast("bigint"), F.lit(0)).alias("n_words"), mean["target"].alias("target_loss"),
+                      mean["background"].alias("background_loss"), (mean["target"] - mean["background"]).alias("score"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, target_loss, background_loss, score; the target is the documents labelled of good quality."""
     docs = docs.select("doc_id", "text")
-    model, corrections = train(docs, labels.where("quality = 1").select("doc_id"))
-    return score(docs, model, corrections, keep=["doc_id"])
+    model, losses = train(docs, labels.where("quality = 1").select("doc_id"))
+    return score(docs, model, losses, keep=["doc_id"], trained=True)

@@ -1,5 +1,6 @@
 """Cases of the reviewer's findings: each failed before its change."""
 
+from pointbook.llm import lm_scoring as lm
 from pointbook.llm import quality_rules as qr
 from pointbook.llm import secret_scan as ss
 
@@ -37,3 +38,17 @@ def test_op7_values_beyond_a_base_span(spark):
     assert [guesses(t) for t in texts] == [["Abcdefgh1234!$Zq9#kLw8"], ["Xq!9#0123456789abcdef$Lw"], []]
     got = ss.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert [r.text for r in sorted(got)] == ["[secret] end", "password: [secret]", "[secret] end"]
+
+
+def test_op4_scores_tell_rare_words_apart(spark):
+    """9,000 words that are each seen more often fill any top list; the two fields differ in rarer ones only."""
+    usual = [(i, " ".join(f"usual{(i * 90 + k) % 9000}" for k in range(180))) for i in range(200)]
+    rare = [(1000, "alpha beta gamma delta"), (1001, "zeta eta theta iota"), (1002, "alpha beta gamma delta")]
+    docs = spark.createDataFrame(usual + rare, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in [*range(100), 1000]], "doc_id long")
+    model, losses = lm.train(docs, ids)
+    got = {r.doc_id: r for r in lm.score(docs, model, losses, ["doc_id"]).collect()}
+    assert got[1000].score < got[1001].score - 0.1
+    assert got[1000].score == got[1002].score and got[1000].n_words == got[1002].n_words == 4
+    new = spark.createDataFrame([(1, "alpha beta unseen beta"), (2, None), (3, "unseen")], "doc_id long, text string")
+    assert {r.doc_id: r.n_words for r in lm.score(new, model, losses, ["doc_id"]).collect()} == {1: 4, 2: 0, 3: 1}
