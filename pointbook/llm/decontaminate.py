@@ -84,7 +84,7 @@ class NGrams:
         for k, (a, b) in enumerate(zip(words.ends.tolist(), words.ends[1:].tolist())):
             n = min(width, b - a)
             for i in range(a, b - n + 1) if n else ():
-                self.items[words.joined(i, n)].add(items[k][0])
+                self.items[words.joined(i, n)].update([] if items[k][0] is None else [items[k][0]])
                 spans[n].append(i)
         self.hashes = {n: np.unique(h[np.array(spans[n])]) for n, h in window_hashes(words, sorted(spans))}
         # one bit of a small table for the top bits of each hash settles nearly all look-ups
@@ -104,7 +104,7 @@ class NGrams:
             at = at[row[at] == row[at + n - 1]]
             k = np.minimum(np.searchsorted(self.hashes[n], h[at]), len(self.hashes[n]) - 1)
             for i in at[self.hashes[n][k] == h[at]].tolist():
-                if got := self.items.get(words.joined(i, n)):
+                if (got := self.items.get(words.joined(i, n))) is not None:  # empty: an item without id
                     found[int(row[i])] |= got
                     hit[i] += 1
                     hit[i + n] -= 1
@@ -143,15 +143,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, text: str = "te
          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``n_words``, ``hits`` (each hit word: its number, and its code points from start to end) and ``items`` (ids found).
 
-    ``benchmark`` has item_id and text; items with null ids are left out,
-    those without words match nothing, and rows with the same id count as one
+    ``benchmark`` has item_id and text; items with null ids give hits but no
+    id, those without words match nothing, and rows with the same id count as one
     item. Its size is measured first: up to ``broadcast_bytes`` of text it is
     one broadcast and one narrow pass; beyond, parts of that size are matched
     one after the other, each pass written, with the same result. Documents
     are never shuffled.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "hits", "items")]
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).distinct()
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     parts = max(1, -(-size // broadcast_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))

@@ -1,5 +1,6 @@
 """Cases of the reviewer's findings: each failed before its change."""
 
+from pointbook.llm import decontaminate
 from pointbook.llm import lm_scoring as lm
 from pointbook.llm import quality_rules as qr
 from pointbook.llm import secret_scan as ss
@@ -52,3 +53,13 @@ def test_op4_scores_tell_rare_words_apart(spark):
     assert got[1000].score == got[1002].score and got[1000].n_words == got[1002].n_words == 4
     new = spark.createDataFrame([(1, "alpha beta unseen beta"), (2, None), (3, "unseen")], "doc_id long, text string")
     assert {r.doc_id: r.n_words for r in lm.score(new, model, losses, ["doc_id"]).collect()} == {1: 4, 2: 0, 3: 1}
+
+
+def test_op5_items_without_ids_are_hits(spark):
+    docs = spark.createDataFrame([(1, "so one two three"), (2, "four five"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "four five")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, items).collect()}
+    assert got == {1: (3, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
+    parts = decontaminate.scan(docs, items, keep=["doc_id"], broadcast_bytes=20).collect()
+    assert {r.doc_id: (len(r.hits), r["items"]) for r in parts} == {1: (3, []), 2: (2, [7]), 3: (0, [])}
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [3]
