@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from . import bpe, decontaminate, hard_negatives, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
 from .common import table
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, the base rule, and the verdict by the fences of its language and source."""
     return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's hard negatives: for each of 5 positives the first 3 rows of other labels at 50 to 95 percent of its score."""
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
