@@ -133,7 +133,8 @@ class Best:
         self.key, self.score, self.vec = key[top], score[top], vec[top]
         full = np.bincount(self.key, minlength=self.n) == self.k
         last = np.searchsorted(self.key, np.arange(self.n), side="right") - 1
-        self.least = np.where(full, self.score[last].astype(float), -np.inf)
+        # one double lower, as long scores may be rounded
+        self.least = np.where(full, np.nextafter(self.score[last].astype(float), -np.inf), -np.inf)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,8 +192,9 @@ def harder(sent, sent_scores, k: int, share: tuple[int, int]) -> Callable[[Itera
         a, per = Summaries(anchors.x), p.shape[1]
         best = Best(len(anchors.slot) * per, k)
         # lowest and highest score, as whole numbers: share[0] * p <= 100 * score <= share[1] * p
-        floor_ = np.where(there, [[-(-share[0] * int(v) // 100) for v in row] for row in p], 1)
-        roof = np.where(there, [[share[1] * int(v) // 100 for v in row] for row in p], 0)
+        wide = p.astype(object)
+        floor_ = np.where(there, -(-share[0] * wide // 100), 1).astype(np.int64)
+        roof = np.where(there, share[1] * wide // 100, 0).astype(np.int64)
         open_ = there & (floor_ <= roof)
         for vec, label, x in _blocks(batches, anchors.width):
             b = Summaries(x)
@@ -208,7 +210,7 @@ def harder(sent, sent_scores, k: int, share: tuple[int, int]) -> Callable[[Itera
                 i, j, score, _ = (exact(anchors.x[part], x, alive) if _large(anchors.x[part], x)
                                   else bounded(a, part, b, alive, low.min(1), high.max(1)))
                 for nth in range(per):
-                    keep = (score >= low[i, nth]) & (score <= high[i, nth])
+                    keep = (score >= low[i, nth]) & on[i, nth] & (score >= floor_[part][i, nth]) & (score <= roof[part][i, nth])
                     best.add((i[keep] + s) * per + nth, score[keep], vec[j[keep]])
         yield pa.RecordBatch.from_arrays([pa.array(anchors.slot[best.key // per]), pa.array(best.key % per), pa.array(best.vec), pa.array(best.score)],
                                          ["slot", "nth", "vec_id", "score"])
