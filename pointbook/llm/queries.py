@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hard_negatives, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from . import bpe, decontaminate, hard_negatives, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -91,3 +91,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every anchor's hard negatives: for each of 5 positives the first 3 rows of other labels at 50 to 95 percent of its score."""
     return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened along the 4 leading components of the covariance of the distinct vectors."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))

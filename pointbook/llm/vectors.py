@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ def _floors(col: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
     there = np.flatnonzero(np.asarray(col.is_valid()))
     col = col.take(pa.array(there))
     flat = col.flatten()
-    size = np.asarray(pa.compute.list_value_length(col), np.int64)
+    size = np.asarray(pc.list_value_length(col), np.int64)
     values = np.floor(np.asarray(flat.cast(pa.float64()).fill_null(np.nan)) * SCALE)
     row = np.arange(len(col)).repeat(size)
     with np.errstate(invalid="ignore"):
@@ -61,7 +62,7 @@ def matrix(col: pa.Array, width: int) -> np.ndarray:
     """The vectors as rows of an int64 matrix, zeros behind the end of short ones."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    size = np.asarray(pa.compute.list_value_length(col), np.int64)
+    size = np.asarray(pc.list_value_length(col), np.int64)
     flat = np.asarray(col.flatten(), np.int64)
     if len(size) and (size == width).all():
         return flat.reshape(len(size), width)
