@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hard_negatives, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts, whitening
+from . import bpe, decontaminate, hard_negatives, lm_scoring, quality_knn, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts, toxicity, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -97,3 +97,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding whitened along the 4 leading components of the covariance of the distinct vectors."""
     return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity: lexicon terms found through misspellings, weighed by their context."""
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
