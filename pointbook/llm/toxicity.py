@@ -46,8 +46,9 @@ STEM_LEAST, STEM_MOST, WORD_LEAST = 4, 16, 3
 # The chance, over all candidates, that the lexicon gets a term for nothing.
 FALSE_TERMS = 0.01
 
-# Documents that tell for a term at least.
-LEAST_DOCS = 3
+# Documents that tell for a term at least, and different words before it, as a share of them: a passage that many
+# documents share makes its rare words no terms.
+LEAST_DOCS, VARIED = 3, 0.3
 
 # Words around a hit that are its context, and what the context multiplies a hit's weight by.
 WINDOW = 8
@@ -64,6 +65,8 @@ WORD = re.compile(r"\w+")
 # A quotation on one line between marks of one kind; a straight mark opens after a gap and closes before one.
 QUOTE = re.compile(r"""“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|‘[^’\n]*’|(?<!\w)"[^"\n]*"(?!\w)|(?<!\w)'[^'\n]*'(?!\w)""")
 
+MARKS = "“„«‘\"'"
+
 # Words that report what others say or name a word, and words of address; fixed values.
 REPORTING = frozenset("""said says say saying quote quoted quotes word words term terms called meaning means definition defined translated wrote
     dit mot mots terme cité citation signifie appelé sagte sagt wort wörter begriff zitat zitiert bedeutet genannt dijo dice palabra palabras
@@ -88,37 +91,35 @@ class Finder:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.automaton = lexicon, Automaton(lexicon.terms)
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.judged: set[str] = set()
+        self.found: dict[str, tuple[int, int]] = {}
 
-    def judge(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(set(words))
+    def judge(self, words: set[str]) -> None:
+        if len(self.judged) > CACHE:
+            self.judged, self.found = set(), {}
+        new = sorted(words - self.judged)
         for s in range(0, len(new), 1 << 16):
             part = new[s:s + (1 << 16)]
             term, edits = self.automaton.run(part)
-            self.known.update((w, (t, e) if t >= 0 else None) for w, t, e in zip(part, term.tolist(), edits.tolist()))
+            self.judged.update(part)
+            for i in np.flatnonzero(term >= 0).tolist():
+                self.found[part[i]] = int(term[i]), int(edits[i])
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
         """(term, edits, factor of its context) of each hit, in order."""
         text = text.lower()
         words = WORD.findall(text)
-        self.judge(words)
-        known = self.known
-        at = [i for i, w in enumerate(words) if known[w] is not None]
-        if not at:
+        distinct = set(words)
+        self.judge(distinct)
+        known = self.found
+        if known.keys().isdisjoint(distinct):
             return []
-        begin = [m.start() for m in WORD.finditer(text)]
-        spans = [m.span() for m in QUOTE.finditer(text)]
-        ends = [b for _, b in spans]
+        at = [i for i, w in enumerate(words) if w in known]
+        quoted = self._quoted(text, at) if any(q in text for q in MARKS) else ()
         found = []
         for n, i in enumerate(at):
             around = words[max(0, i - WINDOW):i + WINDOW + 1]
-            span = bisect.bisect_right(ends, begin[i])
-            factor = 1.0
-            if span < len(spans) and spans[span][0] <= begin[i]:
-                factor *= QUOTED
+            factor = QUOTED if i in quoted else 1.0
             if not REPORTING.isdisjoint(around):
                 factor *= REPORTED
             if not ADDRESS.isdisjoint(around):
@@ -128,6 +129,24 @@ class Finder:
             found.append((*known[words[i]], factor))
         return found
 
+    @staticmethod
+    def _quoted(text: str, at: list[int]) -> set[int]:
+        """Which of the words numbered ``at`` stand inside a quotation; only lines that hold one of them are looked at."""
+        begin = [m.start() for m in WORD.finditer(text)]
+        inside, end, spans = set(), -1, []
+        for i in at:
+            if begin[i] >= end:
+                start = text.rfind("\n", 0, begin[i]) + 1
+                end = text.find("\n", begin[i])
+                end = len(text) if end < 0 else end
+                line = text[start:end]
+                spans = [(start + m.start(), start + m.end()) for m in QUOTE.finditer(line)] if any(q in line for q in MARKS) else []
+                ends = [b for _, b in spans]
+            n = bisect.bisect_right(ends, begin[i])
+            if n < len(spans) and spans[n][0] <= begin[i]:
+                inside.add(i)
+        return inside
+
     def features(self, text: str) -> list[float]:
         """Weight of exact hits, weight of misspelled ones (both damped), and the heaviest hit."""
         sums, most = [0.0, 0.0], 0.0
@@ -139,6 +158,18 @@ class Finder:
         return [math.log1p(sums[0]), math.log1p(sums[1]), most]
 
 
+_finders: dict[str, Finder] = {}
+
+
+def finder_of(lexicon: Lexicon) -> Finder:
+    """This worker process's finder for the lexicon, with what it has learnt of words in earlier tasks."""
+    key = repr((lexicon.terms, sorted(lexicon.weights.items()), lexicon.unseen))
+    if key not in _finders:
+        _finders.clear()
+        _finders[key] = Finder(lexicon)
+    return _finders[key]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
@@ -188,30 +219,69 @@ def candidates(known: DataFrame) -> DataFrame:
     return rows.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose(counted: DataFrame, toxic: int, clean: int, most: int = LEXICON) -> list[tuple[str, bool]]:
-    """The lexicon: of the candidates beyond chance the strongest, no stem and word of one family twice."""
-    if not toxic or not clean:
-        return []
+def strong(counted: DataFrame, toxic: int, clean: int, most: int = LEXICON) -> list[tuple[str, bool, int]]:
+    """(term, stem, toxic documents) of the candidates beyond chance, the strongest first."""
     base = toxic / (toxic + clean)
     n = F.col("toxic") + F.col("clean")
     share = F.col("toxic") / n
     # Chernoff's bound: the chance of so many toxic documents among n is below exp(-strength).
     rest = F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     scored = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("strength", F.round(F.col("toxic") * F.log(share / base) + rest, 9)).where(share > 2 * base)
-    candidates_ = scored.count()
-    good = scored.where(F.col("strength") > math.log(max(candidates_, 1) / FALSE_TERMS))
+    good = scored.where(F.col("strength") > math.log(max(scored.count(), 1) / FALSE_TERMS))
     rows = good.orderBy(F.desc("strength"), F.desc(F.length("term")), "stem", "term").limit(8 * most).collect()
+    return [(r.term, r.stem, r.toxic) for r in rows]
+
+
+def contexts(known: DataFrame, terms: list[tuple[str, bool, int]]) -> dict[tuple[str, bool], int]:
+    """How many different words stand before each term in the toxic documents."""
+    shared = known.sparkSession.sparkContext.broadcast({(t, stem): i for i, (t, stem, _) in enumerate(terms)})  # at most 8 * LEXICON terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, seen = shared.value, set()
+        whole, stems = {t for t, stem in index if not stem}, {t for t, stem in index if stem}
+        sizes = sorted({len(t) for t in stems})
+
+        def out():
+            rows = sorted(seen)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([w for _, w in rows], pa.string())], ["term", "before"])
+
+        for batch in batches:
+            for text in _texts(batch, "text"):
+                words = WORD.findall(text.lower())
+                if len(seen) > COUNTED:
+                    yield out()
+                for before, w in zip(["", *words], words):
+                    if w in whole:
+                        seen.add((index[w, False], before))
+                    for k in sizes:
+                        if k >= len(w):
+                            break
+                        if w[:k] in stems:
+                            seen.add((index[w[:k], True], before))
+        yield out()
+
+    rows = known.where("toxic = 1").select("text").mapInArrow(run, "term int, before string").groupBy("term").agg(F.countDistinct("before").alias("n")).collect()
+    return {terms[r.term][:2]: r.n for r in rows}
+
+
+def choose(known: DataFrame, toxic: int, clean: int, most: int = LEXICON) -> list[tuple[str, bool]]:
+    """The lexicon: of the candidates beyond chance, and not of one shared passage, the strongest; no stem and word of one family twice."""
+    terms = strong(candidates(known), toxic, clean, most)
+    varied = contexts(known, terms)
     chosen: list[tuple[str, bool]] = []
     stems: set[str] = set()
     above: set[str] = set()
-    for r in rows:
-        family = [r.term[:k] for k in range(STEM_LEAST, len(r.term) + (not r.stem))]
-        if any(p in stems for p in family) or r.stem and r.term in above:
+    for term, stem, docs in terms:
+        if varied.get((term, stem), 0) < max(LEAST_DOCS, VARIED * docs):
+            continue
+        family = [term[:k] for k in range(STEM_LEAST, len(term) + (not stem))]
+        if any(p in stems for p in family) or stem and term in above:
             continue
-        chosen.append((r.term, r.stem))
-        above.update(r.term[:k] for k in range(1, len(r.term) + 1))
-        if r.stem:
-            stems.add(r.term)
+        chosen.append((term, stem))
+        above.update(term[:k] for k in range(1, len(term) + 1))
+        if stem:
+            stems.add(term)
         if len(chosen) == most:
             break
     return sorted(chosen)
@@ -223,7 +293,7 @@ def weigh(known: DataFrame, terms: list[tuple[str, bool]], toxic: int, clean: in
     shared = known.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder, counts = Finder(shared.value), Counter()
+        finder, counts = finder_of(shared.value), Counter()
         for batch in batches:
             for text, y in zip(_texts(batch, "text"), batch.column(batch.schema.get_field_index("toxic")).to_pylist()):
                 counts.update((t, e, int(y == 1)) for t, e in {(t, e) for t, e, _ in finder.hits(text)})
@@ -282,11 +352,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic, clean = n.get(True, 0), n.get(False, 0)
     if not toxic or not clean:
         return Model(Lexicon([]), np.array([0.0, 0.0, 0.0, math.log(PRIOR / (1 - PRIOR))]))
-    lexicon = weigh(known, choose(candidates(known), toxic, clean), toxic, clean)
+    lexicon = weigh(known, choose(known, toxic, clean), toxic, clean)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def work():
-        finder = Finder(shared.value)
+        finder = finder_of(shared.value)
 
         def run(texts: Texts) -> dict[str, pa.Array]:
             rows = [finder.features(t.decode("utf-8", "replace")) for t in texts.each()]
@@ -304,7 +374,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
     def work():
         m = shared.value
-        finder = Finder(m.lexicon)
+        finder = finder_of(m.lexicon)
 
         def run(texts: Texts) -> dict[str, pa.Array]:
             rows = [finder.features(t.decode("utf-8", "replace")) for t in texts.each()]
