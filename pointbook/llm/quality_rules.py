@@ -1,17 +1,23 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Text statistics come from built-in functions. Quantile sketches (KLL) of
-each statistic per language and source are built map-side and merged; the
-fences drawn from their quartiles, or from outer quantiles where the quartiles
-coincide, replace fixed cutoffs, and the documents are joined with the fences
-of their group. DataFrame functions only.
+Text statistics come from built-in functions. Quantile sketches of each
+statistic per language and source replace fixed cutoffs: fences are drawn from
+the quartiles, or from outer quantiles where the quartiles coincide, and the
+documents are joined with the fences of their group. DataFrame functions only.
+
+A sketch is a table of counts by logarithmic bucket (values within
+``GROWTH`` of each other share one), so sketches merge by adding counts:
+exactly, in any order. Equal documents give equal fences and verdicts however
+they are partitioned and however often the job is run. A quantile is the
+bucket's upper end, at most ``GROWTH`` - 1 above the exact one.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -38,10 +44,11 @@ NORMAL = {0.75: 0.6745, 0.9: 1.2816, 0.95: 1.6449, 0.975: 1.96}
 TAILS = (0.9, 0.95, 0.975)
 FAR = NORMAL[0.75] * (1 + 2 * REACH)
 
-# Accuracy of the sketches, and the least documents for quartiles of a group's
-# own (for outer quantiles as many more as leaves the same number beyond them);
-# a smaller group takes those of its language, merged from its sketches.
-SKETCH_K = 400
+# Ratio of the ends of a sketch's buckets, and the least documents for quartiles
+# of a group's own: 30, and 75, 150 and 300 for the outer quantiles, which leaves
+# the same number beyond each. A smaller group takes the quantile of its
+# language, merged from the sketches of its sources.
+GROWTH = 1.005
 MIN_GROUP = 30
 
 # Fences of up to this many groups are broadcast (some 100 bytes each).
@@ -92,17 +99,41 @@ def base_failed() -> Column:
     return (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEAT * F.col("n_words"))
 
 
+def sketch(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Sketches per language and source: (lang, source, stat, bucket, n). ``bucket`` is NULL for the value 0."""
+    each = stats.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in names))).alias("s"))
+    bucket = F.when(F.col("s.value") > 0, F.ceil(F.round(F.log(F.col("s.value")) / math.log(GROWTH), 9)).cast("int"))
+    return each.groupBy("lang", "source", F.col("s.stat").alias("stat"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(sketches: DataFrame, keys: list[str], names: tuple[str, ...], shares_: list[float], prefix: str) -> DataFrame:
+    """Per ``keys``: ``<prefix>n`` (documents), and ``<prefix><stat>_<i>``, the statistic's quantile of each share, from running counts."""
+    merged = sketches.groupBy(*keys, "stat", "bucket").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys, "stat")  # at most some thousand buckets
+    value = F.coalesce(F.exp(F.col("bucket") * F.lit(math.log(GROWTH))), F.lit(0.0))
+    at = merged.select(*keys, "stat", value.alias("value"), F.sum("n").over(w).alias("all"),
+                       F.sum("n").over(w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    picked = [F.min(F.when((F.col("stat") == n) & (F.col("upto") >= F.col("all") * p - 1e-9), F.col("value"))).alias(f"{prefix}{n}_{i}")
+              for n in names for i, p in enumerate(shares_)]
+    return at.groupBy(*keys).agg(F.max("all").alias(f"{prefix}n"), *picked)
+
+
+# The shares whose quantiles fences are drawn from, on either side.
+SHARES = sorted({0.25, 0.5, 0.75, *TAILS, *(round(1 - p, 3) for p in TAILS)})
+
+
 def _drawn(stats: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Per language and source of ``stats``: of_lang, of_source and the fences of ``names``."""
-    own = stats.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(n, SKETCH_K).alias(n) for n in names))
-    wide = own.groupBy("lang").agg(*(F.kll_merge_agg_double(n, SKETCH_K).alias(f"all_{n}") for n in names))
+    sketches = written(sketch(stats, names), "sketches")
+    own = quantiles(sketches, ["lang", "source"], names, SHARES, "own_")
+    wide = quantiles(sketches, ["lang"], names, SHARES, "all_")
     both = own.alias("o").join(wide.alias("w"), F.col("o.lang").eqNullSafe(F.col("w.lang")))
 
     def fence(n: str, sign: int) -> Column:
         def at(p: float, tail: float) -> Column:
             """The quantile ``p`` (from the other end below) of the sketch that has documents enough beyond ``tail``."""
-            sketch = F.when(F.col("n") * (1 - tail) >= MIN_GROUP * 0.25, F.col(n)).otherwise(F.col(f"all_{n}"))
-            return F.kll_sketch_get_quantile_double(sketch, F.lit(p if sign > 0 else round(1 - p, 3)))
+            i = SHARES.index(p if sign > 0 else round(1 - p, 3))
+            return F.when(F.col("own_n") * (1 - tail) >= MIN_GROUP * 0.25 - 1e-9, F.col(f"own_{n}_{i}")).otherwise(F.col(f"all_{n}_{i}"))
 
         near, far = at(0.75, 0.75), at(0.25, 0.75)
         steps = [F.when(near != far, near + REACH * (near - far))]
@@ -140,7 +171,7 @@ def fences(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
     Sketches are aggregated before the shuffle, so a hot source costs one row
     per task. Null languages and sources are groups of their own. Documents
     that fail the base rule are not part of any sketch, and those outside the
-    first statistic's fences not of the others'.
+    first statistic's fences not of the others'. A value on a fence is inside.
     """
     stats = measured.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *(c.alias(n) for n, c in shares().items()))
     first, rest = FENCED[:1], FENCED[1:]

@@ -75,10 +75,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's exact token count, from the table of counts at all its prefixes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.prefix_counts(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")), WORD_VOCABULARY, keep=["doc_id", "n_bytes"])
-    n = token_counts.total(F.col("prefix_counts"))
-    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > 2048).alias("over_limit"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    counted = token_counts.budgets(docs, WORD_VOCABULARY, 2048, keep=["doc_id", "n_bytes"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 @query

@@ -17,6 +17,7 @@ count of its first ``p`` code points.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import unicodedata
 
@@ -31,6 +32,9 @@ from .common import Texts, list_array, map_texts
 # Those of the splitting pattern with two letters, a fixed value.
 LONG_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 
+# Capitals of Unicode 16 that this Python may not know yet, and their lower case; fixed values.
+NEWER_LOWER = {0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, 0x1C89: 0x1C8A} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+
 TAIL_MARKS = regex.compile(r"[^\s\p{L}\p{N}]*$")
 
 # What is known of a run of symbols: the end of a token only; in the
@@ -170,7 +174,8 @@ class WordCounter:
             text = unicodedata.normalize("NFC", text)
         text = regex.sub(r"\s+", " ", text)
         # letter by letter: a final sigma is no special case
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        return low if low.isascii() else low.translate(NEWER_LOWER)
 
     def segment(self, text: str, words: list[str]) -> np.ndarray:
         """Counts at the prefixes of 1, 2, ... code points of a normalised text without special tokens; ``words`` are its learnt words."""
@@ -236,6 +241,23 @@ class WordCounter:
         return out
 
 
+_counters: dict[str, WordCounter] = {}
+
+
+def counter_of(content: str) -> WordCounter:
+    """This worker process's counter for the vocabulary, with the words that earlier tasks have solved."""
+    key = hashlib.sha256(content.encode()).hexdigest()
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = WordCounter(content)
+    return _counters[key]
+
+
+def _vocabulary(df: DataFrame, path: str):
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under 2 MB
+
+
 def prefix_counts(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``prefix_counts`` (array<int>): the exact token count of every prefix of the text.
 
@@ -243,11 +265,10 @@ def prefix_counts(df: DataFrame, path: str, text: str = "text", keep: list[str]
     count as one token where they are whole, and as ordinary text where the
     prefix cuts them. No shuffle; repeated rows are counted each.
     """
-    with open(path, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, under 2 MB
+    shared = _vocabulary(df, path)
 
     def work():
-        counter = WordCounter(shared.value)
+        counter = counter_of(shared.value)
 
         def run(texts: Texts) -> dict[str, pa.Array]:
             rows = counter.counts([t.decode("utf-8", "surrogatepass") for t in texts.each()])
@@ -258,6 +279,23 @@ def prefix_counts(df: DataFrame, path: str, text: str = "text", keep: list[str]
     return map_texts(df, text, work, "prefix_counts array<int>", keep, PASS_BYTES)
 
 
+def budgets(df: DataFrame, path: str, budget: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``n_tokens`` (bigint), and ``n_within`` (bigint): the most code points of the normalised text that take at most
+    ``budget`` tokens. Both are looked up in the counts at all prefixes, which stay in the worker. A null or empty text has 0 of both."""
+    shared = _vocabulary(df, path)
+
+    def work():
+        counter = counter_of(shared.value)
+
+        def run(texts: Texts) -> dict[str, pa.Array]:
+            rows = counter.counts([t.decode("utf-8", "surrogatepass") for t in texts.each()])
+            within = [len(r) - 1 if r[-1] <= budget else int(np.flatnonzero(r <= budget)[-1]) for r in rows]
+            return {"n_tokens": pa.array([int(r[-1]) for r in rows], pa.int64()), "n_within": pa.array(within, pa.int64())}
+        return run
+
+    return map_texts(df, text, work, "n_tokens bigint, n_within bigint", keep, PASS_BYTES)
+
+
 def total(counts: Column) -> Column:
     """The count of the whole text."""
     return F.element_at(counts, -1).cast("bigint")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -14,8 +15,11 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from pointbook.llm import queries as q
 from pointbook.llm import secret_scan as ss
+from pointbook.llm.token_counts import NEWER_LOWER
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,6 +278,30 @@ def test_op9_every_prefix():
         assert [int(c) for c in counts] == [len(own.encode(t[:p], add_special_tokens=False).ids) for p in range(len(t) + 1)]
 
 
+def test_op9_all_code_points():
+    """Every assigned code point, between words and alone, counts as the library counts it."""
+    from pointbook.llm.token_counts import WordCounter
+
+    counter, own = WordCounter(open(q.WORD_VOCABULARY, encoding="utf-8").read()), Tokenizer.from_file(q.WORD_VOCABULARY)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Co",)
+              and (unicodedata.category(chr(c)) != "Cn" or c in NEWER_LOWER or c in NEWER_LOWER.values())]
+    for s in range(0, len(points), 8192):
+        texts = [f"a{chr(c)}b {chr(c)}" for c in points[s:s + 8192]]
+        want = [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)]
+        got = [int(r[-1]) for r in counter.counts(texts)]
+        assert got == want, [hex(c) for c, a, b in zip(points[s:], got, want) if a != b]
+
+
+def test_op9_budgets(spark):
+    from pointbook.llm import token_counts
+
+    docs = spark.createDataFrame([(1, "tokens 12.5 émigré we've"), (2, ""), (3, None), (4, "one two three four five")], "doc_id long, text string")
+    for budget in (0, 2, 3, 100):
+        got = token_counts.budgets(token_counts.prefix_counts(docs, q.WORD_VOCABULARY), q.WORD_VOCABULARY, budget)
+        for r in got.withColumn("want", token_counts.cut_within(F.col("prefix_counts"), budget)).collect():
+            assert (r.n_tokens, r.n_within) == (r.prefix_counts[-1], r.want)
+
+
 def test_op10(spark, docs):
     got = result(spark, "op10_quality_rules")
     for d, t, *_ in docs:
@@ -288,33 +316,69 @@ def test_op10(spark, docs):
         assert not (r.base_failed and r.kept)
 
 
-def test_op10_verdict_by_exact_quartiles(spark):
-    """With groups smaller than the sketch's size, its quartiles are exact."""
-    from pointbook.llm import quality_rules as qr
+def op10_verdicts(rows):
+    """{doc_id: kept} of measured rows, restated with lists: fences of the first statistic, then of the others within them."""
+    import math
 
-    sf = "/root/testdata/sf0.01"
-    rows = [r.asDict() for r in qr.measure(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
-    kept = {r.doc_id: r.kept for r in q.QUERIES["op10_quality_rules"](spark, sf).collect()}
+    from pointbook.llm import quality_rules as qr
 
     def stats(r):
         return {"mean_word": r["word_chars"] / r["n_words"], "symbol_share": r["n_symbols"] / r["word_chars"],
                 "dup_line_share": r["n_dup_lines"] / max(r["n_dup_lines"] + 1, r["n_words"] / 8), "repeat_share": r["n_repeat_words"] / r["n_words"]}
 
-    passed = [r for r in rows if r["n_words"] >= 20 and 100 * r["n_repeat_words"] <= 30 * r["n_words"]]
-    agree = 0
-    for r in passed:
-        group = [x for x in passed if (x["lang"], x["source"]) == (r["lang"], r["source"])]
-        if len(group) < qr.MIN_GROUP:
-            continue
-        ok = True
-        for name, value in stats(r).items():
-            v = sorted(stats(x)[name] for x in group)
-            lo, hi = (v[max(0, int(np.ceil(p * len(v))) - 1)] for p in (0.25, 0.75))
-            reach_ = qr.REACH * max(hi - lo, qr.LEAST_SPREAD[name])
-            ok &= value <= hi + reach_ and (name not in qr.LOWER_TOO or value >= lo - reach_)
-        assert kept[r["doc_id"]] == ok
-        agree += 1
-    assert agree
+    def bucket_end(x):
+        return math.exp(math.ceil(round(math.log(x) / math.log(qr.GROWTH), 9)) * math.log(qr.GROWTH)) if x > 0 else 0.0
+
+    def fence(own, wide, sign):
+        def at(p, tail):
+            v = own if len(own) * (1 - tail) >= qr.MIN_GROUP * 0.25 - 1e-9 else wide
+            p = p if sign > 0 else round(1 - p, 3)
+            return v[max(0, math.ceil(p * len(v) - 1e-9) - 1)]
+
+        near, far = at(0.75, 0.75), at(0.25, 0.75)
+        if near != far:
+            return near + qr.REACH * (near - far)
+        for p in qr.TAILS:
+            if at(p, p) != at(0.5, p):
+                return at(0.5, p) + qr.FAR / qr.NORMAL[p] * (at(p, p) - at(0.5, p))
+        return at(qr.TAILS[-1], qr.TAILS[-1])
+
+    inside = [r for r in rows if r["n_words"] >= 20 and 100 * r["n_repeat_words"] <= 30 * r["n_words"]]
+    kept = dict.fromkeys((r["doc_id"] for r in rows), False)
+    for names in (qr.FENCED[:1], qr.FENCED[1:]):
+        ok = []
+        value = {r["doc_id"]: {k: (v, bucket_end(v)) for k, v in stats(r).items()} for r in inside}
+        limits = {}
+        for r in inside:
+            key = r["lang"], r["source"]
+            if key not in limits:
+                limits[key] = {}
+                for n in names:
+                    own = sorted(value[x["doc_id"]][n][1] for x in inside if (x["lang"], x["source"]) == key)
+                    wide = sorted(value[x["doc_id"]][n][1] for x in inside if x["lang"] == r["lang"])
+                    limits[key][n] = (fence(own, wide, -1) if n in qr.LOWER_TOO else -math.inf, fence(own, wide, 1))
+            if all(limits[key][n][0] <= value[r["doc_id"]][n][0] <= limits[key][n][1] for n in names):
+                ok.append(r)
+        inside = ok
+    return kept | {r["doc_id"]: True for r in inside}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op10_verdict(spark, sf):
+    from pointbook.llm import quality_rules as qr
+
+    sf = f"/root/testdata/{sf}"
+    rows = [r.asDict() for r in qr.measure(spark.read.parquet(f"{sf}/documents.parquet")).collect()]
+    want = op10_verdicts(rows)
+    assert {r.doc_id: r.kept for r in q.QUERIES["op10_quality_rules"](spark, sf).collect()} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_op10_verdict_does_not_depend_on_the_run(spark):
+    from pointbook.llm import quality_rules as qr
+
+    measured = qr.measure(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")).drop("text")
+    runs = [sorted((r.doc_id, r.kept) for r in qr.judge(m, qr.fences(m)).select("doc_id", "kept").collect()) for m in (measured, measured.repartition(13))]
+    assert runs[0] == runs[1]
 
 
 def test_pipeline(spark, docs):
