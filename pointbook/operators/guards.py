@@ -23,6 +23,15 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.count() <= max_rows
 
 
+def few_per_key(df: DataFrame, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS, max_per_key: int = 32) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and no key has more than
+    ``max_per_key`` of them: a row joined with it on the key and a further
+    condition then meets a bounded number of rows. One job over ``df`` (a
+    request batch), counted per key in the tasks first."""
+    got = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    return (got[0] or 0) <= max_rows and (got[1] or 0) <= max_per_key
+
+
 def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Prove ``df`` small and keep it: ``(checkpointed df, True)`` when it has
     at most ``max_rows`` rows, else ``(df, False)``.

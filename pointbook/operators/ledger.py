@@ -62,16 +62,18 @@ def month_of(day) -> Column:
     return F.substring(_c(day), 1, 7)
 
 
-def penalties_for_student(penalties: DataFrame, student_id: str, date_from: str | None = None,
+def penalties_for_student(penalties: DataFrame, student_id: str | None, date_from: str | None = None,
                           date_to: str | None = None, month_col: str | None = None) -> DataFrame:
     """B1 (single request, the reference's own form): one student's ledger rows
-    in the inclusive text range; a missing or empty bound is unbounded.
+    in the inclusive text range; a missing or empty bound is unbounded, a
+    missing or empty student id is an error.
 
     All predicates are literals, so they reach the Parquet scan as pushed
     filters; with a ledger written partitioned by ``month_col`` (see
     ``write_ledger_snapshot``) the derived month bounds also prune whole
     partitions (Catalyst cannot derive them from a string range itself).
     """
+    require_student_id(student_id)
     lo = date_from or RANGE_MIN
     hi = date_to or RANGE_MAX
     cond = (F.col("student_id") == F.lit(student_id)) & F.col("occurred_on").between(F.lit(lo), F.lit(hi))
@@ -83,15 +85,31 @@ def penalties_for_student(penalties: DataFrame, student_id: str, date_from: str
 def ledger_total(penalties: DataFrame, requests: DataFrame) -> DataFrame:
     """Total points of the rows B1 lists, per request; no rows -> 0.
 
-    The ledger is summed per (student, day) before the range join: the
-    range only looks at the day, and a student's history shrinks to at most
-    one row per day (partial aggregation absorbs a hot student)."""
-    daily = penalties.groupBy("student_id", "occurred_on").agg(F.sum("points").alias("points"))
-    listed = penalties_in_range(daily, requests, split_hot=False)  # at most one row per student-day
-    sums = listed.groupBy("request_seq").agg(F.sum("points").alias("_s"))
-    return (requests.select(F.col("seq").alias("request_seq"), "student_id")
-            .join(sums, "request_seq", "left")
-            .select("request_seq", "student_id", F.coalesce("_s", F.lit(0)).cast("bigint").alias("total")))
+    The ledger is summed per (student, day), and a request's total is the
+    difference of the running totals at its bounds (``operators.ranges``):
+    linear in days and requests, also for a student with many of both. A
+    small batch only aggregates the students it names."""
+    from .guards import restrict_to_keys
+    from .ranges import by_day, totals_at
+
+    lo, hi = range_bounds("from", "to")
+    r = requests.select(F.col("seq").alias("request_seq"), "student_id", lo.alias("_lo"), hi.alias("_hi"))
+    (penalties,) = restrict_to_keys([(penalties, "student_id")], requests, "student_id")
+    t = totals_at(by_day(penalties), r, ["points"])
+    return t.select("request_seq", "student_id",
+                    F.coalesce(F.col("points_to") - F.col("points_below"), F.lit(0)).cast("bigint").alias("total"))
+
+
+def require_student_id(student_id: str | None) -> str:
+    """A history or note list is asked for one student; without an id it is an error."""
+    if not student_id:
+        raise ValueError("student_id is required")
+    return student_id
+
+
+def notes_for_student(notes: DataFrame, student_id: str | None) -> DataFrame:
+    """B2 (single request): one student's notes; a missing student id is an error."""
+    return notes.where(F.col("student_id") == require_student_id(student_id))
 
 
 def notes_for_students(notes: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
@@ -174,10 +192,14 @@ def cumulative_points(students: DataFrame, penalties: DataFrame) -> DataFrame:
     and left-joins the per-student sums, which Catalyst does not do by
     itself for a join-then-group query.
     """
-    sums = penalties.groupBy("student_id").agg(F.sum("points").alias("_sum"))
-    j = students.join(sums, students["id"] == sums["student_id"], "left")
-    return j.select(*[students[c] for c in students.columns],
-                    F.coalesce(F.col("_sum"), F.lit(0)).cast("bigint").alias("points"))
+    return with_points(students, penalties.groupBy("student_id").agg(F.sum("points").alias("points")))
+
+
+def with_points(students: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every student with their ``points`` of ``totals`` (one row a student at most), 0 without."""
+    t = totals.select(F.col("student_id").alias("_sid"), F.col("points").alias("_sum"))
+    j = students.join(t, F.col("id") == F.col("_sid"), "left")
+    return j.select(*students.columns, F.coalesce(F.col("_sum"), F.lit(0)).cast("bigint").alias("points"))
 
 
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:

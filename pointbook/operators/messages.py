@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import default_message, gen_id, js_trim, normalize_phone
 from .guards import restrict_to_keys
-from .ledger import cumulative_points
+from .ledger import cumulative_points, with_points
 from .thresholds import best_threshold
-from .validate import first_reason, validate_sms
+from .validate import first_reason, issues_of, non_empty, target_field
 
 
 def distinct_recipients(target, student_phone, parent_phone) -> Column:
@@ -42,28 +42,38 @@ def sms_student_lookup(requests: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def prepare_messages(requests: DataFrame, students: DataFrame, penalties: DataFrame,
-                     thresholds: DataFrame) -> DataFrame:
+                     thresholds: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Every request with ``issues``, ``reject_reason`` (NULL when accepted),
     the message ``text`` and the ``recipients`` array.
 
     A request without ``message`` gets the default message (I8) of its
     student: the best reached threshold's template (message tie rule) or
     the default text, rendered with the student's name and total.
-    Reject order: schema -> student_not_found -> no_recipient.
+    Reject order: schema -> student_not_found -> no_recipient. A text that is
+    blank after rendering and trimming is never sent: it is a schema issue
+    (``message:empty``), as a blank given message is.
     A small batch narrows roster and ledger to its students first
     (``restrict_to_keys``); a batch for everyone aggregates the ledger once.
+    Kept ``totals`` (student_id, points), if given, stand in for the ledger.
     """
-    students, penalties = restrict_to_keys([(students, "id"), (penalties, "student_id")], requests, "student_id")
-    totals = best_threshold(cumulative_points(students, penalties), thresholds)
-    checked = validate_sms(requests)
-    j = sms_student_lookup(checked, totals)
+    if totals is None:
+        students, penalties = restrict_to_keys([(students, "id"), (penalties, "student_id")], requests, "student_id")
+        pointed = cumulative_points(students, penalties)
+    else:
+        students, totals = restrict_to_keys([(students, "id"), (totals, "student_id")], requests, "student_id")
+        pointed = with_points(students, totals)
+    totals = best_threshold(pointed, thresholds)
+    j = sms_student_lookup(requests, totals)
     rendered = default_message("threshold_template", "name", "points", "threshold_min_points", "threshold_label")
     text = js_trim(F.coalesce(F.col("message"), rendered))
+    # nothing is composed for a student that does not exist: the lookup rejects the request
+    composed = F.when(F.col("message").isNull() & ~F.col("_found"), F.lit(None)).otherwise(text == "")
+    issues = issues_of(*non_empty("student_id"), *target_field("target"), (composed, "message:empty"))
     recips = distinct_recipients("target", "student_phone", "parent_phone")
     return j.select(
-        "seq", "student_id", "target", "issues", text.alias("text"), recips.alias("recipients"),
+        "seq", "student_id", "target", issues.alias("issues"), text.alias("text"), recips.alias("recipients"),
         first_reason(
-            (F.size("issues") > 0, "schema"),
+            (F.size(issues) > 0, "schema"),
             (~F.col("_found"), "student_not_found"),
             (F.size(recips) == 0, "no_recipient"),
         ).alias("reject_reason"),
@@ -80,6 +90,13 @@ def message_outbox(prepared: DataFrame, sender: str, batch: str) -> DataFrame:
         normalize_phone(F.lit(sender)).alias("from"), "text")
 
 
+def not_yet_sent(outbox: DataFrame, sent: DataFrame) -> DataFrame:
+    """The outbox rows whose ``outbox_id`` is not among those handed over
+    before (``sent``): a batch that is repeated, or one that overlaps it,
+    sends nothing twice."""
+    return outbox.join(sent.select("outbox_id").distinct(), "outbox_id", "left_anti").select(*outbox.columns)
+
+
 def message_rejects(prepared: DataFrame) -> DataFrame:
     """Rejected send requests with their first reason and all schema issues."""
     return (prepared.where(F.col("reject_reason").isNotNull())

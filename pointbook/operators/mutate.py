@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import empty_to_null, gen_id
 from ..schemas import ID_PREFIX_PENALTY
 from ..sources.roster import normalize_roster, roster_required_fields
-from .guards import DEFAULT_BROADCAST_ROWS, materialize_if_bounded, restrict_to_keys, row_count_at_most
+from .guards import DEFAULT_BROADCAST_ROWS, few_per_key, materialize_if_bounded, restrict_to_keys, row_count_at_most
 from .validate import (first_reason, split_valid, validate_notes, validate_penalties, validate_resets,
                        validate_rules, validate_students, validate_thresholds)
 
@@ -266,40 +266,52 @@ def rejected_penalties(decided: DataFrame) -> DataFrame:
             .select("seq", "student_id", "rule_id", "occurred_on", "reject_reason", "issues"))
 
 
-def reset_penalties(penalties: DataFrame, requests: DataFrame, split_hot: bool = True,
-                    **hot_kw) -> tuple[DataFrame, DataFrame]:
-    """C11: delete each valid request's student rows with ``occurred_on`` in the
-    inclusive text range (``from > to`` deletes nothing).
+def _ranges(requests: DataFrame) -> DataFrame:
+    """The valid reset requests as (_rseq, _rsid, _lo, _hi)."""
+    v = validate_resets(requests).where(F.size("issues") == 0)
+    return v.select(F.col("seq").alias("_rseq"), F.col("student_id").alias("_rsid"), F.col("from").alias("_lo"), F.col("to").alias("_hi"))
+
+
+def covered_days(penalties: DataFrame, requests: DataFrame) -> DataFrame:
+    """C11: the (student, day)s with ledger rows that some valid request covers,
+    with their ``points`` and ``rows`` and the first covering request ``_rseq``.
+    A small batch only aggregates the students it names."""
+    from .ranges import by_day, first_covering
 
-    Returns ``(remaining_penalties, deleted_counts)``; ``deleted_counts`` has
-    one row per request (``seq``, ``student_id``, ``reject_reason``,
+    (named,) = restrict_to_keys([(penalties, "student_id")], requests, "student_id")
+    return first_covering(by_day(named), _ranges(requests))
+
+
+def reset_counts(requests: DataFrame, covered: DataFrame) -> DataFrame:
+    """One row per request (``seq``, ``student_id``, ``reject_reason``,
     ``deleted``): an invalid request deletes nothing and carries
     ``reject_reason = 'schema'``. A row covered by several requests counts
-    for the first (by ``seq``), as sequential deletes would. The range is a residual condition on the ``student_id``
-    equi-join (sort-merge anti join; broadcast when AQE measures the request
-    set small).
+    for the first (by ``seq``), as sequential deletes would."""
+    hits = covered.groupBy("_rseq").agg(F.sum("rows").alias("_n"))
+    return (validate_resets(requests).join(hits, F.col("seq") == F.col("_rseq"), "left")
+            .select("seq", "student_id",
+                    F.when(F.size("issues") > 0, F.lit("schema")).alias("reject_reason"),
+                    F.coalesce("_n", F.lit(0)).cast("bigint").alias("deleted")))
+
+
+def reset_penalties(penalties: DataFrame, requests: DataFrame, **few_kw) -> tuple[DataFrame, DataFrame]:
+    """C11: delete each valid request's student rows with ``occurred_on`` in the
+    inclusive text range (``from > to`` deletes nothing).
+
+    Returns ``(remaining_penalties, deleted_counts)`` (see ``reset_counts``).
+    A small batch with few requests a student (``guards.few_per_key``,
+    ``few_kw`` passed on) is broadcast with its ranges: the ledger is only
+    scanned, and a row meets few ranges. Otherwise rows go by an equi
+    anti-join on (student, day) with the covered days: no row meets more than
+    one day, and a hot student is spread by day.
     """
-    v = validate_resets(requests)
-    ok = v.where(F.size("issues") == 0).select(
-        F.col("seq").alias("_rseq"), F.col("student_id").alias("_rsid"),
-        F.col("from").alias("_lo"), F.col("to").alias("_hi"))
-    cond = (F.col("student_id") == F.col("_rsid")) & F.col("occurred_on").between(F.col("_lo"), F.col("_hi"))
-    from .skew import join_ledger_with_requests
-
-    remaining = join_ledger_with_requests(penalties, ok, "student_id", "_rsid", "left_anti",
-                                          extra=F.col("occurred_on").between(F.col("_lo"), F.col("_hi")),
-                                          split_hot=split_hot, **hot_kw)
-    # coverage depends only on (student, day): count the ledger per day first,
-    # so a student with a third of the ledger is a few hundred rows here
-    daily = penalties.groupBy("student_id", "occurred_on").agg(F.count(F.lit(1)).alias("_rows"))
-    hits = (daily.join(ok, cond, "inner")
-            .groupBy("student_id", "occurred_on").agg(F.min("_rseq").alias("_rseq"), F.max("_rows").alias("_rows"))
-            .groupBy("_rseq").agg(F.sum("_rows").alias("_n")))
-    counts = (v.join(hits, F.col("seq") == F.col("_rseq"), "left")
-              .select("seq", "student_id",
-                      F.when(F.size("issues") > 0, F.lit("schema")).alias("reject_reason"),
-                      F.coalesce("_n", F.lit(0)).cast("bigint").alias("deleted")))
-    return remaining, counts
+    covered = covered_days(penalties, requests)
+    if few_per_key(requests, "student_id", **few_kw):
+        remaining = penalties.join(F.broadcast(_ranges(requests)), (F.col("student_id") == F.col("_rsid"))
+                                   & F.col("occurred_on").between(F.col("_lo"), F.col("_hi")), "left_anti")
+    else:
+        remaining = penalties.join(covered.select("student_id", "occurred_on"), ["student_id", "occurred_on"], "left_anti")
+    return remaining.select(*penalties.columns), reset_counts(requests, covered)
 
 
 # -- notes (C12) ----------------------------------------------------------------------
@@ -354,10 +366,11 @@ def edit_or_add(base: DataFrame, changes: DataFrame, key: str = "id") -> DataFra
             .select(key, F.when(F.col("_bx").isNotNull(), F.lit("updated")).otherwise(F.lit("inserted")).alias("op")))
 
 
-def seed_if_empty(df: DataFrame, defaults: DataFrame) -> DataFrame:
-    """A4: ``df`` plus ``defaults`` only when ``df`` has no row. The check
-    reads at most one row."""
-    if row_count_at_most(df, 0):
-        return df.unionByName(defaults.select(*df.columns))
-    return df
+def is_empty(df: DataFrame) -> bool:
+    """Whether ``df`` has no row (at most one is read)."""
+    return df.isEmpty()
+
 
+def seed_if_empty(df: DataFrame, defaults: DataFrame) -> DataFrame:
+    """A4: ``df`` plus ``defaults`` only when ``df`` has no row."""
+    return df.unionByName(defaults.select(*df.columns)) if is_empty(df) else df

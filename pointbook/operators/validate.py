@@ -109,38 +109,52 @@ def validate_notes(df: DataFrame, batch: str) -> DataFrame:
 
 
 def validate_sms(df: DataFrame) -> DataFrame:
-    """student_id non-empty; target one of student / parent / both; a given
-    message must not be blank (NULL = use the default message)."""
-    t = F.col("target")
-    m = F.col("message")
-    return _with_issues(df, non_empty("student_id") + [
-        (t.isNull(), "target:required"),
-        (t.isNotNull() & ~t.isin(*TARGETS), "target:enum"),
-        (m.isNotNull() & (js_trim(m) == ""), "message:empty"),
-    ])
+    """J7, the server's rules: student_id non-empty; target one of student /
+    parent / both; message non-empty (white space alone passes here; a
+    missing message does not). A send batch composes missing messages first
+    (``messages.prepare_messages``)."""
+    return _with_issues(df, non_empty("student_id") + target_field("target") + non_empty("message"))
+
+
+def target_field(field: str) -> list[tuple[Column, str]]:
+    """``z.enum(["student", "parent", "both"])``."""
+    t = F.col(f"`{field}`")
+    return [(t.isNull(), f"{field}:required"), (t.isNotNull() & ~t.isin(*TARGETS), f"{field}:enum")]
 
 
 def precheck(df: DataFrame, form: str) -> DataFrame:
     """The client's stricter checks before a request is posted.
 
     ``form``: ``students`` (id and name non-blank after trim), ``penalties``
-    (student and rule chosen), ``notes`` (content non-blank), ``sms``
-    (student chosen, message non-blank), ``resets`` (``from <= to``).
+    (student and rule chosen), ``notes`` (student chosen, content non-blank),
+    ``sms`` (student chosen, message non-blank; a missing one is composed),
+    ``resets`` (student chosen, ``from <= to``). What is chosen from a list
+    is only tested for being there, what is typed is trimmed first.
     """
     def blank(c):
         return F.coalesce(js_trim(F.col(f"`{c}`")), F.lit("")) == ""
 
+    def unchosen(c):
+        return F.coalesce(F.col(f"`{c}`"), F.lit("")) == ""
+
     checks = {
         "students": [(blank("id"), "id:blank"), (blank("name"), "name:blank")],
-        "penalties": [(blank("student_id"), "student_id:blank"), (blank("rule_id"), "rule_id:blank")],
-        "notes": [(blank("student_id"), "student_id:blank"), (blank("content"), "content:blank")],
-        "sms": [(blank("student_id"), "student_id:blank"),
+        "penalties": [(unchosen("student_id"), "student_id:blank"), (unchosen("rule_id"), "rule_id:blank")],
+        "notes": [(unchosen("student_id"), "student_id:blank"), (blank("content"), "content:blank")],
+        "sms": [(unchosen("student_id"), "student_id:blank"),
                 (F.col("message").isNotNull() & blank("message"), "message:blank")],
-        "resets": [(F.coalesce(F.col("from") > F.col("to"), F.lit(False)), "range:reversed")],
+        "resets": [(unchosen("student_id"), "student_id:blank"),
+                   (F.coalesce(F.col("from") > F.col("to"), F.lit(False)), "range:reversed")],
     }[form]
     return df.withColumn("precheck", issues_of(*checks))
 
 
+def missing_student(df: DataFrame) -> DataFrame:
+    """B1 / B2: history and note requests without a student id, which are
+    errors, with their reason (``student_id:required`` or ``:empty``)."""
+    return split_valid(_with_issues(df, non_empty("student_id")))[1]
+
+
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(valid, quarantined)`` by the ``issues`` column."""
     return df.where(F.size("issues") == 0), df.where(F.size("issues") > 0)

@@ -54,28 +54,53 @@ def q_validate_notes(spark, sf):
     return va.validate_notes(si.note_upserts(spark, sf), o.BATCH).select("seq", "id", _issues())
 
 
-@query("validate_sms", f"SELECT seq, issues FROM {o.sms_prepared()} q")
+_SMS_ISSUES = o.sql_issues(o.sql_non_empty("student_id") + [("target IS NULL", "target:required"), ("target NOT IN ('student', 'parent', 'both')", "target:enum")]
+                           + o.sql_non_empty("message"))
+
+
+@query("validate_sms", f"SELECT seq, {_SMS_ISSUES} AS issues FROM sms_requests")
 def q_validate_sms(spark, sf):
     """J7 over send requests."""
     return va.validate_sms(si.sms_requests(spark, sf)).select("seq", _issues())
 
 
-@query("precheck", f"""
-SELECT seq, concat_ws(',', CASE WHEN COALESCE({o.js_trim('id')}, '') = '' THEN 'id:blank' END,
- CASE WHEN COALESCE({o.js_trim('name')}, '') = '' THEN 'name:blank' END) AS precheck
-FROM student_upserts""")
-def q_precheck(spark, sf):
-    """The client's stricter student form check (id and name non-blank after trim)."""
-    p = va.precheck(si.student_upserts(spark, sf), "students")
-    return p.select("seq", F.array_join("precheck", ",").alias("precheck"))
+def _blank(c: str) -> str:
+    return f"COALESCE({o.js_trim(c)}, '') = ''"
+
+
+def _unchosen(c: str) -> str:
+    return f"COALESCE({c}, '') = ''"
+
+
+# Each form's checks, and its requests.
+_FORMS = {
+    "students": ("student_upserts", si.student_upserts, [(_blank("id"), "id:blank"), (_blank("name"), "name:blank")]),
+    "penalties": ("penalty_requests", si.penalty_requests, [(_unchosen("student_id"), "student_id:blank"), (_unchosen("rule_id"), "rule_id:blank")]),
+    "notes": ("note_upserts", si.note_upserts, [(_unchosen("student_id"), "student_id:blank"), (_blank("content"), "content:blank")]),
+    "sms": ("sms_requests", si.sms_requests, [(_unchosen("student_id"), "student_id:blank"), (f"message IS NOT NULL AND {_blank('message')}", "message:blank")]),
+    "resets": ("reset_requests", si.reset_requests, [(_unchosen("student_id"), "student_id:blank"), ('"from" > "to"', "range:reversed")]),
+}
+
+
+def _precheck(form: str) -> None:
+    view, loader, checks = _FORMS[form]
+
+    @query("precheck" if form == "students" else f"precheck_{form}", f"SELECT seq, {o.sql_issues(checks)} AS precheck FROM {view}")
+    def q(spark, sf):
+        return va.precheck(loader(spark, sf), form).select("seq", F.array_join("precheck", ",").alias("precheck"))
+
+    q.__doc__ = f"J8: the client's checks of the {form} form."
+
+
+for _form in _FORMS:
+    _precheck(_form)
 
 
-@query("precheck_resets", """
-SELECT seq, CASE WHEN "from" > "to" THEN 'range:reversed' ELSE '' END AS precheck FROM reset_requests""")
-def q_precheck_resets(spark, sf):
-    """The client's reset form check (``from <= to``)."""
-    p = va.precheck(si.reset_requests(spark, sf), "resets")
-    return p.select("seq", F.array_join("precheck", ",").alias("precheck"))
+@query("history_rejects", f"""
+SELECT seq, student_id, {o.sql_issues(o.sql_non_empty('student_id'))} AS issues FROM range_requests WHERE COALESCE(student_id, '') = ''""")
+def q_history_rejects(spark, sf):
+    """B1 / B2: history requests without a student id are errors."""
+    return va.missing_student(si.range_requests(spark, sf)).select("seq", "student_id", _issues())
 
 
 # == assignment ===============================================================

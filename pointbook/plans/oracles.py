@@ -34,7 +34,8 @@ SELECT id, min_points, label, message_template, sort_order,
  ('th_5', CAST(5 AS BIGINT), 'L5', '[X] {name} at {points}', CAST(1 AS BIGINT)),
  ('th_70a', CAST(70 AS BIGINT), 'L70A', '{label}: {name} {points}/{threshold}{nope}', CAST(3 AS BIGINT)),
  ('th_70b', CAST(70 AS BIGINT), 'L70B', '{label}: {name} {points}/{threshold}', CAST(2 AS BIGINT)),
- ('th_85', CAST(85 AS BIGINT), 'L85', '', CAST(4 AS BIGINT))) AS t(id, min_points, label, message_template, sort_order)""",
+ ('th_85', CAST(85 AS BIGINT), 'L85', '', CAST(4 AS BIGINT)),
+ ('th_95', CAST(95 AS BIGINT), 'L95', ' {nope} ', CAST(5 AS BIGINT))) AS t(id, min_points, label, message_template, sort_order)""",
     "penalties": """
 SELECT 'pen_' || CAST(e.event_id AS VARCHAR) AS id, CAST(e.user_id AS VARCHAR) AS student_id,
  'rule_' || e.event_type AS rule_id, e.event_type AS rule_title,
@@ -53,21 +54,22 @@ SELECT 'note_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id
  '2024-01-' || lpad(CAST(1 + turn AS VARCHAR), 2, '0') AS noted_on, text AS content,
  '2024-01-01 00:00:00' AS created_at, '2024-01-01 00:00:00' AS updated_at FROM conversations""",
     "roster_import": """
-SELECT c_custkey AS seq, '  ' || CAST(c_custkey AS VARCHAR) AS id, c_name || ' ' AS name,
+SELECT c_custkey AS seq, CASE WHEN c_custkey % 71 = 0 THEN '' WHEN c_custkey % 73 = 0 THEN NULL ELSE '  ' || CAST(c_custkey AS VARCHAR) END AS id,
+  CASE WHEN c_custkey % 67 = 0 THEN '' WHEN c_custkey % 79 = 0 THEN NULL ELSE c_name || ' ' END AS name,
   CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'G2' END AS grade, CAST(NULL AS VARCHAR) AS student_phone, '01012345678' AS parent_phone
-  FROM customer WHERE c_custkey % 3 = 0
+  FROM customer
 UNION ALL SELECT c_custkey + 1000000, CAST(c_custkey AS VARCHAR), 'dup ' || c_name, 'G3', '', ''
   FROM customer WHERE c_custkey % 30 = 0
 UNION ALL SELECT c_custkey + 2000000, 'new' || CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 100 = 0 THEN ' ' ELSE c_name END, 'G1', '', ''
   FROM customer WHERE c_custkey % 50 = 0""",
     "student_upserts": "SELECT * FROM roster_import",
     "range_requests": """
-SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR) AS student_id,
+SELECT c_custkey AS seq, CASE WHEN c_custkey % 59 = 0 THEN NULL WHEN c_custkey % 61 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS student_id,
  CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN '' ELSE '2024-01-' || lpad(CAST(c_custkey % 20 + 1 AS VARCHAR), 2, '0') END AS "from",
  CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') END AS "to"
 FROM customer""",
     "reset_requests": """
-SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR) AS student_id,
+SELECT c_custkey AS seq, CASE WHEN c_custkey % 59 = 0 THEN NULL WHEN c_custkey % 61 = 0 THEN '' ELSE CAST(c_custkey AS VARCHAR) END AS student_id,
  CASE WHEN c_custkey % 17 = 0 THEN '2024-1-5' ELSE '2024-01-' || lpad(CAST(c_custkey % 20 + 1 AS VARCHAR), 2, '0') END AS "from",
  '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS "to"
 FROM customer""",
@@ -89,13 +91,18 @@ SELECT n AS seq,
  CASE WHEN event_type = 'view' THEN '1' ELSE NULL END AS sort_order
 FROM (SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type) e""",
     "note_upserts": """
-SELECT conv_id * 10 AS seq, 'note_' || CAST(conv_id AS VARCHAR) || '_0' AS id, CAST(conv_id + 1 AS VARCHAR) AS student_id,
- '2024-02-01' AS noted_on, text || ' (edited)' AS content FROM conversations WHERE turn = 0
-UNION ALL
-SELECT conv_id * 10 + 1, '', CAST(conv_id AS VARCHAR), CASE WHEN role = 'assistant' THEN '2024-2-1' ELSE '2024-02-02' END, text
-FROM conversations WHERE turn = 1""",
+SELECT conv_id * 100 + turn AS seq,
+ CASE WHEN turn % 2 = 1 THEN '' ELSE 'note_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) END AS id,
+ CASE WHEN turn % 2 = 0 THEN CAST(conv_id + 1 AS VARCHAR) WHEN conv_id % 19 = 3 THEN '' WHEN conv_id % 19 = 5 THEN 'ghost' ELSE CAST(conv_id AS VARCHAR) END AS student_id,
+ CASE WHEN turn % 2 = 0 THEN '2024-02-01' WHEN role = 'assistant' AND conv_id % 2 = 0 THEN '2024-2-1' ELSE '2024-02-02' END AS noted_on,
+ CASE WHEN conv_id % 23 = 4 THEN '' WHEN turn % 2 = 1 THEN text ELSE text || ' (edited)' END AS content
+FROM conversations""",
     "sms_requests": """
-SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR) AS student_id, 'both' AS target, CAST(NULL AS VARCHAR) AS message FROM customer""",
+SELECT c_custkey AS seq,
+ CASE WHEN c_custkey % 47 = 0 THEN 'ghost' WHEN c_custkey % 53 = 0 THEN '' WHEN c_custkey % 107 = 0 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS student_id,
+ CASE WHEN c_custkey % 41 = 0 THEN 'teacher' WHEN c_custkey % 43 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 'student' WHEN c_custkey % 5 = 2 THEN 'parent' ELSE 'both' END AS target,
+ CASE WHEN c_custkey % 31 = 0 THEN '' WHEN c_custkey % 37 = 0 THEN ' ' || chr(9) || chr(12288)
+  WHEN c_custkey % 10 = 9 THEN '  notice ' || CAST(c_custkey AS VARCHAR) || chr(10) END AS message FROM customer""",
     "student_deletes": "SELECT id FROM students WHERE grade IS NULL",
     "rule_deletes": "SELECT id FROM rules WHERE is_active = 0",
     "penalty_deletes": "SELECT 'pen_' || CAST(seq AS VARCHAR) AS id FROM penalty_requests WHERE rule_id = 'rule_none'",
@@ -170,13 +177,13 @@ def sms_prepared() -> str:
   CASE WHEN r.student_id = '' THEN 'student_id:empty' END,
   CASE WHEN r.target IS NULL THEN 'target:required' END,
   CASE WHEN r.target NOT IN ('student', 'parent', 'both') THEN 'target:enum' END,
-  CASE WHEN r.message IS NOT NULL AND {js_trim('r.message')} = '' THEN 'message:empty' END) AS issues,
+  CASE WHEN (r.message IS NOT NULL OR b.id IS NOT NULL) AND {js_trim(f"COALESCE(r.message, {rendered})")} = '' THEN 'message:empty' END) AS issues,
  b.id IS NOT NULL AS found
  FROM sms_requests r LEFT JOIN {BEST} b ON b.id = r.student_id)"""
 
 
-def sms_outbox() -> str:
-    return f"""(SELECT {sql_gen_id('sms', 'seq', 'pos')} AS outbox_id, seq, student_id, pos, "to",
+def sms_outbox(batch: str = BATCH) -> str:
+    return f"""(SELECT {sql_gen_id('sms', 'seq', 'pos', batch=batch)} AS outbox_id, seq, student_id, pos, "to",
  {sql_norm_phone(f"'{SENDER}'")} AS "from", text FROM (
  SELECT seq, student_id, CAST(0 AS BIGINT) AS pos, sp AS "to", text FROM {sms_prepared()} q
   WHERE issues = '' AND found AND sp IS NOT NULL

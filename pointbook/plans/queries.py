@@ -4,4 +4,4 @@ Each group module pairs a ``queries()`` entry (library operators over the
 stand-in tables) with its DuckDB oracle SQL.
 """
 
-from . import changes, checks, reads, scalars, sends, streams, totals  # noqa: F401
+from . import changes, checks, lifecycles, reads, scalars, sends, streams, totals  # noqa: F401

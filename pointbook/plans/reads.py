@@ -63,6 +63,16 @@ def q_seed_if_empty(spark, sf):
     return mu.seed_if_empty(si.rules(spark, sf), defaults)
 
 
+@query("seed_emptied_rules", f"""
+SELECT * FROM (SELECT * FROM rules WHERE id NOT IN (SELECT rule_id FROM penalties)) r
+UNION ALL SELECT * FROM ({_SEED_ROWS}) d WHERE NOT EXISTS (SELECT 1 FROM rules WHERE id NOT IN (SELECT rule_id FROM penalties))""")
+def q_seed_emptied_rules(spark, sf):
+    """A4, the insert branch: every rule that the ledger names is deleted, which leaves none, and the defaults come back."""
+    used = si.penalties(spark, sf).select(F.col("rule_id").alias("id"))
+    defaults = spark.createDataFrame([(i, t, p, 1, s, o.AS_OF, o.AS_OF) for i, t, p, s in DEFAULT_RULES], RULES)
+    return mu.seed_if_empty(mu.delete_by_keys(si.rules(spark, sf), used), defaults)
+
+
 # == filters and lookups (B*) ================================================
 
 @query("penalties_in_range", """

@@ -8,35 +8,35 @@ from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from ..functions import js_trim, null_to_empty
 from ..schemas import ROSTER_HEADERS
+from .ordered import number_rows, read_csv_in_order
 
 ROSTER_COLUMNS = ["id", "name", "grade", "student_phone", "parent_phone"]
 
 
 def read_roster_file(spark: SparkSession, path: str, fmt: str = "csv", seq_col: str | None = None) -> DataFrame:
-    """Read a roster export (CSV with a header row, JSON lines, or Parquet).
+    """Read a roster export (CSV with a header row, JSON lines, or Parquet), one file or several.
 
-    Every column is read as text (no inference). Row order, which decides
-    "last duplicate wins", must come from a column: ``seq_col`` if the file
-    has one; otherwise each CSV file is read whole by one task (``multiLine``
-    files are not split) and ``monotonically_increasing_id`` numbers its rows
-    in file order. Several files without ``seq_col`` have no order between
-    them; give one for a multi-file roster.
+    Every column is read as text (no inference). Row order decides "last
+    duplicate wins": it is ``seq_col`` if the file has one, else the order of
+    the rows in the file, files by name (``sources.ordered``). Files are read in
+    splits either way, also CSV with line breaks inside quotes; quotes are
+    doubled inside quoted fields, as sheets export them. ``seq`` rises in that
+    order.
     """
+    if seq_col is None:
+        if fmt == "csv":
+            return read_csv_in_order(spark, path)
+        if fmt == "json":
+            return number_rows(spark.read.option("primitivesAsString", True).json(path))
+        return number_rows(spark.read.parquet(path))
     if fmt == "csv":
-        r = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8")
-        if seq_col is None:
-            r = r.option("multiLine", True)
-        df = r.csv(path)
+        df = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("escape", '"').csv(path)
     elif fmt == "json":
         df = spark.read.option("primitivesAsString", True).json(path)
     else:
         df = spark.read.parquet(path)
-    if seq_col is None:
-        df = df.withColumn("seq", F.monotonically_increasing_id())
-    else:
-        # a numeric order, also when the file carries it as text (JSON read as strings)
-        df = df.withColumnRenamed(seq_col, "seq").withColumn("seq", F.col("seq").cast("long"))
-    return df
+    # a numeric order, also when the file carries it as text (JSON read as strings)
+    return df.withColumnRenamed(seq_col, "seq").withColumn("seq", F.col("seq").cast("long"))
 
 
 def _js_string(df: DataFrame, name: str):

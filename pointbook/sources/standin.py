@@ -67,17 +67,18 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Fixed test configuration: equal min_points (tie direction), an empty
-# template, an unknown variable.
+# template, an unknown variable, a template that renders blank.
 THRESHOLD_ROWS = [
     ("th_5", 5, "L5", "[X] {name} at {points}", 1),
     ("th_70a", 70, "L70A", "{label}: {name} {points}/{threshold}{nope}", 3),
     ("th_70b", 70, "L70B", "{label}: {name} {points}/{threshold}", 2),
     ("th_85", 85, "L85", "", 4),
+    ("th_95", 95, "L95", " {nope} ", 5),
 ]
 
 
 def thresholds(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
-    """Thresholds: a configuration table of four rows (the domain's own size),
+    """Thresholds: a configuration table of five rows (the domain's own size),
     as an inline table (a local relation whose size the plan itself proves)."""
     def q(v: str) -> str:
         return "'" + v.replace("'", "''") + "'"
@@ -142,12 +143,15 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roster file rows (English headers): blanks around values, duplicate ids
-    later in the file, a blank name, empty cells, new ids; ``seq`` = file order."""
+    """Roster file rows (English headers), one for each customer and more: blanks
+    around values, duplicate ids later in the file, empty, blank and missing
+    ids and names, empty cells, new ids; ``seq`` = file order."""
     c = read_driver_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = _k()
-    a = c.where(k % 3 == 0).select(
-        k.alias("seq"), F.concat(F.lit("  "), k.cast("string")).alias("id"), F.concat("c_name", F.lit(" ")).alias("name"),
+    a = c.select(
+        k.alias("seq"), F.when(k % 71 == 0, F.lit("")).when(k % 73 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("  "), k.cast("string"))).alias("id"),
+        F.when(k % 67 == 0, F.lit("")).when(k % 79 == 0, F.lit(None).cast("string")).otherwise(F.concat("c_name", F.lit(" "))).alias("name"),
         F.when(k % 4 == 0, F.lit("")).otherwise(F.lit("G2")).alias("grade"),
         F.lit(None).cast("string").alias("student_phone"), F.lit("01012345678").alias("parent_phone"))
     b = c.where(k % 30 == 0).select(
@@ -165,13 +169,18 @@ def student_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roster_import(spark, sf_dir)
 
 
+def _student_or_missing(k):
+    """The customer's student id; of some requests it is empty or missing."""
+    return F.when(k % 59 == 0, F.lit(None).cast("string")).when(k % 61 == 0, F.lit("")).otherwise(k.cast("string"))
+
+
 def range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History requests, one per student: NULL / empty / set bounds, some reversed."""
     c = read_driver_table(spark, sf_dir, "customer").select("c_custkey")
     k = _k()
     day = lambda x: F.concat(F.lit("2024-01-"), F.lpad(x.cast("string"), 2, "0"))
     return c.select(
-        k.alias("seq"), k.cast("string").alias("student_id"),
+        k.alias("seq"), _student_or_missing(k).alias("student_id"),
         F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, F.lit(""))
          .otherwise(day(k % 20 + 1)).alias("from"),
         F.when(k % 4 == 0, F.lit("")).otherwise(day(k % 28 + 1)).alias("to"),
@@ -184,7 +193,7 @@ def reset_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _k()
     day = lambda x: F.concat(F.lit("2024-01-"), F.lpad(x.cast("string"), 2, "0"))
     return c.select(
-        k.alias("seq"), k.cast("string").alias("student_id"),
+        k.alias("seq"), _student_or_missing(k).alias("student_id"),
         F.when(k % 17 == 0, F.lit("2024-1-5")).otherwise(day(k % 20 + 1)).alias("from"),
         day(k % 28 + 1).alias("to"),
     )
@@ -227,29 +236,36 @@ def threshold_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Note upserts: edits of each conversation's first note that also try to
-    move it to another student, and new notes with generated ids."""
+    """Note upserts, one for each conversation turn: edits of the notes of even
+    turns that also try to move them to another student, and new notes with
+    generated ids of odd turns; malformed dates, empty contents, missing and
+    unknown students."""
     c = read_driver_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    edits = c.where(F.col("turn") == 0).select(
-        (F.col("conv_id") * 10).alias("seq"),
-        F.concat(F.lit("note_"), F.col("conv_id").cast("string"), F.lit("_0")).alias("id"),
-        (F.col("conv_id") + 1).cast("string").alias("student_id"),
-        F.lit("2024-02-01").alias("noted_on"),
-        F.concat(F.col("text"), F.lit(" (edited)")).alias("content"))
-    new = c.where(F.col("turn") == 1).select(
-        (F.col("conv_id") * 10 + 1).alias("seq"), F.lit("").alias("id"),
-        F.col("conv_id").cast("string").alias("student_id"),
-        F.when(F.col("role") == "assistant", F.lit("2024-2-1")).otherwise(F.lit("2024-02-02")).alias("noted_on"),
-        F.col("text").alias("content"))
-    return edits.unionByName(new)
+    odd = F.col("turn") % 2 == 1
+    conv = F.col("conv_id")
+    return c.select(
+        (conv * 100 + F.col("turn")).alias("seq"),
+        F.when(odd, F.lit("")).otherwise(F.concat(F.lit("note_"), conv.cast("string"), F.lit("_"), F.col("turn").cast("string"))).alias("id"),
+        F.when(odd & (conv % 19 == 3), F.lit("")).when(odd & (conv % 19 == 5), F.lit("ghost"))
+         .when(odd, conv.cast("string")).otherwise((conv + 1).cast("string")).alias("student_id"),
+        F.when(odd & (F.col("role") == "assistant") & (conv % 2 == 0), F.lit("2024-2-1")).when(odd, F.lit("2024-02-02")).otherwise(F.lit("2024-02-01")).alias("noted_on"),
+        F.when(conv % 23 == 4, F.lit("")).when(odd, F.col("text")).otherwise(F.concat(F.col("text"), F.lit(" (edited)"))).alias("content"))
 
 
 def sms_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Send requests: every student, both recipients, message left to the default."""
+    """Send requests, one for each customer: every target and a wrong and a
+    missing one; default, given, empty and blank messages; unknown, empty and
+    missing students."""
     c = read_driver_table(spark, sf_dir, "customer").select("c_custkey")
+    k = _k()
     return c.select(
-        _k().alias("seq"), _k().cast("string").alias("student_id"), F.lit("both").alias("target"),
-        F.lit(None).cast("string").alias("message"))
+        k.alias("seq"),
+        F.when(k % 47 == 0, F.lit("ghost")).when(k % 53 == 0, F.lit("")).when(k % 107 == 0, F.lit(None).cast("string"))
+         .otherwise(k.cast("string")).alias("student_id"),
+        F.when(k % 41 == 0, F.lit("teacher")).when(k % 43 == 0, F.lit(None).cast("string"))
+         .when(k % 5 == 1, F.lit("student")).when(k % 5 == 2, F.lit("parent")).otherwise(F.lit("both")).alias("target"),
+        F.when(k % 31 == 0, F.lit("")).when(k % 37 == 0, F.lit(" \t\u3000")).when(k % 10 == 9, F.concat(F.lit("  notice "), k.cast("string"), F.lit("\n")))
+         .otherwise(F.lit(None).cast("string")).alias("message"))
 
 
 # -- delete key sets ---------------------------------------------------------

@@ -115,60 +115,10 @@ def write_ledger_snapshot(ledger: DataFrame, root: str, table: str = "penalties"
     return version
 
 
-# -- append batches on top of a version ----------------------------------------
-
 # Names that every file system takes as part of a path.
 BATCH_NAME = re.compile(r"[A-Za-z0-9-][A-Za-z0-9._-]*")
 
 
-def appends_path(root: str, table: str, base_version: int) -> str:
-    return f"{root.rstrip('/')}/{table}/_appends/v={base_version}"
-
-
-def committed_append_batches(spark: SparkSession, root: str, table: str, base_version: int) -> list[str]:
-    """Folders of the committed append batches written on top of ``base_version``."""
-    fs, base, jvm = _fs(spark, appends_path(root, table, base_version))
-    if not fs.exists(base):
-        return []
-    out = []
-    for st in fs.listStatus(base):
-        if st.isDirectory() and st.getPath().getName().startswith("batch="):
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(st.getPath().toString())
-    return sorted(out)
-
-
-def write_append(df: DataFrame, root: str, table: str, base_version: int, batch: str) -> str:
-    """Append ``df`` to ``table`` without rewriting it: a new batch folder on top
-    of ``base_version``. A batch of this name that has committed, on this or on
-    an earlier version (whose successor holds its rows), is left as it is, so
-    a retry never adds rows twice and never deletes committed ones. Batch
-    folders are thus kept; only an uncommitted one is overwritten."""
-    if not BATCH_NAME.fullmatch(batch):
-        raise ValueError(f"batch name {batch!r} must be letters, digits, '_', '-' or '.', not starting with '.' or '_'")
-    for version in range(base_version, -1, -1):
-        done = f"{appends_path(root, table, version)}/batch={batch}"
-        fs, marker, _ = _fs(df.sparkSession, f"{done}/_SUCCESS")
-        if fs.exists(marker):
-            return done
-    path = f"{appends_path(root, table, base_version)}/batch={batch}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
-def read_with_appends(spark: SparkSession, root: str, table: str, schema: StructType | None = None) -> DataFrame:
-    """The latest committed version of ``table`` plus its committed append batches."""
-    have = committed_versions(spark, root, table)
-    if not have:
-        raise FileNotFoundError(f"no committed version of {table} under {root}")
-    base = read_snapshot(spark, root, table, version=have[-1], schema=schema)
-    batches = committed_append_batches(spark, root, table, have[-1])
-    if not batches:
-        return base
-    r = spark.read.schema(base.schema)
-    return base.unionByName(r.parquet(*batches))
-
-
 # -- bucketed versions (co-located joins) -------------------------------------
 
 def _bucket_table_name(path: str) -> str:
@@ -177,10 +127,9 @@ def _bucket_table_name(path: str) -> str:
     return "pb_" + hashlib.sha1(path.encode()).hexdigest()[:16]
 
 
-def write_bucketed_snapshot(df: DataFrame, root: str, table: str, key: str, buckets: int,
-                            version: int | None = None) -> int:
-    """A3, bucketed: the next version of ``table`` written as ``buckets`` hash
-    buckets of ``key`` (sorted by ``key`` within each bucket).
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """Write ``df`` to ``path`` as ``buckets`` hash buckets of ``key`` (sorted by
+    ``key`` within each bucket).
 
     Tables bucketed on their join key with the same bucket count join and
     aggregate on that key without any shuffle. Rows are first hash-partitioned
@@ -189,28 +138,35 @@ def write_bucketed_snapshot(df: DataFrame, root: str, table: str, key: str, buck
     catalog under a name derived from its path (Spark's in-process catalog; no
     metastore service).
     """
-    spark = df.sparkSession
-    if version is None:
-        have = committed_versions(spark, root, table)
-        version = (have[-1] + 1) if have else 0
-    path = snapshot_path(root, table, version)
     name = _bucket_table_name(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     (df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
      .option("path", path).format("parquet").saveAsTable(name))
-    return version
 
 
-def read_bucketed_snapshot(spark: SparkSession, root: str, table: str, key: str, buckets: int,
-                           schema: StructType, version: int | None = None) -> DataFrame:
-    """Read a version written by ``write_bucketed_snapshot`` with its bucket
-    layout (registering it in this session's catalog if needed)."""
-    if version is None:
-        version = committed_versions(spark, root, table)[-1]
-    path = snapshot_path(root, table, version)
+def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int, schema: StructType) -> DataFrame:
+    """Read what ``write_bucketed`` wrote, with its bucket layout (registering it in this session's catalog if needed)."""
     name = _bucket_table_name(path)
     if not spark.catalog.tableExists(name):
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
                   f"INTO {buckets} BUCKETS LOCATION '{path}'")
     return spark.table(name)
+
+
+def write_bucketed_snapshot(df: DataFrame, root: str, table: str, key: str, buckets: int,
+                            version: int | None = None) -> int:
+    """A3, bucketed: the next version of ``table``, written with ``write_bucketed``."""
+    if version is None:
+        have = committed_versions(df.sparkSession, root, table)
+        version = (have[-1] + 1) if have else 0
+    write_bucketed(df, snapshot_path(root, table, version), key, buckets)
+    return version
+
+
+def read_bucketed_snapshot(spark: SparkSession, root: str, table: str, key: str, buckets: int,
+                           schema: StructType, version: int | None = None) -> DataFrame:
+    """Read a version written by ``write_bucketed_snapshot`` with its bucket layout."""
+    if version is None:
+        version = committed_versions(spark, root, table)[-1]
+    return read_bucketed(spark, snapshot_path(root, table, version), key, buckets, schema)

@@ -70,11 +70,14 @@ def test_totals_exact_under_skew(spark, skew_conf):
 def test_reset_under_skew(spark, skew_conf):
     p = hot_ledger(spark)
     req = spark.createDataFrame([(1, "7", "2024-01-03", "2024-01-20")], "seq bigint, student_id string, `from` string, `to` string")
-    remaining, counts = mutate.reset_penalties(p, req, max_request_rows=0)  # force the shuffled path
+    remaining, counts = mutate.reset_penalties(p, req, max_per_key=0)  # force the shuffled path
     hot = p.where("student_id = '7' AND occurred_on BETWEEN '2024-01-03' AND '2024-01-20'").count()
     assert counts.first().deleted == hot
     assert remaining.count() == p.count() - hot
-    assert "SortMergeJoin(skew=true)" in final_plan(remaining)
+    # the hot student's rows are dealt by day, so no key is the student's whole third
+    assert "SortMergeJoin [student_id" in (plan := final_plan(remaining)) or "SortMergeJoin(skew=true) [student_id" in plan
+    join = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert "occurred_on" in join.split("LeftAnti")[0]
 
 
 def test_hot_student_joined_map_side(spark):
@@ -101,14 +104,15 @@ def test_hot_split_reset_and_range(spark):
     req = spark.createDataFrame([(1, "7", "2024-01-03", "2024-01-20"), (2, "5", "", None)],
                                 "seq bigint, student_id string, `from` string, `to` string")
     kw = dict(sample_fraction=0.5, min_rows=1000, max_request_rows=0)  # shuffled path with the hot split
-    split_rem, split_cnt = mutate.reset_penalties(p, req, **kw)
-    plain_rem, plain_cnt = mutate.reset_penalties(p, req, split_hot=False)
+    split_rem, split_cnt = mutate.reset_penalties(p, req, max_per_key=0)  # by covered days
+    plain_rem, plain_cnt = mutate.reset_penalties(p, req)
     assert split_rem.count() == plain_rem.count() and split_rem.exceptAll(plain_rem).count() == 0
     assert sorted(map(tuple, split_cnt.collect())) == sorted(map(tuple, plain_cnt.collect()))
     a = penalties_in_range(p, req, **kw)
     b = penalties_in_range(p, req, split_hot=False)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
-    assert "BroadcastHashJoin" in split_rem._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    assert "BETWEEN" not in str(split_rem._jdf.queryExecution().optimizedPlan()).upper()
 
 
 def test_small_request_batch_is_broadcast(spark):
@@ -120,3 +124,21 @@ def test_small_request_batch_is_broadcast(spark):
     plan = remaining._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
     assert "Exchange hashpartitioning(student_id" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_key_on_both_sides_is_salted(spark, how):
+    """A student with a third of both sides, beyond the broadcast bound: the same rows, and no task above its share."""
+    from pointbook.operators.skew import hot_keys, join_splitting_hot_keys
+
+    p = spark.range(3000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise((F.col("id") % 200).cast("string")).alias("student_id"))
+    r = spark.range(300).select(F.col("id").alias("request"), F.when(F.col("id") % 3 == 0, F.lit("7")).otherwise((F.col("id") % 120).cast("string")).alias("_rsid"))
+    hot = hot_keys(p, "student_id", sample_fraction=0.9, min_rows=500)
+    extra = F.col("row") % 5 == F.col("request") % 5
+    plain = p.join(r, (F.col("student_id") == F.col("_rsid")) & extra, how)
+    salted = join_splitting_hot_keys(p, r, "student_id", "_rsid", hot, how, extra, max_small_rows=10, salts=16)
+    assert salted.columns == plain.columns and salted.count() == plain.count()
+    assert salted.exceptAll(plain).count() == 0
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    parts = p.where("student_id = '7'").groupBy(F.pmod(F.xxhash64("row", "student_id"), F.lit(16))).count().agg(F.max("count")).first()[0]
+    assert parts < 3 * 1000 / 16
