@@ -8,174 +8,429 @@ the background model's: the lower, the more the document is like the target.
 Absolute discounting: a seen bigram has probability
 ``(c(h,w) - d) / c(h) + b(h) p(w)``, any other ``b(h) p(w)``, with
 ``b(h) = d * kinds(h) / c(h)`` (1 after an unseen word) and ``p`` add-one
-unigrams. Words are 64-bit codes and bigrams mixed ones; counts and losses
-are distributed tables, and (text, bigram) counts are joined with the losses
-by bigram. Neither words nor bigrams are cut, and no table reaches the driver.
+unigrams. Words are 64-bit codes. Neither words nor bigrams are cut.
+
+Words are shuffled once: each occurrence goes to a partition by the word before
+it, where that word's counts, the bigram's counts and so its losses are all at
+hand; only sums by text come back.
+
+1. Word counts of the corpus, summed in the tasks first.
+2. Tasks pack the occurrences of a block of texts for each partition: the
+   words before, the words, and the texts by two-byte numbers within the block.
+3. The counts of the words that a partition needs are joined to it (a word
+   that stands once in the corpus needs none: its one occurrence is at hand).
+4. A partition makes its losses and returns, block by block, each text's sums;
+   a block's sums and its texts' other columns meet again by block.
+
+A word that is very frequent as the word before is dealt over several
+partitions by the word that follows; its totals are summed ahead. Memory is
+bounded by a block and by a partition's words, both fixed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK_BYTES, Texts, cuts, texts_of, written
 from .decontaminate import Words, mix
 
-# All words are in the vocabulary, and a bigram seen once is seen.
-VOCABULARY = math.inf
-LEAST_COUNT = 1
 DISCOUNT = 0.75
 
-# Words counted before a task passes counts on, and target ids up to which they are broadcast.
-COUNTED = 4 << 20
-BROADCAST_IDS = 2_000_000
+# Words that a task counts before it hands counts on, words of a block (and texts, by two-byte numbers), words of a
+# partition, and target ids up to which they are broadcast.
+COUNTED, BLOCK_WORDS, BLOCK_TEXTS, PARTITION_WORDS, BROADCAST_IDS = 4 << 20, 2 << 20, 1 << 16, 4 << 20, 2_000_000
 
 # The code of what stands before a text's first word, and an odd multiplier.
 START, _STEP = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x9E3779B97F4A7C15)
 
+# Classes of texts: counted in the models or not, scored or not, target or not.
+TARGET, SCORED, MODELLED = 1, 2, 4
 
-class Model:
-    """What both models know of single words, as tables: ``heads`` (h, tot_n, kept_n, tot_t, kept_t) and ``words``
-    (w, uni_n, uni_t); ``n``, ``t`` and ``size``: words counted in each model, and distinct ones with the unknown word."""
 
-    def __init__(self, heads: DataFrame, words: DataFrame):
-        self.heads, self.words = heads, words
-        size, n, t = words.agg(F.count("*"), F.sum("uni_n"), F.sum("uni_t")).first()
-        self.size, self.n, self.t = size + 1, n or 0, t or 0
-
-    def losses(self, bigrams: DataFrame) -> DataFrame:
-        """(code, target, background) of distinct bigrams (h, w, code, n, t), n and t their counts."""
-        found = bigrams.join(self.heads, "h", "left").join(self.words, "w", "left")
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
-        def loss(k: str, total: int) -> Column:
-            tot, kept, uni = (F.coalesce(F.col(f"{c}_{k}"), F.lit(0)).cast("double") for c in ("tot", "kept", "uni"))
-            backed = F.when(tot > 0, F.greatest(1 - kept / F.greatest(tot, F.lit(1.0)), F.lit(1e-12))).otherwise(1.0) * (uni + 1) / float(total + self.size)
-            return -F.log(backed + F.when(F.col(k) > 0, (F.col(k) - DISCOUNT) / F.greatest(tot, F.lit(1.0))).otherwise(0.0))
 
-        return found.select("code", loss("t", self.t).cast("float").alias("target"), loss("n", self.n).cast("float").alias("background"))
+def _unsigned(col: pa.Array) -> np.ndarray:
+    return np.asarray(col, np.int64).view(np.uint64)
 
 
-def bigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, bigram code of each word, words before each text's end)."""
+def bigrams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before, word, words before each text's end)."""
     words = Words(texts)
     before = np.append(START, words.hash[:-1])[:len(words.hash)]
     heads = words.ends[:-1]
     before[heads[heads < len(before)]] = START
-    with np.errstate(over="ignore"):
-        code = mix(before * _STEP + words.hash)
-    return before, words.hash, code, words.ends
+    return before, words.hash, words.ends
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+class Dealing:
+    """The partition of each bigram: by the word before, and for a frequent one also by the word."""
+
+    def __init__(self, n: int, frequent: dict[int, int]):
+        """``frequent``: into how many partitions a word before is dealt."""
+        self.n = n
+        self.heads = np.array(sorted(frequent), np.uint64)
+        self.into = np.array([frequent[h] for h in sorted(frequent)], np.uint64)
+
+    def of(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        at = mix(h * _STEP) % np.uint64(self.n)
+        if len(self.heads):
+            k = np.minimum(np.searchsorted(self.heads, h), len(self.heads) - 1)
+            hot = np.flatnonzero(self.heads[k] == h)
+            at[hot] = (at[hot] + mix(w[hot] * _STEP) % self.into[k[hot]]) % np.uint64(self.n)
+        return at.astype(np.int64)
 
 
-def _bigram_counts(docs: DataFrame) -> DataFrame:
-    """(h, w, code, n, t): every bigram's count in all documents and in target documents; ``docs`` has target and text."""
+def _texts(batches: Iterator[pa.RecordBatch], text: str = "text", kind: str = "class") -> Iterator[tuple[pa.RecordBatch, np.ndarray, Texts]]:
+    """(rows, classes, texts) of about ``CHUNK_BYTES``."""
+    for batch in batches:
+        col, classes = batch.column(batch.schema.get_field_index(text)), np.asarray(batch.column(batch.schema.get_field_index(kind)))
+        for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
+            yield batch.slice(i, j - i), classes[i:j], texts_of(col.slice(i, j - i))
+
+
+def _sums(keys: tuple[np.ndarray, ...], flags: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Distinct keys, and the sums of the flags for each."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return [*(k[first] for k in keys), *(np.add.reduceat(f[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for f in flags)]
+
+
+def _word_counts(src: DataFrame) -> DataFrame:
+    """(w, n, t, m): how often each word stands in the modelled texts, in the target ones of them, and in all; START counts texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, size = [], 0
+
+        def out():
+            got = _sums((np.concatenate([x[0] for x in held]),), tuple(np.concatenate([x[i] for x in held]) for i in (1, 2, 3)))
+            return pa.RecordBatch.from_arrays([_signed(got[0]), *(pa.array(x) for x in got[1:])], ["w", "n", "t", "m"])
+
+        for _, classes, texts in _texts(batches):
+            words = Words(texts)
+            each = np.diff(words.ends)
+            some = classes[each > 0]
+            of = np.concatenate([classes.repeat(each), some])
+            counted = (of & MODELLED) > 0
+            held.append((np.concatenate([words.hash, np.full(len(some), START)]), counted, counted & ((of & TARGET) > 0), np.ones(len(of), bool)))
+            size += len(of)
+            if size > COUNTED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    sent = src.select("text", "class").mapInArrow(run, "w bigint, n bigint, t bigint, m bigint")
+    return sent.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "t", "m")))
+
+
+def _head_totals(src: DataFrame, heads: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+    """For each frequent word before: (words after it in all, in target texts, kinds of them in all, in target texts)."""
+    shared = src.sparkSession.sparkContext.broadcast(heads)  # at most as many as partitions
 
-        def sent():
-            h, w, code, flag = (np.concatenate(x) for x in zip(*held))
-            _, first, where, total = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-            target = np.bincount(where, flag, len(first)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([*(_signed(x[first]) for x in (h, w, code)), pa.array(total), pa.array(target)], ["h", "w", "code", "n", "t"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, held, size = shared.value, [], 0
 
-        for batch in batches:
-            flags = np.asarray(batch.column(0).cast(pa.int8()))
-            col = batch.column(1)
-            for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                h, w, code, ends = bigrams(texts_of(col.slice(i, j - i)))
-                held.append((h, w, code, flags[i:j].repeat(np.diff(ends))))
-                n += len(w)
-                if n > COUNTED:
-                    yield sent()
-                    held, n = [], 0
-        if n:
-            yield sent()
-
-    sent = docs.select("target", "text").mapInArrow(run, "h bigint, w bigint, code bigint, n bigint, t bigint")
-    return sent.groupBy("h", "w", "code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def train(docs: DataFrame, target_ids: DataFrame, vocabulary: float = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The models of ``docs`` (doc_id, text) and of those whose doc_id is in ``target_ids``: (Model, losses).
-
-    Counts cover all documents and all words; ``vocabulary`` is taken for
-    callers of an earlier form and cuts nothing. Losses: (code, target,
-    background), a row for each bigram of ``docs``. Target ids are broadcast
-    up to ``BROADCAST_IDS``, counted first; beyond, documents are joined by id.
-    """
-    ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    marked = docs.join(ids, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
-    counts = written(_bigram_counts(marked), "bigrams")
-    kept = [F.sum(F.when(F.col(c) > 0, F.col(c) - DISCOUNT).otherwise(0.0)).alias(f"kept_{c}") for c in ("n", "t")]
-    heads = counts.groupBy("h").agg(F.sum("n").alias("tot_n"), F.sum("t").alias("tot_t"), *kept)
-    words = counts.groupBy("w").agg(F.sum("n").alias("uni_n"), F.sum("t").alias("uni_t"))
-    model = Model(written(heads, "heads"), written(words, "words"))
-    return model, written(model.losses(counts), "losses")
+        def out():
+            got = _sums(tuple(np.concatenate([x[i] for x in held]) for i in (0, 1)), tuple(np.concatenate([x[i] for x in held]) for i in (2, 3)))
+            return pa.RecordBatch.from_arrays([_signed(got[0]), _signed(got[1]), pa.array(got[2]), pa.array(got[3])], ["h", "w", "n", "t"])
+
+        for _, classes, texts in _texts(batches):
+            h, w, ends = bigrams(texts)
+            of = classes.repeat(np.diff(ends))
+            mine = np.isin(h, heads) & ((of & MODELLED) > 0)
+            h, w, of = h[mine], w[mine], of[mine]
+            held.append((h, w, np.ones(len(h), bool), (of & TARGET) > 0))
+            size += len(h)
+            if size > COUNTED // 2:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
+    pairs = src.select("text", "class").mapInArrow(run, "h bigint, w bigint, n bigint, t bigint").groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    rows = pairs.groupBy("h").agg(F.sum("n"), F.sum("t"), F.count(F.lit(1)), F.sum((F.col("t") > 0).cast("bigint"))).collect()
+    return {int(np.int64(r[0]).view(np.uint64)): tuple(r[1:]) for r in rows}
 
-def _text_bigrams(docs: DataFrame, words: bool) -> DataFrame:
-    """(key, code, c): each text's bigrams and their counts; with ``words``, only (h, w, code). ``docs`` has key and text."""
+
+def _needed(src: DataFrame, dealing) -> DataFrame:
+    """(p, w): the words that stand in each partition, distinct by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            p, w = _sums(tuple(np.concatenate([x[i] for x in held]) for i in (0, 1)), ())
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), _signed(w)], ["p", "w"])
+
+        for _, _, texts in _texts(batches):
+            h, w, _ = bigrams(texts)
+            held.append((dealing.value.of(h, w), w))
+            size += len(w)
+            if size > COUNTED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    # rows of a word meet first, so that the same partitioning serves the distinct and the join
+    return src.select("text", "class").mapInArrow(run, "p int, w bigint").repartition("w").dropDuplicates(["w", "p"])
+
+
+def _pack(h: np.ndarray, w: np.ndarray, text: np.ndarray, borders: np.ndarray) -> bytes:
+    """Occurrences (sorted by h, then w) of a block: runs of h, runs of w within, and the texts; ``borders``: where the
+    texts of each class begin."""
+    new_h = np.append(True, h[1:] != h[:-1])
+    new_w = new_h | np.append(True, w[1:] != w[:-1])
+    at_w = np.flatnonzero(new_w)
+    runs = np.diff(np.append(at_w, len(h)))
+    kinds = np.diff(np.append(np.flatnonzero(new_h[at_w]), len(at_w)))
+    small = runs.max() < 256
+    head = np.array([len(kinds), len(at_w), len(h), small, *borders], np.int64)
+    return b"".join([head.tobytes(), h[new_h].tobytes(), w[at_w].tobytes(), kinds.astype(np.uint32).tobytes(), runs.astype(np.uint8 if small else np.uint32).tobytes(),
+                     text.astype(np.uint16).tobytes()])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word before and word of each distinct bigram, its occurrences, the text of each occurrence, the class borders)."""
+    head = np.frombuffer(blob, np.int64, 13)
+    n_h, n_w, n, small = (int(x) for x in head[:4])
+    at = head.nbytes
+
+    def take(kind, count):
+        nonlocal at
+        got = np.frombuffer(blob, kind, count, at)
+        at += got.nbytes
+        return got
+
+    heads, w, kinds = take(np.uint64, n_h), take(np.uint64, n_w), take(np.uint32, n_h)
+    runs = take(np.uint8 if small else np.uint32, n_w).astype(np.int64)
+    return heads.repeat(kinds), w, runs, take(np.uint16, n), head[4:]
+
+
+def _occurrences(src: DataFrame, dealing, schema: T.StructType) -> DataFrame:
+    """Packed occurrences for each partition and block, and each scored text's other columns with its number in the block."""
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal, block = dealing.value, TaskContext.get().partitionId() << 24
+        held, size, count = [], 0, 0
+
+        def out():
+            classes = np.concatenate([x[1] for x in held])
+            number = np.empty(len(classes), np.int64)  # texts by class, so that borders tell the classes
+            number[np.argsort(classes, kind="stable")] = np.arange(len(classes))
+            borders = np.searchsorted(np.sort(classes), np.arange(9))
+            each = np.concatenate([x[4] for x in held])
+            scored = np.flatnonzero(classes & SCORED)
+            if len(scored):
+                rows = pa.concat_arrays([x[0] for x in held]).take(pa.array(scored))
+                none = [pa.nulls(len(scored), pa.binary())] + [pa.nulls(len(scored), pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scored), block % deal.n), pa.int32()), pa.array(np.full(len(scored), block)), pa.array(number[scored], pa.int32()),
+                                                  pa.array(each[scored]), rows, *none], names)
+            h, w = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+            if not len(h):
+                return
+            text = number.repeat(each)
+            p = deal.of(h, w)
+            order = np.lexsort((w, h, p))
+            h, w, text, p = h[order], w[order], text[order], p[order]
+            cut = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p))
+            blobs = [_pack(h[a:b], w[a:b], text[a:b], borders) for a, b in zip(cut, cut[1:])]
+            k = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]], pa.int32()), pa.array(np.full(k, block)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, row_arrow),
+                                              pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 3], names)
+
+        for batch, classes, texts in _texts(batches):
+            row_arrow = batch.schema.field("row").type
+            h, w, ends = bigrams(texts)
+            for i in range(0, len(classes), BLOCK_TEXTS // 2):  # a chunk of very many short texts
+                j = min(i + BLOCK_TEXTS // 2, len(classes))
+                if held and (size + ends[j] - ends[i] > BLOCK_WORDS or count + j - i > BLOCK_TEXTS):
+                    yield from out()
+                    held, size, count, block = [], 0, 0, block + 1
+                held.append((batch.column(batch.schema.get_field_index("row")).slice(i, j - i), classes[i:j], h[ends[i]:ends[j]], w[ends[i]:ends[j]], np.diff(ends[i:j + 1])))
+                size, count = size + int(ends[j] - ends[i]), count + j - i
+        if held:
+            yield from out()
+
+    return src.mapInArrow(run, schema)
+
+
+class Totals:
+    """What all partitions know: words in each model, distinct words (and the unknown one), the totals of the frequent
+    words before, and whether a word without a count stands once (or, in texts that are not modelled, never)."""
+
+    def __init__(self, n: int, t: int, size: int, heads: dict[int, tuple[int, int, int, int]], once: bool):
+        self.n, self.t, self.size, self.once = n, t, size, once
+        self.codes = np.array(sorted(heads), np.uint64)
+        self.heads = np.array([heads[h] for h in sorted(heads)], np.float64).reshape(-1, 4)
+
+
+def _losses(h: np.ndarray, w: np.ndarray, n: np.ndarray, t: np.ndarray, words: tuple[np.ndarray, np.ndarray, np.ndarray], totals: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """(target, background) losses of a partition's distinct bigrams, sorted by h, then w, with their counts."""
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(first, len(h)))
+    of_head = np.stack([np.add.reduceat(x.astype(np.float64), first) for x in (n, t, n > 0, t > 0)], axis=1)
+    if len(totals.codes):  # heads that have other words elsewhere
+        k = np.minimum(np.searchsorted(totals.codes, h[first]), len(totals.codes) - 1)
+        hot = totals.codes[k] == h[first]
+        of_head[hot] = totals.heads[k[hot]]
+    tot_n, tot_t, kinds_n, kinds_t = of_head.repeat(size, axis=0).T
+    codes, uni_n, uni_t = words
+    known = np.zeros(len(w), bool)
+    un, ut = (n.astype(np.float64), t.astype(np.float64)) if totals.once else (np.zeros(len(w)), np.zeros(len(w)))
+    if len(codes):
+        k = np.minimum(np.searchsorted(codes, w), len(codes) - 1)
+        known = codes[k] == w
+        un[known], ut[known] = uni_n[k[known]], uni_t[k[known]]
+
+    def loss(c, tot, kinds, uni, total):
+        held = np.maximum(tot, 1.0)
+        backed = np.where(tot > 0, np.maximum(1 - (tot - DISCOUNT * kinds) / held, 1e-12), 1.0) * (uni + 1) / float(total + totals.size)
+        return -np.log(backed + np.where(c > 0, (c - DISCOUNT) / held, 0.0))
+
+    return loss(t, tot_t, kinds_t, ut, totals.t), loss(n, tot_n, kinds_n, un, totals.n)
+
+
+def _sum_losses(shared):
+    """A partition's rows (packed occurrences, counts of its words, columns of texts) to sums by block and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, blobs, words, kind = shared.value, [], [], None
         for batch in batches:
-            key, col = np.asarray(batch.column(0)), batch.column(1)
-            for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                h, w, code, ends = bigrams(texts_of(col.slice(i, j - i)))
-                if words:
-                    _, first = np.unique(code, return_index=True)
-                    yield pa.RecordBatch.from_arrays([_signed(x[first]) for x in (h, w, code)], ["h", "w", "code"])
-                    continue
-                row = np.arange(j - i).repeat(np.diff(ends))
-                order = np.lexsort((code, row))
-                code, row = code[order], row[order]
-                first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))[:len(code)])
-                c = np.diff(np.append(first, len(code)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[i:j][row[first]]), _signed(code[first]), pa.array(c.astype(np.int32))], ["key", "code", "c"])
-
-    return docs.select("key", "text").mapInArrow(run, "h bigint, w bigint, code bigint" if words else "key bigint, code bigint, c int")
-
-
-def score(docs: DataFrame, model: Model, losses: DataFrame, keep: list[str] | None = None, block: int = 0, trained: bool = False) -> DataFrame:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            kind = col["row"].type
+            packed, counted = col["blob"].is_valid(), col["w"].is_valid()
+            there = np.flatnonzero(np.asarray(packed))
+            blobs += zip(np.asarray(col["b"].take(pa.array(there))).tolist(), (x.as_py() for x in col["blob"].take(pa.array(there))))
+            there = pa.array(np.flatnonzero(np.asarray(counted)))
+            words.append((_unsigned(col["w"].take(there)), *(np.asarray(col[c].take(there), np.float64) for c in ("n", "t"))))
+            rest = pa.array(np.flatnonzero(~np.asarray(packed) & ~np.asarray(counted)))
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([col[c].take(rest) for c in ("b", "number", "n_words", "row")] + [pa.nulls(len(rest), pa.binary())], OUT)
+        if not blobs:
+            return
+        codes, un, ut = (np.concatenate([x[i] for x in words]) for i in range(3))
+        order = np.argsort(codes)
+        parts = [_unpack(blob) for _, blob in blobs]
+        h, w, runs = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        counts = []
+        for bit in (MODELLED, MODELLED | TARGET):
+            part = []
+            for _, _, run_, text, borders in parts:
+                flag = np.array([c & bit == bit for c in range(8)])[np.searchsorted(borders, text, side="right") - 1] if len(text) else np.zeros(0, bool)
+                part.append(np.add.reduceat(flag.astype(np.int64), np.cumsum(run_) - run_))
+            counts.append(np.concatenate(part))
+        by = np.lexsort((w, h))
+        hs, ws = h[by], w[by]
+        new = np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))
+        first = np.flatnonzero(new)
+        got = _losses(hs[first], ws[first], *(np.add.reduceat(c[by], first) for c in counts), (codes[order], un[order], ut[order]), totals)
+        place = np.empty(len(h), np.int64)
+        place[by] = np.cumsum(new) - 1
+        del hs, ws, by, h, w
+        blocks, sums, at = [], [], 0
+        for (block, _), (_, _, run_, text, borders) in zip(blobs, parts):
+            each = place[at:at + len(run_)].repeat(run_)
+            at += len(run_)
+            n = int(borders[-1])
+            total = [np.bincount(text, x[each], n) for x in got]
+            seen = np.flatnonzero(np.bincount(text, minlength=n))
+            seen = seen[np.array([c & SCORED > 0 for c in range(8)])[np.searchsorted(borders, seen, side="right") - 1]]
+            if len(seen):
+                blocks.append(block)
+                sums.append(seen.astype(np.uint16).tobytes() + b"".join(x[seen].astype(np.float32).tobytes() for x in total))
+        if blocks:
+            k = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, kind), pa.array(sums, pa.binary())], OUT)
+
+    return run
+
+
+OUT = ["b", "number", "n_words", "row", "blob"]
+NAMES = ("n_words", "target_loss", "background_loss", "score")
+
+
+def _means(table: pa.Table) -> pa.Table:
+    """A block's texts with the means of their losses."""
+    packed = np.asarray(table.column("blob").combine_chunks().is_valid())
+    rows = table.filter(pa.array(~packed))
+    sums = np.zeros((2, BLOCK_TEXTS))
+    for blob in table.column("blob").filter(pa.array(packed)).to_pylist():
+        n = len(blob) // 10
+        text = np.frombuffer(blob, np.uint16, n)
+        for k in range(2):
+            sums[k, text] += np.frombuffer(blob, np.float32, n, 2 * n + 4 * n * k)
+    number, n = (np.asarray(rows.column(c).combine_chunks(), np.int64) for c in ("number", "n_words"))
+    target, background = sums[:, number] / np.maximum(n, 1)
+    return pa.table([rows.column("row"), pa.array(n), pa.array(target), pa.array(background), pa.array(target - background)], ["row", *NAMES])
+
+
+def score(docs: DataFrame, target_ids: DataFrame, keep: list[str] | None = None, background: DataFrame | None = None) -> DataFrame:
     """Add ``n_words``, ``target_loss``, ``background_loss`` and ``score`` (their difference), means over the text's words.
 
-    A text without words has 0 in all. ``trained`` tells that ``losses`` has
-    every bigram of ``docs``; else those it lacks are found first. Sums are
-    made by the text's 64-bit hash: equal texts share them, and as their
-    counts add up alike, so do the means. A frequent bigram is split by
-    Spark's skew join. ``block`` is taken for callers of an earlier form.
+    The models are of ``background`` (doc_id, text; ``docs`` itself by default)
+    and of those of its rows whose doc_id is in ``target_ids``. A null or
+    empty text, or one without words, has 0 in all. Repeated rows are counted
+    and scored each; a null doc_id is no target. Target ids are broadcast up to
+    ``BROADCAST_IDS``, counted first; beyond, documents are joined by id.
     """
-    names = ("n_words", "target_loss", "background_loss", "score")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    body = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.xxhash64(body).alias("key"), body.alias("text"))
-    if not trained:
-        new = _text_bigrams(texts, True).distinct().join(losses, "code", "left_anti")
-        losses = losses.unionByName(model.losses(new.withColumns({"n": F.lit(0), "t": F.lit(0)})))
-    held = _text_bigrams(texts, False).join(losses, "code")
-    sums = held.groupBy("key").agg(F.sum("c").alias("n"), *(F.sum(F.col("c") * F.col(c).cast("double")).alias(c) for c in ("target", "background")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.xxhash64(body).alias("key"))
-    # equal texts count together in n; a row's own number of words is its bigrams'
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    out = rows.join(sums.join(copies, "key"), "key", "left")
-    n = F.coalesce("n", F.lit(1))
-    mean = {c: F.coalesce(F.col(c) / n, F.lit(0.0)) for c in ("target", "background")}
-    return out.select("row.*", F.coalesce((F.col("n") / F.col("copies")).cast("bigint"), F.lit(0)).alias("n_words"), mean["target"].alias("target_loss"),
-                      mean["background"].alias("background_loss"), (mean["target"] - mean["background"]).alias("score"))
+    spark = docs.sparkSession
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in NAMES]
+    ids = target_ids.select(F.col("doc_id").alias("target_id")).where("target_id is not null").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+
+    def marked(df: DataFrame, row, bits: int) -> DataFrame:
+        held = df.select(row.alias("row"), F.col("doc_id").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        flag = F.when(F.col("target_id").isNotNull(), F.lit(bits | TARGET)).otherwise(F.lit(bits))
+        return held.join(ids, F.col("_id") == F.col("target_id"), "left").select("row", "text", flag.cast("int").alias("class"))
+
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.struct(F.lit(True).alias("_"))
+    src = marked(docs, row, SCORED | MODELLED if background is None else SCORED)
+    if background is not None:
+        src = src.unionByName(marked(background, F.lit(None).cast(src.schema["row"].dataType), MODELLED))
+
+    counts = written(_word_counts(src), "words")
+    code = int(START.view(np.int64))
+    words = counts.where(F.col("w") != code)
+    size, n, t, all_ = words.agg(F.sum((F.col("n") > 0).cast("bigint")), F.sum("n"), F.sum("t"), F.sum("m")).first()
+    parts = max(1, -(-(all_ or 0) // PARTITION_WORDS))
+    # at most ``parts`` of them
+    frequent = {int(np.int64(r.w).view(np.uint64)): -(-r.m // PARTITION_WORDS) for r in counts.where(F.col("m") > PARTITION_WORDS).collect()}
+    frequent = {h: min(k, parts) for h, k in frequent.items()}
+    dealing = spark.sparkContext.broadcast(Dealing(parts, frequent))
+    heads = _head_totals(src, np.array(sorted(frequent), np.uint64)) if frequent else {}
+    totals = spark.sparkContext.broadcast(Totals(n or 0, t or 0, (size or 0) + 1, heads, background is None))
+
+    own = T.StructField("row", src.schema["row"].dataType)  # packed rows have none
+    schema = T.StructType([*T.StructType.fromDDL("p int, b bigint, number int, n_words bigint").fields, own,
+                           *T.StructType.fromDDL("blob binary, w bigint, n bigint, t bigint").fields])
+    # a word that stands once is counted where it stands
+    told = words.where("n > 1") if background is None else words.where("n > 0")
+    needed = _needed(src, dealing).join(told.select("w", "n", "t"), "w")
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields}
+    needed = needed.select(*(F.col(c) if c in ("p", "w", "n", "t") else empty[c] for c in schema.names))
+    dealt = _occurrences(src, dealing, schema).unionByName(needed).repartitionById(parts, F.col("p"))
+    kinds = T.StructType([*T.StructType.fromDDL("b bigint, number int, n_words bigint").fields, own, *T.StructType.fromDDL("blob binary").fields])
+    summed = dealt.mapInArrow(_sum_losses(totals), kinds)
+    result = T.StructType([own, *T.StructType.fromDDL("n_words bigint, target_loss double, background_loss double, score double").fields])
+    done = summed.groupBy("b").applyInArrow(_means, result)
+    return done.select(*(F.col("row").getField(c).alias(c) for c in keep), *NAMES)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, target_loss, background_loss, score; the target is the documents labelled of good quality."""
-    docs = docs.select("doc_id", "text")
-    model, losses = train(docs, labels.where("quality = 1").select("doc_id"))
-    return score(docs, model, losses, keep=["doc_id"], trained=True)
+    return score(docs.select("doc_id", "text"), labels.where("quality = 1").select("doc_id"), ["doc_id"])

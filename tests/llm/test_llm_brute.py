@@ -117,20 +117,22 @@ def test_op5(spark, docs):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(items), sha(ids.encode()), bool(hit))
 
 
-def test_op4_against_plain_models(spark, docs, labels):
-    """Losses from plain dictionaries: shared vocabulary, absolute discounting, the same cutoffs."""
+@pytest.mark.parametrize("part,other", [(None, False), (1500, False), (1500, True)])
+def test_op4_against_plain_models(spark, docs, labels, monkeypatch, part, other):
+    """Losses from plain dictionaries: shared vocabulary, absolute discounting. Also with many partitions and frequent
+    words before dealt over several; and for documents that are not those of the models."""
     from pointbook.llm import lm_scoring as lm
 
+    if part:
+        monkeypatch.setattr(lm, "PARTITION_WORDS", part)
     good = {r.doc_id for r in labels if r.quality == 1}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     texts = {d: word.findall(lower(t)) for d, t, *_ in docs}
-    total = Counter(w for ws in texts.values() for w in ws)
-    assert len(total) > lm.VOCABULARY or lm.VOCABULARY >= len(total)
     frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    model, corrections = lm.train(frame, spark.createDataFrame([(d,) for d in good], "doc_id long"), vocabulary=100_000)
-    got = {r.doc_id: r for r in lm.score(frame, model, corrections, ["doc_id"]).collect()}
-    split = {r.doc_id: r for r in lm.score(frame, model, corrections, ["doc_id"], block=5000).collect()}
-    size = len(total) + 1  # the vocabulary and the unknown word
+    of_models = {d for d in texts if d % 2} if other else set(texts)
+    got = {r.doc_id: r for r in lm.score(frame, spark.createDataFrame([(d,) for d in good], "doc_id long"), ["doc_id"],
+                                         frame.where("doc_id % 2 = 1") if other else None).collect()}
+    size = len({w for d in of_models for w in texts[d]}) + 1  # the vocabulary and the unknown word
 
     def counts(ids):
         c = Counter()
@@ -138,30 +140,27 @@ def test_op4_against_plain_models(spark, docs, labels):
             c.update(zip(["<s>", *texts[d]], texts[d]))
         return c
 
-    back, target = counts(texts), counts(good & set(texts))
     losses = []
-    for c in (target, back):
-        seen = {b: n for b, n in c.items() if back[b] >= lm.LEAST_COUNT}
+    for c in (counts(good & of_models), counts(of_models)):
         uni, before, kept = Counter(), Counter(), Counter()
         for (h, w), n in c.items():
             uni[w] += n
             before[h] += n
-        for (h, _), n in seen.items():
             kept[h] += n - lm.DISCOUNT
         n_all = sum(uni.values())
 
-        def loss(h, w, seen=seen, uni=uni, before=before, kept=kept, n_all=n_all):
+        def loss(h, w, seen=c, uni=uni, before=before, kept=kept, n_all=n_all):
             p = (uni[w] + 1) / (n_all + size)
             lam = max(1 - kept[h] / before[h], 1e-12) if before[h] else 1.0
             add = (seen[h, w] - lm.DISCOUNT) / before[h] if (h, w) in seen else 0.0
             return -np.log(add + lam * p)
         losses.append(loss)
-    for d in list(texts)[:60]:
+    assert set(got) == set(texts)
+    for d in texts:
         pairs = list(zip(["<s>", *texts[d]], texts[d]))
         want = [sum(f(h, w) for h, w in pairs) / max(len(pairs), 1) for f in losses]
-        for r in (got[d], split[d]):
-            assert r.n_words == len(pairs)
-            assert np.allclose([r.target_loss, r.background_loss, r.score], [*want, want[0] - want[1]], atol=1e-4)
+        assert got[d].n_words == len(pairs)
+        assert np.allclose([got[d].target_loss, got[d].background_loss, got[d].score], [*want, want[0] - want[1]], atol=1e-4)
 
 
 def test_op4_ranks_good_documents_lower(spark, labels):

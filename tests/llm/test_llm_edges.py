@@ -37,7 +37,8 @@ OPERATORS = {
     "bpe": lambda d, b, m: bpe.decode(bpe.encode(d, queries.RANKS), queries.RANKS),
     "bpe_one_pass": lambda d, b, m: bpe.recode(d, queries.RANKS),
     "shards": lambda d, b, m: sharding.number(sharding.assign(d, F.col("doc_id"), 3), 3, ["doc_id"]),
-    "lm": lambda d, b, m: lm_scoring.score(d, *lm_scoring.train(d.select("doc_id", "text"), m.where("quality = 1"))),
+    "lm": lambda d, b, m: lm_scoring.score(d, m.where("quality = 1").select("doc_id")),
+    "lm_other": lambda d, b, m: lm_scoring.score(d, m.where("quality = 1").select("doc_id"), background=d.select("doc_id", "text")),
     "decontaminate": lambda d, b, m: decontaminate.scan(d, b),
     "spans": lambda d, b, m: decontaminate.clean(d, b, mode="spans"),
     "knn": lambda d, b, m: quality_knn.classify(d, quality_knn.fit(d, m)),
