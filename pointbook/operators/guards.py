@@ -12,6 +12,9 @@ from ..session import checkpoint_root
 # broadcast size limits on every executor.
 DEFAULT_BROADCAST_ROWS = 100_000
 
+# Largest side broadcast, in bytes: rows with texts may be few and yet large.
+BROADCAST_BYTES = 32 << 20
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows.
@@ -32,17 +35,31 @@ def few_per_key(df: DataFrame, key: str, max_rows: int = DEFAULT_BROADCAST_ROWS,
     return (got[0] or 0) <= max_rows and (got[1] or 0) <= max_per_key
 
 
-def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of their values as text), in one job."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(8))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return n, size or 0
+
+
+def small_enough(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows that take at most ``max_bytes``: it may be broadcast."""
+    n, size = size_of(df)
+    return n <= max_rows and size <= max_bytes
+
+
+def materialize_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
     """Prove ``df`` small and keep it: ``(checkpointed df, True)`` when it has
-    at most ``max_rows`` rows, else ``(df, False)``.
+    at most ``max_rows`` rows and ``max_bytes`` bytes, else ``(df, False)``.
 
-    The first ``max_rows + 1`` rows are checkpointed to the shared checkpoint
-    folder (reliable, survives executor loss, cuts lineage); when they are
-    all the rows there are, that copy *is* the DataFrame, so later plans
-    read it instead of recomputing ``df`` and the count came for free.
+    Rows and bytes are counted in the tasks. A small ``df`` is then checkpointed
+    to the shared checkpoint folder (reliable, survives executor loss, cuts
+    lineage), so later plans read it instead of recomputing it.
     """
-    head, n = materialize_counted(df, max_rows)
-    return (head, True) if n <= max_rows else (df, False)
+    if not small_enough(df, max_rows, max_bytes):
+        return df, False
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True), True
 
 
 def materialize_counted(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:

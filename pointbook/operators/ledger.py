@@ -118,9 +118,15 @@ def notes_for_students(notes: DataFrame, keys: DataFrame, key: str = "id") -> Da
 
 
 def lookup_by_keys(df: DataFrame, keys: DataFrame, key: str = "id", keys_col: str | None = None) -> DataFrame:
-    """B3 (set form): rows of ``df`` whose ``key`` is in ``keys``."""
+    """B3 (set form): rows of ``df`` whose ``key`` is in ``keys``. A small batch of
+    keys is broadcast; a larger one is made distinct first, so that a key
+    repeated in a third of it is one row a task in the shuffle."""
+    from .guards import small_enough
+
     k = keys.select(F.col(keys_col or key).alias(key))
-    return df.join(k, key, "left_semi")
+    small = small_enough(k)
+    k = k.distinct()
+    return df.join(F.broadcast(k) if small else k, key, "left_semi").select(*df.columns)
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
@@ -172,10 +178,18 @@ def students_left_join_penalties(students: DataFrame, penalties: DataFrame, spli
     return with_rows.unionByName(without)
 
 
+def with_student_found(df: DataFrame, students: DataFrame, col: str = "student_id", flag: str = "student_exists") -> DataFrame:
+    """D3: ``df`` with a flag that tells whether its student exists: one join,
+    with ``df`` on the side of which AQE splits a hot student."""
+    keys = students.select(F.col("id").alias("_sid"), F.lit(True).alias("_found"))
+    return df.join(keys, F.col(col) == F.col("_sid"), "left").select(*df.columns, F.coalesce("_found", F.lit(False)).alias(flag))
+
+
 def student_fk_check(df: DataFrame, students: DataFrame, col: str = "student_id") -> tuple[DataFrame, DataFrame]:
-    """D3: ``(kept, rejected)`` - rows whose student exists, and the rest."""
-    keys = students.select(F.col("id").alias(col))
-    return df.join(keys, col, "left_semi"), df.join(keys, col, "left_anti")
+    """D3: ``(kept, rejected)`` - rows whose student exists, and the rest; both
+    of the one flagged join (``with_student_found`` serves both at once)."""
+    flagged = with_student_found(df, students, col, "_exists")
+    return flagged.where("_exists").drop("_exists"), flagged.where("NOT _exists").drop("_exists")
 
 
 def cascade_delete(children: DataFrame, deleted_parent_ids: DataFrame, col: str = "student_id") -> DataFrame:

@@ -16,9 +16,9 @@ reduced to the net effect of that sequence (``seq`` = arrival order):
 
 Merge plans
 -----------
-* Change set proven small (bounded row count): the changes are broadcast and
-  the base table is only scanned (anti-join for untouched rows, inner join
-  for updated rows), never shuffled.
+* Change set proven small (rows and bytes): the changes are broadcast and the
+  base table is scanned twice (its rows, left-joined with the changes, and its
+  key column, for the changes that are new), never shuffled.
 * Otherwise: one full outer join on the key (sort-merge or shuffled hash,
   chosen by AQE), which handles change sets as large as the table.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..functions import empty_to_null, gen_id
 from ..schemas import ID_PREFIX_PENALTY
 from ..sources.roster import normalize_roster, roster_required_fields
-from .guards import DEFAULT_BROADCAST_ROWS, few_per_key, materialize_if_bounded, restrict_to_keys, row_count_at_most
+from .guards import DEFAULT_BROADCAST_ROWS, few_per_key, materialize_if_bounded, restrict_to_keys, row_count_at_most, small_enough
 from .validate import (first_reason, split_valid, validate_notes, validate_penalties, validate_resets,
                        validate_rules, validate_students, validate_thresholds)
 
@@ -96,19 +96,14 @@ def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: lis
         return out
 
     if small:
-        bc = F.broadcast(c)
-        untouched = base.join(bc.select("_ck"), base[key] == F.col("_ck"), "left_anti")
-        touched = base.join(bc, base[key] == F.col("_ck"), "inner")
-        # touched keys are a subset of the (proven small) change set
-        inserted = c.join(F.broadcast(touched.select(F.col("_ck").alias("_tk"))), F.col("_ck") == F.col("_tk"),
-                          "left_anti")
-        parts = [
-            untouched.select(*[base[n].alias(n) for n in base.columns],
-                             *([F.lit(None).cast("string").alias("op")] if with_op else [])),
-            touched.select(*merged(F.lit(True), F.lit(True), lambda n: base[n])),
-            inserted.select(*merged(F.lit(False), F.lit(True), lambda n: F.lit(None).cast(base.schema[n].dataType))),
-        ]
-        out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        # two scans of the base: its rows, and its keys
+        present = F.col("_ck").isNotNull()
+        stored = base.join(F.broadcast(c), base[key] == F.col("_ck"), "left").select(*merged(F.lit(True), present, lambda n: base[n]))
+        known = base.select(F.col(key).alias("_bk")).join(F.broadcast(c.select("_ck")), F.col("_bk") == F.col("_ck"), "left_semi")
+        # keys that are known are a subset of the changes' keys
+        inserted = c.join(F.broadcast(known), F.col("_ck") == F.col("_bk"), "left_anti")
+        out = stored.unionByName(inserted.select(
+            *merged(F.lit(False), F.lit(True), lambda n: F.lit(None).cast(base.schema[n].dataType))))
     else:
         j = base.join(c, base[key] == F.col("_ck"), "full_outer")
         out = j.select(*merged(base[key].isNotNull(), F.col("_ck").isNotNull(), lambda n: base[n]))
@@ -116,10 +111,16 @@ def merge_upsert(base: DataFrame, changes: DataFrame, key: str, update_cols: lis
 
 
 def update_existing(base: DataFrame, changes: DataFrame, key: str, update_cols: list[str], as_of: str,
-                    updated_col: str | None = "updated_at") -> DataFrame:
+                    updated_col: str | None = "updated_at", source: DataFrame | None = None,
+                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """C3 pattern: overwrite ``update_cols`` of existing keys only; unknown keys
-    are a silent no-op, nothing is inserted."""
+    are a silent no-op, nothing is inserted. A change set proven small
+    (``source``: the raw batch) is broadcast: one scan of the base."""
     c = changes.select(F.col(key).alias("_ck"), *[F.col(x).alias(f"_c_{x}") for x in update_cols])
+    if source is None or row_count_at_most(source, max_broadcast_rows):
+        c, small = materialize_if_bounded(c, max_broadcast_rows)
+        if small:
+            c = F.broadcast(c)
     j = base.join(c, base[key] == F.col("_ck"), "left")
     present = F.col("_ck").isNotNull()
     out = []
@@ -134,10 +135,15 @@ def update_existing(base: DataFrame, changes: DataFrame, key: str, update_cols:
     return j.select(*out)
 
 
-def delete_by_keys(base: DataFrame, keys: DataFrame, key: str = "id", keys_col: str = "id") -> DataFrame:
-    """Delete rows whose ``key`` is in ``keys`` (absent keys are fine). AQE
-    broadcasts the key set when its measured size is small."""
-    return base.join(keys.select(F.col(keys_col).alias(key)).distinct(), key, "left_anti")
+def delete_by_keys(base: DataFrame, keys: DataFrame, key: str = "id", keys_col: str = "id",
+                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Delete rows whose ``key`` is in ``keys`` (absent keys are fine). A raw
+    batch of keys proven small is broadcast: the base is only scanned. A
+    larger one is made distinct and joined by key."""
+    k = keys.select(F.col(keys_col).alias(key))
+    small = small_enough(k, max_broadcast_rows)
+    k = k.distinct()
+    return base.join(F.broadcast(k) if small else k, key, "left_anti").select(*base.columns)
 
 
 # -- students (C1-C4) ---------------------------------------------------------
@@ -170,13 +176,13 @@ def import_students(students: DataFrame, roster: DataFrame, as_of: str, **kw) ->
 def update_students(students: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
     """Overwrite existing students only (unknown ids: no-op)."""
     ok, _ = split_valid(validate_students(requests))
-    return update_existing(students, dedupe_last(ok, "id", STUDENT_FIELDS), "id", STUDENT_FIELDS, as_of)
+    return update_existing(students, dedupe_last(ok, "id", STUDENT_FIELDS), "id", STUDENT_FIELDS, as_of, source=requests)
 
 
 def delete_students(students: DataFrame, penalties: DataFrame, notes: DataFrame,
                     keys: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C4 + D7: delete students and cascade to their ledger rows and notes."""
-    k = keys.select("id").distinct()
+    k = keys.select("id")
     return (delete_by_keys(students, k),
             delete_by_keys(penalties, k, key="student_id"),
             delete_by_keys(notes, k, key="student_id"))

@@ -90,17 +90,17 @@ def join_ledger_with_requests(big: DataFrame, requests: DataFrame, big_key: str,
                               max_request_rows: int = DEFAULT_BROADCAST_ROWS, **hot_kw) -> DataFrame:
     """Join ledger rows with a batch of requests on the student key.
 
-    A batch proven small (at most ``max_request_rows`` rows, counted without
-    reading further) is broadcast: the ledger is scanned once, map-side,
-    with no shuffle and no hot-key sampling. A larger batch takes the
-    shuffled join with hot students split off map-side (``split_hot``).
+    A batch proven small (at most ``max_request_rows`` rows, and few bytes) is
+    broadcast: the ledger is scanned once, map-side, with no shuffle and no
+    hot-key sampling. A larger batch takes the shuffled join with hot students
+    split off (``split_hot``).
     """
-    from .guards import row_count_at_most
+    from .guards import small_enough
 
     cond = F.col(big_key) == F.col(request_key)
     if extra is not None:
         cond = cond & extra
-    if row_count_at_most(requests, max_request_rows):
+    if small_enough(requests, max_request_rows):
         return big.join(F.broadcast(requests), cond, how)
     hot = hot_keys(big, big_key, **hot_kw) if split_hot else None
     return join_splitting_hot_keys(big, requests, big_key, request_key, hot, how, extra)

@@ -59,8 +59,8 @@ def threshold_lookup(totals: DataFrame, thresholds: DataFrame, keep: str, points
         "message_template": "threshold_template", "sort_order": "threshold_sort_order",
     }
     p = F.col(points_col)
-    # the raw table is a stored configuration table: the bounded count reads
-    # at most max+1 rows, and the collapse is recomputed inside the broadcast
+    # the raw table is a stored configuration table: counted by task, and the
+    # collapse is recomputed inside the broadcast
     if row_count_at_most(thresholds, max_broadcast_rows):
         # bounded: a window without partitioning is fine on <= max rows
         iv = t.withColumn("_hi", F.lead("min_points").over(Window.orderBy("min_points")))

@@ -139,9 +139,7 @@ def q_penalty_rule_snapshot(spark, sf):
 SELECT p.seq, p.student_id, EXISTS (SELECT 1 FROM students s WHERE s.id = p.student_id) AS student_exists
 FROM penalty_requests p""")
 def q_student_fk_check(spark, sf):
-    """D3: requests split by whether their student exists (semi / anti join)."""
-    from ..operators.ledger import student_fk_check
+    """D3: requests flagged by whether their student exists (one join)."""
+    from ..operators.ledger import with_student_found
 
-    kept, rejected = student_fk_check(si.penalty_requests(spark, sf), si.students(spark, sf))
-    return (kept.select("seq", "student_id", F.lit(True).alias("student_exists"))
-            .unionByName(rejected.select("seq", "student_id", F.lit(False).alias("student_exists"))))
+    return with_student_found(si.penalty_requests(spark, sf).select("seq", "student_id"), si.students(spark, sf))
