@@ -74,9 +74,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's exact token count, from the table of counts at all its prefixes."""
+    """Every document's exact token count, from its words' tables of counts at all prefixes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
-    counted = token_counts.budgets(docs, WORD_VOCABULARY, 2048, keep=["doc_id", "n_bytes"])
+    counted = token_counts.totals(docs, WORD_VOCABULARY, keep=["doc_id", "n_bytes"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -35,12 +36,20 @@ LONG_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 # Capitals of Unicode 16 that this Python may not know yet, and their lower case; fixed values.
 NEWER_LOWER = {0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, 0x1C89: 0x1C8A} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
 
+NEWER = re.compile(f"[{''.join(map(chr, NEWER_LOWER))}]")
+
+# Any character but printable ASCII, usual white space and Latin letters up to U+024F; and numbers there that are no digits.
+UNUSUAL = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\u024f]|[²³¹¼½¾]")
+
 TAIL_MARKS = regex.compile(r"[^\s\p{L}\p{N}]*$")
 
 # What is known of a run of symbols: the end of a token only; in the
 # vocabulary, not yet tried; a token that the merges give for its own symbols.
 NO_TOKEN, UNTRIED, TOKEN = range(3)
 
+# Words whose totals a worker remembers.
+CACHE_TOTALS = 1_500_000
+
 # Text that one pass holds at a time: the more words are solved together, the more they share.
 PASS_BYTES = 4 << 20
 
@@ -76,11 +85,17 @@ class WordCounter:
         self.tails = dict.fromkeys((stem[k:] + end for stem, end in stems for k in range(len(stem))), NO_TOKEN)
         self.tails.update(dict.fromkeys(self.vocab, UNTRIED))
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        # the same for texts of usual Latin characters, where the standard library's classes agree, and it is faster
+        latin = self.words.pattern
+        for own, same in (("[^\\s\\p{L}\\p{N}]", "(?:[^\\s\\w]|_)"), ("[\\p{L}]", "[^\\W\\d_]"), ("[\\p{N}]", "\\d")):
+            latin = latin.replace(own, same)
+        self.latin_words = self.words if "\\p{" in latin else re.compile(latin)
         self.special = [t["content"] for t in spec["added_tokens"] if not t["normalized"]]
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.fits: dict[tuple[str, str], bool] = {}
         self.known: dict[str, np.ndarray] = {}
         self.older: dict[str, np.ndarray] = {}
+        self.whole: dict[str, int] = {}
 
     def parts(self, token: str) -> list[str]:
         """The single symbols of a token."""
@@ -104,7 +119,7 @@ class WordCounter:
 
     def follows(self, last: str, token: str) -> bool:
         """Whether the merges leave these two tokens side by side."""
-        if len(self.fits) > 2 * CACHE_WORDS:
+        if len(self.fits) > CACHE_TOTALS:
             self.fits.clear()
         got = self.fits[last, token] = self.merge(self.parts(last) + self.parts(token)) == [last, token]
         return got
@@ -115,27 +130,40 @@ class WordCounter:
         All that is kept at a prefix depends on that prefix alone, so in
         sorted order each word goes on from what it shares with the one before.
         """
-        table = dict(enumerate(byte_symbols()))
         solved: dict[str, np.ndarray] = {}
-        last, count, whole, before = [""], [0], [0], b""
+        whole = [0]
+        for raw, word, text, same, last, count in self.prefixes(words):
+            n = len(raw)
+            del whole[same + 1:]
+            for p in range(same + 1, n + 1):
+                cut = p < n and raw[p] & 0xC0 == 0x80  # inside a code point
+                whole.append(0 if cut else count[self.closing(text, p, self.end, last)[0]] + 1)
+            row = np.array(whole[1:n + 1], np.int32)
+            solved[word] = row if len(word) == n else row[row > 0]
+        return solved
+
+    def solve_whole(self, words: list[str]) -> dict[str, int]:
+        """For each word its count as a whole: the same table at all prefixes, closed at the word's end only."""
+        return {word: count[self.closing(text, len(raw), self.end, last)[0]] + 1 for raw, word, text, _, last, count in self.prefixes(words)}
+
+    def prefixes(self, words: list[str]):
+        """(bytes, word, symbols, shared bytes, last token, count) of each word in sorted order; the last two at every prefix of its symbols."""
+        table = dict(enumerate(byte_symbols()))
+        last, count, before = [""], [0], b""
         for raw, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             text = raw.decode("latin-1").translate(table)
-            n, same = len(raw), 0
+            same = 0
             for x, y in zip(raw, before):
                 if x != y:
                     break
                 same += 1
-            del last[same + 1:], count[same + 1:], whole[same + 1:]
-            for p in range(same + 1, n + 1):
+            del last[same + 1:], count[same + 1:]
+            for p in range(same + 1, len(raw) + 1):
                 q, token = self.closing(text, p, "", last)
                 last.append(token)
                 count.append(count[q] + 1)
-                cut = p < n and raw[p] & 0xC0 == 0x80  # inside a code point
-                whole.append(0 if cut else count[self.closing(text, p, self.end, last)[0]] + 1)
+            yield raw, word, text, same, last, count
             before = raw
-            row = np.array(whole[1:n + 1], np.int32)
-            solved[word] = row if len(word) == n else row[row > 0]
-        return solved
 
     def closing(self, text: str, p: int, end: str, last: list[str]) -> tuple[int, str]:
         """Where the last token of the first ``p`` symbols starts, and the token: the one that fits what comes before it."""
@@ -169,13 +197,22 @@ class WordCounter:
         known.update(self.solve(new))
 
     @staticmethod
-    def normal(text: str) -> str:
+    def lowered(text: str) -> str:
+        """NFC, in lower case."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        text = regex.sub(r"\s+", " ", text)
         # letter by letter: a final sigma is no special case
         low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        return low if low.isascii() else low.translate(NEWER_LOWER)
+        return low.translate(NEWER_LOWER) if NEWER.search(low) else low
+
+    @classmethod
+    def normal(cls, text: str) -> str:
+        return regex.sub(r"\s+", " ", cls.lowered(text))
+
+    def split_words(self, text: str) -> list[str]:
+        """The words of a text; white space, which is no part of any, need not be normalised."""
+        low = self.lowered(text)
+        return (self.words if UNUSUAL.search(text) else self.latin_words).findall(low)
 
     def segment(self, text: str, words: list[str]) -> np.ndarray:
         """Counts at the prefixes of 1, 2, ... code points of a normalised text without special tokens; ``words`` are its learnt words."""
@@ -241,6 +278,23 @@ class WordCounter:
         return out
 
 
+    def totals(self, texts: list[str]) -> list[int]:
+        """The count of each whole text."""
+        jobs = []
+        for text in texts:
+            parts, n = [text], 0
+            if any(s in text for s in self.special):
+                parts = self.split.split(text)
+                n = len(parts) - 1
+            jobs.append(([w for part in parts for w in self.split_words(part)], n))
+        need = set().union(*(words for words, _ in jobs))
+        if len(self.whole) > CACHE_TOTALS:
+            self.whole = {}
+        self.whole.update(self.solve_whole(list(need - self.whole.keys())))
+        got = self.whole.__getitem__
+        return [sum(map(got, words)) + n for words, n in jobs]
+
+
 _counters: dict[str, WordCounter] = {}
 
 
@@ -279,21 +333,18 @@ def prefix_counts(df: DataFrame, path: str, text: str = "text", keep: list[str]
     return map_texts(df, text, work, "prefix_counts array<int>", keep, PASS_BYTES)
 
 
-def budgets(df: DataFrame, path: str, budget: int, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``n_tokens`` (bigint), and ``n_within`` (bigint): the most code points of the normalised text that take at most
-    ``budget`` tokens. Both are looked up in the counts at all prefixes, which stay in the worker. A null or empty text has 0 of both."""
+def totals(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``n_tokens`` (bigint): the last entry of ``prefix_counts``, without the entries before it. A null or empty text has 0."""
     shared = _vocabulary(df, path)
 
     def work():
         counter = counter_of(shared.value)
 
         def run(texts: Texts) -> dict[str, pa.Array]:
-            rows = counter.counts([t.decode("utf-8", "surrogatepass") for t in texts.each()])
-            within = [len(r) - 1 if r[-1] <= budget else int(np.flatnonzero(r <= budget)[-1]) for r in rows]
-            return {"n_tokens": pa.array([int(r[-1]) for r in rows], pa.int64()), "n_within": pa.array(within, pa.int64())}
+            return {"n_tokens": pa.array(counter.totals([t.decode("utf-8", "surrogatepass") for t in texts.each()]), pa.int64())}
         return run
 
-    return map_texts(df, text, work, "n_tokens bigint, n_within bigint", keep, PASS_BYTES)
+    return map_texts(df, text, work, "n_tokens bigint", keep, PASS_BYTES)
 
 
 def total(counts: Column) -> Column:

@@ -15,8 +15,6 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from pyspark.sql import functions as F
-
 from pointbook.llm import queries as q
 from pointbook.llm import secret_scan as ss
 from pointbook.llm.token_counts import NEWER_LOWER
@@ -287,18 +285,16 @@ def test_op9_all_code_points():
     for s in range(0, len(points), 8192):
         texts = [f"a{chr(c)}b {chr(c)}" for c in points[s:s + 8192]]
         want = [len(e.ids) for e in own.encode_batch(texts, add_special_tokens=False)]
-        got = [int(r[-1]) for r in counter.counts(texts)]
+        got = counter.totals(texts)
         assert got == want, [hex(c) for c, a, b in zip(points[s:], got, want) if a != b]
 
 
-def test_op9_budgets(spark):
+def test_op9_totals_are_the_last_prefix_counts(spark):
     from pointbook.llm import token_counts
 
-    docs = spark.createDataFrame([(1, "tokens 12.5 émigré we've"), (2, ""), (3, None), (4, "one two three four five")], "doc_id long, text string")
-    for budget in (0, 2, 3, 100):
-        got = token_counts.budgets(token_counts.prefix_counts(docs, q.WORD_VOCABULARY), q.WORD_VOCABULARY, budget)
-        for r in got.withColumn("want", token_counts.cut_within(F.col("prefix_counts"), budget)).collect():
-            assert (r.n_tokens, r.n_within) == (r.prefix_counts[-1], r.want)
+    docs = spark.createDataFrame([(1, "tokens 12.5 émigré we've"), (2, ""), (3, None), (4, "a<|startoftext|>b y'all're<|endoftext|>!x <|end")], "doc_id long, text string")
+    got = token_counts.totals(token_counts.prefix_counts(docs, q.WORD_VOCABULARY), q.WORD_VOCABULARY)
+    assert all(r.n_tokens == r.prefix_counts[-1] for r in got.collect()) and got.count() == 4
 
 
 def test_op10(spark, docs):
