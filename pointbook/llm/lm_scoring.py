@@ -45,7 +45,7 @@ DISCOUNT = 0.75
 
 # Words that a task counts before it hands counts on, words of a block (and texts, by two-byte numbers), words of a
 # partition, and target ids up to which they are broadcast.
-COUNTED, BLOCK_WORDS, BLOCK_TEXTS, PARTITION_WORDS, BROADCAST_IDS = 4 << 20, 2 << 20, 1 << 16, 4 << 20, 2_000_000
+COUNTED, BLOCK_WORDS, BLOCK_TEXTS, PARTITION_WORDS, BROADCAST_IDS = 4 << 20, 1 << 20, 1 << 16, 3 << 20, 2_000_000
 
 # The code of what stands before a text's first word, and an odd multiplier.
 START, _STEP = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x9E3779B97F4A7C15)
@@ -287,21 +287,22 @@ def _losses(h: np.ndarray, w: np.ndarray, n: np.ndarray, t: np.ndarray, words: t
         k = np.minimum(np.searchsorted(totals.codes, h[first]), len(totals.codes) - 1)
         hot = totals.codes[k] == h[first]
         of_head[hot] = totals.heads[k[hot]]
-    tot_n, tot_t, kinds_n, kinds_t = of_head.repeat(size, axis=0).T
     codes, uni_n, uni_t = words
-    known = np.zeros(len(w), bool)
-    un, ut = (n.astype(np.float64), t.astype(np.float64)) if totals.once else (np.zeros(len(w)), np.zeros(len(w)))
-    if len(codes):
-        k = np.minimum(np.searchsorted(codes, w), len(codes) - 1)
-        known = codes[k] == w
-        un[known], ut[known] = uni_n[k[known]], uni_t[k[known]]
+    k = np.minimum(np.searchsorted(codes, w), max(len(codes) - 1, 0))
+    known = np.flatnonzero(codes[k] == w) if len(codes) else np.zeros(0, np.int64)
+    k = k[known]
 
     def loss(c, tot, kinds, uni, total):
+        # one model after the other, so that only one's arrays are held
+        backed = c.astype(np.float64) if totals.once else np.zeros(len(w))  # of a word without a count
+        backed[known] = uni[k]
         held = np.maximum(tot, 1.0)
-        backed = np.where(tot > 0, np.maximum(1 - (tot - DISCOUNT * kinds) / held, 1e-12), 1.0) * (uni + 1) / float(total + totals.size)
-        return -np.log(backed + np.where(c > 0, (c - DISCOUNT) / held, 0.0))
+        backed += 1
+        backed *= (np.where(tot > 0, np.maximum(1 - (tot - DISCOUNT * kinds) / held, 1e-12), 1.0) / float(total + totals.size)).repeat(size)
+        backed += np.where(c > 0, (c - DISCOUNT) / held.repeat(size), 0.0)
+        return -np.log(backed)
 
-    return loss(t, tot_t, kinds_t, ut, totals.t), loss(n, tot_n, kinds_n, un, totals.n)
+    return (loss(t, of_head[:, 1], of_head[:, 3], uni_t, totals.t), loss(n, of_head[:, 0], of_head[:, 2], uni_n, totals.n))
 
 
 def _sum_losses(shared):
@@ -331,16 +332,16 @@ def _sum_losses(shared):
             part = []
             for _, _, run_, text, borders in parts:
                 flag = np.array([c & bit == bit for c in range(8)])[np.searchsorted(borders, text, side="right") - 1] if len(text) else np.zeros(0, bool)
-                part.append(np.add.reduceat(flag.astype(np.int64), np.cumsum(run_) - run_))
+                part.append(np.add.reduceat(flag.astype(np.int32), np.cumsum(run_) - run_))
             counts.append(np.concatenate(part))
         by = np.lexsort((w, h))
         hs, ws = h[by], w[by]
         new = np.append(True, (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1]))
         first = np.flatnonzero(new)
         got = _losses(hs[first], ws[first], *(np.add.reduceat(c[by], first) for c in counts), (codes[order], un[order], ut[order]), totals)
-        place = np.empty(len(h), np.int64)
-        place[by] = np.cumsum(new) - 1
-        del hs, ws, by, h, w
+        place = np.empty(len(h), np.int32)
+        place[by] = np.cumsum(new, dtype=np.int32) - 1
+        del hs, ws, by, h, w, new, counts
         blocks, sums, at = [], [], 0
         for (block, _), (_, _, run_, text, borders) in zip(blobs, parts):
             each = place[at:at + len(run_)].repeat(run_)
