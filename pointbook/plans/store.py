@@ -43,7 +43,7 @@ from ..sources.commits import CommitLog
 from ..sources.tables import BATCH_NAME, read_bucketed, write_bucketed
 
 # Student key of each table, for the co-located (bucketed) layout.
-BUCKET_KEYS = {"students": "id", "penalties": "student_id", "notes": "student_id"}
+BUCKET_KEYS = {"students": "id", "penalties": "student_id", "notes": "student_id", "totals": "student_id"}
 
 # Signed corrections of a student's total: their sum is the total, and the sum of ``rows`` the number of ledger rows.
 TOTALS = StructType([StructField("student_id", StringType()), StructField("points", LongType()), StructField("rows", LongType())])
@@ -75,6 +75,7 @@ class Transaction:
         self.tables = copy.deepcopy(record["tables"]) if record else {}
         self.streams = dict(record["streams"]) if record else {}
         self.changes: list[DataFrame] = []
+        self.rebased = False  # the totals hold the changes already
 
     def _path(self, table: str, kind: str) -> str:
         """A folder of this attempt's own: a failed one leaves nothing that a retry could meet."""
@@ -91,20 +92,25 @@ class Transaction:
             self._state(table)["log"].append(entry)
         return entry
 
-    def replace(self, table: str, df: DataFrame) -> None:
-        """``df`` becomes the whole table."""
-        schema, key = self.store.schema(table), self.store.bucket_key(table)
-        path = self._path(table, "base")
-        if table == "penalties":
-            self.changes.append(sums(df))
-            self.changes.append(self.store.totals().select("student_id", (-F.col("points")).alias("points"), (-F.col("rows")).alias("rows")))
-        out = df.select(*schema.fieldNames())
+    def _rebase(self, table: str, df: DataFrame) -> None:
+        """``df`` becomes the base of ``table``, with an empty log."""
+        path, key = self._path(table, "base"), self.store.bucket_key(table)
+        out = df.select(*self.store.schema(table).fieldNames())
         if key:
             write_bucketed(out, path, key, self.store.buckets)
         else:
             out.write.parquet(path)
         self.tables[table] = {"base": path, "buckets": self.store.buckets if key else None, "log": []}
 
+    def replace(self, table: str, df: DataFrame) -> None:
+        """``df`` becomes the whole table. For the ledger, the totals are made anew; their change is the difference."""
+        former = self.store.totals() if table == "penalties" else None
+        self._rebase(table, df)
+        if former is not None:
+            self._rebase("totals", sums(self.store.table(table, self.tables)))
+            self.changes += [self.store.table("totals", self.tables), former.select("student_id", (-F.col("points")).alias("points"), (-F.col("rows")).alias("rows"))]
+            self.rebased = True
+
     def append(self, table: str, rows: DataFrame) -> DataFrame:
         """Add rows; returns them as written."""
         schema, path = self.store.schema(table), self._path(table, "append")
@@ -162,13 +168,12 @@ class Transaction:
             total = total.groupBy("student_id").agg(F.sum("points").alias("points"), F.sum("rows").alias("rows")).where("points <> 0 or rows <> 0")
             path = self._path("totals", "append")
             total.select("student_id", F.col("points").cast("bigint"), F.col("rows").cast("bigint"), F.lit(self.number).cast("bigint").alias("_n")).write.parquet(path)
-            if self._entry("totals", "append", path)["rows"]:
+            if self.rebased:
+                change = path
+            elif self._entry("totals", "append", path)["rows"]:
                 change = path
         if len(self._state("totals")["log"]) > LOG_ENTRIES:
-            folded = self.store.totals(self.tables)
-            self.tables["totals"] = logged.empty_state()
-            self._state("totals")["base"] = base = self._path("totals", "base")
-            folded.write.parquet(base)
+            self._rebase("totals", self.store.totals(self.tables))
         for table in TABLES:
             if table in self.tables and len(self.tables[table]["log"]) > LOG_ENTRIES:
                 self._merge_log(table)
@@ -267,9 +272,7 @@ class LedgerStore:
         state = t.tables.get(name, logged.empty_state())
         if not state["log"]:
             return t.number - 1
-        rows = self.table(name) if name != "totals" else self.totals()
-        t.replace(name, rows)
-        t.changes = []
+        t._rebase(name, self.table(name) if name != "totals" else self.totals())
         return t.commit()
 
     def append(self, name: str, rows: DataFrame, batch: str) -> int | None:

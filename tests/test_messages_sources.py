@@ -37,13 +37,13 @@ def test_recipients_dedupe_and_no_recipient(spark):
 def test_outbox_counts_sf0001(spark):
     prepared = msg.prepare_messages(si.sms_requests(spark, SF_SMALL), si.students(spark, SF_SMALL),
                                     si.penalties(spark, SF_SMALL), si.thresholds(spark))
-    assert msg.message_outbox(prepared, "02", "b1").count() == 243
-    assert prepared.where("reject_reason = 'no_recipient'").count() == 2
+    assert msg.message_outbox(prepared, "02", "b1").count() == 160
+    assert prepared.where("reject_reason = 'no_recipient'").count() == 6
     from pointbook.functions import normalize_phone
 
     s = si.students(spark, SF_SMALL)
     both = s.where(normalize_phone("student_phone").isNotNull() & normalize_phone("parent_phone").isNotNull())
-    one = prepared.where(F.size("recipients") == 1).select("student_id")
+    one = prepared.where((F.size("recipients") == 1) & (F.col("target") == "both")).select("student_id")
     assert both.join(one, both.id == one.student_id, "left_semi").count() == 23
 
 
@@ -73,7 +73,7 @@ def test_entry_smoke(spark):
 
     df = se.entry(spark)
     assert df.columns == ["outbox_id", "seq", "student_id", "pos", "to", "from", "text"]
-    assert df.count() == 243
+    assert df.count() == 160
 
 
 def test_read_requests_json_and_outbox_sink(spark, tmp_path):
@@ -95,7 +95,7 @@ def test_read_requests_json_and_outbox_sink(spark, tmp_path):
     out = msg.message_outbox(prepared, "02", "b1")
     path = msg.write_outbox(out, str(tmp_path / "outbox"), 0)
     msg.write_outbox(out, str(tmp_path / "outbox"), 0)  # retry of the same batch
-    assert spark.read.parquet(path).count() == 243
+    assert spark.read.parquet(path).count() == 160
 
 
 def test_roster_numeric_cells_print_like_js(spark):

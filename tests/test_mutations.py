@@ -131,7 +131,7 @@ def test_assign_counts_sf0001(spark):
 
 def test_import_counts_sf0001(spark):
     new, imported = mu.import_students(si.students(spark, SF_SMALL), si.roster_import(spark, SF_SMALL), AS_OF)
-    assert imported.collect()[0].imported == 56
+    assert imported.collect()[0].imported == 148
     assert new.count() == 150 + 1
 
 

@@ -22,8 +22,8 @@ def test_badge_and_message_tie_directions(spark):
     th = si.thresholds(spark)
     badge = dict(rows(threshold_status(t, th), "points", "threshold_id"))
     msg = dict(rows(best_threshold(t, th), "points", "threshold_id"))
-    assert badge == {-3: None, 4: None, 5: "th_5", 69: "th_5", 70: "th_70a", 85: "th_85", 1000: "th_85"}
-    assert msg == {-3: None, 4: None, 5: "th_5", 69: "th_5", 70: "th_70b", 85: "th_85", 1000: "th_85"}
+    assert badge == {-3: None, 4: None, 5: "th_5", 69: "th_5", 70: "th_70a", 85: "th_85", 1000: "th_95"}
+    assert msg == {-3: None, 4: None, 5: "th_5", 69: "th_5", 70: "th_70b", 85: "th_85", 1000: "th_95"}
 
 
 def test_empty_thresholds(spark):
@@ -68,7 +68,7 @@ def test_status_counts_sf0001(spark):
 
     tot = cumulative_points(si.students(spark, SF_SMALL), si.penalties(spark, SF_SMALL))
     counts = dict(rows(status_counts(threshold_status(tot, si.thresholds(spark))), "badge", "students"))
-    assert counts == {"정상": 135, "L5": 2, "L70A": 8, "L85": 5}
+    assert counts == {"정상": 135, "L5": 2, "L70A": 8, "L85": 4, "L95": 1}
     msg = dict(rows(best_threshold(tot, si.thresholds(spark)).groupBy("threshold_id").count()))
     assert msg.get("th_70b") == 8 and "th_70a" not in msg
 
