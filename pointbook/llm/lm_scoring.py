@@ -45,7 +45,7 @@ DISCOUNT = 0.75
 
 # Words that a task counts before it hands counts on, words of a block (and texts, by two-byte numbers), words of a
 # partition, and target ids up to which they are broadcast.
-COUNTED, BLOCK_WORDS, BLOCK_TEXTS, PARTITION_WORDS, BROADCAST_IDS = 4 << 20, 1 << 20, 1 << 16, 3 << 20, 2_000_000
+COUNTED, BLOCK_WORDS, BLOCK_TEXTS, PARTITION_WORDS, BROADCAST_IDS = 2 << 20, 1 << 20, 1 << 16, 2 << 20, 2_000_000
 
 # The code of what stands before a text's first word, and an odd multiplier.
 START, _STEP = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x9E3779B97F4A7C15)
@@ -97,6 +97,12 @@ def _texts(batches: Iterator[pa.RecordBatch], text: str = "text", kind: str = "c
             yield batch.slice(i, j - i), classes[i:j], texts_of(col.slice(i, j - i))
 
 
+def _sliced(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, so that no other process holds all of it at once."""
+    for s in range(0, batch.num_rows, rows):
+        yield batch.slice(s, rows)
+
+
 def _sums(keys: tuple[np.ndarray, ...], flags: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     """Distinct keys, and the sums of the flags for each."""
     order = np.lexsort(keys[::-1])
@@ -126,10 +132,10 @@ def _word_counts(src: DataFrame) -> DataFrame:
             held.append((np.concatenate([words.hash, np.full(len(some), START)]), counted, counted & ((of & TARGET) > 0), np.ones(len(of), bool)))
             size += len(of)
             if size > COUNTED:
-                yield out()
+                yield from _sliced(out())
                 held, size = [], 0
         if size:
-            yield out()
+            yield from _sliced(out())
 
     sent = src.select("text", "class").mapInArrow(run, "w bigint, n bigint, t bigint, m bigint")
     return sent.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "t", "m")))
@@ -154,10 +160,10 @@ def _head_totals(src: DataFrame, heads: np.ndarray) -> dict[int, tuple[int, int,
             held.append((h, w, np.ones(len(h), bool), (of & TARGET) > 0))
             size += len(h)
             if size > COUNTED // 2:
-                yield out()
+                yield from _sliced(out())
                 held, size = [], 0
         if size:
-            yield out()
+            yield from _sliced(out())
 
     pairs = src.select("text", "class").mapInArrow(run, "h bigint, w bigint, n bigint, t bigint").groupBy("h", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     rows = pairs.groupBy("h").agg(F.sum("n"), F.sum("t"), F.count(F.lit(1)), F.sum((F.col("t") > 0).cast("bigint"))).collect()
@@ -179,10 +185,10 @@ def _needed(src: DataFrame, dealing) -> DataFrame:
             held.append((dealing.value.of(h, w), w))
             size += len(w)
             if size > COUNTED:
-                yield out()
+                yield from _sliced(out())
                 held, size = [], 0
         if size:
-            yield out()
+            yield from _sliced(out())
 
     # rows of a word meet first, so that the same partitioning serves the distinct and the join
     return src.select("text", "class").mapInArrow(run, "p int, w bigint").repartition("w").dropDuplicates(["w", "p"])
