@@ -10,6 +10,7 @@ table gives an empty result of the same schema.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,19 @@ def map_texts(df: DataFrame, source: str, work: Callable[[], Callable[[Texts], d
     return result.select(*(F.col("row").getField(c).alias(c) for c in keep), *names)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs of frames made within leave no shuffle files behind. For results that are collected or written
+    once: else the files of each step stay on disk until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder (``spark.checkpoint.dir``) and read again: later
     steps neither recompute it nor depend on one executor's copy."""

@@ -84,9 +84,12 @@ class Form:
 
 
 class Queue:
-    """A priority queue of items by key, first come first served among equals, in buckets of adjacent keys."""
+    """A priority queue of items by key, first come first served among equals, in buckets of adjacent keys.
 
-    def __init__(self, store: Store, form: Form, keys: int, buckets: int = 512):
+    The keys of a text of bytes have a bucket each, which needs no sorting.
+    """
+
+    def __init__(self, store: Store, form: Form, keys: int, buckets: int = 1024):
         self.store, self.form, self.width = store, form, -(-keys // buckets)
         self.parts: list[list[np.ndarray]] = [[] for _ in range(buckets + 1)]
         self.files: dict[int, str] = {}
@@ -129,10 +132,10 @@ class Queue:
         self.n -= sum(map(len, self.parts[b]))
         self.parts[b] = []
         out = np.concatenate(rows)
-        return out if self.width == 1 else self.sorted(out)
+        return self.sorted(out)
 
     def sorted(self, rows: np.ndarray) -> np.ndarray:
-        return rows[np.argsort(self.form.key(rows), kind="stable")]
+        return rows if self.width == 1 else rows[np.argsort(self.form.key(rows), kind="stable")]
 
     def drain(self, step: Step) -> Iterator[np.ndarray]:
         """Items in order, by batches; ``step`` gives the items that a batch puts back (of its own keys or later ones)."""
@@ -143,21 +146,22 @@ class Queue:
                 while len(now):
                     batch = step.settle(now[:BATCH])
                     back = step.back(batch)
-                    inner = key(back) < top if len(back) else np.zeros(0, bool)
+                    inner = key(back) < top
                     stop = len(batch)
                     if inner.any() and self.width > 1:
                         # a put-back item precedes what has a larger key: stop before the first such
                         stop = int(np.searchsorted(key(batch), key(back[inner]).min(), side="right"))
                         if stop < len(batch):
-                            batch = batch[:stop]
-                            back = step.back(batch)
-                            inner = key(back) < top
+                            batch, back = batch[:stop], step.cut(back, stop)
+                            inner = inner[:len(back)]
                     step.done(batch)
                     yield batch
                     self.put(back[~inner])
                     rest, again = now[stop:], back[inner]
                     if not len(rest):
                         now = self.sorted(again)
+                    elif len(again) and self.width == 1:
+                        now = np.concatenate([rest, again])
                     elif len(again):
                         again = self.sorted(again)
                         now = np.insert(rest, np.searchsorted(key(rest), key(again), side="right"), again)
@@ -177,7 +181,7 @@ def types_of(text: np.ndarray, store: Store) -> np.ndarray:
         sign = np.sign(after - here)
         known = np.flatnonzero(sign)
         value = np.append(sign[known] > 0, later)
-        out[a:b] = value[np.searchsorted(known, np.arange(b - a))]
+        out[a:b] = value.repeat(np.diff(np.concatenate([[-1], known, [b - a - 1]])))  # each up to the next known one
         later = bool(out[a])
     return out
 
@@ -185,8 +189,9 @@ def types_of(text: np.ndarray, store: Store) -> np.ndarray:
 class Step:
     """What a batch puts back: the suffix to the left of each item, if it is of the wanted type."""
 
-    def __init__(self, text: np.ndarray, types: np.ndarray, want: bool, top: int, form: Form, cap: int, words: np.ndarray | None):
-        self.text, self.types, self.want, self.top, self.form, self.cap = text, types, want, top, form, cap
+    def __init__(self, codes: np.ndarray, want: bool, top: int, form: Form, cap: int, words: np.ndarray | None):
+        """``codes``: at each position twice the symbol, and one more for type S."""
+        self.codes, self.want, self.top, self.form, self.cap = codes, want, top, form, cap
         # per key, the least value seen since an item was last put under it
         self.since = np.zeros(2 * top + 2, np.uint8)
         self.known = np.zeros(2 * top + 2, bool)
@@ -209,15 +214,21 @@ class Step:
     def left(self, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which items put one back, its position, its key)"""
         at = self.form.at(batch) - 1
-        use = np.flatnonzero((at >= 0) & (self.types[at] == self.want))
-        at = at[use]
-        symbol = self.text[at].astype(np.int64)
-        return use, at, 2 * (self.top - symbol) if self.want else 2 * symbol
+        code = self.codes[at]
+        use = np.flatnonzero((at >= 0) & (code & 1 == self.want))
+        code = code[use].astype(np.int64)
+        return use, at[use], 2 * self.top + 1 - code if self.want else code
 
     def back(self, batch: np.ndarray) -> np.ndarray:
         use, at, key = self.seen = self.left(batch)
         return self.form.pack(key, at, self._shared(self.form.lcp(batch), use, key) if self.cap else 0)
 
+    def cut(self, back: np.ndarray, stop: int) -> np.ndarray:
+        """Of what a batch puts back, that of its first ``stop`` items: it depends on none of the later ones."""
+        k = int(np.searchsorted(self.seen[0], stop))
+        self.seen = tuple(x[:k] for x in self.seen)
+        return back[:k]
+
     def _shared(self, lcp: np.ndarray, use: np.ndarray, key: np.ndarray) -> np.ndarray:
         if not len(use):
             return np.zeros(0, np.int64)
@@ -255,20 +266,31 @@ def least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray, where: np.nd
     if not len(at):
         return out
     a, b = a[at], b[at]
-    level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-    table = [values]
-    for j in range(int(level.max())):
-        t = table[-1]
-        table.append(np.minimum(t[:-(1 << j)], t[1 << j:]))
-    for j in np.unique(level):
-        of = level == j
-        out[at[of]] = np.minimum(table[j][a[of]], table[j][b[of] - (1 << int(j)) + 1])
+    level = np.frexp((b - a + 1).astype(np.float64))[1].astype(np.int64) - 1
+    n = len(values)
+    table = np.zeros((int(level.max()) + 1, n), np.uint8)
+    table[0] = values
+    for j in range(1, len(table)):
+        half = 1 << j - 1
+        np.minimum(table[j - 1, :-half], table[j - 1, half:], out=table[j, :-half])
+    row = level * n
+    table = table.reshape(-1)
+    out[at] = np.minimum(table[row + a], table[row + b + 1 - (1 << level)])
     return out
 
 
 WORD = 7  # symbols below 512 that one integer holds
 
 
+def codes_of(text: np.ndarray, types: np.ndarray, top: int, store: Store) -> np.ndarray:
+    """At each position twice the symbol, and one more for type S."""
+    out = store.array(len(text), np.uint16 if 2 * top + 1 < 1 << 16 else np.int64)
+    for a in range(0, len(text), 1 << 20):
+        b = a + (1 << 20)
+        out[a:b] = text[a:b].astype(np.int64) << 1 | types[a:b]
+    return out
+
+
 def packed_words(text: np.ndarray, store: Store) -> np.ndarray:
     """At each position the next WORD symbols (below 512; zeros after the end) in one integer."""
     out = store.array(len(text), np.int64)
@@ -310,7 +332,7 @@ def _passes(text: np.ndarray, types: np.ndarray, stars: np.ndarray, store: Store
     """All suffixes in descending order, from S* suffixes in ascending order; with prefix values if ``cap``."""
     top, n = int(text.max()), len(text)
     form = Form(n, 2 * top + 1)
-    words = packed_words(text, store) if cap else None
+    words, codes = packed_words(text, store) if cap else None, codes_of(text, types, top, store)
     up = Queue(store, form, 2 * top + 2)
     # the end of the text, the least suffix, comes first and puts back the last position
     up.put(form.pack(np.array([2 * int(text[n - 1])]), np.array([n - 1]), 0))
@@ -318,7 +340,7 @@ def _passes(text: np.ndarray, types: np.ndarray, stars: np.ndarray, store: Store
         at = np.asarray(stars[i:i + BATCH])
         lcp = shared_prefix(words, np.append(stars[i - 1] if i else at[0], at[:-1]), at, cap).astype(np.int64) if cap else 0
         up.put(form.pack(2 * text[at].astype(np.int64) + 1, at, lcp))
-    grown = Step(text, types, False, top, form, cap, words)
+    grown = Step(codes, False, top, form, cap, words)
     grown.known[2 * int(text[n - 1])] = True
     path, total = store.path(), 0
     with open(path, "wb") as f:
@@ -336,7 +358,7 @@ def _passes(text: np.ndarray, types: np.ndarray, stars: np.ndarray, store: Store
         down.put(form.pack(2 * (top - form.key(rows) // 2) + 1, form.at(rows), lcp))
     del back
     os.remove(path)
-    for batch in down.drain(Step(text, types, True, top, form, cap, words)):
+    for batch in down.drain(Step(codes, True, top, form, cap, words)):
         yield form.at(batch), form.lcp(batch)
 
 
@@ -363,13 +385,13 @@ def _sorted_stars(text: np.ndarray, types: np.ndarray, store: Store, depth: int)
     length = np.append(np.diff(stars), len(text) - stars[-1]) + 1
     new = np.ones(len(stars), bool)
     for i in range(1, len(stars), BATCH):
-        b = np.asarray(by_piece[i:i + BATCH])
-        a = np.asarray(by_piece[i - 1:i - 1 + len(b)])
-        size = length[index[b]]
-        like = np.flatnonzero((length[index[a]] == size) & (a != stars[-1]) & (b != stars[-1]))
+        both = np.asarray(by_piece[i - 1:i + BATCH])
+        a, b = both[:-1], both[1:]
+        size = length[index[both]]
+        like = np.flatnonzero((size[:-1] == size[1:]) & (a != stars[-1]) & (b != stars[-1]))
         if not len(like):
             continue
-        size = size[like]
+        size = size[1:][like]
         step = np.arange(int(size.sum())) - (np.cumsum(size) - size).repeat(size)
         equal = text[a[like].repeat(size) + step] == text[b[like].repeat(size) + step]
         new[i + like[np.logical_and.reduceat(equal, np.cumsum(size) - size)]] = False
@@ -397,23 +419,21 @@ def by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(names)
     count = np.bincount(names)
-    rank = (np.cumsum(count) - count)[names]  # of the first in a group of equals
+    rank = np.append((np.cumsum(count) - count)[names], -1)  # of the first in a group of equals; the end is the least
     live, h = np.flatnonzero(count[names] > 1), 1
     while len(live) and (not depth or h < depth):
-        after = live + h
-        pair = rank[live] * (n + 1)
-        inside = after < n
-        pair[inside] += rank[after[inside]] + 1
+        own = rank[live]
+        pair = own * (n + 1) + rank[np.minimum(live + h, n)] + 1
         order = np.argsort(pair)
-        live, pair = live[order], pair[order]
+        live, pair, own = live[order], pair[order], own[order]
         at = np.arange(len(live))
         new = np.append(True, pair[1:] != pair[:-1])
-        group = np.append(True, rank[live][1:] != rank[live][:-1])
+        group = np.append(True, own[1:] != own[:-1])
         start = np.maximum.accumulate(np.where(new, at, 0))
-        rank[live] += start - np.maximum.accumulate(np.where(group, at, 0))
+        rank[live] = own + start - np.maximum.accumulate(np.where(group, at, 0))
         live = live[~(new & np.append(new[1:], True))]
         h *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank[:n])
 
 
 def _descending(text: np.ndarray, store: Store, cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -12,7 +12,9 @@ equal windows are neighbours that share 50 bytes.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Texts, binary_array, cuts, texts_of, written
+from .common import Texts, binary_array, cuts, list_array, shuffles_dropped, texts_of, written
 from .suffix_array import Store, suffixes_descending
 
 # Bytes of the hashed strings in a window.
@@ -42,8 +44,9 @@ MOST_WINDOWS = 206
 # Input text for each shard; its segments hold about as much (a shard of any size is sorted, on disk beyond memory).
 SHARD_BYTES = 8 << 20
 
-# Distinct segments, and slots, that a task gathers before it passes them on.
+# Distinct segments, and slots, that a task gathers before it passes them on, and segments that it sends at a time.
 GATHERED = 200_000
+SENT = 20_000
 GATHERED_SLOTS = 4_000_000
 
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,7 +195,8 @@ def repeated_slots(texts: DataFrame, width: int, narrow=None) -> np.ndarray:
             yield bits()
 
     sent = texts.mapInArrow(gather, "part int, slots binary").where(F.octet_length("slots") > 0)
-    rows = sent.repartition(FILTER_PARTS, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary").collect()
+    with shuffles_dropped(texts.sparkSession):
+        rows = sent.repartition(FILTER_PARTS, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary").collect()
     out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
     step = len(out) // FILTER_PARTS
     for r in rows:
@@ -209,13 +213,17 @@ def _found(rows: DataFrame, width: int, narrow, wide, out: str, bodies: bool) ->
     names = [f.split()[0] for f in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list] = {}
+        known: dict[bytes, int] = {}
+        least, most, shard = array("q"), array("q"), array("i")
 
         def flushed():
-            columns = zip(*known.values())
-            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
+            # columns of numbers, not a list for each segment, and in parts: the tasks' memory adds up
+            for at, part in enumerate(batched(known, SENT)):
+                here = slice(at * SENT, at * SENT + len(part))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x[here])) for x in (least, most, shard)), pa.array(part, pa.binary())], names)
             known.clear()
-            return got
+            for x in (least, most, shard):
+                del x[:]
 
         for batch in batches:
             docs, text_ids = (np.asarray(batch.column(k)) for k in (0, 1))
@@ -234,17 +242,19 @@ def _found(rows: DataFrame, width: int, narrow, wide, out: str, bodies: bool) ->
                         half[:, 0], half[:, 1], doc, text_ids[i:j][row], (first - texts.off[row]) << 8 | size)], names)
                     continue
                 for d, b, k in zip(doc.tolist(), strings, (key >> np.uint64(33)).astype(np.int64).tolist()):
-                    held = known.get(b)
-                    if held is None:
-                        known[b] = [d, d, k, b]
-                    elif d < held[0]:
-                        held[0] = d
-                    elif d > held[1]:
-                        held[1] = d
+                    at = known.setdefault(b, len(least))
+                    if at == len(least):
+                        least.append(d)
+                        most.append(d)
+                        shard.append(k)
+                    elif d < least[at]:
+                        least[at] = d
+                    elif d > most[at]:
+                        most[at] = d
                 if len(known) > GATHERED:
-                    yield flushed()
+                    yield from flushed()
         if known:
-            yield flushed()
+            yield from flushed()
 
     return rows.select("doc", "text_id", "body").mapInArrow(run, out)
 
@@ -260,19 +270,20 @@ def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.nd
             s = size[i:i + 4096]
             at = start[i:i + 4096].repeat(s) + np.arange(len(part)) - (np.cumsum(s) - s).repeat(s)
             text[at] = part.astype(np.uint16) + 1  # 0 stands between bodies
-        # only whole windows matter: what lies between two equal ones is equal to them
-        whole = store.array(len(text), bool)
+        # only whole windows matter: what lies between two equal ones is equal to them; 1 + the body of each
+        owner = store.array(len(text), np.int32 if len(bodies) < (1 << 31) - 1 else np.int64)
         windows = size - width + 1
         for i in range(0, len(bodies), 4096):
             w = windows[i:i + 4096]
-            whole[start[i:i + 4096].repeat(w) + np.arange(int(w.sum())) - (np.cumsum(w) - w).repeat(w)] = True
-        group = store.array(len(text), np.int64)
+            owner[start[i:i + 4096].repeat(w) + np.arange(int(w.sum())) - (np.cumsum(w) - w).repeat(w)] = np.arange(i + 1, i + 1 + len(w)).repeat(w)
+        group = store.array(len(text), np.int32 if len(text) < 1 << 31 else np.int64)
         best, n, seen, before = [], -1, 0, -1
         for at, shared in suffixes_descending(text, width, store):
             number = seen + np.cumsum(shared < width)
             seen = int(number[-1])
-            use = whole[at]
-            at, number = at[use], number[use]
+            own = owner[at]
+            use = own > 0
+            at, number, own = at[use], number[use], own[use]
             if not len(at):
                 continue
             new = np.append(number[0] != before, number[1:] != number[:-1])
@@ -280,8 +291,7 @@ def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.nd
             dense = n + np.cumsum(new)
             n = int(dense[-1])
             group[at] = dense
-            owner = docs[np.searchsorted(start, at, side="right") - 1]
-            value = np.minimum.reduceat(owner, np.flatnonzero(np.append(True, new[1:])))
+            value = np.minimum.reduceat(docs[own - 1], np.flatnonzero(np.append(True, new[1:])))
             if not new[0]:
                 best[-1][-1] = min(best[-1][-1], value[0])
                 value = value[1:]
@@ -294,23 +304,10 @@ def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.nd
         return start, least
 
 
-def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Of a shard's segments: least doc of each, and the runs of windows that an even earlier doc has."""
-    known: dict[bytes, int] = {}
-    least, most, bodies = [], [], []
-    for batch in batches:
-        for lo, hi, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            at = known.setdefault(b, len(bodies))
-            if at == len(bodies):
-                least.append(lo)
-                most.append(hi)
-                bodies.append(b)
-            else:
-                least[at], most[at] = min(least[at], lo), max(most[at], hi)
+def _early_runs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(body, first byte, end) of the runs of windows that a doc before the body's least has, by place."""
     if not bodies:
-        return
-    known.clear()
-    docs = np.array(least, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     start, by_window = least_docs(bodies, docs, width)
     windows = np.fromiter(map(len, bodies), np.int64, len(bodies)) - width + 1
     # windows of all bodies in a row, and the runs of those that come earlier elsewhere
@@ -324,15 +321,44 @@ def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
     a, b = np.flatnonzero(head), np.flatnonzero(tail)
     own = np.searchsorted(ends, a, side="right")
     base = (ends - windows)[own]
-    of = np.searchsorted(own, np.arange(len(bodies) + 1))
+    return own, a - base, b - base + width
+
+
+def _judge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of a shard's segments: least doc of each, and the runs of windows that an even earlier doc has.
+
+    Equal windows have equal keys: a segment that is the only one of its key, once equal ones are one, has
+    no window of another and needs no sorting.
+    """
+    known: dict[bytes, int] = {}
+    least, most, keys, bodies = [], [], [], []
+    for batch in batches:
+        for lo, hi, key, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            at = known.setdefault(b, len(bodies))
+            if at == len(bodies):
+                least.append(lo)
+                most.append(hi)
+                keys.append(key)
+                bodies.append(b)
+            else:
+                least[at], most[at] = min(least[at], lo), max(most[at], hi)
+    if not bodies:
+        return
+    known.clear()
+    docs = np.array(least, np.int64)
+    _, of_key, count = np.unique(np.array(keys, np.int64), return_inverse=True, return_counts=True)
+    met = np.flatnonzero(count[of_key] > 1)
+    own, a, b = _early_runs([bodies[k] for k in met.tolist()], docs[met], width)
+    of = np.searchsorted(met[own], np.arange(len(bodies) + 1))
+    held = (np.array(most, np.int64) > docs) | (of[:-1] < of[1:])
+    spans = pa.StructArray.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["a", "b"])
     for i in range(0, len(bodies), 10_000):
         j = min(len(bodies), i + 10_000)
-        keep = [k for k in range(i, j) if most[k] > least[k] or of[k] < of[k + 1]]
-        spans = [[{"a": int(x), "b": int(y)} for x, y in zip(a[of[k]:of[k + 1]] - base[of[k]:of[k + 1]], b[of[k]:of[k + 1]] - base[of[k]:of[k + 1]] + width)] for k in keep]
-        half = np.frombuffer(b"".join(xxhash.xxh3_128_digest(bodies[k]) for k in keep), np.int64).reshape(-1, 2)
+        keep = i + np.flatnonzero(held[i:j])  # the others have no spans
+        half = np.frombuffer(b"".join(xxhash.xxh3_128_digest(bodies[k]) for k in keep.tolist()), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([
-            pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array([least[k] for k in keep], pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["id1", "id2", "least", "spans"])
+            pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array(docs[keep]),
+            list_array(spans.slice(of[i], of[j] - of[i]), np.append(of[keep], of[j]) - of[i])], ["id1", "id2", "least", "spans"])
 
 
 def removed(rows: DataFrame, width: int = 50) -> DataFrame:
@@ -347,7 +373,7 @@ def removed(rows: DataFrame, width: int = 50) -> DataFrame:
     wide = share(repeated_slots(rows.select("body"), width, narrow))
     bodies = _found(rows, width, narrow, wide, "least bigint, most bigint, shard int, body binary", True)
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    judged = (bodies.repartition(max(1, -(-total // SHARD_BYTES)), "shard").select("least", "most", "body")
+    judged = (bodies.repartition(max(1, -(-total // SHARD_BYTES)), "shard").select("least", "most", "shard", "body")
               .mapInArrow(lambda it: _judge(it, width), "id1 bigint, id2 bigint, least bigint, spans array<struct<a:int,b:int>>"))
     at = _found(rows, width, narrow, wide, "id1 bigint, id2 bigint, doc bigint, text_id bigint, place bigint", False)
     start, windows = F.shiftright("place", 8).cast("int"), F.col("place").bitwiseAND(255).cast("int")
@@ -390,7 +416,8 @@ def dedup(docs: DataFrame, width: int = 50, keep: list[str] | None = None) -> Da
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1)).alias("doc"),
                        F.xxhash64(text).alias("text_id"), F.encode(text, "UTF-8").alias("body"))
     # documents that surely have nothing to remove need not meet the spans
-    cut = written(removed(rows, width).withColumn("slot", _doc_slot(F.col("doc"), F.col("text_id"))), "spans")
+    with shuffles_dropped(docs.sparkSession):
+        cut = written(removed(rows, width).withColumn("slot", _doc_slot(F.col("doc"), F.col("text_id"))), "spans")
     touched = docs.sparkSession.sparkContext.broadcast(_touched(cut))
 
     @F.pandas_udf("boolean")

@@ -131,3 +131,28 @@ def test_pretokens_against_the_pattern():
     for _ in range(500):
         t = "".join(r.choice(list("ab's'tre ve ll\n\t   é9٣!’.-Ñ漢\U0001f600́")) for _ in range(r.randint(0, 40)))
         assert boundaries(texts_from([t])).tolist() == [len(t[:m.start()].encode()) for m in pattern.finditer(t)]
+
+
+def test_only_segments_with_a_partner_of_their_key_are_sorted(monkeypatch):
+    """A segment alone under its key goes round the sort; its copies' least doc and others' spans stay."""
+    import pyarrow as pa
+
+    sorted_, real = [], suffix_dedup.least_docs
+    monkeypatch.setattr(suffix_dedup, "least_docs", lambda bodies, docs, width: (sorted_.extend(bodies), real(bodies, docs, width))[1])
+    alone, long, short = bytes(range(60)), bytes(range(100, 170)), bytes(range(105, 160))
+    rows = [(7, 7, 1, alone), (3, 5, 1, alone), (9, 9, 2, long), (4, 4, 2, short), (8, 8, 3, bytes(range(200, 255)))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["least", "most", "shard", "body"])
+    got = pa.Table.from_batches(list(suffix_dedup._judge(iter([batch]), 50))).to_pylist()
+    assert sorted_ == [long, short]
+    assert [(r["least"], r["spans"]) for r in got] == [(3, []), (9, [{"a": 5, "b": 60}])]
+
+
+def test_shuffles_of_written_results_are_gone(spark, tmp_path):
+    from pointbook.llm.common import shuffles_dropped
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+        spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "out"))
+    assert spark.conf.get(name) == before and spark.read.parquet(str(tmp_path / "out")).count() == 7
