@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, Texts, cuts, texts_of, written
+from .common import CHUNK_BYTES, Texts, cuts, list_array, shuffles_dropped, texts_of, written
 from .decontaminate import Words, mix
 
 DISCOUNT = 0.75
@@ -170,15 +170,19 @@ def _head_totals(src: DataFrame, heads: np.ndarray) -> dict[int, tuple[int, int,
     return {int(np.int64(r[0]).view(np.uint64)): tuple(r[1:]) for r in rows}
 
 
-def _needed(src: DataFrame, dealing) -> DataFrame:
-    """(p, w): the words that stand in each partition, distinct by block."""
+def _needed(src: DataFrame, dealing, told: DataFrame) -> DataFrame:
+    """(p, w, n, t): the words of ``told`` that stand in each partition, with their counts.
+
+    A task sends each of its words once with all the partitions that need it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out():
-            p, w = _sums(tuple(np.concatenate([x[i] for x in held]) for i in (0, 1)), ())
-            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), _signed(w)], ["p", "w"])
+            w, p = _sums(tuple(np.concatenate([x[i] for x in held]) for i in (1, 0)), ())
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1])[:len(w)])
+            return pa.RecordBatch.from_arrays([_signed(w[first]), list_array(pa.array(p, pa.int32()), np.append(first, len(w)))], ["w", "ps"])
 
         for _, _, texts in _texts(batches):
             h, w, _ = bigrams(texts)
@@ -190,8 +194,9 @@ def _needed(src: DataFrame, dealing) -> DataFrame:
         if size:
             yield from _sliced(out())
 
-    # rows of a word meet first, so that the same partitioning serves the distinct and the join
-    return src.select("text", "class").mapInArrow(run, "p int, w bigint").repartition("w").dropDuplicates(["w", "p"])
+    # rows of a word meet first, so that the same partitioning serves the join and the distinct
+    sent = src.select("text", "class").mapInArrow(run, "w bigint, ps array<int>").repartition("w")
+    return sent.join(told, "w").select(F.explode("ps").alias("p"), "w", "n", "t").distinct()
 
 
 def _pack(h: np.ndarray, w: np.ndarray, text: np.ndarray, borders: np.ndarray) -> bytes:
@@ -410,7 +415,8 @@ def score(docs: DataFrame, target_ids: DataFrame, keep: list[str] | None = None,
     if background is not None:
         src = src.unionByName(marked(background, F.lit(None).cast(src.schema["row"].dataType), MODELLED))
 
-    counts = written(_word_counts(src), "words")
+    with shuffles_dropped(spark):
+        counts = written(_word_counts(src), "words")
     code = int(START.view(np.int64))
     words = counts.where(F.col("w") != code)
     size, n, t, all_ = words.agg(F.sum((F.col("n") > 0).cast("bigint")), F.sum("n"), F.sum("t"), F.sum("m")).first()
@@ -427,7 +433,7 @@ def score(docs: DataFrame, target_ids: DataFrame, keep: list[str] | None = None,
                            *T.StructType.fromDDL("blob binary, w bigint, n bigint, t bigint").fields])
     # a word that stands once is counted where it stands
     told = words.where("n > 1") if background is None else words.where("n > 0")
-    needed = _needed(src, dealing).join(told.select("w", "n", "t"), "w")
+    needed = _needed(src, dealing, told.select("w", "n", "t"))
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields}
     needed = needed.select(*(F.col(c) if c in ("p", "w", "n", "t") else empty[c] for c in schema.names))
     dealt = _occurrences(src, dealing, schema).unionByName(needed).repartitionById(parts, F.col("p"))

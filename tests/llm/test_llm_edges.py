@@ -156,3 +156,16 @@ def test_shuffles_of_written_results_are_gone(spark, tmp_path):
         assert spark.conf.get(name) == "true"
         spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "out"))
     assert spark.conf.get(name) == before and spark.read.parquet(str(tmp_path / "out")).count() == 7
+
+
+def test_lm_sends_a_task_s_word_once(spark, monkeypatch):
+    """Words travel to their counts with a list of the partitions that need them, not once for each."""
+    monkeypatch.setattr(lm_scoring, "PARTITION_WORDS", 50)
+    text = " ".join(f"{a} common" for a in "abcdefghijklmnopqrstuvwxyz")
+    src = spark.createDataFrame([(text, 6), (text, 6)], "text string, class int").coalesce(1)
+    told = lm_scoring._word_counts(src).where("n > 1").select("w", "n", "t")
+    needed = lm_scoring._needed(src, spark.sparkContext.broadcast(lm_scoring.Dealing(8, {})), told)
+    got = needed.collect()
+    assert "ps" in needed._jdf.queryExecution().analyzed().toString()
+    assert len(got) == len({(r.p, r.w) for r in got}) and max(r.n for r in got) == 52
+    assert len({r.p for r in got if r.n == 52}) > 1
