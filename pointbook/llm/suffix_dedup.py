@@ -3,23 +3,26 @@
 Each 50-byte window of a text has a key: the least hash of the 16-byte strings
 in it. Equal windows have equal keys, so windows dealt to shards by key meet
 all their equals. Neighbouring windows mostly share a key; such a run is one
-segment of text, and equal segments travel once from each task. Two filters of
-fixed size first leave out windows which no other document can have: the
-hashed string, or it with its left or right surroundings, occurs nowhere else. Every
+segment of text, and equal segments travel once from each task. A filter
+first leaves out windows which no other document can have: the hashed string
+with its left or right surroundings occurs nowhere else. It is no table that
+tasks look into, which would fill up or grow with the input: each chunk of
+texts sends its hashes, dealt by range, and gets back one bit for each. Every
 shard's segments are sorted by an external induced suffix array, in which
 equal windows are neighbours that share 50 bytes.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
-from itertools import batched
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,9 @@ GRAM = 16
 # Text that one vectorised pass holds, so that its arrays stay in the processor's cache.
 CHUNK_BYTES = 1 << 17
 
-# Each of two filters has 2^FILTER_BITS slots (32 MB broadcast). They only save work: two keys in one slot pass.
-FILTER_BITS, FILTER_PARTS = 28, 64
+# Text whose hashes are sent and answered together (2^16 rows at most), and text for each range of the hashes (some 9 bytes a hash).
+DEALT_BYTES = 2 << 20
+RANGE_BYTES = 16 << 20
 
 # Bits of the filter that tells documents with something to remove from others (2 MB broadcast).
 DOC_BITS = 24
@@ -44,10 +48,10 @@ MOST_WINDOWS = 206
 # Input text for each shard; its segments hold about as much (a shard of any size is sorted, on disk beyond memory).
 SHARD_BYTES = 8 << 20
 
-# Distinct segments, and slots, that a task gathers before it passes them on, and segments that it sends at a time.
+# Segments that a task gathers, distinct ones and occurrences, before it passes them on, and distinct ones that it sends at a time.
 GATHERED = 200_000
+GATHERED_PLACES = 1_000_000
 SENT = 20_000
-GATHERED_SLOTS = 4_000_000
 
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,6 +120,19 @@ class Pieces:
         self.key = own.repeat(2)[use]
         self.row = texts.row_of(self.first)
 
+    @classmethod
+    def of(cls, col: pa.Array, width: int) -> Pieces:
+        """Those of a column of texts, found in runs of CHUNK_BYTES; rows and first bytes are the column's."""
+        off = texts_of(col).off
+        each = [(i, cls(texts_of(col.slice(i, j - i)), width)) for i, j in cuts(np.diff(off), CHUNK_BYTES)]
+        out = cls(texts_of(col.slice(0, 0)), width)
+        if each:
+            out.row = np.concatenate([p.row + i for i, p in each])
+            out.first = np.concatenate([p.first + off[i] for i, p in each])
+            for name in ("size", "key", "wide"):
+                setattr(out, name, np.concatenate([getattr(p, name) for _, p in each]))
+        return out
+
     def joined(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first byte, windows, key) of the used pieces, those of one key that follow each other as one segment."""
         row, first, size, key = self.row[use], self.first[use], self.size[use], self.key[use]
@@ -129,134 +146,185 @@ class Pieces:
         return row.repeat(parts), first.repeat(parts) + step, np.minimum(size.repeat(parts) - step, MOST_WINDOWS), key.repeat(parts)
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (key * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - FILTER_BITS)
-
+def _new(x: np.ndarray) -> np.ndarray:
+    """True where a value differs from the one before it."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
 
-def _passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    slot = _slot(key).astype(np.int64)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
+def _ranges(spot: np.ndarray, parts: int) -> np.ndarray:
+    """The range, of ``parts`` equal ones, that each 48-bit hash lies in."""
+    return ((spot >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
 
-def repeated_slots(texts: DataFrame, width: int, narrow=None) -> np.ndarray:
-    """A filter: one bit a slot, set if pieces of two or more rows fall into it.
 
-    Slots are of the grams; or, with the broadcast filter ``narrow`` of these,
-    of the wider strings of the pieces that pass it. Each task sends its slots once, three bytes each, dealt by slot range;
-    each range is merged by one task to its bits. Only the bits, of a fixed
-    size, come to the driver.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.RecordBatch]]:
+    """The rows (doc, text_id, body) of a task in chunks, each with an id: its place among them and its content."""
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for i, j in cuts(np.diff(texts_of(batch.column(2)).off) + (DEALT_BYTES >> 16), DEALT_BYTES):
+            rows = batch.slice(i, j - i)
+            texts = texts_of(rows.column(2))
+            of = xxhash.xxh3_128(b"%d,%d" % (part, n))
+            for x in (np.asarray(rows.column(0)), texts.off, texts.data):
+                of.update(np.ascontiguousarray(x))
+            n += 1
+            yield of.digest(), rows
+
+
+def _sent(chunk: bytes, col: pa.Array, width: int, parts: int) -> pa.RecordBatch:
+    """A chunk's distinct hashes in order, by range: 31 bits each, and one more if two rows have it."""
+    got = Pieces.of(col, width)
+    pair = np.sort(got.wide >> np.uint64(16) << np.uint64(16) | got.row.astype(np.uint64))
+    spot = pair[_new(pair)] >> np.uint64(16)
+    new = _new(spot)
+    many = np.append(~new[1:], False)[new]
+    spot = spot[new]
+    part = _ranges(spot, parts)
+    raw = (spot & np.uint64(0x7FFFFFFF) | many.astype(np.uint64) << np.uint64(31)).astype("<u4").view(np.uint8)
+    at = np.flatnonzero(_new(part))
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(at), pa.binary()), pa.array(part[at]), binary_array(raw, np.append(at, len(part)) * 4)], ["chunk", "part", "spots"])
+
+
+def _answered(chunks: list[bytes], spots: list[np.ndarray], part: int) -> pa.RecordBatch:
+    """For what the chunks sent of one range: a bit for each hash, set if two rows have it."""
+    ends = np.cumsum([0, *map(len, spots)])
+    all_ = np.concatenate(spots)
+    order = np.sort((all_ & np.uint32(0x7FFFFFFF)).astype(np.uint64) << np.uint64(32) | np.arange(len(all_), dtype=np.uint64))
+    at = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    same = np.flatnonzero(~_new(order >> np.uint64(32)))
+    met = all_ >> np.uint32(31) > 0
+    met[at[same]] = met[at[same - 1]] = True
+    bits = [np.packbits(met[a:b], bitorder="little").tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array([part] * len(chunks), pa.int32()), pa.array(bits, pa.binary())], ["chunk", "part", "bits"])
+
+
+def _met(got: Pieces, parts: int, bits: dict[int, bytes]) -> np.ndarray:
+    """Which pieces of a chunk another row may have: all those of a range without an answer."""
+    spot = got.wide >> np.uint64(16)
+    order = np.argsort(spot)
+    spot = spot[order]
+    new = _new(spot)
+    part = _ranges(spot[new], parts)
+    met = np.ones(len(part), bool)
+    at = np.flatnonzero(_new(part))
+    for p, a, b in zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)]):
+        if len(known := bits.get(p, b"")) == b - a + 7 >> 3:
+            met[a:b] = np.unpackbits(np.frombuffer(known, np.uint8), count=b - a, bitorder="little")
+    use = np.empty(len(order), bool)
+    use[order] = met[np.cumsum(new) - 1]
+    return use
+
+
+def answers(rows: DataFrame, width: int, parts: int) -> DataFrame:
+    """(chunk, part, bits): of the hashes that a chunk has in a range, in order, which ones two or more rows have.
+
+    ``rows`` has doc, text_id and body. Two different hashes of a range in
+    2^31 can count as one; that only adds work.
     """
-    low = FILTER_BITS - FILTER_PARTS.bit_length() + 1
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def sent():
-            slots, count = np.unique(np.concatenate(held), return_counts=True)
-            part = (slots >> np.uint64(low)).astype(np.int64)
-            rest = (slots & np.uint64((1 << low) - 1)).astype("<u4") | (count > 1).astype("<u4") << 23
-            raw = rest.view(np.uint8).reshape(-1, 4)[:, :3].reshape(-1)
-            ends = np.searchsorted(part, np.arange(FILTER_PARTS + 1)) * 3
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(FILTER_PARTS, dtype=np.int32)), binary_array(raw, ends)], ["part", "slots"])
-
-        for batch in batches:
-            col = batch.column(0)
-            for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                got = Pieces(texts_of(col.slice(i, j - i)), width)
-                use = np.ones(len(got.row), bool) if narrow is None else _passes(narrow.value, got.key)
-                slot = _slot((got.key if narrow is None else got.wide)[use])
-                pair = np.unique((got.row[use].astype(np.uint64) << np.uint64(FILTER_BITS)) | slot)
-                held.append(pair & np.uint64((1 << FILTER_BITS) - 1))
-                n += len(pair)
-                if n > GATHERED_SLOTS:
-                    yield sent()
-                    held, n = [], 0
-        if held:
-            yield sent()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, twice = None, None, None
-
-        def bits():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, some in _chunks(batches):
+            yield _sent(chunk, some.column(2), width, parts)
 
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunks, spots = None, [], []
         for batch in batches:
-            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for p, chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if p != part:
-                    if part is not None:
-                        yield bits()
-                    part, seen, twice = p, np.zeros(1 << low, bool), np.zeros(1 << low, bool)
-                three = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 3).astype(np.uint32)
-                slot = three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
-                at = slot & 0x7FFFFF
-                twice[at] |= seen[at] | (slot >> 23).astype(bool)
-                seen[at] = True
-        if part is not None:
-            yield bits()
-
-    sent = texts.mapInArrow(gather, "part int, slots binary").where(F.octet_length("slots") > 0)
-    with shuffles_dropped(texts.sparkSession):
-        rows = sent.repartition(FILTER_PARTS, "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary").collect()
-    out = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    step = len(out) // FILTER_PARTS
-    for r in rows:
-        out[r["part"] * step:(r["part"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
-    return out
+                    if chunks:
+                        yield _answered(chunks, spots, part)
+                    part, chunks, spots = p, [], []
+                chunks.append(chunk)
+                spots.append(np.array(np.frombuffer(raw.as_buffer(), "<u4")))
+        if chunks:
+            yield _answered(chunks, spots, part)
+
+    sent = rows.select("doc", "text_id", "body").mapInArrow(send, "chunk binary, part int, spots binary").select("part", "chunk", "spots")
+    return sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(answer, "chunk binary, part int, bits binary")
+
+
+def _places(known: dict[bytes, int], own: np.ndarray, key: np.ndarray, where: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """What a task has gathered, a row for each occurrence; a segment's first one carries it, its shard, and its least and largest doc."""
+    order = np.argsort(own, kind="stable")
+    doc, text_id, place = (x[order] for x in where)
+    start = np.flatnonzero(_new(own[order]))
+    count = np.diff(np.append(start, len(own)))
+    least, most = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+    shard = (key[order[start]] >> np.uint64(33)).astype(np.int32)
+    each = iter(known)
+    for a in range(0, len(start), SENT):  # in parts: the tasks' memory adds up
+        bodies = list(islice(each, SENT))
+        b = a + len(bodies)
+        half = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, bodies)), np.int64).reshape(-1, 2).repeat(count[a:b], axis=0)
+        here = slice(int(start[a]), int(start[a]) + len(half))
+        first = pa.array(np.arange(len(bodies)).repeat(count[a:b]), mask=~np.isin(np.arange(here.start, here.stop), start[a:b]))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(half[:, 0]), pa.array(half[:, 1]), pa.array(doc[here]), pa.array(text_id[here]), pa.array(place[here]),
+            *(pa.array(x[a:b]).take(first) for x in (least, most, shard)), pa.array(bodies, pa.binary()).take(first)],
+            ["id1", "id2", "doc", "text_id", "place", "least", "most", "shard", "body"])
+
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, dict[int, bytes]]]:
+    """The texts of each chunk, in any order, and what it was answered, of rows (chunk, doc, text_id, body, part, bits) by chunk."""
+    chunk, texts, answer = None, [], {}
 
-def _found(rows: DataFrame, width: int, narrow, wide, out: str, bodies: bool) -> DataFrame:
-    """Segments whose windows other rows may have, of rows (doc, text_id, body).
+    def whole():
+        docs, text_ids, bodies = (c.combine_chunks() for c in pa.Table.from_batches(texts).columns)
+        return np.asarray(docs), np.asarray(text_ids), bodies, answer
 
-    With ``bodies``: each task's distinct ones, with their least and largest
-    doc; else every occurrence.
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        heads = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+        for i, j in zip(heads, [*heads[1:], len(ids)]):
+            if ids[i] != chunk:
+                if texts:
+                    yield whole()
+                chunk, texts, answer = ids[i], [], {}
+            some = batch.slice(i, j - i)
+            text = pc.is_null(some.column(4))
+            texts.append(some.select([1, 2, 3]).filter(text))
+            bits = some.select([4, 5]).filter(pc.invert(text))
+            answer.update(zip(*(c.to_pylist() for c in bits.columns)))
+    if texts:
+        yield whole()
+
+
+def found(rows: DataFrame, width: int, bits: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """Segments whose windows other rows may have, of rows (doc, text_id, body): a row for each occurrence.
+
+    ``bits`` are the rows' ``answers``. A chunk without any, as its rows were read in another order then, passes whole.
     """
-    names = [f.split()[0] for f in out.split(", ")]
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, some in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.binary()), *some.columns], ["chunk", "doc", "text_id", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        least, most, shard = array("q"), array("q"), array("i")
+        held, n = [], 0
 
         def flushed():
-            # columns of numbers, not a list for each segment, and in parts: the tasks' memory adds up
-            for at, part in enumerate(batched(known, SENT)):
-                here = slice(at * SENT, at * SENT + len(part))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.array(x[here])) for x in (least, most, shard)), pa.array(part, pa.binary())], names)
+            own, key, *where = (np.concatenate(x) for x in zip(*held))
+            yield from _places(known, own, key, where)
             known.clear()
-            for x in (least, most, shard):
-                del x[:]
-
-        for batch in batches:
-            docs, text_ids = (np.asarray(batch.column(k)) for k in (0, 1))
-            col = batch.column(2)
-            for i, j in cuts(np.diff(texts_of(col).off), CHUNK_BYTES):
-                texts = texts_of(col.slice(i, j - i))
-                got = Pieces(texts, width)
-                row, first, size, key = got.joined(_passes(narrow.value, got.key) & _passes(wide.value, got.wide))
-                raw = texts.raw()
-                strings = [raw[a:b] for a, b in zip(first.tolist(), (first + size + width - 1).tolist())]
-                doc = docs[i:j][row]
-                if not bodies:
-                    ids = [xxhash.xxh3_128_digest(b) for b in strings]
-                    half = np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                        half[:, 0], half[:, 1], doc, text_ids[i:j][row], (first - texts.off[row]) << 8 | size)], names)
-                    continue
-                for d, b, k in zip(doc.tolist(), strings, (key >> np.uint64(33)).astype(np.int64).tolist()):
-                    at = known.setdefault(b, len(least))
-                    if at == len(least):
-                        least.append(d)
-                        most.append(d)
-                        shard.append(k)
-                    elif d < least[at]:
-                        least[at] = d
-                    elif d > most[at]:
-                        most[at] = d
-                if len(known) > GATHERED:
-                    yield from flushed()
+            held.clear()
+
+        for docs, text_ids, bodies, answer in _told(batches):
+            got, texts = Pieces.of(bodies, width), texts_of(bodies)
+            row, first, size, key = got.joined(_met(got, parts, answer))
+            raw = texts.raw()
+            own = [known.setdefault(raw[a:b], len(known)) for a, b in zip(first.tolist(), (first + size + width - 1).tolist())]
+            held.append((np.array(own, np.int64), key, docs[row], text_ids[row], (first - texts.off[row]) << 8 | size))
+            n += len(own)
+            if len(known) > GATHERED or n > GATHERED_PLACES:
+                yield from flushed()
+                n = 0
         if known:
             yield from flushed()
 
-    return rows.select("doc", "text_id", "body").mapInArrow(run, out)
+    texts = rows.select("doc", "text_id", "body").mapInArrow(told, "chunk binary, doc bigint, text_id bigint, body binary")
+    both = texts.unionByName(bits, allowMissingColumns=True).select("chunk", "doc", "text_id", "body", "part", "bits")
+    return (both.repartition(tasks, "chunk").sortWithinPartitions("chunk")
+            .mapInArrow(run, "id1 bigint, id2 bigint, doc bigint, text_id bigint, place bigint, least bigint, most bigint, shard int, body binary"))
 
 
 def least_docs(bodies: list[bytes], docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -368,14 +436,15 @@ def removed(rows: DataFrame, width: int = 50) -> DataFrame:
     """
     if width < 2 * GRAM or width > 254:
         raise ValueError(f"width must be from {2 * GRAM} to 254")
-    share = rows.sparkSession.sparkContext.broadcast
-    narrow = share(repeated_slots(rows.select("body"), width))
-    wide = share(repeated_slots(rows.select("body"), width, narrow))
-    bodies = _found(rows, width, narrow, wide, "least bigint, most bigint, shard int, body binary", True)
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    judged = (bodies.repartition(max(1, -(-total // SHARD_BYTES)), "shard").select("least", "most", "shard", "body")
-              .mapInArrow(lambda it: _judge(it, width), "id1 bigint, id2 bigint, least bigint, spans array<struct<a:int,b:int>>"))
-    at = _found(rows, width, narrow, wide, "id1 bigint, id2 bigint, doc bigint, text_id bigint, place bigint", False)
+    parts, shards = max(1, -(-total // RANGE_BYTES)), max(1, -(-total // SHARD_BYTES))
+    with shuffles_dropped(rows.sparkSession):
+        bits = written(answers(rows, width, parts), "answers")
+        at = written(found(rows, width, bits, parts, shards), "segments")
+        bodies = at.where(F.col("body").isNotNull()).select("least", "most", "shard", "body")
+        judged = written(bodies.repartition(shards, "shard").select("least", "most", "shard", "body")
+                         .mapInArrow(lambda it: _judge(it, width), "id1 bigint, id2 bigint, least bigint, spans array<struct<a:int,b:int>>"), "judged")
+    at = at.select("id1", "id2", "doc", "text_id", "place")
     start, windows = F.shiftright("place", 8).cast("int"), F.col("place").bitwiseAND(255).cast("int")
     whole = F.array(F.struct(F.lit(0).alias("a"), (windows + width - 1).alias("b")))
     spans = (at.join(judged, ["id1", "id2"]).select("doc", "text_id", start.alias("start"), F.explode(F.when(F.col("doc") > F.col("least"), whole).otherwise(F.col("spans"))).alias("s"))
